@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysis this library reproduces reads only batch files; it has no
+watermark, windowed stream aggregation or stateful stream operator, so this
+package is intentionally empty.  Every operator here is a lazy batch
+DataFrame function and can be applied inside ``foreachBatch`` if needed.
+"""
