@@ -23,11 +23,20 @@ def coefficients(features) -> dict[str, float]:
     return {f: ((i % 4) - 1.5) / 2 for i, f in enumerate(features)}
 
 
+def _mean(x: str):
+    # exact decimal sum: the same double in every engine
+    return F.sum(F.col(x).cast("decimal(28,12)")).cast("double") / F.count(x)
+
+
+def _mean_sql(x: str) -> str:
+    return f"CAST(sum(CAST({x} AS DECIMAL(28,12))) AS DOUBLE) / count({x})"
+
+
 def standin_predict(df: DataFrame, features, target: str, split_col: str = "split") -> DataFrame:
     """Add base_value, Predicted_NEE, Observed_NEE and SHAP_<f> columns (per site fit on train)."""
     coef = coefficients(features)
     stats = (df.where(F.col(split_col) == "train").groupBy("site")
-             .agg(F.avg(target).alias("base_value"), *[F.avg(f).alias(f"_m_{f}") for f in features]))
+             .agg(_mean(target).alias("base_value"), *[_mean(f).alias(f"_m_{f}") for f in features]))
     out = df.join(stats, "site", "left")
     shap = {f"SHAP_{f}": F.lit(coef[f]) * (F.col(f) - F.col(f"_m_{f}")) for f in features}
     out = out.withColumns(shap)
@@ -40,12 +49,12 @@ def standin_predict(df: DataFrame, features, target: str, split_col: str = "spli
 
 def standin_sql(features, target: str, source: str, name: str = "standin") -> str:
     coef = coefficients(features)
-    means = ", ".join(f"avg({f}) AS _m_{f}" for f in features)
+    means = ", ".join(f"{_mean_sql(f)} AS _m_{f}" for f in features)
     shap = ",\n    ".join(f"{coef[f]!r} * ({f} - _m_{f}) AS SHAP_{f}" for f in features)
     pred = " + ".join(["base_value"] + [f"{coef[f]!r} * ({f} - _m_{f})" for f in features])
     return f"""
 {name}_stats AS (
-  SELECT site, avg({target}) AS base_value, {means}
+  SELECT site, {_mean_sql(target)} AS base_value, {means}
   FROM {source} WHERE split = 'train' GROUP BY site
 ),
 {name} AS (

@@ -11,10 +11,24 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from .. import oracle as O
+from ..functions import columns as FN
+from ..operators import attribution as A
+from ..operators import calendar as CAL
+from ..operators import correlate as COR
 from ..operators import evaluate as E
+from ..operators import prepare as P
+from ..operators import validate as V
+from ..operators.standin import standin_predict
+from ..session import scratch_path
+from ..sources import files as FS
 from .finish import finish, r
 from .frames import panel, prepared, standin_frame
 
+S12 = list(C.S12)
+RAW = C.PANEL_INPUTS
+# stddev_samp differs between engines in the last bits: the one raw column reported rounded
+RAW_EXACT = [c for c in RAW if c != "VPD_f"]
+
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -43,3 +57,250 @@ FROM standin WHERE split = 'test' GROUP BY site, Year
 @register("metrics_by_year", _MBY_SQL)
 def q_metrics_by_year(spark, sf_dir):
     return finish(E.metrics_by_year(standin_frame(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------
+# shared SQL pieces
+# --------------------------------------------------------------------------
+STANDIN = O.standin_ctes()
+_H43 = "md5('43|' || site || '|' || CAST(Date AS VARCHAR))"
+SAMPLE_CTE = f""",
+sample AS (
+  SELECT * FROM standin WHERE split = 'test'
+  QUALIFY row_number() OVER (PARTITION BY site ORDER BY {_H43}, Date) <= {C.SHAP_SAMPLE}
+)"""
+
+
+def _unnest_long(src: str, features, keys=("site", "Date"), value: bool = True) -> str:
+    names = ", ".join(f"'{f}'" for f in features)
+    shap = ", ".join(f"SHAP_{f}" for f in features)
+    vals = ", ".join(f"CAST({f} AS DOUBLE)" for f in features)
+    vsql = f", unnest([{vals}]) AS value" if value else ""
+    return (f"SELECT {', '.join(keys)}, unnest([{names}]) AS Feature{vsql}, "
+            f"unnest([{shap}]) AS shap FROM {src}")
+
+
+def _rr(cols) -> str:
+    return ", ".join(r(c, c) for c in cols)
+
+
+def _metric_sql(y: str, p: str, prefix: str = "") -> str:
+    e = f"({y} - {p})"
+    return (f"count({e}) AS {prefix}n, "
+            + r(f"1 - sum({e} * {e}) / nullif(var_pop({y}) * count({e}), 0)", f"{prefix}r2") + ", "
+            + r(f"sqrt(avg({e} * {e}))", f"{prefix}rmse") + ", "
+            + r(f"avg(abs({e}))", f"{prefix}mae"))
+
+
+def _sample(spark, sf_dir):
+    return V.sample_test_rows(standin_frame(spark, sf_dir).where(F.col("split") == "test"))
+
+
+def _sample_long(spark, sf_dir):
+    return A.shap_values_long(_sample(spark, sf_dir), S12)
+
+
+# --------------------------------------------------------------------------
+# 2.1 scans, sources, sinks
+# --------------------------------------------------------------------------
+def _written_panel(spark, sf_dir, period=""):
+    base = scratch_path(spark, "site-csv")
+    FS.write_site_csvs(panel(spark, sf_dir), base, period)
+    return base
+
+
+_PANEL_ROUNDED = "* EXCLUDE (VPD_f), " + r("VPD_f", "VPD_f")
+
+
+@register("scan_panel", O.with_(O.panel_cte())
+          + f" SELECT {_PANEL_ROUNDED.replace('* EXCLUDE (VPD_f)', '* EXCLUDE (VPD_f, site)')} FROM panel WHERE site = 'F'")
+def q_scan_panel(spark, sf_dir):
+    base = _written_panel(spark, sf_dir)
+    return finish(FS.scan_panel(spark, FS.site_path(base, "F"), columns=RAW), keep_exact=RAW_EXACT)
+
+
+@register("scan_multi_site", O.with_(O.panel_cte()) + f" SELECT {_PANEL_ROUNDED} FROM panel")
+def q_scan_multi_site(spark, sf_dir):
+    base = _written_panel(spark, sf_dir)
+    return finish(FS.scan_multi_site(spark, base, ("F", "O"), columns=RAW), keep_exact=RAW_EXACT)
+
+
+@register("scan_by_site_period", O.with_(O.panel_cte())
+          + f" SELECT {_PANEL_ROUNDED} FROM panel WHERE site = 'O' AND month(Date) BETWEEN 6 AND 10")
+def q_scan_by_site_period(spark, sf_dir):
+    return finish(P.scan_by_site_period(panel(spark, sf_dir), sites=["O"], period="fieldseason"),
+                  keep_exact=RAW_EXACT)
+
+
+_PRED_EXPORT_SQL_BODY = (
+    "SELECT site, Date, " + _rr(["Observed_NEE", "Predicted_NEE"]) + ", "
+    + r("Observed_NEE - Predicted_NEE", "Residual") + ", " + r("abs(Observed_NEE - Predicted_NEE)", "Abs_Residual")
+    + ", " + ", ".join(f"{f} AS {f}" if f not in C.SEASONAL else r(f, f) for f in S12)
+    + " FROM standin WHERE split = 'test'")
+
+
+def _pred_export(spark, sf_dir):
+    return finish(E.predictions_export(standin_frame(spark, sf_dir), S12),
+                  keep_exact=[f for f in S12 if f not in C.SEASONAL])
+
+
+@register("sink_table", STANDIN + " " + _PRED_EXPORT_SQL_BODY)
+def q_sink_table(spark, sf_dir):
+    df = _pred_export(spark, sf_dir)
+    path = FS.sink_table(df, scratch_path(spark, "sink"), "csv", partition_by=["site"])
+    back = spark.read.schema(df.drop("site").schema).option("header", True).csv(path)
+    return back.select("site", *[c for c in df.columns if c != "site"]) if "site" in back.columns else back
+
+
+# --------------------------------------------------------------------------
+# 2.2 projections, filters
+# --------------------------------------------------------------------------
+@register("project_features", O.with_(O.panel_cte(), O.prepared_cte(S12)) + f"""
+SELECT site, Date, Year, {', '.join(f if f not in C.SEASONAL else r(f, f) for f in S12)}, {C.TARGET}
+FROM prep""")
+def q_project_features(spark, sf_dir):
+    pre = P.prepare(panel(spark, sf_dir), S12)
+    return finish(P.project_features(pre, S12), keep_exact=[f for f in S12 if f not in C.SEASONAL] + [C.TARGET])
+
+
+@register("dropna_subset", O.with_(O.panel_cte(), O.prepared_cte(C.P34))
+          + f" SELECT site, Date, {C.TARGET} FROM prep")
+def q_dropna_subset(spark, sf_dir):
+    pre = P.prepare(panel(spark, sf_dir), C.P34)
+    return pre.select("site", "Date", C.TARGET)
+
+
+@register("filter_season_weeks", STANDIN + """,
+wk AS (SELECT *, CAST(date_trunc('week', Date) AS DATE) AS week FROM standin)
+SELECT site, week, count(*) AS n_days, """ + r("avg(Predicted_NEE)", "mean_nee") + """
+FROM wk WHERE month(week) BETWEEN 6 AND 10 GROUP BY site, week""")
+def q_filter_season_weeks(spark, sf_dir):
+    wk = standin_frame(spark, sf_dir).withColumn("week", P.week_start("Date"))
+    return finish(P.filter_season_weeks(wk).groupBy("site", "week")
+                  .agg(F.count("*").alias("n_days"), F.avg("Predicted_NEE").alias("mean_nee")))
+
+
+@register("shap_long", STANDIN + ",\nlong AS (" + _unnest_long("standin", S12, value=False) + ")\n"
+          "SELECT site, Date, Feature, " + r("shap", "shap") + " FROM long")
+def q_shap_long(spark, sf_dir):
+    wide = standin_frame(spark, sf_dir).select("site", "Date", *[f"SHAP_{f}" for f in S12])
+    return finish(P.shap_long(wide))
+
+
+# --------------------------------------------------------------------------
+# 2.3 joins and alignment
+# --------------------------------------------------------------------------
+@register("align_predictions", STANDIN + " SELECT site, Date, split, " + _rr(["Observed_NEE", "Predicted_NEE"])
+          + " FROM standin")
+def q_align_predictions(spark, sf_dir):
+    return finish(standin_frame(spark, sf_dir).select("site", "Date", "split", "Observed_NEE", "Predicted_NEE"))
+
+
+_FULL_COLS = ("site, Date, Year, Month, " + _rr(["Observed_NEE", "Predicted_NEE"]) + ", "
+              + r("Observed_NEE - Predicted_NEE", "Residual") + ", "
+              + r("abs(Observed_NEE - Predicted_NEE)", "Abs_Residual") + ", "
+              + _rr([f"SHAP_{f}" for f in S12]))
+
+
+@register("align_shap_wide", STANDIN + f" SELECT {_FULL_COLS} FROM standin")
+def q_align_shap_wide(spark, sf_dir):
+    return finish(A.shap_export_full(standin_frame(spark, sf_dir), S12))
+
+
+def _metrics_compare_sql() -> str:
+    small = S12[:6]
+    from ..operators.standin import standin_sql
+    ctes = O.with_(O.panel_cte(), O.split_cte(), O.prepared_cte(S12),
+                   "prep_split AS (SELECT p.*, s.split FROM prep p JOIN split s USING (site, Date))",
+                   standin_sql(S12, C.TARGET, "prep_split", "m2"),
+                   standin_sql(small, C.TARGET, "prep_split", "m1"))
+    return ctes + """,
+both_m AS (
+  SELECT site, split, Observed_NEE, Predicted_NEE, 1 AS stage FROM m1
+  UNION ALL SELECT site, split, Observed_NEE, Predicted_NEE, 2 AS stage FROM m2
+),
+wide AS (
+  SELECT site,
+    1 - sum(CASE WHEN stage = 1 THEN (Observed_NEE - Predicted_NEE) * (Observed_NEE - Predicted_NEE) END)
+      / nullif(var_pop(CASE WHEN stage = 1 THEN Observed_NEE END) * count(CASE WHEN stage = 1 THEN 1 END), 0) AS s1_r2,
+    1 - sum(CASE WHEN stage = 2 THEN (Observed_NEE - Predicted_NEE) * (Observed_NEE - Predicted_NEE) END)
+      / nullif(var_pop(CASE WHEN stage = 2 THEN Observed_NEE END) * count(CASE WHEN stage = 2 THEN 1 END), 0) AS s2_r2,
+    sqrt(avg(CASE WHEN stage = 1 THEN (Observed_NEE - Predicted_NEE) * (Observed_NEE - Predicted_NEE) END)) AS s1_rmse,
+    sqrt(avg(CASE WHEN stage = 2 THEN (Observed_NEE - Predicted_NEE) * (Observed_NEE - Predicted_NEE) END)) AS s2_rmse,
+    avg(CASE WHEN stage = 1 THEN abs(Observed_NEE - Predicted_NEE) END) AS s1_mae,
+    avg(CASE WHEN stage = 2 THEN abs(Observed_NEE - Predicted_NEE) END) AS s2_mae
+  FROM both_m WHERE split = 'test' GROUP BY site
+)
+SELECT site, 'R2' AS Metric, """ + _rr_pair("s1_r2", "s2_r2", "s2_r2 - s1_r2") + """ FROM wide
+UNION ALL SELECT site, 'RMSE', """ + _rr_pair("s1_rmse", "s2_rmse", "-1e0 * (s2_rmse - s1_rmse)") + """ FROM wide
+UNION ALL SELECT site, 'MAE', """ + _rr_pair("s1_mae", "s2_mae", "-1e0 * (s2_mae - s1_mae)") + " FROM wide"
+
+
+def _rr_pair(a, b, imp):
+    return r(a, "Stage1") + ", " + r(b, "Stage2") + ", " + r(imp, "Improvement")
+
+
+@register("metrics_compare", _metrics_compare_sql())
+def q_metrics_compare(spark, sf_dir):
+    rows = prepared(spark, sf_dir, S12)
+    first = standin_predict(rows, S12[:6], C.TARGET)
+    second = standin_predict(rows, S12, C.TARGET)
+    return finish(E.metrics_compare(first, second))
+
+
+# --------------------------------------------------------------------------
+# 2.4 aggregations
+# --------------------------------------------------------------------------
+@register("metrics_overall", STANDIN + """
+SELECT site, """ + ", ".join(
+    _metric_sql(f"CASE WHEN split = '{s}' THEN Observed_NEE END", f"CASE WHEN split = '{s}' THEN Predicted_NEE END",
+                f"{s}_") for s in ("train", "test")) + ", "
+    + r("(1 - sum(CASE WHEN split = 'train' THEN (Observed_NEE - Predicted_NEE) * (Observed_NEE - Predicted_NEE) END)"
+        " / nullif(var_pop(CASE WHEN split = 'train' THEN Observed_NEE END) * count(CASE WHEN split = 'train' THEN 1 END), 0))"
+        " - (1 - sum(CASE WHEN split = 'test' THEN (Observed_NEE - Predicted_NEE) * (Observed_NEE - Predicted_NEE) END)"
+        " / nullif(var_pop(CASE WHEN split = 'test' THEN Observed_NEE END) * count(CASE WHEN split = 'test' THEN 1 END), 0))",
+        "r2_gap")
+    + """,
+  CASE WHEN (1 - sum(CASE WHEN split = 'train' THEN (Observed_NEE - Predicted_NEE) * (Observed_NEE - Predicted_NEE) END)
+        / nullif(var_pop(CASE WHEN split = 'train' THEN Observed_NEE END) * count(CASE WHEN split = 'train' THEN 1 END), 0))
+      - (1 - sum(CASE WHEN split = 'test' THEN (Observed_NEE - Predicted_NEE) * (Observed_NEE - Predicted_NEE) END)
+        / nullif(var_pop(CASE WHEN split = 'test' THEN Observed_NEE END) * count(CASE WHEN split = 'test' THEN 1 END), 0))
+      > 0.15 THEN 'check overfitting' ELSE 'acceptable' END AS overfit_check
+FROM standin GROUP BY site""")
+def q_metrics_overall(spark, sf_dir):
+    return finish(E.metrics_overall(standin_frame(spark, sf_dir)))
+
+
+@register("panel_profile", O.with_(O.panel_cte(), O.prepared_cte(S12)) + """,
+py AS (SELECT site, Year, count(*) AS n_rows, min(Date) AS first_date, max(Date) AS last_date FROM prep GROUP BY site, Year)
+SELECT site, Year, n_rows, first_date, last_date,
+  CAST(sum(n_rows) OVER (PARTITION BY site) AS BIGINT) AS site_rows,
+  min(first_date) OVER (PARTITION BY site) AS site_first_date,
+  max(last_date) OVER (PARTITION BY site) AS site_last_date,
+  CAST(count(*) OVER (PARTITION BY site) AS BIGINT) AS site_years
+FROM py""")
+def q_panel_profile(spark, sf_dir):
+    from ..operators.profile import panel_profile
+    return panel_profile(P.prepare(panel(spark, sf_dir), S12))
+
+
+@register("residual_profile", STANDIN + """
+SELECT site, split, count(*) AS n, """ + r("min(Observed_NEE)", "obs_min") + ", " + r("max(Observed_NEE)", "obs_max")
+          + ", " + r("avg(Observed_NEE - Predicted_NEE)", "mean_residual") + " FROM standin GROUP BY site, split")
+def q_residual_profile(spark, sf_dir):
+    return finish(E.residual_profile(standin_frame(spark, sf_dir)))
+
+
+@register("residual_histogram", STANDIN + """,
+res AS (SELECT site, split, Observed_NEE - Predicted_NEE AS r FROM standin),
+rng AS (SELECT site, split, min(r) AS r_min, max(r) AS r_max FROM res GROUP BY site, split),
+binned AS (
+  SELECT res.site, res.split, res.r, rng.r_min, (rng.r_max - rng.r_min) / 50e0 AS w,
+         CAST(CASE WHEN (rng.r_max - rng.r_min) / 50e0 = 0 THEN 0
+              ELSE least(floor((res.r - rng.r_min) / ((rng.r_max - rng.r_min) / 50e0)), 49) END AS INTEGER) AS bin
+  FROM res JOIN rng USING (site, split)
+)
+SELECT site, split, bin, count(*) AS n, """ + r("any_value(r_min + bin * w)", "bin_lo") + ", "
+          + r("any_value(r_min + (bin + 1) * w)", "bin_hi") + " FROM binned GROUP BY site, split, bin")
+def q_residual_histogram(spark, sf_dir):
+    return finish(E.residual_histogram(standin_frame(spark, sf_dir)))

@@ -3,6 +3,9 @@
 Aggregates over many rows differ between engines in the last bits of a
 double, so derived doubles are reported at 6 decimals (and -0.0 as 0.0).
 Raw panel columns are exact in both engines and are passed through.
+Rounding is spelled ``round(x * 1e6) / 1e6`` in both engines: rounding a
+double to an integer is the same operation everywhere (half away from
+zero), while rounding to decimal places is not.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DECIMALS = 6
+SCALE = float(10 ** DECIMALS)
 
 
 def finish(df: DataFrame, keep_exact=()) -> DataFrame:
@@ -18,7 +22,7 @@ def finish(df: DataFrame, keep_exact=()) -> DataFrame:
     cols = []
     for name, typ in df.dtypes:
         if typ in ("double", "float") and name not in keep:
-            cols.append((F.round(F.col(name), DECIMALS) + F.lit(0.0)).alias(name))
+            cols.append((F.round(F.col(name) * F.lit(SCALE), 0) / F.lit(SCALE) + F.lit(0.0)).alias(name))
         else:
             cols.append(F.col(name))
     return df.select(*cols)
@@ -26,4 +30,4 @@ def finish(df: DataFrame, keep_exact=()) -> DataFrame:
 
 def r(expr: str, alias: str) -> str:
     """SQL twin of ``finish`` for one column."""
-    return f"round({expr}, {DECIMALS}) + 0e0 AS {alias}"
+    return f"round(({expr}) * 1e{DECIMALS}) / 1e{DECIMALS} + 0e0 AS {alias}"
