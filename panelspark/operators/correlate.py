@@ -1,14 +1,18 @@
 """Correlation study: Pearson matrix, target correlations, high pairs, top/bottom.
 
-The matrix is ONE grouped aggregate over the data: for k columns it computes
-k population standard deviations and k(k-1)/2 population covariances per
-group, all partial (map-side) aggregates, so the shuffle carries one small
-row per partition and group whatever the data size.  Everything after it
-works on the (k x k) result.
+The k x k matrix is two passes over the data, both partial (map-side)
+aggregates: per-group means and ranges, then the sum of the outer product
+of each row's centred values, aggregated as one vector with MLlib's
+``Summarizer`` (a JVM aggregate that merges one buffer per task and group).
+The shuffle therefore carries one k*k buffer per task and group whatever
+the data size; everything after it works on the (k x k) result.  Target
+correlations need only k covariances and use plain ``covar_pop``.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,29 +26,41 @@ def _r(cov: Column, sa: Column, sb: Column) -> Column:
 
 def corr_pairs(df: DataFrame, cols, by=("site",), include_diagonal: bool = True,
                both_orders: bool = True) -> DataFrame:
-    """Long Pearson correlations (by..., feature_a, feature_b, idx_a, idx_b, r)."""
+    """Long Pearson correlations (by..., feature_a, feature_b, idx_a, idx_b, r).
+
+    r is NULL when either column is constant in the group.
+    """
     cols = list(cols)
     k = len(cols)
-    aggs = [F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_pop(cols[i], cols[j]).alias(f"_c{i}_{j}") for i in range(k) for j in range(i + 1, k)]
-    agg = df.groupBy(*by).agg(*aggs)
-
-    entries = []
-    for i in range(k):
-        for j in range(k):
-            if i == j and not include_diagonal:
-                continue
-            if j < i and not both_orders:
-                continue
-            if i == j:
-                cov = F.col(f"_s{i}") * F.col(f"_s{i}")
-            else:
-                a, b = min(i, j), max(i, j)
-                cov = F.col(f"_c{a}_{b}")
-            entries.append(F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
-                                    F.lit(i).alias("idx_a"), F.lit(j).alias("idx_b"),
-                                    _r(cov, F.col(f"_s{i}"), F.col(f"_s{j}")).alias("r")))
-    return agg.select(*by, F.inline(F.array(*entries)))
+    by = list(by)
+    stats = df.groupBy(*by).agg(
+        *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)],
+        *[(F.min(c) == F.max(c)).alias(f"_k{i}") for i, c in enumerate(cols)])
+    centred = (df.select(*by, *cols).join(stats.select(*by, *[f"_m{i}" for i in range(k)]), by)
+               .select(*by, F.array(*[F.col(c) - F.col(f"_m{i}") for i, c in enumerate(cols)]).alias("_x")))
+    outer = F.flatten(F.transform("_x", lambda a: F.transform("_x", lambda b: a * b)))
+    sums = (centred.select(*by, array_to_vector(outer).alias("_v"))
+            .groupBy(*by).agg(Summarizer.sum(F.col("_v")).alias("_s")))
+    const = F.array(*[F.col(f"_k{i}") for i in range(k)])
+    names = F.array(*[F.lit(c) for c in cols])
+    tab = (sums.join(stats.select(*by, const.alias("_const")), by)
+           .select(*by, "_const", vector_to_array("_s").alias("_arr"))
+           .withColumn("_diag", F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
+                                            lambda i: F.element_at(F.col("_arr"), i * (k + 1) + 1))))
+    grid = (tab.select(*by, "_const", "_diag", F.posexplode("_arr").alias("_pos", "_sab"))
+            .withColumns({"idx_a": (F.col("_pos") / k).cast("int"), "idx_b": (F.col("_pos") % k).cast("int")}))
+    if not include_diagonal:
+        grid = grid.where(F.col("idx_a") != F.col("idx_b"))
+    if not both_orders:
+        grid = grid.where(F.col("idx_a") <= F.col("idx_b"))
+    s_aa = F.element_at(F.col("_diag"), F.col("idx_a") + 1)
+    s_bb = F.element_at(F.col("_diag"), F.col("idx_b") + 1)
+    is_const = F.element_at("_const", F.col("idx_a") + 1) | F.element_at("_const", F.col("idx_b") + 1)
+    r = F.when(is_const, F.lit(None).cast("double")).otherwise(
+        F.col("_sab") / F.nullif(F.sqrt(s_aa * s_bb), F.lit(0.0)))
+    return grid.select(*by, F.element_at(names, F.col("idx_a") + 1).alias("feature_a"),
+                       F.element_at(names, F.col("idx_b") + 1).alias("feature_b"),
+                       "idx_a", "idx_b", r.alias("r"))
 
 
 def corr_matrix(df: DataFrame, target: str, features, by=("site",)) -> DataFrame:

@@ -304,3 +304,111 @@ SELECT site, split, bin, count(*) AS n, """ + r("any_value(r_min + bin * w)", "b
           + r("any_value(r_min + (bin + 1) * w)", "bin_hi") + " FROM binned GROUP BY site, split, bin")
 def q_residual_histogram(spark, sf_dir):
     return finish(E.residual_histogram(standin_frame(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------
+# correlation study (full period, complete on target + 32 predictors)
+# --------------------------------------------------------------------------
+C32 = list(C.C32)
+_CORR_COLS = [C.TARGET] + C32
+_CORR_BASE = O.with_(O.panel_cte(), O.prepared_cte(C32))
+
+
+def _corr_frame(spark, sf_dir):
+    return P.prepare(panel(spark, sf_dir), C32)
+
+
+def _corr_agg_sql(cols, pairs) -> str:
+    sds = ", ".join(f"stddev_pop({c}) AS _s_{c}" for c in cols)
+    covs = ", ".join(f"covar_pop({a}, {b}) AS _c_{a}__{b}" for a, b in pairs)
+    return f"corr_agg AS (SELECT site, {sds}, {covs} FROM prep GROUP BY site)"
+
+
+def _corr_long_sql(cols, ordered_pairs, key) -> str:
+    """unnest the (a, b, r) triples of the aggregate row; key(a, b) names the covariance."""
+    fa = ", ".join(f"'{a}'" for a, _ in ordered_pairs)
+    fb = ", ".join(f"'{b}'" for _, b in ordered_pairs)
+    ia = ", ".join(str(cols.index(a)) for a, _ in ordered_pairs)
+    ib = ", ".join(str(cols.index(b)) for _, b in ordered_pairs)
+    rs = ", ".join(f"{key(a, b)} / nullif(_s_{a} * _s_{b}, 0)" for a, b in ordered_pairs)
+    return (f"corr_long AS (SELECT site, unnest([{fa}]) AS feature_a, unnest([{fb}]) AS feature_b, "
+            f"unnest([{ia}]) AS idx_a, unnest([{ib}]) AS idx_b, unnest([{rs}]) AS r FROM corr_agg)")
+
+
+def _cov_key(cols):
+    def key(a, b):
+        if a == b:
+            return f"(_s_{a} * _s_{a})"
+        i, j = sorted((cols.index(a), cols.index(b)))
+        return f"_c_{cols[i]}__{cols[j]}"
+    return key
+
+
+def _matrix_sql() -> str:
+    cols = _CORR_COLS
+    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    ordered = [(a, b) for a in cols for b in cols]
+    return (_CORR_BASE + ",\n" + _corr_agg_sql(cols, pairs) + ",\n" + _corr_long_sql(cols, ordered, _cov_key(cols))
+            + "\nSELECT site, feature_a, feature_b, " + r("r", "r") + " FROM corr_long")
+
+
+@register("corr_matrix", _matrix_sql())
+def q_corr_matrix(spark, sf_dir):
+    return finish(COR.corr_matrix(_corr_frame(spark, sf_dir), C.TARGET, C32))
+
+
+def _target_sql_cte() -> str:
+    cols = _CORR_COLS
+    pairs = [(C.TARGET, f) for f in C32]
+    ordered = [(C.TARGET, f) for f in C32]
+    return (_CORR_BASE + ",\n" + _corr_agg_sql(cols, pairs) + ",\n"
+            + _corr_long_sql(cols, ordered, lambda a, b: f"_c_{a}__{b}") + """,
+tc AS (
+  SELECT site, feature_b AS Feature, r AS Correlation,
+    CAST(row_number() OVER (PARTITION BY site ORDER BY r DESC NULLS LAST, feature_b) AS INTEGER) AS rank,
+    CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS sign
+  FROM corr_long
+)""")
+
+
+@register("corr_target", _target_sql_cte() + "\nSELECT site, Feature, " + r("Correlation", "Correlation")
+          + ", rank, sign FROM tc")
+def q_corr_target(spark, sf_dir):
+    return finish(COR.corr_target(_corr_frame(spark, sf_dir), C.TARGET, C32))
+
+
+@register("corr_top_bottom10", _target_sql_cte() + """
+SELECT site, 'top' AS "end", rank AS position, Feature, """ + r("Correlation", "Correlation") + """ FROM tc WHERE rank <= 10
+UNION ALL
+SELECT site, 'bottom', CAST(row_number() OVER (PARTITION BY site ORDER BY Correlation ASC NULLS LAST, Feature DESC) AS INTEGER),
+  Feature, """ + r("Correlation", "Correlation") + """ FROM tc
+QUALIFY row_number() OVER (PARTITION BY site ORDER BY Correlation ASC NULLS LAST, Feature DESC) <= 10""")
+def q_corr_top_bottom10(spark, sf_dir):
+    return finish(COR.corr_top_bottom(COR.corr_target(_corr_frame(spark, sf_dir), C.TARGET, C32), 10))
+
+
+def _high_sql() -> str:
+    cols = C32
+    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    return (_CORR_BASE + ",\n" + _corr_agg_sql(cols, pairs) + ",\n"
+            + _corr_long_sql(cols, pairs, _cov_key(cols)) + """
+SELECT site, feature_a AS feature_1, feature_b AS feature_2, """ + r("r", "r") + """,
+  CAST(row_number() OVER (PARTITION BY site ORDER BY abs(r) DESC, idx_a, idx_b) AS INTEGER) AS rank
+FROM corr_long WHERE abs(r) > 0.8""")
+
+
+@register("corr_high_pairs", _high_sql())
+def q_corr_high_pairs(spark, sf_dir):
+    return finish(COR.corr_high_pairs(_corr_frame(spark, sf_dir), C32))
+
+
+@register("pipeline_correlation", _target_sql_cte() + """
+SELECT site, count(*) AS n_features, """ + r("max(Correlation)", "max_r") + ", " + r("min(Correlation)", "min_r")
+          + ", " + "max(CASE WHEN rank = 1 THEN Feature END) AS top_feature FROM tc GROUP BY site")
+def q_pipeline_correlation(spark, sf_dir):
+    from .correlation import correlation_study
+    out = correlation_study(_corr_frame(spark, sf_dir), C.TARGET, C32)
+    tc = out["target_correlations"]
+    return finish(tc.groupBy("site").agg(
+        F.count("*").alias("n_features"), F.max("Correlation").alias("max_r"), F.min("Correlation").alias("min_r"),
+        F.max(F.when(F.col("rank") == 1, F.col("Feature"))).alias("top_feature")))

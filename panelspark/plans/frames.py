@@ -8,11 +8,12 @@ from .. import config as C
 from ..operators.prepare import prepare, scan_by_site_period
 from ..operators.standin import standin_predict
 from ..operators.validate import split_keys, split_stratified
+from ..session import tune
 from ..sources.panel import driver_panel
 
 
 def panel(spark: SparkSession, sf_dir: str, sites=("F", "O")) -> DataFrame:
-    return driver_panel(spark, sf_dir, sites)
+    return driver_panel(tune(spark), sf_dir, sites)
 
 
 def prepared(spark: SparkSession, sf_dir: str, features=tuple(C.S12), period: str = "",

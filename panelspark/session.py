@@ -16,8 +16,24 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Wide complete-case filters (30+ IS NOT NULL / NOT isnan predicates) under
+    # aliasing projections make Catalyst's constraint inference grow
+    # combinatorially (planning runs out of heap); the inferred filters add
+    # nothing here because every predicate is already explicit.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
+# Settings that are safe to apply to an existing session at run time.
+RUNTIME_CONF = ("spark.sql.constraintPropagation.enabled",)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the run-time settings this library's plans need to any session."""
+    for k in RUNTIME_CONF:
+        if spark.conf.get(k, None) != DEFAULT_CONF[k]:
+            spark.conf.set(k, DEFAULT_CONF[k])
+    return spark
+
 
 def get_session(app: str = "panelspark", master: str | None = None,
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:

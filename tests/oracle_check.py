@@ -54,7 +54,7 @@ def main(argv):
     names = [a for a in argv[1:] if not a.startswith("/")]
     from panelspark.session import get_session
     import __spark_entry__ as E
-    spark = get_session(master="local[8]", shuffle_partitions=8)
+    spark = get_session(master="local[8]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
