@@ -412,3 +412,326 @@ def q_pipeline_correlation(spark, sf_dir):
     return finish(tc.groupBy("site").agg(
         F.count("*").alias("n_features"), F.max("Correlation").alias("max_r"), F.min("Correlation").alias("min_r"),
         F.max(F.when(F.col("rank") == 1, F.col("Feature"))).alias("top_feature")))
+
+
+# --------------------------------------------------------------------------
+# 2.5 windows: split, folds, samples, quantile rows
+# --------------------------------------------------------------------------
+@register("split_stratified", O.with_(O.panel_cte(), O.split_cte()) + " SELECT site, Date, split FROM split")
+def q_split_stratified(spark, sf_dir):
+    return V.split_keys(panel(spark, sf_dir))
+
+
+@register("cv_group_folds", STANDIN + """
+SELECT site, Date, Year, CAST(dense_rank() OVER (PARTITION BY site ORDER BY Year) - 1 AS INTEGER) AS fold
+FROM standin WHERE split = 'train'""")
+def q_cv_group_folds(spark, sf_dir):
+    train = prepared(spark, sf_dir, S12).where(F.col("split") == "train")
+    return V.cv_group_folds(train).select("site", "Date", "Year", "fold")
+
+
+@register("sample_test_rows", STANDIN + SAMPLE_CTE + " SELECT site, Date FROM sample")
+def q_sample_test_rows(spark, sf_dir):
+    return _sample(spark, sf_dir).select("site", "Date")
+
+
+_PICKS_CTE = """,
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY site ORDER BY Predicted_NEE, Date) - 1 AS _pos,
+         count(*) OVER (PARTITION BY site) AS _n
+  FROM sample
+),
+slots AS (SELECT unnest([1, 2, 3, 4]) AS quantile_slot),
+picks AS (
+  SELECT r.*, s.quantile_slot FROM ranked r JOIN slots s
+    ON r._pos = CASE s.quantile_slot WHEN 1 THEN 0 WHEN 2 THEN r._n // 3 WHEN 3 THEN (2 * r._n) // 3 ELSE r._n - 1 END
+)"""
+
+
+@register("pick_quantile_rows", STANDIN + SAMPLE_CTE + _PICKS_CTE
+          + " SELECT site, quantile_slot, Date, " + r("Predicted_NEE", "Predicted_NEE") + " FROM picks")
+def q_pick_quantile_rows(spark, sf_dir):
+    picks = V.pick_quantile_rows(_sample(spark, sf_dir), "Predicted_NEE")
+    return finish(picks.select("site", "quantile_slot", "Date", "Predicted_NEE"))
+
+
+# --------------------------------------------------------------------------
+# attribution tables (stand-in attributions)
+# --------------------------------------------------------------------------
+_SAMPLE_LONG = STANDIN + SAMPLE_CTE + ",\nslong AS (" + _unnest_long("sample", S12) + ")"
+_SUMMARY_SQL = _SAMPLE_LONG + """,
+summary AS (
+  SELECT site, Feature, avg(abs(shap)) AS Mean_Abs_SHAP, avg(shap) AS Mean_SHAP, stddev_pop(shap) AS Std_SHAP
+  FROM slong GROUP BY site, Feature
+),
+summary_r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY Mean_Abs_SHAP DESC NULLS LAST, Feature) AS INTEGER) AS rank
+  FROM summary
+)"""
+
+
+@register("shap_summary", _SUMMARY_SQL + " SELECT site, Feature, " + _rr(["Mean_Abs_SHAP", "Mean_SHAP", "Std_SHAP"])
+          + ", rank FROM summary_r")
+def q_shap_summary(spark, sf_dir):
+    return finish(A.shap_summary(_sample_long(spark, sf_dir)))
+
+
+_FAMILY_SQL = """CASE
+  WHEN starts_with(Feature, 'TA') THEN 'air_temperature'
+  WHEN starts_with(Feature, 'TS') THEN 'soil_temperature'
+  WHEN starts_with(Feature, 'SWC') THEN 'soil_water'
+  WHEN starts_with(Feature, 'RG') THEN 'radiation'
+  WHEN starts_with(Feature, 'P_lag') OR Feature = 'precipitation_rate' THEN 'precipitation'
+  WHEN contains(Feature, 'Snow') OR Feature IN ('DSSM', 'D_SNOW') THEN 'snow'
+  WHEN Feature IN ('VPD_f', 'RH') THEN 'humidity'
+  WHEN contains(Feature, 'NDVI') THEN 'vegetation'
+  WHEN contains(Feature, 'sin_doy') THEN 'season_sin'
+  WHEN contains(Feature, 'cos_doy') THEN 'season_cos'
+  ELSE 'other' END"""
+
+
+@register("fn_feature_family", _SUMMARY_SQL + f" SELECT site, Feature, {_FAMILY_SQL} AS family, "
+          + r("Mean_Abs_SHAP", "Mean_Abs_SHAP") + " FROM summary_r")
+def q_fn_feature_family(spark, sf_dir):
+    s = A.with_family(A.shap_summary(_sample_long(spark, sf_dir)))
+    return finish(s.select("site", "Feature", "family", "Mean_Abs_SHAP"))
+
+
+def _top_sql(n, src="standin", name="top") -> str:
+    excl = "WHERE Feature NOT IN ('sin_doy', 'cos_doy')" if n is not None else ""
+    lim = f"QUALIFY rank <= {n}" if n is not None else ""
+    return f""",
+{name}_long AS ({_unnest_long(src, S12, value=False)}),
+{name} AS (
+  SELECT site, Feature, mean_abs_shap,
+    CAST(row_number() OVER (PARTITION BY site ORDER BY mean_abs_shap DESC NULLS LAST, Feature) AS INTEGER) AS rank
+  FROM (SELECT site, Feature, avg(abs(shap)) AS mean_abs_shap FROM {name}_long {excl} GROUP BY site, Feature)
+  {lim}
+)"""
+
+
+@register("top_n_shap", STANDIN + _top_sql(C.TOP_N_WEEKLY) + " SELECT site, Feature, "
+          + r("mean_abs_shap", "mean_abs_shap") + ", rank FROM top")
+def q_top_n_shap(spark, sf_dir):
+    long = A.shap_values_long(standin_frame(spark, sf_dir), S12)
+    return finish(A.top_n_shap(long, C.TOP_N_WEEKLY))
+
+
+@register("shap_dependence", _SAMPLE_LONG + _top_sql(C.TOP_N_DEPENDENCE, src="sample", name="top4")
+          + " SELECT l.site, l.Date, l.Feature, " + r("l.value", "value") + ", " + r("l.shap", "shap")
+          + ", t.rank FROM slong l JOIN top4 t USING (site, Feature)")
+def q_shap_dependence(spark, sf_dir):
+    long = _sample_long(spark, sf_dir)
+    top = A.top_n_shap(long, C.TOP_N_DEPENDENCE)
+    return finish(A.shap_dependence(long, top).select("site", "Date", "Feature", "value", "shap", "rank"))
+
+
+@register("shap_value_points", _SAMPLE_LONG + " SELECT site, Date, Feature, " + r("value", "value") + ", "
+          + r("shap", "shap") + " FROM slong")
+def q_shap_value_points(spark, sf_dir):
+    return finish(_sample_long(spark, sf_dir))
+
+
+@register("shap_explain_rows", _SAMPLE_LONG + _PICKS_CTE + """,
+ex AS (
+  SELECT l.site, l.Date, l.Feature, l.value, l.shap, p.quantile_slot, p.base_value, p.Predicted_NEE,
+    CAST(row_number() OVER (PARTITION BY l.site, p.quantile_slot ORDER BY abs(l.shap) DESC, l.Feature) AS INTEGER) AS "order",
+    p.base_value + sum(l.shap) OVER (PARTITION BY l.site, p.quantile_slot ORDER BY abs(l.shap) DESC, l.Feature
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_total
+  FROM slong l JOIN picks p USING (site, Date)
+)
+SELECT site, Date, Feature, quantile_slot, "order", """ + _rr(["value", "shap", "base_value", "Predicted_NEE",
+                                                              "running_total"]) + " FROM ex")
+def q_shap_explain_rows(spark, sf_dir):
+    sample = _sample(spark, sf_dir)
+    picks = V.pick_quantile_rows(sample, "Predicted_NEE")
+    out = A.shap_explain_rows(A.shap_values_long(sample, S12), picks)
+    return finish(out.select("site", "Date", "Feature", "quantile_slot", "order", "value", "shap",
+                             "base_value", "Predicted_NEE", "running_total"))
+
+
+@register("shap_export_test", STANDIN + " SELECT site, Date, Year, Month, " + _rr([f"SHAP_{f}" for f in S12])
+          + " FROM standin WHERE split = 'test'")
+def q_shap_export_test(spark, sf_dir):
+    return finish(A.shap_export_test(standin_frame(spark, sf_dir), S12))
+
+
+@register("predictions_export", STANDIN + " " + _PRED_EXPORT_SQL_BODY)
+def q_predictions_export(spark, sf_dir):
+    return _pred_export(spark, sf_dir)
+
+
+@register("residual_points", STANDIN + " SELECT site, split, Date, " + _rr(["Observed_NEE", "Predicted_NEE"]) + ", "
+          + r("Observed_NEE - Predicted_NEE", "Residual") + ", " + r("abs(Observed_NEE - Predicted_NEE)", "Abs_Residual")
+          + " FROM standin")
+def q_residual_points(spark, sf_dir):
+    return finish(E.residual_points(standin_frame(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------
+# 2.8 scalar functions
+# --------------------------------------------------------------------------
+@register("fn_cyclic_doy", O.with_(O.panel_cte()) + " SELECT site, Date, "
+          + r("sin(2 * pi() * dayofyear(Date) / 365)", "sin_doy") + ", "
+          + r("cos(2 * pi() * dayofyear(Date) / 365)", "cos_doy") + " FROM panel")
+def q_fn_cyclic_doy(spark, sf_dir):
+    s, c = FN.cyclic_doy()
+    return finish(panel(spark, sf_dir).select("site", "Date", s, c))
+
+
+@register("fn_date_parts", O.with_(O.panel_cte()) + " SELECT site, Date, CAST(year(Date) AS INTEGER) AS Year, "
+          "CAST(month(Date) AS INTEGER) AS Month, CAST(dayofyear(Date) AS INTEGER) AS DOY FROM panel")
+def q_fn_date_parts(spark, sf_dir):
+    return panel(spark, sf_dir).select("site", "Date", *FN.date_parts())
+
+
+@register("fn_residual", STANDIN + " SELECT site, Date, " + r("Observed_NEE - Predicted_NEE", "Residual") + ", "
+          + r("abs(Observed_NEE - Predicted_NEE)", "Abs_Residual") + " FROM standin")
+def q_fn_residual(spark, sf_dir):
+    res, ares = FN.residual()
+    return finish(standin_frame(spark, sf_dir).select("site", "Date", res, ares))
+
+
+@register("fn_standardise", STANDIN + """,
+zs AS (SELECT site, """ + ", ".join(f"avg({f}) AS _m_{f}, stddev_pop({f}) AS _s_{f}" for f in S12) + """
+       FROM standin WHERE split = 'train' GROUP BY site)
+SELECT site, Date, split, """ + ", ".join(r(f"({f} - _m_{f}) / coalesce(nullif(_s_{f}, 0), 1)", f) for f in S12)
+          + " FROM standin JOIN zs USING (site)")
+def q_fn_standardise(spark, sf_dir):
+    rows = prepared(spark, sf_dir, S12)
+    z = FN.standardise(rows, S12, fit_on=F.col("split") == "train")
+    return finish(z.select("site", "Date", "split", *S12))
+
+
+# --------------------------------------------------------------------------
+# weekly calendar (stand-in attributions over all rows)
+# --------------------------------------------------------------------------
+SITES = ("F", "O")
+_WEEKLY_CTE = """,
+weekly AS (
+  SELECT site, CAST(date_trunc('week', Date) AS DATE) AS week, """ + ", ".join(
+    f"avg(SHAP_{f}) AS SHAP_{f}" for f in S12) + """, avg(Predicted_NEE) AS nee
+  FROM standin WHERE month(CAST(date_trunc('week', Date) AS DATE)) BETWEEN 6 AND 10
+  GROUP BY 1, 2
+),
+wlong AS (SELECT site, week, unnest([""" + ", ".join(f"'{f}'" for f in S12) + """]) AS Feature,
+                 unnest([""" + ", ".join(f"SHAP_{f}" for f in S12) + """]) AS mean_shap FROM weekly),
+cal AS (
+  SELECT week, CAST(row_number() OVER (ORDER BY week) - 1 AS INTEGER) AS ordinal,
+         CAST(year(week) AS INTEGER) AS year, CAST(month(week) AS INTEGER) AS month,
+         coalesce(year(week) <> lag(year(week)) OVER (ORDER BY week), false) AS year_change
+  FROM (SELECT DISTINCT week FROM weekly)
+)"""
+
+
+def _grid_sql(n) -> str:
+    sites = ", ".join(f"'{s}'" for s in SITES)
+    return STANDIN + _WEEKLY_CTE + _top_sql(n) + f""",
+feats AS (SELECT DISTINCT Feature FROM top),
+sites AS (SELECT unnest([{sites}]) AS site),
+grid0 AS (SELECT s.site, c.week, c.ordinal, f.Feature FROM cal c CROSS JOIN sites s CROSS JOIN feats f),
+picked AS (SELECT w.* FROM wlong w JOIN top t USING (site, Feature)),
+grid AS (
+  SELECT g.site, g.week, g.ordinal, g.Feature, coalesce(p.mean_shap, 0e0) AS mean_shap, n.nee AS mean_nee
+  FROM grid0 g LEFT JOIN picked p USING (site, week, Feature) LEFT JOIN weekly n USING (site, week)
+)"""
+
+
+def _weekly(spark, sf_dir):
+    full = standin_frame(spark, sf_dir)
+    return full, CAL.weekly_wide(full, S12)
+
+
+def _grid(spark, sf_dir, n):
+    full, wide = _weekly(spark, sf_dir)
+    long_all = A.shap_values_long(full, S12)
+    chosen = A.top_n_shap(long_all, n)
+    cal = CAL.season_calendar(wide)
+    return CAL.aligned_grid(CAL.weekly_shap_mean(wide, S12), CAL.weekly_nee_mean(wide), cal, chosen, SITES, S12)
+
+
+@register("weekly_shap_mean", STANDIN + _WEEKLY_CTE + " SELECT site, week, Feature, " + r("mean_shap", "mean_shap")
+          + " FROM wlong")
+def q_weekly_shap_mean(spark, sf_dir):
+    _, wide = _weekly(spark, sf_dir)
+    return finish(CAL.weekly_shap_mean(wide, S12))
+
+
+@register("weekly_nee_mean", STANDIN + _WEEKLY_CTE + " SELECT site, week, " + r("nee", "mean_nee") + " FROM weekly")
+def q_weekly_nee_mean(spark, sf_dir):
+    _, wide = _weekly(spark, sf_dir)
+    return finish(CAL.weekly_nee_mean(wide))
+
+
+@register("season_calendar", STANDIN + _WEEKLY_CTE + " SELECT week, ordinal, year, month, year_change FROM cal")
+def q_season_calendar(spark, sf_dir):
+    _, wide = _weekly(spark, sf_dir)
+    return CAL.season_calendar(wide)
+
+
+@register("reindex_features", _grid_sql(C.TOP_N_DEPENDENCE) + " SELECT site, week, ordinal, Feature, "
+          + r("mean_shap", "mean_shap") + ", " + r("mean_nee", "mean_nee") + " FROM grid")
+def q_reindex_features(spark, sf_dir):
+    return finish(_grid(spark, sf_dir, C.TOP_N_DEPENDENCE))
+
+
+@register("reindex_calendar", _grid_sql(None) + " SELECT site, week, ordinal, Feature, "
+          + r("mean_shap", "mean_shap") + ", " + r("mean_nee", "mean_nee") + " FROM grid")
+def q_reindex_calendar(spark, sf_dir):
+    return finish(_grid(spark, sf_dir, None))
+
+
+_STACK_SQL = """,
+stacked AS (
+  SELECT *, greatest(mean_shap, 0e0) AS pos, least(mean_shap, 0e0) AS neg,
+    coalesce(sum(greatest(mean_shap, 0e0)) OVER (PARTITION BY site, week ORDER BY Feature
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS pos_base,
+    coalesce(sum(least(mean_shap, 0e0)) OVER (PARTITION BY site, week ORDER BY Feature
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS neg_base
+  FROM grid
+)"""
+
+
+@register("stack_offsets", _grid_sql(C.TOP_N_WEEKLY) + _STACK_SQL + " SELECT site, week, Feature, "
+          + _rr(["mean_shap", "pos", "neg", "pos_base", "neg_base"]) + " FROM stacked")
+def q_stack_offsets(spark, sf_dir):
+    st = CAL.stack_offsets(_grid(spark, sf_dir, C.TOP_N_WEEKLY))
+    return finish(st.select("site", "week", "Feature", "mean_shap", "pos", "neg", "pos_base", "neg_base"))
+
+
+_SUMS_SQL = """,
+sums AS (
+  SELECT site, week, sum(greatest(mean_shap, 0e0)) AS pos_sum, sum(least(mean_shap, 0e0)) AS neg_sum,
+         any_value(mean_nee) AS mean_nee
+  FROM grid GROUP BY site, week
+)"""
+
+
+@register("weekly_signed_sums", _grid_sql(C.TOP_N_WEEKLY) + _SUMS_SQL + " SELECT site, week, "
+          + _rr(["pos_sum", "neg_sum", "mean_nee"]) + " FROM sums")
+def q_weekly_signed_sums(spark, sf_dir):
+    return finish(CAL.weekly_signed_sums(_grid(spark, sf_dir, C.TOP_N_WEEKLY)))
+
+
+@register("pipeline_weekly", _grid_sql(C.TOP_N_WEEKLY) + _STACK_SQL + _SUMS_SQL + """,
+bounds AS (
+  SELECT site, greatest(max(pos_sum), coalesce(max(mean_nee), 0e0)) * 1.05e0 AS y_max,
+         least(min(neg_sum), coalesce(min(mean_nee), 0e0), 0e0) * 1.05e0 AS y_min
+  FROM sums GROUP BY site
+)
+SELECT s.site, s.week, s.ordinal, s.Feature, """ + ", ".join(
+    r(f"s.{c}", c) for c in ("mean_shap", "pos_base", "neg_base", "mean_nee")) + ", "
+          + r("b.y_min", "y_min") + ", " + r("b.y_max", "y_max") + " FROM stacked s JOIN bounds b USING (site)")
+def q_pipeline_weekly(spark, sf_dir):
+    from .weekly import weekly_tables
+    t = weekly_tables(standin_frame(spark, sf_dir), S12, SITES, C.TOP_N_WEEKLY)
+    out = t["stacked"].join(t["bounds"], "site")
+    return finish(out.select("site", "week", "ordinal", "Feature", "mean_shap", "pos_base", "neg_base",
+                             "mean_nee", "y_min", "y_max"))
+
+
+@register("pipeline_series", STANDIN + " SELECT site, Date, " + _rr(["Observed_NEE", "Predicted_NEE"])
+          + " FROM standin WHERE Observed_NEE IS NOT NULL AND Predicted_NEE IS NOT NULL")
+def q_pipeline_series(spark, sf_dir):
+    from .weekly import observed_predicted_series
+    return finish(observed_predicted_series(standin_frame(spark, sf_dir)))
