@@ -201,6 +201,9 @@ def shap_tree(df: DataFrame, trees: list[TreeArrays], features, keep=("site", "D
               budget: int = PATH_BUDGET) -> DataFrame:
     """Per-row SHAP values of a forest: keep columns + SHAP_<f> + Predicted_NEE + base_value.
 
+    ``keep`` columns pass through the kernel, so callers get their rows back
+    with attributions attached and no join.
+
     Additivity holds exactly: base_value + sum of SHAP = Predicted_NEE (the
     forest prediction recomputed from the same trees).
     """
@@ -215,7 +218,8 @@ def shap_tree(df: DataFrame, trees: list[TreeArrays], features, keep=("site", "D
     out_schema = T.StructType(list(in_schema.fields) + [T.StructField(c, T.DoubleType()) for c in shap_cols]
                               + [T.StructField("Predicted_NEE", T.DoubleType()),
                                  T.StructField("base_value", T.DoubleType())])
-    cur = df.select(*keep, *features)
+    extra = [f for f in features if f not in keep]
+    cur = df.select(*keep, *extra)
     for k, groups in enumerate(chunks):
         bc = sc.broadcast(groups)
         first, last = k == 0, k == len(chunks) - 1
@@ -225,7 +229,7 @@ def shap_tree(df: DataFrame, trees: list[TreeArrays], features, keep=("site", "D
             for pdf in batches:
                 x = pdf[features].to_numpy(dtype=float)
                 phi, pred = shap_matrix(x, gs, nf)
-                out = pdf[keep].copy() if last else pdf[keep + features].copy()
+                out = pdf[keep].copy() if last else pdf[keep + extra].copy()
                 for j, c in enumerate(shap_cols):
                     out[c] = phi[:, j] if first else pdf[c].to_numpy() + phi[:, j]
                 out["Predicted_NEE"] = pred if first else pdf["Predicted_NEE"].to_numpy() + pred
@@ -236,7 +240,7 @@ def shap_tree(df: DataFrame, trees: list[TreeArrays], features, keep=("site", "D
         if last:
             schema = out_schema
         else:
-            schema = T.StructType(list(cur.select(*keep, *features).schema.fields)
+            schema = T.StructType(list(df.select(*keep, *extra).schema.fields)
                                   + [T.StructField(c, T.DoubleType()) for c in shap_cols]
                                   + [T.StructField("Predicted_NEE", T.DoubleType())])
         cur = cur.mapInPandas(kernel, schema)

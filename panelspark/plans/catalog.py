@@ -735,3 +735,149 @@ def q_pipeline_weekly(spark, sf_dir):
 def q_pipeline_series(spark, sf_dir):
     from .weekly import observed_predicted_series
     return finish(observed_predicted_series(standin_frame(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------
+# 2.9 model operators (forest output is engine-specific: rows-only checks,
+# invariants in tests/).  Run size: QUICK (see plans/stages.py).
+# --------------------------------------------------------------------------
+def _model_rows(spark, sf_dir, features=tuple(S12)):
+    from ..operators.validate import split_keys
+    from .stages import model_frame
+    pan = panel(spark, sf_dir)
+    return model_frame(pan, split_keys(pan), list(features))
+
+
+def _quick_params():
+    return C.ForestParams(n_estimators=10, max_depth=8, max_features="sqrt", min_samples_leaf=2)
+
+
+def _per_site(spark, sf_dir, fn):
+    from functools import reduce
+    from .stages import for_sites
+    rows = _model_rows(spark, sf_dir)
+    outs = for_sites(SITES, lambda s: fn(rows.where(F.col("site") == s), s))
+    return reduce(lambda a, b: a.unionByName(b), outs)
+
+
+@register("fit_forest")
+def q_fit_forest(spark, sf_dir):
+    from ..operators import forest as FO
+
+    def one(rows, site):
+        m = FO.fit_forest(rows.where(F.col("split") == "train"), S12, C.TARGET, _quick_params())
+        nodes = FO.node_table(spark, m)
+        return nodes.groupBy("treeID").agg(
+            F.count("*").alias("n_nodes"), F.sum(F.when(F.col("nodeData.leftChild") < 0, 1).otherwise(0)).alias("n_leaves"),
+        ).select(F.lit(site).alias("site"), "*")
+    return _per_site(spark, sf_dir, one)
+
+
+@register("predict_forest")
+def q_predict_forest(spark, sf_dir):
+    from ..operators import forest as FO
+
+    def one(rows, site):
+        m = FO.fit_forest(rows.where(F.col("split") == "train"), S12, C.TARGET, _quick_params())
+        return FO.predict_forest(m, rows, S12).select("site", "Date", "split", F.col(C.TARGET).alias("Observed_NEE"),
+                                                     "Predicted_NEE")
+    return _per_site(spark, sf_dir, one)
+
+
+@register("forest_importance")
+def q_forest_importance(spark, sf_dir):
+    from ..operators import forest as FO
+
+    def one(rows, site):
+        m = FO.fit_forest(rows.where(F.col("split") == "train"), S12, C.TARGET, _quick_params())
+        return FO.forest_importance(spark, m, S12).select(F.lit(site).alias("site"), "*")
+    return _per_site(spark, sf_dir, one)
+
+
+@register("shap_tree")
+def q_shap_tree(spark, sf_dir):
+    from ..operators import forest as FO
+    from ..operators import treeshap as TS
+
+    def one(rows, site):
+        m = FO.fit_forest(rows.where(F.col("split") == "train"), S12, C.TARGET, _quick_params())
+        return TS.shap_tree(rows, FO.tree_arrays(spark, m), S12, keep=("site", "Date", "split"))
+    return _per_site(spark, sf_dir, one)
+
+
+@register("rfecv_select")
+def q_rfecv_select(spark, sf_dir):
+    from ..operators import select as SEL
+
+    def one(rows, site):
+        from .stages import fold_frame
+        train = fold_frame(rows)
+        res = SEL.rfecv_select(spark, train, S12, C.TARGET, _quick_params())
+        return res["selection"].select(F.lit(site).alias("site"), "*")
+    return _per_site(spark, sf_dir, one)
+
+
+@register("search_random")
+def q_search_random(spark, sf_dir):
+    from ..operators import search as S
+    from .stages import QUICK
+
+    def one(rows, site):
+        from .stages import fold_frame
+        train = fold_frame(rows)
+        space = dict(C.SPACE_FIRST if site == "F" else C.SPACE_SECOND)
+        space["n_estimators"] = ("randint", 5, QUICK.search_trees_cap + 1)
+        res = S.search_random(spark, train, S12, C.TARGET, space, QUICK.n_iter)
+        return S.top_configs(res["summary"]).select(F.lit(site).alias("site"), "*")
+    return _per_site(spark, sf_dir, one)
+
+
+@register("oob_score")
+def q_oob_score(spark, sf_dir):
+    from ..operators import search as S
+
+    def one(rows, site):
+        train = rows.where(F.col("split") == "train")
+        bagged = S.fit_bagged_forest(spark, train, S12, C.TARGET, _quick_params().with_(max_samples=0.8))
+        return S.oob_score(train, bagged, S12, C.TARGET).select(F.lit(site).alias("site"), "*")
+    return _per_site(spark, sf_dir, one)
+
+
+@register("shap_export_full")
+def q_shap_export_full(spark, sf_dir):
+    from ..operators import forest as FO
+    from .stages import _shap_scored
+
+    def one(rows, site):
+        m = FO.fit_forest(rows.where(F.col("split") == "train"), S12, C.TARGET, _quick_params())
+        return A.shap_export_full(_shap_scored(spark, rows, m, S12), S12, residuals=True)
+    return _per_site(spark, sf_dir, one)
+
+
+@register("pipeline_stage1")
+def q_pipeline_stage1(spark, sf_dir):
+    from .stages import QUICK, stage1_site
+    from ..operators.validate import split_keys
+    from .stages import model_frame
+    from .stages import for_sites
+    pan = panel(spark, sf_dir)
+    keys = split_keys(pan)
+
+    def one(site):
+        feats = list(C.P32 if site == "F" else C.P34)
+        frame = model_frame(pan, keys, feats)
+        params = C.ForestParams(**(C.FOREST_FIRST if site == "F" else C.FOREST_SECOND))
+        res = stage1_site(spark, frame, site, feats, params, QUICK)
+        return res["feature_selection_results"].select(F.lit(site).alias("site"), "*")
+    outs = for_sites(SITES, one)
+    return outs[0].unionByName(outs[1])
+
+
+@register("pipeline_stage2")
+def q_pipeline_stage2(spark, sf_dir):
+    from .stages import QUICK, stage2_site
+    from .stages import for_sites
+    rows = _model_rows(spark, sf_dir)
+    outs = for_sites(SITES, lambda site: stage2_site(
+        spark, rows, site, S12, C.SPACE_FIRST if site == "F" else C.SPACE_SECOND, QUICK)["metrics"])
+    return outs[0].unionByName(outs[1])
