@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import feature_family
+from ..plans.finish import rank_key
 
 
 def shap_values_long(df: DataFrame, features, keys=("site", "Date"), extra=()) -> DataFrame:
@@ -26,7 +27,7 @@ def shap_summary(long: DataFrame, by=("site",)) -> DataFrame:
     agg = long.groupBy(*by, "Feature").agg(
         F.avg(F.abs("shap")).alias("Mean_Abs_SHAP"), F.avg("shap").alias("Mean_SHAP"),
         F.stddev_pop("shap").alias("Std_SHAP"))
-    w = Window.partitionBy(*by).orderBy(F.col("Mean_Abs_SHAP").desc_nulls_last(), F.col("Feature"))
+    w = Window.partitionBy(*by).orderBy(rank_key(F.col("Mean_Abs_SHAP")).desc_nulls_last(), F.col("Feature"))
     return agg.withColumn("rank", F.row_number().over(w))
 
 
@@ -37,7 +38,7 @@ def top_n_shap(long: DataFrame, n: int | None, by=("site",), exclude=tuple(C.SEA
     """
     src = long if n is None else long.where(~F.col("Feature").isin(*exclude))
     agg = src.groupBy(*by, "Feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
-    w = Window.partitionBy(*by).orderBy(F.col("mean_abs_shap").desc_nulls_last(), F.col("Feature"))
+    w = Window.partitionBy(*by).orderBy(rank_key(F.col("mean_abs_shap")).desc_nulls_last(), F.col("Feature"))
     ranked = agg.withColumn("rank", F.row_number().over(w))
     return ranked if n is None else ranked.where(F.col("rank") <= n)
 
@@ -55,7 +56,7 @@ def shap_explain_rows(long: DataFrame, picks: DataFrame, keys=("site", "Date"))
     """Waterfall data for the picked rows: contributions by |SHAP|, running total from the base."""
     rows = picks.select(*keys, "quantile_slot", "base_value", "Predicted_NEE")
     j = long.join(rows, list(keys), "inner")
-    w = Window.partitionBy("site", "quantile_slot").orderBy(F.abs("shap").desc(), F.col("Feature"))
+    w = Window.partitionBy("site", "quantile_slot").orderBy(rank_key(F.abs("shap")).desc(), F.col("Feature"))
     return j.withColumns({
         "order": F.row_number().over(w),
         "running_total": F.col("base_value") + F.sum("shap").over(

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..plans.finish import rank_key
 
 
 def _r(cov: Column, sa: Column, sb: Column) -> Column:
@@ -78,7 +79,7 @@ def corr_target(df: DataFrame, target: str, features, by=("site",)) -> DataFrame
                         _r(F.col(f"_c{i}"), F.col("_s0"), F.col(f"_s{i}")).alias("Correlation"))
                for i, f in enumerate(features, start=1)]
     long = agg.select(*by, F.inline(F.array(*entries)))
-    w = Window.partitionBy(*by).orderBy(F.col("Correlation").desc_nulls_last(), F.col("Feature"))
+    w = Window.partitionBy(*by).orderBy(rank_key(F.col("Correlation")).desc_nulls_last(), F.col("Feature"))
     return long.withColumns({
         "rank": F.row_number().over(w),
         "sign": F.when(F.col("Correlation") > 0, F.lit("positive")).otherwise(F.lit("negative")),
@@ -89,15 +90,15 @@ def corr_high_pairs(df: DataFrame, features, threshold: float = C.HIGH_CORR, by=
     """Feature pairs (i < j in list order) with |r| above the threshold, strongest first."""
     pairs = corr_pairs(df, features, by, include_diagonal=False, both_orders=False)
     hi = pairs.where(F.abs("r") > F.lit(threshold))
-    w = Window.partitionBy(*by).orderBy(F.abs("r").desc(), "idx_a", "idx_b")
+    w = Window.partitionBy(*by).orderBy(rank_key(F.abs("r")).desc(), "idx_a", "idx_b")
     return hi.withColumn("rank", F.row_number().over(w)).select(
         *by, F.col("feature_a").alias("feature_1"), F.col("feature_b").alias("feature_2"), "r", "rank")
 
 
 def corr_top_bottom(target_corr: DataFrame, n: int = 10, by=("site",)) -> DataFrame:
     """The n highest and n lowest target correlations, tagged, with positions."""
-    up = Window.partitionBy(*by).orderBy(F.col("Correlation").desc_nulls_last(), F.col("Feature"))
-    down = Window.partitionBy(*by).orderBy(F.col("Correlation").asc_nulls_last(), F.col("Feature").desc())
+    up = Window.partitionBy(*by).orderBy(rank_key(F.col("Correlation")).desc_nulls_last(), F.col("Feature"))
+    down = Window.partitionBy(*by).orderBy(rank_key(F.col("Correlation")).asc_nulls_last(), F.col("Feature").desc())
     ranked = target_corr.select(*by, "Feature", "Correlation",
                                 F.row_number().over(up).alias("_up"),
                                 F.row_number().over(down).alias("_down"))

@@ -21,7 +21,7 @@ from ..operators import validate as V
 from ..operators.standin import standin_predict
 from ..session import scratch_path
 from ..sources import files as FS
-from .finish import finish, r
+from .finish import finish, r, rank_key_sql as rk
 from .frames import panel, prepared, standin_frame
 
 S12 = list(C.S12)
@@ -365,7 +365,7 @@ def _target_sql_cte() -> str:
             + _corr_long_sql(cols, ordered, lambda a, b: f"_c_{a}__{b}") + """,
 tc AS (
   SELECT site, feature_b AS Feature, r AS Correlation,
-    CAST(row_number() OVER (PARTITION BY site ORDER BY r DESC NULLS LAST, feature_b) AS INTEGER) AS rank,
+    CAST(row_number() OVER (PARTITION BY site ORDER BY round(r * 1e6) DESC NULLS LAST, feature_b) AS INTEGER) AS rank,
     CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS sign
   FROM corr_long
 )""")
@@ -380,9 +380,9 @@ def q_corr_target(spark, sf_dir):
 @register("corr_top_bottom10", _target_sql_cte() + """
 SELECT site, 'top' AS "end", rank AS position, Feature, """ + r("Correlation", "Correlation") + """ FROM tc WHERE rank <= 10
 UNION ALL
-SELECT site, 'bottom', CAST(row_number() OVER (PARTITION BY site ORDER BY Correlation ASC NULLS LAST, Feature DESC) AS INTEGER),
+SELECT site, 'bottom', CAST(row_number() OVER (PARTITION BY site ORDER BY round(Correlation * 1e6) ASC NULLS LAST, Feature DESC) AS INTEGER),
   Feature, """ + r("Correlation", "Correlation") + """ FROM tc
-QUALIFY row_number() OVER (PARTITION BY site ORDER BY Correlation ASC NULLS LAST, Feature DESC) <= 10""")
+QUALIFY row_number() OVER (PARTITION BY site ORDER BY round(Correlation * 1e6) ASC NULLS LAST, Feature DESC) <= 10""")
 def q_corr_top_bottom10(spark, sf_dir):
     return finish(COR.corr_top_bottom(COR.corr_target(_corr_frame(spark, sf_dir), C.TARGET, C32), 10))
 
@@ -393,7 +393,7 @@ def _high_sql() -> str:
     return (_CORR_BASE + ",\n" + _corr_agg_sql(cols, pairs) + ",\n"
             + _corr_long_sql(cols, pairs, _cov_key(cols)) + """
 SELECT site, feature_a AS feature_1, feature_b AS feature_2, """ + r("r", "r") + """,
-  CAST(row_number() OVER (PARTITION BY site ORDER BY abs(r) DESC, idx_a, idx_b) AS INTEGER) AS rank
+  CAST(row_number() OVER (PARTITION BY site ORDER BY round(abs(r) * 1e6) DESC, idx_a, idx_b) AS INTEGER) AS rank
 FROM corr_long WHERE abs(r) > 0.8""")
 
 
@@ -465,7 +465,7 @@ summary AS (
   FROM slong GROUP BY site, Feature
 ),
 summary_r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY Mean_Abs_SHAP DESC NULLS LAST, Feature) AS INTEGER) AS rank
+  SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY round(Mean_Abs_SHAP * 1e6) DESC NULLS LAST, Feature) AS INTEGER) AS rank
   FROM summary
 )"""
 
@@ -504,7 +504,7 @@ def _top_sql(n, src="standin", name="top") -> str:
 {name}_long AS ({_unnest_long(src, S12, value=False)}),
 {name} AS (
   SELECT site, Feature, mean_abs_shap,
-    CAST(row_number() OVER (PARTITION BY site ORDER BY mean_abs_shap DESC NULLS LAST, Feature) AS INTEGER) AS rank
+    CAST(row_number() OVER (PARTITION BY site ORDER BY round(mean_abs_shap * 1e6) DESC NULLS LAST, Feature) AS INTEGER) AS rank
   FROM (SELECT site, Feature, avg(abs(shap)) AS mean_abs_shap FROM {name}_long {excl} GROUP BY site, Feature)
   {lim}
 )"""
@@ -535,8 +535,8 @@ def q_shap_value_points(spark, sf_dir):
 @register("shap_explain_rows", _SAMPLE_LONG + _PICKS_CTE + """,
 ex AS (
   SELECT l.site, l.Date, l.Feature, l.value, l.shap, p.quantile_slot, p.base_value, p.Predicted_NEE,
-    CAST(row_number() OVER (PARTITION BY l.site, p.quantile_slot ORDER BY abs(l.shap) DESC, l.Feature) AS INTEGER) AS "order",
-    p.base_value + sum(l.shap) OVER (PARTITION BY l.site, p.quantile_slot ORDER BY abs(l.shap) DESC, l.Feature
+    CAST(row_number() OVER (PARTITION BY l.site, p.quantile_slot ORDER BY round(abs(l.shap) * 1e6) DESC, l.Feature) AS INTEGER) AS "order",
+    p.base_value + sum(l.shap) OVER (PARTITION BY l.site, p.quantile_slot ORDER BY round(abs(l.shap) * 1e6) DESC, l.Feature
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_total
   FROM slong l JOIN picks p USING (site, Date)
 )

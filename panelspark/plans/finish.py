@@ -31,3 +31,12 @@ def finish(df: DataFrame, keep_exact=()) -> DataFrame:
 def r(expr: str, alias: str) -> str:
     """SQL twin of ``finish`` for one column."""
     return f"round(({expr}) * 1e{DECIMALS}) / 1e{DECIMALS} + 0e0 AS {alias}"
+
+
+def rank_key(c):
+    """Order key at the reported precision: values equal to 6 decimals tie (then a name decides)."""
+    return F.round(c * F.lit(SCALE), 0)
+
+
+def rank_key_sql(expr: str) -> str:
+    return f"round(({expr}) * 1e{DECIMALS})"
