@@ -168,54 +168,84 @@ def fit_bagged_forest(spark: SparkSession, train: DataFrame, features, label: st
     return {"models": models, "trees": trees, "lam": lam, "seed": params.seed}
 
 
-def oob_predictions(df: DataFrame, bagged: dict, features, keep=("site", "Date")) -> DataFrame:
-    """Per row: mean prediction of the trees that did not see it (NULL if every tree did)."""
+OOB_BUDGET = 256 * 1024 * 1024     # bytes of tree arrays broadcast per pass
+
+
+def _tree_bytes(tree) -> int:
+    return sum(a.nbytes for a in (tree.feature, tree.threshold, tree.left, tree.right, tree.value, tree.cover))
+
+
+def _tree_chunks(trees, budget: int) -> list[list[int]]:
+    chunks, cur, size = [], [], 0
+    for t, tree in enumerate(trees):
+        b = _tree_bytes(tree)
+        if cur and size + b > budget:
+            chunks.append(cur)
+            cur, size = [], 0
+        cur.append(t)
+        size += b
+    chunks.append(cur)
+    return chunks
+
+
+def oob_predictions(df: DataFrame, bagged: dict, features, keep=("site", "Date"),
+                    budget: int = OOB_BUDGET) -> DataFrame:
+    """Per row: mean prediction of the trees that did not see it (NULL if every tree did).
+
+    Bag counts are recomputed from the same hash as in fitting.  Trees are
+    broadcast in chunks under a byte budget; each chunk is one narrow
+    ``mapInPandas`` pass adding to running sums, so no task holds more than
+    one chunk of the forest.
+    """
     import numpy as np
-    import pandas as pd
     from pyspark.sql import types as T
 
     trees = bagged["trees"]
-    n = len(trees)
-    counts = F.array(*[bag_weight(t, bagged["lam"], bagged["seed"]) for t in range(n)])
-    sc = df.sparkSession.sparkContext
-    bc = sc.broadcast(trees)
     keep = list(keep)
     feats = list(features)
-
-    def kernel(batches):
-        ts = bc.value
-        for pdf in batches:
-            x = pdf[feats].to_numpy(dtype=float)
-            w = np.stack(pdf["_bags"].to_numpy()) if len(pdf) else np.zeros((0, n))
-            num = np.zeros(len(pdf))
-            den = np.zeros(len(pdf))
-            for t, tree in enumerate(ts):
-                node = np.zeros(len(pdf), dtype=np.int64)
-                while True:
-                    f = tree.feature[node]
-                    inner = (f >= 0) & (tree.left[node] >= 0)
-                    if not inner.any():
-                        break
-                    go_left = x[np.arange(len(pdf)), np.where(inner, f, 0)] <= tree.threshold[node]
-                    node = np.where(inner, np.where(go_left, tree.left[node], tree.right[node]), node)
-                oob = w[:, t] == 0
-                num += np.where(oob, tree.value[node], 0.0)
-                den += oob
-            out = pdf[keep].copy()
-            out["oob_prediction"] = np.where(den > 0, num / np.where(den > 0, den, 1), np.nan)
-            out["oob_trees"] = den.astype(np.int64)
-            yield out
-
-    schema = T.StructType(list(df.select(*keep).schema.fields)
-                          + [T.StructField("oob_prediction", T.DoubleType()),
-                             T.StructField("oob_trees", T.LongType())])
-    res = df.select(*keep, *feats, counts.alias("_bags")).mapInPandas(kernel, schema)
-    return res.withColumn("oob_prediction", F.nanvl("oob_prediction", F.lit(None).cast("double")))
+    extra = [f for f in feats if f not in keep]
+    sc = df.sparkSession.sparkContext
+    cur = df.select(*keep, *extra, F.lit(0.0).alias("_num"), F.lit(0).cast("long").alias("_den"))
+    for chunk in _tree_chunks(trees, budget):
+        bc = sc.broadcast([trees[t] for t in chunk])
+        bags = F.array(*[bag_weight(t, bagged["lam"], bagged["seed"]) for t in chunk])
+
+        def kernel(batches, bc=bc):
+            ts = bc.value
+            for pdf in batches:
+                n = len(pdf)
+                x = pdf[feats].to_numpy(dtype=float)
+                w = np.stack(pdf["_bags"].to_numpy()) if n else np.zeros((0, len(ts)))
+                num = pdf["_num"].to_numpy(dtype=float).copy()
+                den = pdf["_den"].to_numpy(dtype=np.int64).copy()
+                rows = np.arange(n)
+                for j, tree in enumerate(ts):
+                    node = np.zeros(n, dtype=np.int64)
+                    while True:
+                        inner = (tree.feature[node] >= 0) & (tree.left[node] >= 0)
+                        if not inner.any():
+                            break
+                        f = np.where(inner, tree.feature[node], 0)
+                        go_left = x[rows, f] <= tree.threshold[node]
+                        node = np.where(inner, np.where(go_left, tree.left[node], tree.right[node]), node)
+                    oob = w[:, j] == 0
+                    num += np.where(oob, tree.value[node], 0.0)
+                    den += oob
+                out = pdf[keep + extra].copy()
+                out["_num"] = num
+                out["_den"] = den
+                yield out
+
+        schema = T.StructType(list(df.select(*keep, *extra).schema.fields)
+                              + [T.StructField("_num", T.DoubleType()), T.StructField("_den", T.LongType())])
+        cur = cur.select("*", bags.alias("_bags")).mapInPandas(kernel, schema)
+    pred = F.when(F.col("_den") > 0, F.col("_num") / F.col("_den"))
+    return cur.select(*keep, pred.alias("oob_prediction"), F.col("_den").alias("oob_trees"))
 
 
 def oob_score(df: DataFrame, bagged: dict, features, label: str) -> DataFrame:
-    """Out-of-bag R2 over the rows with at least one out-of-bag tree."""
-    oob = oob_predictions(df, bagged, features).join(df.select("site", "Date", label), ["site", "Date"])
+    """Out-of-bag R2 over the rows with at least one out-of-bag tree (one narrow pass + one aggregate)."""
+    oob = oob_predictions(df, bagged, features, keep=("site", "Date", label))
     e = F.col(label) - F.col("oob_prediction")
     return (oob.where(F.col("oob_prediction").isNotNull())
             .agg(F.count("*").alias("n_oob_rows"),

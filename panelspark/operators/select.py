@@ -85,8 +85,14 @@ def rfecv_select(spark: SparkSession, train: DataFrame, features, label: str, pa
         scores, _, _ = eliminate(tr, features, label, params, 1, te)
         return k, scores
 
+    # The whole-train elimination does not depend on the chosen n until the
+    # cut: its order is the same whether it stops at n or runs on to one
+    # feature (same data, features and seed give the same fits), so it runs
+    # alongside the folds and is cut afterwards.
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        full = pool.submit(eliminate, train, features, label, params, 1, None)
         fold_scores = list(pool.map(run_fold, folds))
+        _, full_order, _ = full.result()
 
     rows = [(int(k), int(n), None if s is None else float(s)) for k, sc in fold_scores for n, s in sc.items()]
     long = spark.createDataFrame(rows, "fold int, N_Features int, r2 double")
@@ -95,8 +101,9 @@ def rfecv_select(spark: SparkSession, train: DataFrame, features, label: str, pa
     best_score = max(v for v in curve_rows.values() if v is not None)
     n_best = min(n for n, v in curve_rows.items() if v == best_score)
 
-    _, order, selected = eliminate(train, features, label, params, n_best, None)
     p = len(features)
+    order = full_order[:p - n_best]
+    selected = [f for f in features if f not in set(order)]
     ranking = {f: 1 for f in selected}
     for i, f in enumerate(order):
         ranking[f] = p - n_best + 1 - i

@@ -126,5 +126,11 @@ def test_oob_rows_and_score(spark, rows):
     oob = S.oob_predictions(train, bag, FEATS)
     covered = oob.where(F.col("oob_trees") > 0).count()
     assert covered > 0.9 * train.count()
+    one = sorted(tuple(r) for r in oob.collect())
+    many = sorted(tuple(r) for r in S.oob_predictions(train, bag, FEATS, budget=1).collect())
+    assert len(one) == len(many)
+    for a, b in zip(one, many):
+        assert a[:2] == b[:2] and a[3] == b[3]
+        assert (a[2] is None and b[2] is None) or abs(a[2] - b[2]) < 1e-9
     score = S.oob_score(train, bag, FEATS, C.TARGET).collect()[0]
     assert score["oob_r2"] is not None and score["oob_r2"] < 1.0
