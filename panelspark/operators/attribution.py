@@ -15,9 +15,10 @@ from ..functions.columns import feature_family
 from ..plans.finish import rank_key
 
 
-def shap_values_long(df: DataFrame, features, keys=("site", "Date"), extra=()) -> DataFrame:
-    """(keys..., extra..., Feature, value, shap) for every row and feature."""
-    entries = [F.struct(F.lit(f).alias("Feature"), F.col(f).cast("double").alias("value"),
+def shap_values_long(df: DataFrame, features, keys=("site", "Date"), extra=(), with_value: bool = True) -> DataFrame:
+    """(keys..., extra..., Feature, [value,] shap) for every row and feature."""
+    entries = [F.struct(F.lit(f).alias("Feature"),
+                        *([F.col(f).cast("double").alias("value")] if with_value else []),
                         F.col(f"SHAP_{f}").alias("shap")) for f in features]
     return df.select(*keys, *extra, F.inline(F.array(*entries)))
 

@@ -644,7 +644,7 @@ def _weekly(spark, sf_dir):
 
 def _grid(spark, sf_dir, n):
     full, wide = _weekly(spark, sf_dir)
-    long_all = A.shap_values_long(full, S12)
+    long_all = A.shap_values_long(full, S12, with_value=False)
     chosen = A.top_n_shap(long_all, n)
     cal = CAL.season_calendar(wide)
     return CAL.aligned_grid(CAL.weekly_shap_mean(wide, S12), CAL.weekly_nee_mean(wide), cal, chosen, SITES, S12)

@@ -18,7 +18,7 @@ def weekly_tables(full: DataFrame, features, sites, top_n: int | None = C.TOP_N_
     """
     features = list(features)
     wide = CAL.weekly_wide(full, features)
-    chosen = A.top_n_shap(A.shap_values_long(full, features), top_n)
+    chosen = A.top_n_shap(A.shap_values_long(full, features, with_value=False), top_n)
     calendar = CAL.season_calendar(wide)
     grid = CAL.aligned_grid(CAL.weekly_shap_mean(wide, features), CAL.weekly_nee_mean(wide),
                             calendar, chosen, sites, features)
