@@ -10,6 +10,8 @@ from ..operators.standin import standin_predict
 from ..operators.validate import split_keys, split_stratified
 import os
 
+from pyspark.sql.utils import AnalysisException
+
 from ..session import scratch_path, tune
 from ..sources.panel import driver_panel
 
@@ -40,17 +42,19 @@ def panel(spark: SparkSession, sf_dir: str, sites=("F", "O"), materialise: bool
     if not materialise:
         return driver_panel(spark, sf_dir, sites)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(sites), _stamp(sf_dir))
+    lazy = driver_panel(spark, sf_dir, sites)
     path = _MATERIALISED.get(key)
+    if path is not None:
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException:            # staged folder removed: build it again
+            path = None
     if path is None:
-        lazy = driver_panel(spark, sf_dir, sites)
         path = scratch_path(spark, "panel")
         lazy.write.mode("overwrite").partitionBy("site").parquet(path)
         _MATERIALISED[key] = path
-        cols = lazy.columns
-    else:
-        cols = None
-    df = spark.read.parquet(path)
-    cols = cols or ["site"] + [c for c in df.columns if c != "site"]
+        df = spark.read.parquet(path)
+    cols = lazy.columns
     return df.select(*cols)
 
 
