@@ -32,3 +32,26 @@ def test_stage2_then_weekly(spark):
     bounds = spark.read.parquet(f"{out}/weekly/top{cfg.top_n}/bounds").collect()
     assert {r["site"] for r in bounds} == set(cfg.sites)
     assert all(r["y_min"] <= 0 <= r["y_max"] for r in bounds)
+
+
+def test_stage1_site_tables(spark):
+    from panelspark.config import ForestParams
+    from panelspark.operators.validate import split_keys
+    from panelspark.plans.frames import panel
+    from panelspark.plans.stages import RunSize, model_frame, stage1_site
+
+    feats = list(C.S12[:5])
+    pan = panel(spark, SF_SMALL)
+    frame = model_frame(pan, split_keys(pan), feats)
+    res = stage1_site(spark, frame, "F", feats,
+                      ForestParams(n_estimators=3, max_depth=3, max_features=1.0, min_samples_leaf=3),
+                      RunSize(parallelism=8))
+    sel = res["feature_selection_results"].collect()
+    assert len(sel) == len(feats) and sum(r["Selected"] for r in sel) == len(res["selected"])
+    m = {r["Metric"]: r for r in res["metrics"].collect()}
+    assert m["R²"]["N_Features"] == float(len(res["selected"])) and m["R²"]["CV_Best"] is not None
+    assert m["RMSE"]["N_Features"] is None
+    full = res["full_dataset_predictions_shap_values"]
+    assert "Residual" not in full.columns and all(f"SHAP_{f}" in full.columns for f in res["selected"])
+    assert full.count() == frame.where("site = 'F'").count()
+    assert res["rfecv_performance_curve"].count() == len(feats)
