@@ -31,7 +31,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -277,7 +276,3 @@ def brute_force_shap(x: np.ndarray, tree_list: list[TreeArrays]) -> np.ndarray:
                 s = set(sub)
                 phi[i] += wgt * (value(s | {i}) - value(s))
     return phi
-
-
-def to_pandas_rows(x: pd.DataFrame, features) -> np.ndarray:
-    return x[list(features)].to_numpy(dtype=float)

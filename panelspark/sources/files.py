@@ -10,13 +10,6 @@ from pyspark.sql.utils import AnalysisException
 from .. import config as C
 
 
-def panel_schema(columns=None) -> T.StructType:
-    """Explicit schema of a site CSV: Date as DATE, everything else DOUBLE."""
-    cols = columns or C.PANEL_INPUTS
-    return T.StructType([T.StructField("Date", T.DateType(), True)]
-                        + [T.StructField(c, T.DoubleType(), True) for c in cols if c != "Date"])
-
-
 def panel_path(base: str, period: str = "") -> str:
     suffix = f"_{period.lstrip('_')}" if period else ""
     return f"{base}/complete{suffix}"
@@ -84,13 +77,6 @@ def sink_table(df: DataFrame, path: str, fmt: str = "csv", partition_by=None) ->
     return path
 
 
-def read_table_like(spark: SparkSession, path: str, like: DataFrame, fmt: str = "csv") -> DataFrame:
-    """Read a written table back with the schema of the frame that produced it."""
-    if fmt == "csv":
-        return spark.read.schema(like.schema).option("header", True).csv(path)
-    return spark.read.parquet(path)
-
-
 def read_optional(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
     """Read an earlier stage's table if it exists, else an empty typed frame."""
     try:
