@@ -129,3 +129,11 @@ def test_pick_quantile_slots(spark):
                                "site string, Date date, Predicted_NEE double")
     picks = sorted((r["quantile_slot"], r["Predicted_NEE"]) for r in V.pick_quantile_rows(df).collect())
     assert picks == [(1, 1.0), (2, 4.0), (3, 7.0), (4, 9.0)]
+
+
+def test_pick_quantile_ties_resolve_by_date(spark):
+    df = spark.createDataFrame([("F", dt.date(2001, 1, d), 1.0) for d in (5, 3, 4, 1, 2, 6)],
+                               "site string, Date date, Predicted_NEE double")
+    picks = sorted((r["quantile_slot"], r["Date"]) for r in V.pick_quantile_rows(df).collect())
+    assert picks == [(1, dt.date(2001, 1, 1)), (2, dt.date(2001, 1, 3)), (3, dt.date(2001, 1, 5)),
+                     (4, dt.date(2001, 1, 6))]
