@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import brown, decontaminate, exact_dedup, langid, mixing, quality, sharding, suffix_dedup, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -20,6 +20,51 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_repeated_substrings")
+def op1(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
+WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register("op2_benchmark_hits", f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+found AS (SELECT g.doc_id, g.i, g.size, x.item_id FROM grams g JOIN windows x ON g.size = x.size AND g.phrase = x.phrase),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS named
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op2(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+@register("op4_language")
+def op4(spark, sf_dir):
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
+@register("op5_warc_pages", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages)
+SELECT page_id, strlen(h) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+    ((CAST('0x' || substr(sha1(h), CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31)
+    AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = min(page_id) OVER g THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> min(page_id) OVER g THEN min(page_id) OVER g END AS refers_to
+FROM p WINDOW g AS (PARTITION BY h)""")
+def op5(spark, sf_dir):
+    return warc.page_records(spark, sf_dir)
+
+
 @register("op6_source_mix")
 def op6(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
@@ -30,6 +75,11 @@ def op7(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+@register("op8_brown_scores")
+def op8(spark, sf_dir):
+    return brown.score_texts(table(spark, sf_dir, "documents"))
+
+
 @register("op9_exact_copies", """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -37,3 +87,8 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY t)""")
 def op9(spark, sf_dir):
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+
+
+@register("op10_quality_scores")
+def op10(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
