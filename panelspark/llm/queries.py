@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, exact_dedup, langid, mixing, quality, sharding, suffix_dedup, warc
+from . import brown, decontaminate, exact_dedup, jaccard_join, langid, mixing, quality, sharding, suffix_dedup, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -47,6 +47,11 @@ def op2(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+@register("op3_jaccard_components")
+def op3(spark, sf_dir):
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op4_language")
 def op4(spark, sf_dir):
     return langid.identify_languages(table(spark, sf_dir, "documents"))
