@@ -140,7 +140,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, ratio: float = 1.5, max_repeat: i
     rule_df = spark.createDataFrame(rule_rows, "no int, cut_rank long, cut long, extras array<long>, ends array<long>")
     partial = (F.col("_rank") < F.col("cut_rank")) | ((F.col("_rank") == F.col("cut_rank")) & (
         F.coalesce(F.col("_h") <= F.col("cut"), F.lit(False)) | F.array_contains("extras", F.col("_h"))))
-    turns = F.col("passes") + F.when(partial, 1).otherwise(0)
+    turns = F.least(F.col("passes") + F.when(partial, 1).otherwise(0), F.lit(max_repeat))
     draws = F.when(turns > 0, F.transform(
         F.sequence(F.lit(0), turns - 1),
         lambda e: F.size(F.filter("ends", lambda x: x <= e * F.col("blocks") + F.col("_rank"))))
