@@ -119,20 +119,32 @@ class ForestParams:
 
 @dataclass(frozen=True)
 class PanelConfig:
-    """One analysis run: which rows, which features, which model settings."""
+    """One analysis run: which rows, which features, which model settings.
 
-    sites: tuple[str, ...] = ("F", "O")
+    ``sites=None`` takes every site of the data. Feature lists, forests and
+    spaces are looked up by site; sites that are not listed use the entry
+    under ``None``.
+    """
+
+    sites: tuple[str, ...] | None = None
     period: str = ""                       # "", "fieldseason" (months 6-10) or "GS"
     target: str = TARGET
-    stage1_features: dict = field(default_factory=lambda: {"F": tuple(P32), "O": tuple(P34)})
+    stage1_features: dict = field(default_factory=lambda: {"F": tuple(P32), None: tuple(P34)})
     stage2_features: tuple[str, ...] = tuple(S12)
     correlation_features: tuple[str, ...] = tuple(C32)
     forest_stage1: dict = field(default_factory=lambda: {"F": ForestParams(**FOREST_FIRST),
-                                                         "O": ForestParams(**FOREST_SECOND)})
-    space: dict = field(default_factory=lambda: {"F": SPACE_FIRST, "O": SPACE_SECOND})
+                                                         None: ForestParams(**FOREST_SECOND)})
+    space: dict = field(default_factory=lambda: {"F": SPACE_FIRST, None: SPACE_SECOND})
     n_iter: int = 100
+    oob: bool = True
+    shap_sample: int | None = None         # rows per site in the attribution summaries; None: every test row
     top_n: int | None = TOP_N_WEEKLY
-    parallelism: int = 4
+    parallelism: int = 8
+
+    def of_site(self, table: str, site: str):
+        """The site's entry of ``stage1_features``, ``forest_stage1`` or ``space``."""
+        entries = getattr(self, table)
+        return entries[site] if site in entries else entries[None]
 
     def with_(self, **kw) -> "PanelConfig":
         return replace(self, **kw)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_side
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -65,15 +67,14 @@ def standardise(df: DataFrame, features, fit_on: Column | None = None,
 
     Fitted per group (``by``) on the rows where ``fit_on`` holds (train rows),
     applied to all rows.  A zero std divides by 1, as the scaler of the
-    original pipeline does.  The statistics are one row per group; they are
-    joined back on the group key and the optimizer (AQE) broadcasts them once
-    it has measured their size, which grows with the number of groups only.
+    original pipeline does.  The statistics are one row per group and are
+    broadcast once their row count is known to be small.
     """
     src = df.where(fit_on) if fit_on is not None else df
     stats = src.groupBy(*by).agg(
         *[F.avg(f).alias(f"_m_{f}") for f in features],
         *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
-    out = df.join(stats, list(by), "left")
+    out = df.join(small_side(stats), list(by), "left")
     return out.withColumns({
         f: (F.col(f) - F.col(f"_m_{f}")) / F.coalesce(F.nullif(F.col(f"_s_{f}"), F.lit(0.0)), F.lit(1.0))
         for f in features

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import feature_family
-from ..plans.finish import rank_key
+from .ordering import as_is
 
 
 def shap_values_long(df: DataFrame, features, keys=("site", "Date"), extra=(), with_value: bool = True) -> DataFrame:
@@ -23,23 +23,28 @@ def shap_values_long(df: DataFrame, features, keys=("site", "Date"), extra=(), w
     return df.select(*keys, *extra, F.inline(F.array(*entries)))
 
 
-def shap_summary(long: DataFrame, by=("site",)) -> DataFrame:
+def shap_summary(long: DataFrame, by=("site",), order_key=as_is) -> DataFrame:
     """Mean |SHAP|, mean SHAP and population std per feature, ranked by mean |SHAP|."""
     agg = long.groupBy(*by, "Feature").agg(
         F.avg(F.abs("shap")).alias("Mean_Abs_SHAP"), F.avg("shap").alias("Mean_SHAP"),
         F.stddev_pop("shap").alias("Std_SHAP"))
-    w = Window.partitionBy(*by).orderBy(rank_key(F.col("Mean_Abs_SHAP")).desc_nulls_last(), F.col("Feature"))
+    w = Window.partitionBy(*by).orderBy(order_key(F.col("Mean_Abs_SHAP")).desc_nulls_last(), F.col("Feature"))
     return agg.withColumn("rank", F.row_number().over(w))
 
 
-def top_n_shap(long: DataFrame, n: int | None, by=("site",), exclude=tuple(C.SEASONAL)) -> DataFrame:
+def top_n_shap(long: DataFrame, n: int | None, by=("site",), exclude=tuple(C.SEASONAL),
+               order_key=as_is) -> DataFrame:
     """Per group the n features with the largest mean |SHAP|, seasonal angle excluded.
 
     ``n=None`` keeps every feature, the seasonal ones included.
     """
     src = long if n is None else long.where(~F.col("Feature").isin(*exclude))
-    agg = src.groupBy(*by, "Feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
-    w = Window.partitionBy(*by).orderBy(rank_key(F.col("mean_abs_shap")).desc_nulls_last(), F.col("Feature"))
+    return rank_features(src.groupBy(*by, "Feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap")), n, by, order_key)
+
+
+def rank_features(agg: DataFrame, n: int | None, by=("site",), order_key=as_is) -> DataFrame:
+    """The first n of each group's (Feature, mean_abs_shap) rows, all for ``n=None``."""
+    w = Window.partitionBy(*by).orderBy(order_key(F.col("mean_abs_shap")).desc_nulls_last(), F.col("Feature"))
     ranked = agg.withColumn("rank", F.row_number().over(w))
     return ranked if n is None else ranked.where(F.col("rank") <= n)
 
@@ -53,11 +58,11 @@ def shap_dependence(long: DataFrame, top: DataFrame, by=("site",)) -> DataFrame:
     return long.join(top.select(*by, "Feature", "rank"), [*by, "Feature"], "inner")
 
 
-def shap_explain_rows(long: DataFrame, picks: DataFrame, keys=("site", "Date")) -> DataFrame:
+def shap_explain_rows(long: DataFrame, picks: DataFrame, keys=("site", "Date"), order_key=as_is) -> DataFrame:
     """Waterfall data for the picked rows: contributions by |SHAP|, running total from the base."""
     rows = picks.select(*keys, "quantile_slot", "base_value", "Predicted_NEE")
     j = long.join(rows, list(keys), "inner")
-    w = Window.partitionBy("site", "quantile_slot").orderBy(rank_key(F.abs("shap")).desc(), F.col("Feature"))
+    w = Window.partitionBy("site", "quantile_slot").orderBy(order_key(F.abs("shap")).desc(), F.col("Feature"))
     return j.withColumns({
         "order": F.row_number().over(w),
         "running_total": F.col("base_value") + F.sum("shap").over(

@@ -19,15 +19,35 @@ def nee_column(df: DataFrame) -> str:
     return "Predicted_NEE" if "Predicted_NEE" in df.columns else "Observed_NEE"
 
 
+def weekly_sums(df: DataFrame, features) -> DataFrame:
+    """Per (site, week) of all weeks: row count, target mean and, per feature, the sums and counts of SHAP and |SHAP|.
+
+    The one pass over the rows: the top features, the calendar and the grid
+    all follow from this small table, so callers keep it (``cut_lineage``).
+    """
+    nee = nee_column(df)
+    return df.withColumn("week", week_start("Date")).groupBy("site", "week").agg(
+        *[F.sum(f"SHAP_{f}").alias(f"_sum_{f}") for f in features],
+        *[F.sum(F.abs(f"SHAP_{f}")).alias(f"_abs_{f}") for f in features],
+        *[F.count(f"SHAP_{f}").alias(f"_n_{f}") for f in features], F.avg(nee).alias("nee"))
+
+
+def mean_abs_shap(sums: DataFrame, features) -> DataFrame:
+    """(site, Feature, mean_abs_shap) over all weeks, from ``weekly_sums``."""
+    total = sums.groupBy("site").agg(*[(F.sum(f"_abs_{f}") / F.nullif(F.sum(f"_n_{f}"), F.lit(0))).alias(f) for f in features])
+    return total.select("site", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("Feature"), F.col(f).alias("mean_abs_shap")) for f in features])))
+
+
 def weekly_wide(df: DataFrame, features, season: bool = True) -> DataFrame:
     """Per (site, week): mean of every SHAP column and of the target column."""
-    nee = nee_column(df)
-    wk = df.withColumn("week", week_start("Date"))
-    if season:
-        wk = filter_season_weeks(wk)
-    return wk.groupBy("site", "week").agg(
-        *[F.avg(f"SHAP_{f}").alias(f"SHAP_{f}") for f in features],
-        F.avg(nee).alias("nee"))
+    return weekly_means(weekly_sums(df, features), features, season)
+
+
+def weekly_means(sums: DataFrame, features, season: bool = True) -> DataFrame:
+    wk = filter_season_weeks(sums) if season else sums
+    return wk.select("site", "week", *[(F.col(f"_sum_{f}") / F.nullif(F.col(f"_n_{f}"), F.lit(0))).alias(f"SHAP_{f}")
+                                       for f in features], "nee")
 
 
 def weekly_shap_mean(wide: DataFrame, features) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import small_side
 
 OBS, PRED = "Observed_NEE", "Predicted_NEE"
 
@@ -78,22 +79,25 @@ def residual_profile(pred: DataFrame) -> DataFrame:
 
 
 def residual_histogram(pred: DataFrame, bins: int = 50) -> DataFrame:
-    """Equal-width residual histogram per site and split.
+    """Equal-width residual histogram per site and split, every bin a row (n may be 0).
 
     Bin i covers [min + i*w, min + (i+1)*w); the maximum falls in the last bin;
-    a constant residual gives one bin.  The range is a tiny per-group
-    aggregate joined back; only non-empty bins are returned.
+    a constant residual has width 0 and falls in bin 0.  The range is one row
+    per group, broadcast once its row count is known to be small.
     """
     res = pred.select("site", "split", (F.col(OBS) - F.col(PRED)).alias("r"))
-    rng = res.groupBy("site", "split").agg(F.min("r").alias("r_min"), F.max("r").alias("r_max"))
+    rng = small_side(res.groupBy("site", "split").agg(F.min("r").alias("r_min"), F.max("r").alias("r_max")))
     w = (F.col("r_max") - F.col("r_min")) / F.lit(float(bins))
     b = F.when(w == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("r") - F.col("r_min")) / w), F.lit(bins - 1))).cast("int")
-    binned = res.join(rng, ["site", "split"]).withColumn("bin", b).withColumn("_w", w)
-    return binned.groupBy("site", "split", "bin").agg(
-        F.count("*").alias("n"),
-        F.first(F.col("r_min") + F.col("bin") * F.col("_w")).alias("bin_lo"),
-        F.first(F.col("r_min") + (F.col("bin") + 1) * F.col("_w")).alias("bin_hi"))
+    filled = (res.join(rng, ["site", "split"]).where(F.col("r").isNotNull())
+              .groupBy("site", "split", b.alias("bin")).agg(F.count("*").alias("n")))
+    every = rng.select("site", "split", "r_min", w.alias("_w"),
+                       F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return every.join(filled, ["site", "split", "bin"], "left").select(
+        "site", "split", "bin", F.coalesce("n", F.lit(0)).alias("n"),
+        (F.col("r_min") + F.col("bin") * F.col("_w")).alias("bin_lo"),
+        (F.col("r_min") + (F.col("bin") + 1) * F.col("_w")).alias("bin_hi"))
 
 
 def residual_points(pred: DataFrame) -> DataFrame:

@@ -9,13 +9,6 @@ from .. import config as C
 from ..functions.columns import with_cyclic_doy, with_date_parts
 
 
-def nan_to_null(df: DataFrame, cols) -> DataFrame:
-    """Map NaN to NULL so that averages and drops treat both alike."""
-    types = dict(df.dtypes)
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double"))
-                           for c in cols if types.get(c) in ("double", "float")})
-
-
 def period_predicate(period: str) -> Column | None:
     """Row rule of a period: the field season is June to October."""
     if period in ("", None):
@@ -35,8 +28,13 @@ def scan_by_site_period(panel: DataFrame, sites=None, period: str = "") -> DataF
 
 
 def dropna_subset(df: DataFrame, cols) -> DataFrame:
-    """Drop rows with NULL or NaN in any listed column."""
-    return df.dropna(subset=list(cols))
+    """Drop rows with NULL or NaN in any listed column.
+
+    One predicate over an array: dozens of separate not-null predicates below
+    aliasing projections make the optimizer's constraint inference explode.
+    """
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    return df.where(F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
 def prepare(panel: DataFrame, features, target: str = C.TARGET) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import ForestParams
-from .forest import fit_forest, predict_forest, tree_arrays
+from .forest import effective_depth, fit_forest, predict_forest, tree_arrays
 from .select import r2_by_fold
 
 PARAM_COLS = ["n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "max_features", "max_samples"]
@@ -111,9 +111,10 @@ def top_configs(summary: DataFrame, n: int = 20) -> DataFrame:
 
 
 def params_table(spark: SparkSession, params: ForestParams, extra: dict | None = None) -> DataFrame:
-    """Parameter/Value table of the forest actually fitted (values as strings)."""
+    """Parameter/Value table (values as strings): the parameters asked for and the depth that was grown."""
     rows = [(k, None if v is None else str(v)) for k, v in
             [("n_estimators", params.n_estimators), ("max_depth", params.max_depth),
+             ("max_depth_used", effective_depth(params)),
              ("min_samples_split", params.min_samples_split), ("min_samples_leaf", params.min_samples_leaf),
              ("max_features", params.max_features), ("max_samples", params.max_samples),
              ("random_state", params.seed)] + list((extra or {}).items())]
@@ -124,7 +125,11 @@ def params_table(spark: SparkSession, params: ForestParams, extra: dict | None =
 # out-of-bag scoring with explicit bagging weights
 # --------------------------------------------------------------------------
 def poisson_count(u, lam: float, kmax: int = 16):
-    """Inverse-CDF Poisson(lam) draw from a uniform column u (JVM expression)."""
+    """Inverse-CDF Poisson(lam) draw from a uniform column u (JVM expression).
+
+    For lam <= 1 a count above 16 has a probability below the resolution of
+    the 30-bit uniform, so ``kmax`` never binds.
+    """
     cdf, p, expr = 0.0, math.exp(-lam), None
     for k in range(kmax):
         cdf += p
@@ -154,48 +159,24 @@ def fit_bagged_forest(spark: SparkSession, train: DataFrame, features, label: st
 
     def fit(t):
         w = train.withColumn("_w", bag_weight(t, lam, params.seed).cast("double")).where(F.col("_w") > 0)
-        from pyspark.ml.regression import RandomForestRegressor
-        from .forest import assemble, mllib_params
-        kw = mllib_params(one.with_(seed=params.seed + t), len(features))
-        kw.update(bootstrap=False, subsamplingRate=1.0)
-        rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="Predicted_NEE",
-                                   weightCol="_w", **kw)
-        return rf.fit(assemble(w, features))
+        model = fit_forest(w, features, label, one.with_(seed=params.seed + t), weight_col="_w", bootstrap=False)
+        return tree_arrays(spark, model)[0]
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        models = list(pool.map(fit, range(params.n_estimators)))
-    trees = [tree_arrays(spark, m)[0] for m in models]
-    return {"models": models, "trees": trees, "lam": lam, "seed": params.seed}
-
-
-OOB_BUDGET = 256 * 1024 * 1024     # bytes of tree arrays broadcast per pass
-
-
-def _tree_bytes(tree) -> int:
-    return sum(a.nbytes for a in (tree.feature, tree.threshold, tree.left, tree.right, tree.value, tree.cover))
+        trees = list(pool.map(fit, range(params.n_estimators)))
+    return {"trees": trees, "lam": lam, "seed": params.seed}
 
 
-def _tree_chunks(trees, budget: int) -> list[list[int]]:
-    chunks, cur, size = [], [], 0
-    for t, tree in enumerate(trees):
-        b = _tree_bytes(tree)
-        if cur and size + b > budget:
-            chunks.append(cur)
-            cur, size = [], 0
-        cur.append(t)
-        size += b
-    chunks.append(cur)
-    return chunks
+TREES_PER_PASS = 50                # trees broadcast and evaluated in one pass over the rows
 
 
 def oob_predictions(df: DataFrame, bagged: dict, features, keep=("site", "Date"),
-                    budget: int = OOB_BUDGET) -> DataFrame:
+                    per_pass: int = TREES_PER_PASS) -> DataFrame:
     """Per row: mean prediction of the trees that did not see it (NULL if every tree did).
 
     Bag counts are recomputed from the same hash as in fitting.  Trees are
-    broadcast in chunks under a byte budget; each chunk is one narrow
-    ``mapInPandas`` pass adding to running sums, so no task holds more than
-    one chunk of the forest.
+    broadcast ``per_pass`` at a time; each pass is narrow and adds to running
+    sums.
     """
     import numpy as np
     from pyspark.sql import types as T
@@ -206,7 +187,8 @@ def oob_predictions(df: DataFrame, bagged: dict, features, keep=("site", "Date")
     extra = [f for f in feats if f not in keep]
     sc = df.sparkSession.sparkContext
     cur = df.select(*keep, *extra, F.lit(0.0).alias("_num"), F.lit(0).cast("long").alias("_den"))
-    for chunk in _tree_chunks(trees, budget):
+    for at in range(0, len(trees), per_pass):
+        chunk = range(at, min(at + per_pass, len(trees)))
         bc = sc.broadcast([trees[t] for t in chunk])
         bags = F.array(*[bag_weight(t, bagged["lam"], bagged["seed"]) for t in chunk])
 
@@ -218,18 +200,9 @@ def oob_predictions(df: DataFrame, bagged: dict, features, keep=("site", "Date")
                 w = np.stack(pdf["_bags"].to_numpy()) if n else np.zeros((0, len(ts)))
                 num = pdf["_num"].to_numpy(dtype=float).copy()
                 den = pdf["_den"].to_numpy(dtype=np.int64).copy()
-                rows = np.arange(n)
                 for j, tree in enumerate(ts):
-                    node = np.zeros(n, dtype=np.int64)
-                    while True:
-                        inner = (tree.feature[node] >= 0) & (tree.left[node] >= 0)
-                        if not inner.any():
-                            break
-                        f = np.where(inner, tree.feature[node], 0)
-                        go_left = x[rows, f] <= tree.threshold[node]
-                        node = np.where(inner, np.where(go_left, tree.left[node], tree.right[node]), node)
                     oob = w[:, j] == 0
-                    num += np.where(oob, tree.value[node], 0.0)
+                    num += np.where(oob, tree.predict(x), 0.0)
                     den += oob
                 out = pdf[keep + extra].copy()
                 out["_num"] = num

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ForestParams
-from .forest import fit_forest, predict_forest
+from .forest import fit_forest, importances, predict_forest
 
 
 def r2_score(pred: DataFrame, label: str, predicted: str = "Predicted_NEE") -> float | None:
@@ -51,7 +51,23 @@ def least_important(features, importances) -> str:
     return best[0]
 
 
-def eliminate(train: DataFrame, features, label: str, params: ForestParams, n_keep: int = 1,
+class ForestEstimator:
+    """Forest fits as the elimination's estimator: fit, predict and importances over DataFrames."""
+
+    def __init__(self, params: ForestParams):
+        self.params = params
+
+    def fit(self, train: DataFrame, features, label: str):
+        return fit_forest(train, features, label, self.params)
+
+    def predict(self, model, df: DataFrame, features) -> DataFrame:
+        return predict_forest(model, df, features)
+
+    def importances(self, model) -> list[float]:
+        return importances(model)
+
+
+def eliminate(train: DataFrame, features, label: str, estimator, n_keep: int = 1,
               test: DataFrame | None = None):
     """Backward elimination from all features to ``n_keep``.
 
@@ -60,20 +76,25 @@ def eliminate(train: DataFrame, features, label: str, params: ForestParams, n_ke
     current = list(features)
     scores, order = {}, []
     while True:
-        model = fit_forest(train, current, label, params)
+        model = estimator.fit(train, current, label)
         if test is not None:
-            scores[len(current)] = r2_score(predict_forest(model, test, current), label)
+            scores[len(current)] = r2_score(estimator.predict(model, test, current), label)
         if len(current) <= n_keep:
             break
-        drop = least_important(current, model.featureImportances.toArray().tolist())
+        drop = least_important(current, estimator.importances(model))
         order.append(drop)
         current = [f for f in current if f != drop]
     return scores, order, current
 
 
-def rfecv_select(spark: SparkSession, train: DataFrame, features, label: str, params: ForestParams,
+def rfecv_select(spark: SparkSession, train: DataFrame, features, label: str, estimator,
                  fold_col: str = "fold", parallelism: int = 4) -> dict:
-    """Run the cross-validated elimination; returns curve, selection and ranking tables."""
+    """Run the cross-validated elimination; returns curve, selection and ranking tables.
+
+    ``estimator`` is forest parameters or an object like ``ForestEstimator``.
+    """
+    if isinstance(estimator, ForestParams):
+        estimator = ForestEstimator(estimator)
     features = list(features)
     folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
     if len(folds) < 2:
@@ -82,7 +103,7 @@ def rfecv_select(spark: SparkSession, train: DataFrame, features, label: str, pa
     def run_fold(k):
         tr = train.where(F.col(fold_col) != k)
         te = train.where(F.col(fold_col) == k)
-        scores, _, _ = eliminate(tr, features, label, params, 1, te)
+        scores, _, _ = eliminate(tr, features, label, estimator, 1, te)
         return k, scores
 
     # The whole-train elimination does not depend on the chosen n until the
@@ -90,7 +111,7 @@ def rfecv_select(spark: SparkSession, train: DataFrame, features, label: str, pa
     # feature (same data, features and seed give the same fits), so it runs
     # alongside the folds and is cut afterwards.
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        full = pool.submit(eliminate, train, features, label, params, 1, None)
+        full = pool.submit(eliminate, train, features, label, estimator, 1, None)
         fold_scores = list(pool.map(run_fold, folds))
         _, full_order, _ = full.result()
 

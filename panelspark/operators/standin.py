@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_side
+
 
 def coefficients(features) -> dict[str, float]:
     """c_i = (i mod 4 - 1.5) / 2, i.e. -0.75, -0.25, 0.25, 0.75 repeating."""
@@ -37,7 +39,7 @@ def standin_predict(df: DataFrame, features, target: str, split_col: str = "spli
     coef = coefficients(features)
     stats = (df.where(F.col(split_col) == "train").groupBy("site")
              .agg(_mean(target).alias("base_value"), *[_mean(f).alias(f"_m_{f}") for f in features]))
-    out = df.join(stats, "site", "left")
+    out = df.join(small_side(stats), "site", "left")
     shap = {f"SHAP_{f}": F.lit(coef[f]) * (F.col(f) - F.col(f"_m_{f}")) for f in features}
     out = out.withColumns(shap)
     pred = F.col("base_value")
@@ -62,3 +64,28 @@ def standin_sql(features, target: str, source: str, name: str = "standin") -> st
     {shap}
   FROM {source} s JOIN {name}_stats st USING (site)
 )"""
+
+
+class MarginalEstimator:
+    """A closed-form estimator for the feature elimination.
+
+    Predicts the mean plus the average of the one-variable regressions; a
+    feature's importance is the absolute value of its correlation.
+    """
+
+    def fit(self, train: DataFrame, features, label: str) -> dict:
+        row = train.agg(F.avg(label).alias("mean"), *[
+            F.struct(F.avg(f).alias("mean"), (F.covar_pop(f, label) / F.nullif(F.var_pop(f), F.lit(0.0))).alias("slope"),
+                     F.abs(F.covar_pop(f, label) / F.nullif(F.stddev_pop(f) * F.stddev_pop(label), F.lit(0.0))).alias("r"))
+            .alias(f) for f in features]).first()
+        return {"mean": row["mean"], "features": {f: row[f].asDict() for f in features}}
+
+    def predict(self, model: dict, df: DataFrame, features) -> DataFrame:
+        total = F.lit(0.0)
+        for f in features:
+            m = model["features"][f]
+            total = total + F.lit(m["slope"] or 0.0) * (F.col(f) - F.lit(m["mean"]))
+        return df.withColumn("Predicted_NEE", F.lit(model["mean"]) + total / F.lit(float(len(features))))
+
+    def importances(self, model: dict) -> list[float]:
+        return [m["r"] or 0.0 for m in model["features"].values()]

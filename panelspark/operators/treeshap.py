@@ -20,14 +20,14 @@ the mean of the trees, so leaf values are divided by the number of trees.
 
 Distribution: the path arrays (size bounded by the fitted model, which
 already lives on the driver) are broadcast; rows are processed by
-``mapInPandas`` in Arrow batches, partition by partition - no shuffle.  If
-the path arrays exceed a budget, trees are processed in chunks by
-successive ``mapInPandas`` passes that add their contributions, so no task
-ever holds more than one chunk.
+``mapInPandas`` in Arrow batches, partition by partition - no shuffle.  A
+pass holds the paths of ``LEAVES_PER_PASS`` leaves; larger forests take
+successive passes that add their contributions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 
 from .forest import TreeArrays
 
-# Budget for the broadcast path arrays of one pass (bytes).
-PATH_BUDGET = 256 * 1024 * 1024
+# Leaves whose paths are broadcast and evaluated in one pass over the rows.
+LEAVES_PER_PASS = 50_000
 # Target number of (row x path x element) cells per numpy block.
 BLOCK_CELLS = 4_000_000
 
@@ -87,22 +87,20 @@ def tree_paths(tree: TreeArrays, weight: float) -> list[tuple[list, list, list,
     return out
 
 
-def build_paths(trees: list[TreeArrays]) -> list[PathGroup]:
-    weight = 1.0 / len(trees)
+def path_groups(paths: list) -> list[PathGroup]:
+    """Paths as arrays, grouped by length."""
     by_len: dict[int, list] = {}
-    for tree in trees:
-        for p in tree_paths(tree, weight):
-            by_len.setdefault(len(p[0]), []).append(p)
-    groups = []
-    for length in sorted(by_len):
-        ps = by_len[length]
-        groups.append(PathGroup(
-            feature=np.array([p[0] for p in ps], dtype=np.int64),
-            lo=np.array([p[1] for p in ps], dtype=float),
-            hi=np.array([p[2] for p in ps], dtype=float),
-            z=np.array([p[3] for p in ps], dtype=float),
-            v=np.array([p[4] for p in ps], dtype=float)))
-    return groups
+    for p in paths:
+        by_len.setdefault(len(p[0]), []).append(p)
+    return [PathGroup(feature=np.array([p[0] for p in ps], dtype=np.int64),
+                      lo=np.array([p[1] for p in ps], dtype=float), hi=np.array([p[2] for p in ps], dtype=float),
+                      z=np.array([p[3] for p in ps], dtype=float), v=np.array([p[4] for p in ps], dtype=float))
+            for _, ps in sorted(by_len.items())]
+
+
+def build_paths(trees: list[TreeArrays]) -> list[PathGroup]:
+    """All paths of a small forest at once."""
+    return path_groups([p for t in trees for p in tree_paths(t, 1.0 / len(trees))])
 
 
 def expected_value(groups: list[PathGroup]) -> float:
@@ -114,14 +112,14 @@ def _group_shap(x: np.ndarray, g: PathGroup, phi: np.ndarray, pred: np.ndarray)
     """Add the attributions of one path group for the rows in x (in place)."""
     n_rows = x.shape[0]
     P, L = g.feature.shape
-    nf = phi.shape[1]
     step = max(1, BLOCK_CELLS // max(1, P * L))
     l = L - 1
-    onehots = []
+    by_feature = []                                            # per element: path order by feature, runs, features
     for i in range(1, L):
-        m = np.zeros((P, nf))
-        m[np.arange(P), g.feature[:, i]] = 1.0
-        onehots.append(m)
+        order = np.argsort(g.feature[:, i], kind="stable")
+        f = g.feature[order, i]
+        runs = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+        by_feature.append((order, runs, f[runs]))
     for r0 in range(0, n_rows, step):
         xb = x[r0:r0 + step]
         R = xb.shape[0]
@@ -159,7 +157,8 @@ def _group_shap(x: np.ndarray, g: PathGroup, phi: np.ndarray, pred: np.ndarray)
             tot0 = np.where(zi > 0, tot0 / safe_z, 0.0)
             total = np.where(oi > 0, tot1, tot0)
             contrib = total * (oi - zi) * g.v                    # (R, P)
-            phi[r0:r0 + R] += contrib @ onehots[i - 1]
+            order, runs, f = by_feature[i - 1]
+            phi[r0:r0 + R, f] += np.add.reduceat(contrib[:, order], runs, axis=1)
 
 
 def shap_matrix(x: np.ndarray, groups: list[PathGroup], n_features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,33 +170,20 @@ def shap_matrix(x: np.ndarray, groups: list[PathGroup], n_features: int) -> tupl
     return phi, pred
 
 
-def _chunks(trees: list[TreeArrays], budget: int) -> list[list[PathGroup]]:
-    """Split the forest into tree chunks whose path arrays fit the budget."""
-    n = len(trees)
-    all_groups = build_paths(trees)
-    if sum(g.nbytes for g in all_groups) <= budget:
-        return [all_groups]
-    chunks, cur, cur_bytes = [], [], 0
+def _chunks(trees: list[TreeArrays], leaves: int) -> Iterator[list[PathGroup]]:
+    """The forest's paths, ``leaves`` at a time (a large tree spans several chunks)."""
+    held: list = []
     for t in trees:
-        b = sum(g.nbytes for g in build_paths([t]))
-        if cur and cur_bytes + b > budget:
-            chunks.append(cur)
-            cur, cur_bytes = [], 0
-        cur.append(t)
-        cur_bytes += b
-    chunks.append(cur)
-    out = []
-    for c in chunks:
-        gs = build_paths(c)
-        scale = len(c) / n            # leaf values were divided by len(c), rescale to 1/n
-        for g in gs:
-            g.v = g.v * scale
-        out.append(gs)
-    return out
+        held += tree_paths(t, 1.0 / len(trees))
+        while len(held) >= leaves:
+            yield path_groups(held[:leaves])
+            held = held[leaves:]
+    if held:
+        yield path_groups(held)
 
 
 def shap_tree(df: DataFrame, trees: list[TreeArrays], features, keep=("site", "Date"),
-              budget: int = PATH_BUDGET) -> DataFrame:
+              leaves: int = LEAVES_PER_PASS) -> DataFrame:
     """Per-row SHAP values of a forest: keep columns + SHAP_<f> + Predicted_NEE + base_value.
 
     ``keep`` columns pass through the kernel, so callers get their rows back
@@ -210,7 +196,7 @@ def shap_tree(df: DataFrame, trees: list[TreeArrays], features, keep=("site", "D
     keep = list(keep)
     nf = len(features)
     sc = df.sparkSession.sparkContext
-    chunks = _chunks(trees, budget)
+    chunks = list(_chunks(trees, leaves))
     base = sum(expected_value(c) for c in chunks)
     shap_cols = [f"SHAP_{f}" for f in features]
     in_schema = df.select(*keep).schema
@@ -244,35 +230,3 @@ def shap_tree(df: DataFrame, trees: list[TreeArrays], features, keep=("site", "D
                                   + [T.StructField("Predicted_NEE", T.DoubleType())])
         cur = cur.mapInPandas(kernel, schema)
     return cur
-
-
-def brute_force_shap(x: np.ndarray, tree_list: list[TreeArrays]) -> np.ndarray:
-    """Exact Shapley values by enumerating coalitions (tests only; small trees)."""
-    from itertools import combinations
-    from math import factorial
-
-    nf = x.shape[0]
-    n_trees = len(tree_list)
-
-    def cond_exp(tree: TreeArrays, s: set, node: int = 0) -> float:
-        f = int(tree.feature[node])
-        if f < 0 or tree.left[node] < 0:
-            return float(tree.value[node])
-        l, r = int(tree.left[node]), int(tree.right[node])
-        if f in s:
-            return cond_exp(tree, s, l if x[f] <= tree.threshold[node] else r)
-        c = tree.cover[node]
-        return (tree.cover[l] * cond_exp(tree, s, l) + tree.cover[r] * cond_exp(tree, s, r)) / c
-
-    def value(s):
-        return sum(cond_exp(t, s) for t in tree_list) / n_trees
-
-    phi = np.zeros(nf)
-    for i in range(nf):
-        others = [j for j in range(nf) if j != i]
-        for k in range(len(others) + 1):
-            wgt = factorial(k) * factorial(nf - k - 1) / factorial(nf)
-            for sub in combinations(others, k):
-                s = set(sub)
-                phi[i] += wgt * (value(s | {i}) - value(s))
-    return phi

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import small_side
 
 
 def row_hash(seed: int = C.SEED) -> Column:
@@ -72,7 +73,7 @@ def cv_group_folds(train: DataFrame) -> DataFrame:
               .select("site", "Year",
                       F.when(F.col("_n") < 2, F.raise_error(F.lit("need at least 2 unique years for year folds")))
                       .otherwise(F.col("fold")).cast("int").alias("fold")))
-    return train.join(ranked, ["site", "Year"], "inner")
+    return train.join(small_side(ranked), ["site", "Year"], "inner")
 
 
 def sample_test_rows(test: DataFrame, n: int = C.SHAP_SAMPLE, seed: int = C.SEED) -> DataFrame:

@@ -55,7 +55,6 @@ daily AS (
     {_avg('l.l_quantity')} AS SWC_10cm,
     max(o.o_totalprice) / 1e3 AS TS_10cm
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  WHERE o.o_orderstatus IN ('F', 'O')
   GROUP BY 1, 2
 ),
 daily_n AS (SELECT *, date_diff('day', DATE '1970-01-01', Date) AS _day FROM daily),

@@ -19,9 +19,9 @@ from ..operators import evaluate as E
 from ..operators import prepare as P
 from ..operators import validate as V
 from ..operators.standin import standin_predict
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import files as FS
-from .finish import finish, r, rank_key_sql as rk
+from .finish import finish, r, rank_key
 from .frames import panel, prepared, standin_frame
 
 S12 = list(C.S12)
@@ -96,8 +96,8 @@ def _sample(spark, sf_dir):
     return V.sample_test_rows(standin_frame(spark, sf_dir).where(F.col("split") == "test"))
 
 
-def _sample_long(spark, sf_dir):
-    return A.shap_values_long(_sample(spark, sf_dir), S12)
+def _test_long(spark, sf_dir):
+    return A.shap_values_long(standin_frame(spark, sf_dir).where(F.col("split") == "test"), S12)
 
 
 # --------------------------------------------------------------------------
@@ -122,7 +122,7 @@ def q_scan_panel(spark, sf_dir):
 @register("scan_multi_site", O.with_(O.panel_cte()) + f" SELECT {_PANEL_ROUNDED} FROM panel")
 def q_scan_multi_site(spark, sf_dir):
     base = _written_panel(spark, sf_dir)
-    return finish(FS.scan_multi_site(spark, base, ("F", "O"), columns=RAW), keep_exact=RAW_EXACT)
+    return finish(FS.scan_multi_site(spark, base, columns=RAW), keep_exact=RAW_EXACT)
 
 
 @register("scan_by_site_period", O.with_(O.panel_cte())
@@ -300,8 +300,10 @@ binned AS (
               ELSE least(floor((res.r - rng.r_min) / ((rng.r_max - rng.r_min) / 50e0)), 49) END AS INTEGER) AS bin
   FROM res JOIN rng USING (site, split)
 )
-SELECT site, split, bin, count(*) AS n, """ + r("any_value(r_min + bin * w)", "bin_lo") + ", "
-          + r("any_value(r_min + (bin + 1) * w)", "bin_hi") + " FROM binned GROUP BY site, split, bin")
+SELECT g.site, g.split, CAST(g.bin AS INTEGER) AS bin, count(b.bin) AS n, """ + r("any_value(g.r_min + g.bin * g.w)", "bin_lo") + ", "
+          + r("any_value(g.r_min + (g.bin + 1) * g.w)", "bin_hi") + """
+FROM (SELECT site, split, r_min, (r_max - r_min) / 50e0 AS w, unnest(range(50)) AS bin FROM rng) g
+LEFT JOIN binned b ON b.site = g.site AND b.split = g.split AND b.bin = g.bin GROUP BY g.site, g.split, g.bin""")
 def q_residual_histogram(spark, sf_dir):
     return finish(E.residual_histogram(standin_frame(spark, sf_dir)))
 
@@ -374,7 +376,7 @@ tc AS (
 @register("corr_target", _target_sql_cte() + "\nSELECT site, Feature, " + r("Correlation", "Correlation")
           + ", rank, sign FROM tc")
 def q_corr_target(spark, sf_dir):
-    return finish(COR.corr_target(_corr_frame(spark, sf_dir), C.TARGET, C32))
+    return finish(COR.corr_target(_corr_frame(spark, sf_dir), C.TARGET, C32, order_key=rank_key))
 
 
 @register("corr_top_bottom10", _target_sql_cte() + """
@@ -384,7 +386,8 @@ SELECT site, 'bottom', CAST(row_number() OVER (PARTITION BY site ORDER BY round(
   Feature, """ + r("Correlation", "Correlation") + """ FROM tc
 QUALIFY row_number() OVER (PARTITION BY site ORDER BY round(Correlation * 1e6) ASC NULLS LAST, Feature DESC) <= 10""")
 def q_corr_top_bottom10(spark, sf_dir):
-    return finish(COR.corr_top_bottom(COR.corr_target(_corr_frame(spark, sf_dir), C.TARGET, C32), 10))
+    return finish(COR.corr_top_bottom(COR.corr_target(_corr_frame(spark, sf_dir), C.TARGET, C32, order_key=rank_key), 10,
+                                      order_key=rank_key))
 
 
 def _high_sql() -> str:
@@ -399,19 +402,48 @@ FROM corr_long WHERE abs(r) > 0.8""")
 
 @register("corr_high_pairs", _high_sql())
 def q_corr_high_pairs(spark, sf_dir):
-    return finish(COR.corr_high_pairs(_corr_frame(spark, sf_dir), C32))
+    return finish(COR.corr_high_pairs(_corr_frame(spark, sf_dir), C32, order_key=rank_key))
 
 
-@register("pipeline_correlation", _target_sql_cte() + """
-SELECT site, count(*) AS n_features, """ + r("max(Correlation)", "max_r") + ", " + r("min(Correlation)", "min_r")
-          + ", " + "max(CASE WHEN rank = 1 THEN Feature END) AS top_feature FROM tc GROUP BY site")
+def _study_sql() -> str:
+    cols = _CORR_COLS
+    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    ordered = [(a, b) for a in cols for b in cols]
+    target = f"feature_a = '{C.TARGET}' AND feature_b <> '{C.TARGET}'"
+    key = "round(r * 1e6)"
+    return (_CORR_BASE + ",\n" + _corr_agg_sql(cols, pairs) + ",\n" + _corr_long_sql(cols, ordered, _cov_key(cols)) + f""",
+tc AS (SELECT site, feature_b AS Feature, r,
+    row_number() OVER (PARTITION BY site ORDER BY {key} DESC NULLS LAST, feature_b) AS up,
+    row_number() OVER (PARTITION BY site ORDER BY {key} ASC NULLS LAST, feature_b DESC) AS down FROM corr_long WHERE {target}),
+hi AS (SELECT site, feature_a, feature_b, r,
+    row_number() OVER (PARTITION BY site ORDER BY round(abs(r) * 1e6) DESC, idx_a, idx_b) AS pos
+  FROM corr_long WHERE idx_a < idx_b AND idx_a > 0 AND abs(r) > 0.8),
+rows AS (
+  SELECT site, 'correlation_matrix' AS "table", feature_a, feature_b, CAST(NULL AS INTEGER) AS position, r FROM corr_long
+  UNION ALL SELECT site, 'target_correlations', Feature, NULL, up, r FROM tc
+  UNION ALL SELECT site, 'top_bottom', Feature, 'top', up, r FROM tc WHERE up <= 10
+  UNION ALL SELECT site, 'top_bottom', Feature, 'bottom', down, r FROM tc WHERE down <= 10
+  UNION ALL SELECT site, 'high_pairs', feature_a, feature_b, pos, r FROM hi)
+SELECT site, "table", feature_a, feature_b, CAST(position AS INTEGER) AS position, """ + r("r", "r") + " FROM rows")
+
+
+@register("pipeline_correlation", _study_sql())
 def q_pipeline_correlation(spark, sf_dir):
+    """All four tables of the study, tagged and in one long form."""
     from .correlation import correlation_study
-    out = correlation_study(_corr_frame(spark, sf_dir), C.TARGET, C32)
-    tc = out["target_correlations"]
-    return finish(tc.groupBy("site").agg(
-        F.count("*").alias("n_features"), F.max("Correlation").alias("max_r"), F.min("Correlation").alias("min_r"),
-        F.max(F.when(F.col("rank") == 1, F.col("Feature"))).alias("top_feature")))
+    out = correlation_study(cut_lineage(_corr_frame(spark, sf_dir).select("site", C.TARGET, *C32)), C.TARGET, C32,
+                            order_key=rank_key)
+
+    def tagged(name, a, b, position, value):
+        return out[name].select("site", F.lit(name).alias("table"), a.alias("feature_a"), b.alias("feature_b"),
+                                position.cast("int").alias("position"), F.col(value).alias("r"))
+
+    null = F.lit(None).cast("string")
+    return finish(
+        tagged("correlation_matrix", F.col("feature_a"), F.col("feature_b"), F.lit(None), "r")
+        .unionByName(tagged("target_correlations", F.col("Feature"), null, F.col("rank"), "Correlation"))
+        .unionByName(tagged("top_bottom", F.col("Feature"), F.col("end"), F.col("position"), "Correlation"))
+        .unionByName(tagged("high_pairs", F.col("feature_1"), F.col("feature_2"), F.col("rank"), "r")))
 
 
 # --------------------------------------------------------------------------
@@ -458,8 +490,10 @@ def q_pick_quantile_rows(spark, sf_dir):
 # --------------------------------------------------------------------------
 # attribution tables (stand-in attributions)
 # --------------------------------------------------------------------------
+TEST_CTE = ",\ntest_rows AS (SELECT * FROM standin WHERE split = 'test')"
+_TEST_LONG = STANDIN + TEST_CTE + ",\nslong AS (" + _unnest_long("test_rows", S12) + ")"
 _SAMPLE_LONG = STANDIN + SAMPLE_CTE + ",\nslong AS (" + _unnest_long("sample", S12) + ")"
-_SUMMARY_SQL = _SAMPLE_LONG + """,
+_SUMMARY_SQL = _TEST_LONG + """,
 summary AS (
   SELECT site, Feature, avg(abs(shap)) AS Mean_Abs_SHAP, avg(shap) AS Mean_SHAP, stddev_pop(shap) AS Std_SHAP
   FROM slong GROUP BY site, Feature
@@ -473,7 +507,7 @@ summary_r AS (
 @register("shap_summary", _SUMMARY_SQL + " SELECT site, Feature, " + _rr(["Mean_Abs_SHAP", "Mean_SHAP", "Std_SHAP"])
           + ", rank FROM summary_r")
 def q_shap_summary(spark, sf_dir):
-    return finish(A.shap_summary(_sample_long(spark, sf_dir)))
+    return finish(A.shap_summary(_test_long(spark, sf_dir), order_key=rank_key))
 
 
 _FAMILY_SQL = """CASE
@@ -493,7 +527,7 @@ _FAMILY_SQL = """CASE
 @register("fn_feature_family", _SUMMARY_SQL + f" SELECT site, Feature, {_FAMILY_SQL} AS family, "
           + r("Mean_Abs_SHAP", "Mean_Abs_SHAP") + " FROM summary_r")
 def q_fn_feature_family(spark, sf_dir):
-    s = A.with_family(A.shap_summary(_sample_long(spark, sf_dir)))
+    s = A.with_family(A.shap_summary(_test_long(spark, sf_dir)))
     return finish(s.select("site", "Feature", "family", "Mean_Abs_SHAP"))
 
 
@@ -514,22 +548,22 @@ def _top_sql(n, src="standin", name="top") -> str:
           + r("mean_abs_shap", "mean_abs_shap") + ", rank FROM top")
 def q_top_n_shap(spark, sf_dir):
     long = A.shap_values_long(standin_frame(spark, sf_dir), S12)
-    return finish(A.top_n_shap(long, C.TOP_N_WEEKLY))
+    return finish(A.top_n_shap(long, C.TOP_N_WEEKLY, order_key=rank_key))
 
 
-@register("shap_dependence", _SAMPLE_LONG + _top_sql(C.TOP_N_DEPENDENCE, src="sample", name="top4")
+@register("shap_dependence", _TEST_LONG + _top_sql(C.TOP_N_DEPENDENCE, src="test_rows", name="top4")
           + " SELECT l.site, l.Date, l.Feature, " + r("l.value", "value") + ", " + r("l.shap", "shap")
           + ", t.rank FROM slong l JOIN top4 t USING (site, Feature)")
 def q_shap_dependence(spark, sf_dir):
-    long = _sample_long(spark, sf_dir)
-    top = A.top_n_shap(long, C.TOP_N_DEPENDENCE)
+    long = _test_long(spark, sf_dir)
+    top = A.top_n_shap(long, C.TOP_N_DEPENDENCE, order_key=rank_key)
     return finish(A.shap_dependence(long, top).select("site", "Date", "Feature", "value", "shap", "rank"))
 
 
-@register("shap_value_points", _SAMPLE_LONG + " SELECT site, Date, Feature, " + r("value", "value") + ", "
+@register("shap_value_points", _TEST_LONG + " SELECT site, Date, Feature, " + r("value", "value") + ", "
           + r("shap", "shap") + " FROM slong")
 def q_shap_value_points(spark, sf_dir):
-    return finish(_sample_long(spark, sf_dir))
+    return finish(_test_long(spark, sf_dir))
 
 
 @register("shap_explain_rows", _SAMPLE_LONG + _PICKS_CTE + """,
@@ -545,7 +579,7 @@ SELECT site, Date, Feature, quantile_slot, "order", """ + _rr(["value", "shap",
 def q_shap_explain_rows(spark, sf_dir):
     sample = _sample(spark, sf_dir)
     picks = V.pick_quantile_rows(sample, "Predicted_NEE")
-    out = A.shap_explain_rows(A.shap_values_long(sample, S12), picks)
+    out = A.shap_explain_rows(A.shap_values_long(sample, S12), picks, order_key=rank_key)
     return finish(out.select("site", "Date", "Feature", "quantile_slot", "order", "value", "shap",
                              "base_value", "Predicted_NEE", "running_total"))
 
@@ -606,7 +640,6 @@ def q_fn_standardise(spark, sf_dir):
 # --------------------------------------------------------------------------
 # weekly calendar (stand-in attributions over all rows)
 # --------------------------------------------------------------------------
-SITES = ("F", "O")
 _WEEKLY_CTE = """,
 weekly AS (
   SELECT site, CAST(date_trunc('week', Date) AS DATE) AS week, """ + ", ".join(
@@ -625,10 +658,9 @@ cal AS (
 
 
 def _grid_sql(n) -> str:
-    sites = ", ".join(f"'{s}'" for s in SITES)
     return STANDIN + _WEEKLY_CTE + _top_sql(n) + f""",
 feats AS (SELECT DISTINCT Feature FROM top),
-sites AS (SELECT unnest([{sites}]) AS site),
+sites AS (SELECT DISTINCT site FROM standin),
 grid0 AS (SELECT s.site, c.week, c.ordinal, f.Feature FROM cal c CROSS JOIN sites s CROSS JOIN feats f),
 picked AS (SELECT w.* FROM wlong w JOIN top t USING (site, Feature)),
 grid AS (
@@ -643,11 +675,8 @@ def _weekly(spark, sf_dir):
 
 
 def _grid(spark, sf_dir, n):
-    full, wide = _weekly(spark, sf_dir)
-    long_all = A.shap_values_long(full, S12, with_value=False)
-    chosen = A.top_n_shap(long_all, n)
-    cal = CAL.season_calendar(wide)
-    return CAL.aligned_grid(CAL.weekly_shap_mean(wide, S12), CAL.weekly_nee_mean(wide), cal, chosen, SITES, S12)
+    from .weekly import weekly_tables
+    return weekly_tables(standin_frame(spark, sf_dir), S12, top_n=n, order_key=rank_key)["grid"]
 
 
 @register("weekly_shap_mean", STANDIN + _WEEKLY_CTE + " SELECT site, week, Feature, " + r("mean_shap", "mean_shap")
@@ -724,7 +753,7 @@ SELECT s.site, s.week, s.ordinal, s.Feature, """ + ", ".join(
           + r("b.y_min", "y_min") + ", " + r("b.y_max", "y_max") + " FROM stacked s JOIN bounds b USING (site)")
 def q_pipeline_weekly(spark, sf_dir):
     from .weekly import weekly_tables
-    t = weekly_tables(standin_frame(spark, sf_dir), S12, SITES, C.TOP_N_WEEKLY)
+    t = weekly_tables(standin_frame(spark, sf_dir), S12, top_n=C.TOP_N_WEEKLY, order_key=rank_key)
     out = t["stacked"].join(t["bounds"], "site")
     return finish(out.select("site", "week", "ordinal", "Feature", "mean_shap", "pos_base", "neg_base",
                              "mean_nee", "y_min", "y_max"))
@@ -738,26 +767,31 @@ def q_pipeline_series(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------
-# 2.9 model operators (forest output is engine-specific: rows-only checks,
-# invariants in tests/).  Run size: QUICK (see plans/stages.py).
+# 2.9 model operators.  Forest output is engine-specific: these queries are
+# checked by invariants in tests/; their exact counterparts follow below.
+# Forest sizes, space and iterations are these queries' own parameters, passed
+# as a user would pass them.
 # --------------------------------------------------------------------------
-def _model_rows(spark, sf_dir, features=tuple(S12)):
-    from ..operators.validate import split_keys
-    from .stages import model_frame
-    pan = panel(spark, sf_dir)
-    return model_frame(pan, split_keys(pan), list(features))
+FOREST = C.ForestParams(n_estimators=10, max_depth=5, max_features="sqrt", min_samples_leaf=2, min_samples_split=5)
+RUN = C.PanelConfig(
+    forest_stage1={None: FOREST}, n_iter=3,
+    space={None: {"n_estimators": ("randint", 5, 11), "max_depth": ("choice", [3, 5, 8]),
+                  "min_samples_split": ("randint", 2, 20), "min_samples_leaf": ("randint", 1, 10),
+                  "max_features": ("choice", ["sqrt", "log2", 0.5]), "max_samples": ("uniform", 0.6, 0.4)}})
 
 
-def _quick_params():
-    return C.ForestParams(n_estimators=10, max_depth=8, max_features="sqrt", min_samples_leaf=2)
+def _per_site(spark, sf_dir, fn, features=tuple(S12)):
+    """fn(rows of one site, site) for every site of the data, results united."""
+    from functools import reduce
+    from .stages import for_sites, model_frame, site_names
+    pan = panel(spark, sf_dir)
+    keys = V.split_keys(pan)
+    outs = for_sites(site_names(pan, RUN), lambda s: fn(model_frame(pan, keys, list(features), site=s), s))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outs)
 
 
-def _per_site(spark, sf_dir, fn):
-    from functools import reduce
-    from .stages import for_sites
-    rows = _model_rows(spark, sf_dir)
-    outs = for_sites(SITES, lambda s: fn(rows.where(F.col("site") == s), s))
-    return reduce(lambda a, b: a.unionByName(b), outs)
+def _train(rows):
+    return rows.where(F.col("split") == "train")
 
 
 @register("fit_forest")
@@ -765,22 +799,20 @@ def q_fit_forest(spark, sf_dir):
     from ..operators import forest as FO
 
     def one(rows, site):
-        m = FO.fit_forest(rows.where(F.col("split") == "train"), S12, C.TARGET, _quick_params())
-        nodes = FO.node_table(spark, m)
-        return nodes.groupBy("treeID").agg(
-            F.count("*").alias("n_nodes"), F.sum(F.when(F.col("nodeData.leftChild") < 0, 1).otherwise(0)).alias("n_leaves"),
-        ).select(F.lit(site).alias("site"), "*")
+        trees = FO.tree_arrays(spark, FO.fit_forest(_train(rows), S12, C.TARGET, FOREST))
+        return spark.createDataFrame([(site, i, int(t.reachable().sum()), int((t.reachable() & (t.left < 0)).sum()))
+                                      for i, t in enumerate(trees)], "site string, treeID int, n_nodes long, n_leaves long")
     return _per_site(spark, sf_dir, one)
 
 
 @register("predict_forest")
 def q_predict_forest(spark, sf_dir):
     from ..operators import forest as FO
+    from .stages import predicted
 
     def one(rows, site):
-        m = FO.fit_forest(rows.where(F.col("split") == "train"), S12, C.TARGET, _quick_params())
-        return FO.predict_forest(m, rows, S12).select("site", "Date", "split", F.col(C.TARGET).alias("Observed_NEE"),
-                                                     "Predicted_NEE")
+        m = FO.fit_forest(_train(rows), S12, C.TARGET, FOREST)
+        return predicted(rows, m, S12).select("site", "Date", "split", "Observed_NEE", "Predicted_NEE")
     return _per_site(spark, sf_dir, one)
 
 
@@ -789,7 +821,7 @@ def q_forest_importance(spark, sf_dir):
     from ..operators import forest as FO
 
     def one(rows, site):
-        m = FO.fit_forest(rows.where(F.col("split") == "train"), S12, C.TARGET, _quick_params())
+        m = FO.fit_forest(_train(rows), S12, C.TARGET, FOREST)
         return FO.forest_importance(spark, m, S12).select(F.lit(site).alias("site"), "*")
     return _per_site(spark, sf_dir, one)
 
@@ -800,36 +832,33 @@ def q_shap_tree(spark, sf_dir):
     from ..operators import treeshap as TS
 
     def one(rows, site):
-        m = FO.fit_forest(rows.where(F.col("split") == "train"), S12, C.TARGET, _quick_params())
+        m = FO.fit_forest(_train(rows), S12, C.TARGET, FOREST)
         return TS.shap_tree(rows, FO.tree_arrays(spark, m), S12, keep=("site", "Date", "split"))
     return _per_site(spark, sf_dir, one)
 
 
+def _with_folds(rows, fn):
+    from .stages import fold_frame
+    train = fold_frame(rows)
+    try:
+        return fn(train)
+    finally:
+        train.unpersist()
+
+
 @register("rfecv_select")
 def q_rfecv_select(spark, sf_dir):
     from ..operators import select as SEL
-
-    def one(rows, site):
-        from .stages import fold_frame
-        train = fold_frame(rows)
-        res = SEL.rfecv_select(spark, train, S12, C.TARGET, _quick_params())
-        return res["selection"].select(F.lit(site).alias("site"), "*")
-    return _per_site(spark, sf_dir, one)
+    return _per_site(spark, sf_dir, lambda rows, site: _with_folds(rows, lambda train: SEL.rfecv_select(
+        spark, train, S12, C.TARGET, FOREST, parallelism=RUN.parallelism)["selection"].select(F.lit(site).alias("site"), "*")))
 
 
 @register("search_random")
 def q_search_random(spark, sf_dir):
     from ..operators import search as S
-    from .stages import QUICK
-
-    def one(rows, site):
-        from .stages import fold_frame
-        train = fold_frame(rows)
-        space = dict(C.SPACE_FIRST if site == "F" else C.SPACE_SECOND)
-        space["n_estimators"] = ("randint", 5, QUICK.search_trees_cap + 1)
-        res = S.search_random(spark, train, S12, C.TARGET, space, QUICK.n_iter)
-        return S.top_configs(res["summary"]).select(F.lit(site).alias("site"), "*")
-    return _per_site(spark, sf_dir, one)
+    return _per_site(spark, sf_dir, lambda rows, site: _with_folds(rows, lambda train: S.top_configs(S.search_random(
+        spark, train, S12, C.TARGET, RUN.of_site("space", site), RUN.n_iter, parallelism=RUN.parallelism)["summary"])
+        .select(F.lit(site).alias("site"), "*")))
 
 
 @register("oob_score")
@@ -837,8 +866,8 @@ def q_oob_score(spark, sf_dir):
     from ..operators import search as S
 
     def one(rows, site):
-        train = rows.where(F.col("split") == "train")
-        bagged = S.fit_bagged_forest(spark, train, S12, C.TARGET, _quick_params().with_(max_samples=0.8))
+        train = _train(rows)
+        bagged = S.fit_bagged_forest(spark, train, S12, C.TARGET, FOREST.with_(max_samples=0.8), RUN.parallelism)
         return S.oob_score(train, bagged, S12, C.TARGET).select(F.lit(site).alias("site"), "*")
     return _per_site(spark, sf_dir, one)
 
@@ -846,38 +875,193 @@ def q_oob_score(spark, sf_dir):
 @register("shap_export_full")
 def q_shap_export_full(spark, sf_dir):
     from ..operators import forest as FO
-    from .stages import _shap_scored
+    from .stages import attributed
 
     def one(rows, site):
-        m = FO.fit_forest(rows.where(F.col("split") == "train"), S12, C.TARGET, _quick_params())
-        return A.shap_export_full(_shap_scored(spark, rows, m, S12), S12, residuals=True)
+        m = FO.fit_forest(_train(rows), S12, C.TARGET, FOREST)
+        return A.shap_export_full(attributed(spark, rows, m, S12), S12, residuals=True)
     return _per_site(spark, sf_dir, one)
 
 
 @register("pipeline_stage1")
 def q_pipeline_stage1(spark, sf_dir):
-    from .stages import QUICK, stage1_site
-    from ..operators.validate import split_keys
-    from .stages import model_frame
-    from .stages import for_sites
+    """Every exported table of stage 1, all sites, in one long form."""
+    from functools import reduce
+    from .stages import for_sites, model_frame, site_names, stage1_site, tagged
     pan = panel(spark, sf_dir)
-    keys = split_keys(pan)
+    keys = V.split_keys(pan)
 
     def one(site):
-        feats = list(C.P32 if site == "F" else C.P34)
-        frame = model_frame(pan, keys, feats)
-        params = C.ForestParams(**(C.FOREST_FIRST if site == "F" else C.FOREST_SECOND))
-        res = stage1_site(spark, frame, site, feats, params, QUICK)
-        return res["feature_selection_results"].select(F.lit(site).alias("site"), "*")
-    outs = for_sites(SITES, one)
-    return outs[0].unionByName(outs[1])
+        feats = list(RUN.of_site("stage1_features", site))
+        return tagged(site, stage1_site(spark, model_frame(pan, keys, feats, site=site), site, feats,
+                                        RUN.of_site("forest_stage1", site), RUN))
+    return reduce(lambda a, b: a.unionByName(b), for_sites(site_names(pan, RUN), one))
 
 
 @register("pipeline_stage2")
 def q_pipeline_stage2(spark, sf_dir):
-    from .stages import QUICK, stage2_site
-    from .stages import for_sites
-    rows = _model_rows(spark, sf_dir)
-    outs = for_sites(SITES, lambda site: stage2_site(
-        spark, rows, site, S12, C.SPACE_FIRST if site == "F" else C.SPACE_SECOND, QUICK)["metrics"])
-    return outs[0].unionByName(outs[1])
+    """Every exported table of stage 2, all sites, in one long form; compared with an untuned forest on the same rows."""
+    from ..operators import forest as FO
+    from .stages import predicted, stage2_site, stage_comparison, tagged
+
+    def one(rows, site):
+        res = stage2_site(spark, rows, site, S12, RUN.of_site("space", site), RUN)
+        plain = predicted(rows, FO.fit_forest(_train(rows), S12, C.TARGET, FOREST), S12)
+        first = E.metrics_table(E.metrics_overall(plain))
+        return tagged(site, res | {"stage_comparison": stage_comparison(first, res["metrics"], len(S12), len(S12))})
+    return _per_site(spark, sf_dir, one)
+
+
+# --------------------------------------------------------------------------
+# model operators, exact in SQL: a depth-1 tree without bagging over features
+# with fewer distinct values than bins, the elimination with a closed-form
+# estimator, and the search ranking over settings of the linear predictor.
+# --------------------------------------------------------------------------
+STUMP = C.ForestParams(n_estimators=1, max_depth=1, max_features=1.0, max_bins=4096)
+STUMP_FEATURES = ["DSSM", "NDVI_nonSR_Max", "precipitation_rate"]
+_STUMP_SQL = O.with_(O.panel_cte(), O.split_cte(), O.prepared_cte(S12),
+                     "prep_split AS (SELECT p.*, s.split FROM prep p JOIN split s USING (site, Date))") + f""",
+vals AS (SELECT site, {C.TARGET} AS y, unnest([{", ".join(repr(f) for f in STUMP_FEATURES)}]) AS f, unnest([0, 1, 2]) AS fi,
+         unnest([{", ".join(STUMP_FEATURES)}]) AS v FROM prep_split WHERE split = 'train'),
+cells AS (SELECT site, f, fi, v, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM vals GROUP BY ALL),
+runs AS (SELECT *, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(q) OVER w AS lq, sum(n) OVER p AS tn, sum(s) OVER p AS ts,
+         sum(q) OVER p AS tq FROM cells
+         WINDOW w AS (PARTITION BY site, f ORDER BY v), p AS (PARTITION BY site, f)),
+best AS (SELECT *, ls / ln AS lv, (ts - ls) / (tn - ln) AS rv, ts / tn AS base FROM runs WHERE ln < tn
+  QUALIFY row_number() OVER (PARTITION BY site ORDER BY ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) DESC, fi, v) = 1)"""
+_STUMP_SIDE = "CASE WHEN " + " OR ".join(f"(f = '{f}' AND p.{f} <= v)" for f in STUMP_FEATURES) + " THEN lv ELSE rv END"
+
+
+def _stump(spark, rows):
+    from ..operators import forest as FO
+    return FO.fit_forest(_train(rows), STUMP_FEATURES, C.TARGET, STUMP, bootstrap=False)
+
+
+@register("fit_forest_exact", _STUMP_SQL + " SELECT site, f AS feature, CAST(ln AS BIGINT) AS n_left, "
+          "CAST(tn - ln AS BIGINT) AS n_right, " + r("lv", "left_value") + ", " + r("rv", "right_value") + " FROM best")
+def q_fit_forest_exact(spark, sf_dir):
+    from ..operators import forest as FO
+
+    def one(rows, site):
+        t = FO.tree_arrays(spark, _stump(spark, rows))[0]
+        a, b = t.left[0], t.right[0]
+        return spark.createDataFrame(
+            [(site, STUMP_FEATURES[t.feature[0]], int(t.cover[a]), int(t.cover[b]), float(t.value[a]), float(t.value[b]))],
+            "site string, feature string, n_left long, n_right long, left_value double, right_value double")
+    return finish(_per_site(spark, sf_dir, one))
+
+
+@register("predict_forest_exact", _STUMP_SQL + f" SELECT p.site, p.Date, p.split, {r(_STUMP_SIDE, 'Predicted_NEE')} "
+          "FROM prep_split p JOIN best USING (site)")
+def q_predict_forest_exact(spark, sf_dir):
+    from ..operators import forest as FO
+    return finish(_per_site(spark, sf_dir, lambda rows, site: FO.predict_forest(
+        _stump(spark, rows), rows, STUMP_FEATURES).select("site", "Date", "split", "Predicted_NEE")))
+
+
+@register("forest_importance_exact", _STUMP_SQL + f""",
+names AS (SELECT unnest([{", ".join(repr(f) for f in STUMP_FEATURES)}]) AS Feature)
+SELECT site, Feature, CASE WHEN Feature = f THEN 1e0 ELSE 0e0 END AS Importance,
+  CAST(row_number() OVER (PARTITION BY site ORDER BY Feature = f DESC, Feature) AS INTEGER) AS rank FROM best, names""")
+def q_forest_importance_exact(spark, sf_dir):
+    from ..operators import forest as FO
+    return finish(_per_site(spark, sf_dir, lambda rows, site: FO.forest_importance(
+        spark, _stump(spark, rows), STUMP_FEATURES).select(F.lit(site).alias("site"), "*")))
+
+
+@register("shap_tree_exact", _STUMP_SQL + " SELECT p.site, p.Date, " + ", ".join(
+    r(f"CASE WHEN f = '{x}' THEN {_STUMP_SIDE} - base ELSE 0e0 END", f"SHAP_{x}") for x in STUMP_FEATURES)
+    + ", " + r(_STUMP_SIDE, "Predicted_NEE") + ", " + r("base", "base_value") + " FROM prep_split p JOIN best USING (site)")
+def q_shap_tree_exact(spark, sf_dir):
+    from ..operators import forest as FO
+    from ..operators import treeshap as TS
+    return finish(_per_site(spark, sf_dir, lambda rows, site: TS.shap_tree(
+        rows, FO.tree_arrays(spark, _stump(spark, rows)), STUMP_FEATURES)))
+
+
+@register("shap_export_full_exact", _STUMP_SQL + f""",
+scored AS (SELECT p.*, f, base, {C.TARGET} AS obs, {_STUMP_SIDE} AS pred FROM prep_split p JOIN best USING (site))
+SELECT site, Date, Year, Month, """ + r("obs", "Observed_NEE") + ", " + r("pred", "Predicted_NEE") + ", "
+    + r("obs - pred", "Residual") + ", " + r("abs(obs - pred)", "Abs_Residual") + ", " + ", ".join(
+    r(f"CASE WHEN f = '{x}' THEN pred - base ELSE 0e0 END", f"SHAP_{x}") for x in STUMP_FEATURES) + " FROM scored")
+def q_shap_export_full_exact(spark, sf_dir):
+    from .stages import attributed
+    return finish(_per_site(spark, sf_dir, lambda rows, site: A.shap_export_full(
+        attributed(spark, rows, _stump(spark, rows), STUMP_FEATURES), STUMP_FEATURES)))
+
+
+_FOLDS_SQL = O.with_(O.panel_cte(), O.split_cte(), O.prepared_cte(S12),
+                     "prep_split AS (SELECT p.*, s.split FROM prep p JOIN split s USING (site, Date))")
+ELIMINATED = ["DSSM", "NDVI_nonSR_Max", "RG_min", "precipitation_rate", "SWC_10cm", "TS_10cm"]
+_ELIMINATION_SQL = _FOLDS_SQL + f""",
+train AS (SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY Year) AS fold FROM prep_split WHERE split = 'train'),
+vals AS (SELECT site, Date, fold, {C.TARGET} AS y, unnest([{", ".join(repr(f) for f in ELIMINATED)}]) AS f,
+         unnest({list(range(len(ELIMINATED)))}) AS fi, unnest([{", ".join(ELIMINATED)}]) AS x FROM train),
+held AS (SELECT DISTINCT site, fold AS k FROM train UNION ALL SELECT DISTINCT site, -1 FROM train),
+fits AS (SELECT h.site, h.k, f, fi, avg(x) AS mx, avg(y) AS my, coalesce(covar_pop(x, y) / nullif(var_pop(x), 0), 0) AS slope,
+         coalesce(abs(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)), 0) AS imp
+  FROM vals v JOIN held h ON v.site = h.site AND v.fold <> h.k GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY site, k ORDER BY imp DESC, fi) AS n FROM fits),
+preds AS (SELECT v.site, t.k, v.y, t.n,
+          t.my + sum(t.slope * (v.x - t.mx)) OVER (PARTITION BY v.site, v.Date ORDER BY t.n) / t.n AS p
+  FROM vals v JOIN ranked t ON v.site = t.site AND v.fold = t.k AND v.f = t.f),
+scores AS (SELECT site, k, n, 1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0) AS r2 FROM preds GROUP BY ALL),
+curve AS (SELECT site, n, avg(r2) AS cv, stddev_pop(r2) AS sd FROM scores GROUP BY ALL),
+best AS (SELECT site, n AS n_best FROM curve QUALIFY row_number() OVER (PARTITION BY site ORDER BY cv DESC, n) = 1)"""
+
+
+def _eliminate(spark, sf_dir, table):
+    from ..operators import select as SEL
+    from ..operators.standin import MarginalEstimator
+    return _per_site(spark, sf_dir, lambda rows, site: _with_folds(rows, lambda train: SEL.rfecv_select(
+        spark, train, ELIMINATED, C.TARGET, MarginalEstimator(), parallelism=RUN.parallelism)[table]
+        .select(F.lit(site).alias("site"), "*")))
+
+
+@register("rfecv_select_exact", _ELIMINATION_SQL + """
+SELECT site, f AS Feature, n <= n_best AS Selected, CAST(greatest(1, n - n_best + 1) AS INTEGER) AS Ranking
+FROM ranked JOIN best USING (site) WHERE k = -1""")
+def q_rfecv_select_exact(spark, sf_dir):
+    return _eliminate(spark, sf_dir, "selection")
+
+
+@register("rfecv_curve_exact", _ELIMINATION_SQL + " SELECT site, CAST(n AS INTEGER) AS N_Features, " + r("cv", "CV_R2")
+          + ", " + r("sd", "CV_R2_std") + " FROM curve")
+def q_rfecv_curve_exact(spark, sf_dir):
+    return finish(_eliminate(spark, sf_dir, "curve"))
+
+
+SETTINGS = [0.25, 0.5, 1.0, 1.5, -0.5]
+
+
+@register("search_ranking_exact", STANDIN + f""",
+folds AS (SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY Year) AS fold FROM standin WHERE split = 'train'),
+tried AS (SELECT s.*, unnest({list(range(len(SETTINGS)))}) AS config_id, unnest({SETTINGS}) AS c FROM folds s),
+errs AS (SELECT site, config_id, fold, Observed_NEE AS y, Observed_NEE - (base_value + c * (Predicted_NEE - base_value)) AS e FROM tried),
+held AS (SELECT DISTINCT site, fold AS k FROM folds),
+scores AS (SELECT e.site, config_id, k,
+    1 - sum(CASE WHEN fold <> k THEN e.e * e.e END) / nullif(var_pop(CASE WHEN fold <> k THEN y END) * count(CASE WHEN fold <> k THEN 1 END), 0) AS train_r2,
+    1 - sum(CASE WHEN fold = k THEN e.e * e.e END) / nullif(var_pop(CASE WHEN fold = k THEN y END) * count(CASE WHEN fold = k THEN 1 END), 0) AS test_r2
+  FROM errs e JOIN held h ON e.site = h.site GROUP BY ALL),
+ranked AS (SELECT site, config_id, avg(test_r2) AS mean_test_score, stddev_pop(test_r2) AS std_test_score,
+    avg(train_r2) AS mean_train_score, stddev_pop(train_r2) AS std_train_score FROM scores GROUP BY ALL)
+SELECT site, config_id, """ + _rr(["mean_test_score", "std_test_score", "mean_train_score", "std_train_score"]) + """,
+  CAST(rank() OVER (PARTITION BY site ORDER BY mean_test_score DESC NULLS LAST) AS INTEGER) AS rank_test_score FROM ranked""")
+def q_search_ranking_exact(spark, sf_dir):
+    """Fold scores and ranking of several settings of the linear predictor, by the search's own operators."""
+    from functools import reduce
+    from ..operators import search as S
+    from ..operators.select import r2_by_fold
+    train = V.cv_group_folds(standin_frame(spark, sf_dir).where(F.col("split") == "train"))
+    train = cut_lineage(train.select("site", "fold", "base_value", C.TARGET, F.col("Predicted_NEE").alias("_p")))
+    outs = []
+    for site, folds in sorted((r["site"], sorted(r["folds"])) for r in train.groupBy("site").agg(
+            F.collect_set("fold").alias("folds")).collect()):
+        rows = train.where(F.col("site") == site)
+        scores = []
+        for i, c in enumerate(SETTINGS):
+            pred = rows.withColumn("Predicted_NEE", F.col("base_value") + F.lit(c) * (F.col("_p") - F.col("base_value")))
+            scores += [(i, int(k), *r2_by_fold(pred, C.TARGET, "fold", k)) for k in folds]
+        long = spark.createDataFrame(scores, "config_id int, fold int, train_r2 double, test_r2 double")
+        outs.append(S.rank_configs(long).select(F.lit(site).alias("site"), "*"))
+    return finish(reduce(lambda a, b: a.unionByName(b), outs))

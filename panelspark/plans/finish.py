@@ -34,7 +34,11 @@ def r(expr: str, alias: str) -> str:
 
 
 def rank_key(c):
-    """Order key at the reported precision: values equal to 6 decimals tie (then a name decides)."""
+    """Order key of the checked queries: values equal to 6 decimals tie (then a name decides).
+
+    Collinear panel columns tie except for the last bit of a double, which
+    differs between engines. Library operators rank by raw values.
+    """
     return F.round(c * F.lit(SCALE), 0)
 
 

@@ -8,40 +8,26 @@ from .. import config as C
 from ..operators.prepare import prepare, scan_by_site_period
 from ..operators.standin import standin_predict
 from ..operators.validate import split_keys, split_stratified
-import os
-
 from pyspark.sql.utils import AnalysisException
 
-from ..session import scratch_path, tune
+from ..session import listing, scratch_path
 from ..sources.panel import driver_panel
 
 _MATERIALISED: dict = {}
 
 
-def _stamp(sf_dir: str) -> tuple:
-    out = []
-    for t in ("orders", "lineitem"):
-        p = f"{sf_dir}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            out.append((st.st_mtime_ns, st.st_size))
-        except OSError:
-            out.append(None)
-    return tuple(out)
-
-
-def panel(spark: SparkSession, sf_dir: str, sites=("F", "O"), materialise: bool = True) -> DataFrame:
-    """The daily site panel derived from orders and line items.
+def panel(spark: SparkSession, sf_dir: str, sites=None, materialise: bool = True) -> DataFrame:
+    """The daily site panel derived from orders and line items (all sites of the data by default).
 
     Built once per session and input version as a parquet table partitioned
     by site in the shared checkpoint folder (a staging table: later plans
     get partition pruning on site, column pruning, and no recomputation of
     the join and daily aggregates); ``materialise=False`` returns the lazy plan.
     """
-    spark = tune(spark)
     if not materialise:
         return driver_panel(spark, sf_dir, sites)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(sites), _stamp(sf_dir))
+    stamp = tuple(listing(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    key = (spark.sparkContext.applicationId, None if sites is None else tuple(sites), stamp)
     lazy = driver_panel(spark, sf_dir, sites)
     path = _MATERIALISED.get(key)
     if path is not None:
@@ -59,7 +45,7 @@ def panel(spark: SparkSession, sf_dir: str, sites=("F", "O"), materialise: bool
 
 
 def prepared(spark: SparkSession, sf_dir: str, features=tuple(C.S12), period: str = "",
-             sites=("F", "O")) -> DataFrame:
+             sites=None) -> DataFrame:
     """Panel -> period rows -> seasonal angle -> complete cases -> date parts -> split."""
     pan = panel(spark, sf_dir, sites)
     keys = split_keys(pan)

@@ -4,6 +4,7 @@
     python -m panelspark.plans.run stage2 --sf ... --out ...      (compares with stage 1 if present)
     python -m panelspark.plans.run weekly --sf ... --out ...      (reads stage-2 full predictions)
     python -m panelspark.plans.run correlation --sf ... --out ...
+    python -m panelspark.plans.run stage1 --input /shared/sites --out ...   (own site tables, any site names)
 
 Tables are written per site under ``<out>/<site>/<stage>/<table>`` as CSV
 (header) or parquet; row-level tables are written by Spark tasks in
@@ -20,10 +21,12 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..operators import validate as V
-from ..sources.files import read_optional, sink_table
+from ..operators.prepare import prepare, scan_by_site_period
+from ..session import cut_lineage
+from ..sources.files import read_optional, scan_site_tables, sink_table
 from .correlation import correlation_study
 from .frames import panel
-from .stages import QUICK, RunSize, for_sites, model_frame, stage1_site, stage2_site, stage_comparison
+from .stages import for_sites, model_frame, site_names, stage1_site, stage2_site, stage_comparison
 from .weekly import observed_predicted_series, require_calendar, weekly_tables
 
 METRICS_SCHEMA = T.StructType([T.StructField("site", T.StringType()), T.StructField("Metric", T.StringType()),
@@ -38,26 +41,33 @@ def write_tables(tables: dict, base: str, fmt: str = "csv") -> list[str]:
     return out
 
 
-def run_stage1(spark: SparkSession, cfg: C.PanelConfig, sf_dir: str, out: str, size: RunSize, fmt: str = "csv"):
-    pan = panel(spark, sf_dir, cfg.sites)
-    keys = V.split_keys(pan)
+def load_panel(spark: SparkSession, cfg: C.PanelConfig, sf_dir: str | None = None, input_dir: str | None = None):
+    """The all-site panel: the user's site tables below ``input_dir``, else derived from the given tables."""
+    if input_dir is None:
+        return panel(spark, sf_dir, cfg.sites)
+    df = scan_site_tables(spark, input_dir, cfg.period)
+    return df if cfg.sites is None else df.where(F.col("site").isin(*cfg.sites))
+
+
+def run_stage1(spark: SparkSession, cfg: C.PanelConfig, pan: DataFrame, out: str, fmt: str = "csv"):
+    keys = V.split_keys(pan, cfg.target)
 
     def one(site):
-        feats = list(cfg.stage1_features[site])
-        frame = model_frame(pan, keys, feats, cfg.period)
-        res = stage1_site(spark, frame, site, feats, cfg.forest_stage1[site], size)
+        feats = list(cfg.of_site("stage1_features", site))
+        frame = model_frame(pan, keys, feats, cfg.period, site, cfg.target)
+        res = stage1_site(spark, frame, site, feats, cfg.of_site("forest_stage1", site), cfg)
         write_tables(res, f"{out}/{site}/stage1", fmt)
         return site, res["selected"]
-    return dict(for_sites(list(cfg.sites), one))
+    return dict(for_sites(site_names(pan, cfg), one))
 
 
-def run_stage2(spark: SparkSession, cfg: C.PanelConfig, sf_dir: str, out: str, size: RunSize, fmt: str = "csv"):
-    pan = panel(spark, sf_dir, cfg.sites)
+def run_stage2(spark: SparkSession, cfg: C.PanelConfig, pan: DataFrame, out: str, fmt: str = "csv"):
     feats = list(cfg.stage2_features)
-    frame = model_frame(pan, V.split_keys(pan), feats, cfg.period)
+    keys = V.split_keys(pan, cfg.target)
 
     def one(site):
-        res = stage2_site(spark, frame, site, feats, cfg.space[site], size)
+        frame = model_frame(pan, keys, feats, cfg.period, site, cfg.target)
+        res = stage2_site(spark, frame, site, feats, cfg.of_site("space", site), cfg)
         write_tables({k: v for k, v in res.items() if k != "scored"}, f"{out}/{site}/stage2", fmt)
         s1 = read_optional(spark, f"{out}/{site}/stage1/metrics", METRICS_SCHEMA, fmt)
         n1 = read_optional(spark, f"{out}/{site}/stage1/feature_selection_results",
@@ -68,14 +78,14 @@ def run_stage2(spark: SparkSession, cfg: C.PanelConfig, sf_dir: str, out: str, s
         cmp = stage_comparison(s1.withColumn("site", F.lit(site)), res["metrics"], n_sel or None, len(feats))
         sink_table(cmp, f"{out}/{site}/stage2/stage_comparison", fmt)
         return site
-    for_sites(list(cfg.sites), one)
+    return for_sites(site_names(pan, cfg), one)
 
 
-def run_weekly(spark: SparkSession, cfg: C.PanelConfig, out: str, fmt: str = "csv"):
+def run_weekly(spark: SparkSession, cfg: C.PanelConfig, sites, out: str, fmt: str = "csv"):
     """Weekly calendar over every site's stage-2 full predictions (one multi-site plan)."""
     feats = list(cfg.stage2_features)
     parts = []
-    for site in cfg.sites:
+    for site in sites:
         path = f"{out}/{site}/stage2/full_dataset_predictions_shap_values"
         reader = spark.read.option("header", True) if fmt == "csv" else spark.read
         df = reader.csv(path) if fmt == "csv" else reader.parquet(path)
@@ -86,40 +96,46 @@ def run_weekly(spark: SparkSession, cfg: C.PanelConfig, out: str, fmt: str = "cs
     for p in parts[1:]:
         full = full.unionByName(p)
     for label, n in (("all", None), (f"top{cfg.top_n}", cfg.top_n)):
-        t = weekly_tables(full, feats, cfg.sites, n)
+        t = weekly_tables(full, feats, sites, n)
         require_calendar(t["calendar"])
         write_tables(t, f"{out}/weekly/{label}", fmt)
     sink_table(observed_predicted_series(full), f"{out}/weekly/series", fmt)
 
 
-def run_correlation(spark: SparkSession, cfg: C.PanelConfig, sf_dir: str, out: str, fmt: str = "csv"):
-    from ..operators.prepare import prepare, scan_by_site_period
-    rows = prepare(scan_by_site_period(panel(spark, sf_dir, cfg.sites), period=cfg.period),
-                   cfg.correlation_features)
-    write_tables(correlation_study(rows, cfg.target, cfg.correlation_features), f"{out}/correlation", fmt)
+def run_correlation(spark: SparkSession, cfg: C.PanelConfig, pan: DataFrame, out: str, fmt: str = "csv"):
+    feats = list(cfg.correlation_features)
+    rows = prepare(scan_by_site_period(pan, period=cfg.period), feats, cfg.target)
+    write_tables(correlation_study(cut_lineage(rows.select("site", cfg.target, *feats)), cfg.target, feats),
+                 f"{out}/correlation", fmt)
 
 
 def main(argv=None):
     ap = argparse.ArgumentParser(prog="panelspark")
     ap.add_argument("what", choices=["stage1", "stage2", "weekly", "correlation"])
-    ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--sf", default="/root/testdata/sf0.01", help="folder of orders and lineitem")
+    ap.add_argument("--input", help="folder of the user's site tables ({site}_complete{_period}.csv, or "
+                                    "complete{_period}/site={site}/*.csv)")
     ap.add_argument("--out", required=True)
     ap.add_argument("--period", default="")
-    ap.add_argument("--quick", action="store_true", help="small run size (3 search iterations, 10 trees)")
+    ap.add_argument("--sites", nargs="*", help="default: every site of the data")
+    ap.add_argument("--target", default=C.TARGET)
+    ap.add_argument("--n-iter", type=int, default=100)
+    ap.add_argument("--parallelism", type=int, default=8)
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
     a = ap.parse_args(argv)
     from ..session import get_session
     spark = get_session()
-    cfg = C.PanelConfig(period=a.period)
-    size = QUICK if a.quick else RunSize()
+    cfg = C.PanelConfig(period=a.period, sites=tuple(a.sites) if a.sites else None, target=a.target, n_iter=a.n_iter,
+                        parallelism=a.parallelism)
+    pan = load_panel(spark, cfg, a.sf, a.input)
     if a.what == "stage1":
-        run_stage1(spark, cfg, a.sf, a.out, size, a.format)
+        run_stage1(spark, cfg, pan, a.out, a.format)
     elif a.what == "stage2":
-        run_stage2(spark, cfg, a.sf, a.out, size, a.format)
+        run_stage2(spark, cfg, pan, a.out, a.format)
     elif a.what == "weekly":
-        run_weekly(spark, cfg, a.out, a.format)
+        run_weekly(spark, cfg, site_names(pan, cfg), a.out, a.format)
     else:
-        run_correlation(spark, cfg, a.sf, a.out, a.format)
+        run_correlation(spark, cfg, pan, a.out, a.format)
 
 
 if __name__ == "__main__":

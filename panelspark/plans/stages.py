@@ -11,13 +11,11 @@ scores, one SHAP pass); all table work is lazy DataFrame algebra.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..config import ForestParams
+from ..config import ForestParams, PanelConfig
 from ..operators import attribution as A
 from ..operators import evaluate as E
 from ..operators import forest as FO
@@ -29,44 +27,29 @@ from ..operators.prepare import prepare, scan_by_site_period
 from ..session import cut_lineage
 
 
-@dataclass(frozen=True)
-class RunSize:
-    """How much model work a run does (the analysis' own settings are the defaults)."""
-
-    n_iter: int = 100
-    stage1_trees: int | None = None        # None: as configured per site
-    search_trees_cap: int | None = None    # None: as drawn from the space
-    oob: bool = True
-    parallelism: int = 8
-
-
-QUICK = RunSize(n_iter=3, stage1_trees=10, search_trees_cap=10, oob=True, parallelism=8)
-
+def site_names(panel: DataFrame, cfg: PanelConfig) -> list[str]:
+    """The run's sites: those configured, else all of the panel (one small row per site)."""
+    return list(cfg.sites) if cfg.sites is not None else sorted(
+        r["site"] for r in panel.select("site").distinct().collect())
 
-ROWS_PER_PARTITION = 250_000
 
+def model_frame(panel: DataFrame, keys: DataFrame, features, period: str = "", site: str | None = None,
+                target: str = C.TARGET) -> DataFrame:
+    """Prepared, split rows of one site (or all) for one feature list, checkpointed (every fit rereads it).
 
-def model_frame(panel: DataFrame, keys: DataFrame, features, period: str = "") -> DataFrame:
-    """Prepared, split rows of all sites for one feature list, checkpointed (every fit rereads it).
-
-    Partitions are sized to the row count: each of the many model fits runs
-    one task per partition and level, so a small panel in many partitions
-    pays scheduling overhead, while a large one keeps full parallelism.
+    Rows are dealt by (site, Date) over the session's default parallelism and
+    sorted, so that seeded fits depend on rows and parallelism only.
     """
-    rows = prepare(scan_by_site_period(panel, period=period), features)
-    rows = V.split_stratified(rows, keys)
-    frame = cut_lineage(rows.select("site", "Date", "Year", "Month", "split", *features, C.TARGET))
-    n = frame.count()
-    parts = max(1, -(-n // ROWS_PER_PARTITION))
-    if parts < frame.rdd.getNumPartitions():
-        frame = cut_lineage(frame.coalesce(parts))
-    return frame
+    rows = scan_by_site_period(panel, sites=None if site is None else [site], period=period)
+    rows = V.split_stratified(prepare(rows, features, target), keys)
+    n = panel.sparkSession.sparkContext.defaultParallelism
+    return cut_lineage(rows.select("site", "Date", "Year", "Month", "split", *features, target)
+                       .repartition(n, "site", "Date").sortWithinPartitions("site", "Date"))
 
 
 def fold_frame(rows: DataFrame) -> DataFrame:
-    """Training rows with their year fold, cached at the rows' partitioning for the fit loops."""
-    folds = V.cv_group_folds(rows.where(F.col("split") == "train"))
-    return folds.coalesce(max(1, rows.rdd.getNumPartitions())).cache()
+    """Training rows with their year fold, cached for the fit loops (the caller unpersists it)."""
+    return V.cv_group_folds(rows.where(F.col("split") == "train")).cache()
 
 
 def _evaluate(spark, pred: DataFrame, features, model_label: str, extra_metrics: dict) -> dict:
@@ -82,43 +65,53 @@ def _evaluate(spark, pred: DataFrame, features, model_label: str, extra_metrics:
     }
 
 
-def _attribution(scored: DataFrame, features) -> dict:
-    """SHAP tables from one SHAP pass over all rows (filtered, never recomputed)."""
-    test = scored.where(F.col("split") == "test")
-    sample = V.sample_test_rows(test)
-    long = A.shap_values_long(sample, features)
-    top4 = A.top_n_shap(long, C.TOP_N_DEPENDENCE)
-    picks = V.pick_quantile_rows(sample, "Predicted_NEE")
+def _attribution(test: DataFrame, features, sample: int | None) -> dict:
+    """SHAP tables of the attributed test rows; the explained rows come from a bounded sample."""
+    rows = test if sample is None else V.sample_test_rows(test, sample)
+    long = A.shap_values_long(rows, features)
+    picked = V.sample_test_rows(test)
+    picks = V.pick_quantile_rows(picked, "Predicted_NEE")
     return {
         "shap_feature_importance": A.shap_summary(long),
-        "shap_values": A.shap_export_test(scored, features),
-        "shap_dependence": A.shap_dependence(long, top4),
+        "shap_values": A.shap_export_test(test, features),
+        "shap_dependence": A.shap_dependence(long, A.top_n_shap(long, C.TOP_N_DEPENDENCE)),
         "shap_value_points": long,
-        "shap_explain_rows": A.shap_explain_rows(long, picks),
+        "shap_explain_rows": A.shap_explain_rows(A.shap_values_long(picked, features), picks),
     }
 
 
-def _shap_scored(spark, rows: DataFrame, model, features) -> DataFrame:
+def predicted(rows: DataFrame, model, features, target: str = C.TARGET) -> DataFrame:
+    """Rows with observed and predicted target (no attribution)."""
+    return FO.predict_forest(model, rows, features).withColumn("Observed_NEE", F.col(target))
+
+
+def attributed(spark, rows: DataFrame, model, features, target: str = C.TARGET) -> DataFrame:
     """Predictions and attributions in one narrow pass (rows flow through the kernel)."""
-    trees = FO.tree_arrays(spark, model)
-    scored = TS.shap_tree(rows, trees, features, keep=tuple(rows.columns))
-    return scored.withColumn("Observed_NEE", F.col(C.TARGET))
+    scored = TS.shap_tree(rows, FO.tree_arrays(spark, model), features, keep=tuple(rows.columns))
+    return scored.withColumn("Observed_NEE", F.col(target))
 
 
 def stage1_site(spark: SparkSession, frame: DataFrame, site: str, features, params: ForestParams,
-                size: RunSize = RunSize(), refit_on_full: bool = True) -> dict:
-    """Feature elimination for one site, then evaluation and attribution of the selected model."""
-    if size.stage1_trees:
-        params = params.with_(n_estimators=size.stage1_trees)
-    rows = frame.where(F.col("site") == site).select("site", "Date", "Year", "Month", "split", *features, C.TARGET)
+                cfg: PanelConfig = PanelConfig(), refit_on_full: bool = True) -> dict:
+    """Feature elimination for one site, then evaluation and attribution of the selected model.
+
+    Metrics come from plain predictions; attributions are computed for the
+    test rows, and for all rows only for the full export.
+    """
+    target = cfg.target
+    rows = frame.where(F.col("site") == site).select("site", "Date", "Year", "Month", "split", *features, target)
     train = fold_frame(rows)
-    sel = SEL.rfecv_select(spark, train, features, C.TARGET, params, parallelism=size.parallelism)
-    chosen = sel["selected"]
-    model = FO.fit_forest(train, chosen, C.TARGET, params)
-    scored = _shap_scored(spark, rows, model, chosen).cache()
-    out = _evaluate(spark, scored, chosen, "Default RF",
+    try:
+        sel = SEL.rfecv_select(spark, train, features, target, params, parallelism=cfg.parallelism)
+        chosen = sel["selected"]
+        model = FO.fit_forest(train, chosen, target, params)
+    finally:
+        train.unpersist()
+    pred = cut_lineage(predicted(rows, model, chosen, target))
+    test = cut_lineage(attributed(spark, rows.where(F.col("split") == "test"), model, chosen, target))
+    out = _evaluate(spark, pred, chosen, "Default RF",
                     {"CV_Best": F.lit(sel["cv_best"]), "N_Features": F.lit(float(len(chosen)))})
-    out.update(_attribution(scored, chosen))
+    out.update(_attribution(test, chosen, cfg.shap_sample))
     out.update({
         "feature_selection_results": sel["selection"].orderBy("Ranking", "Feature"),
         "rfecv_performance_curve": sel["curve"].orderBy("N_Features"),
@@ -126,33 +119,37 @@ def stage1_site(spark: SparkSession, frame: DataFrame, site: str, features, para
         "rf_default_parameters": S.params_table(spark, params),
         "selected": chosen,
     })
-    full_model = FO.fit_forest(rows, chosen, C.TARGET, params) if refit_on_full else model
-    full = _shap_scored(spark, rows, full_model, chosen) if refit_on_full else scored
+    full_model = FO.fit_forest(rows, chosen, target, params) if refit_on_full else model
+    full = cut_lineage(attributed(spark, rows, full_model, chosen, target))
     out["full_dataset_predictions_shap_values"] = A.shap_export_full(full, chosen, residuals=False)
-    train.unpersist()
     return out
 
 
 def stage2_site(spark: SparkSession, frame: DataFrame, site: str, features, space: dict,
-                size: RunSize = RunSize()) -> dict:
-    """Random search for one site, then evaluation (with OOB) and attribution of the best model."""
-    if size.search_trees_cap:
-        space = dict(space)
-        lo, hi = space["n_estimators"][1], space["n_estimators"][2]
-        space["n_estimators"] = ("randint", min(lo, size.search_trees_cap), min(hi, size.search_trees_cap + 1))
-    rows = frame.where(F.col("site") == site).select("site", "Date", "Year", "Month", "split", *features, C.TARGET)
+                cfg: PanelConfig = PanelConfig()) -> dict:
+    """Random search for one site, then evaluation and attribution of the best model.
+
+    MLlib does not tell which rows a tree has seen, so the out-of-bag score
+    belongs to a second forest with the same parameters whose bags are drawn
+    explicitly; its column is named accordingly.
+    """
+    target = cfg.target
+    rows = frame.where(F.col("site") == site).select("site", "Date", "Year", "Month", "split", *features, target)
     train = fold_frame(rows)
-    res = S.search_random(spark, train, features, C.TARGET, space, size.n_iter, parallelism=size.parallelism)
-    model, best = res["model"], res["best_params"]
-    extra = {"CV_Best": F.lit(res["cv_best"])}
-    oob_tab = None
-    if size.oob:
-        bagged = S.fit_bagged_forest(spark, train, features, C.TARGET, best, size.parallelism)
-        oob_tab = S.oob_score(train.select("site", "Date", C.TARGET, *features), bagged, features, C.TARGET)
-        extra["OOB"] = F.lit(oob_tab.collect()[0]["oob_r2"])
-    scored = _shap_scored(spark, rows, model, features).cache()
+    try:
+        res = S.search_random(spark, train, features, target, space, cfg.n_iter, parallelism=cfg.parallelism)
+        model, best = res["model"], res["best_params"]
+        extra = {"CV_Best": F.lit(res["cv_best"])}
+        oob_tab = None
+        if cfg.oob:
+            bagged = S.fit_bagged_forest(spark, train, features, target, best, cfg.parallelism)
+            oob_tab = cut_lineage(S.oob_score(train.select("site", "Date", target, *features), bagged, features, target))
+            extra["OOB_Explicit_Bags"] = F.lit(oob_tab.collect()[0]["oob_r2"])
+    finally:
+        train.unpersist()
+    scored = cut_lineage(attributed(spark, rows, model, features, target))
     out = _evaluate(spark, scored, features, "Tuned RF", extra)
-    out.update(_attribution(scored, features))
+    out.update(_attribution(scored.where(F.col("split") == "test"), features, cfg.shap_sample))
     out.update({
         "best_hyperparameters": S.params_table(spark, best),
         "hyperparameter_search_top20": S.top_configs(res["summary"], 20),
@@ -163,7 +160,17 @@ def stage2_site(spark: SparkSession, frame: DataFrame, site: str, features, spac
     })
     if oob_tab is not None:
         out["oob"] = oob_tab
-    train.unpersist()
+    return out
+
+
+def tagged(site: str, tables: dict) -> DataFrame:
+    """Every table of a run in one long form: (site, table, row as JSON)."""
+    frames = [df.select(F.lit(site).alias("site"), F.lit(name).alias("table"),
+                        F.to_json(F.struct("*")).alias("row"))
+              for name, df in tables.items() if isinstance(df, DataFrame) and name != "scored"]
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
     return out
 
 
@@ -182,10 +189,13 @@ def stage_comparison(stage1_metrics: DataFrame, stage2_metrics: DataFrame, n1: i
     return both.unionByName(s2.join(s1.select("site"), "site", "left_semi"))
 
 
+SITE_THREADS = 4                   # sites whose jobs are submitted at a time
+
+
 def for_sites(sites, fn, parallel: bool = True) -> list:
     """Run fn(site) for every site, concurrently (each site's jobs are independent)."""
     from concurrent.futures import ThreadPoolExecutor
     if not parallel or len(sites) < 2:
         return [fn(s) for s in sites]
-    with ThreadPoolExecutor(max_workers=len(sites)) as pool:
+    with ThreadPoolExecutor(max_workers=min(len(sites), SITE_THREADS)) as pool:
         return list(pool.map(fn, sites))

@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators import attribution as A
 from ..operators import calendar as CAL
+from ..operators.ordering import as_is
+from ..session import cut_lineage
 
 
-def weekly_tables(full: DataFrame, features, sites, top_n: int | None = C.TOP_N_WEEKLY) -> dict[str, DataFrame]:
+def weekly_tables(full: DataFrame, features, sites=None, top_n: int | None = C.TOP_N_WEEKLY,
+                  order_key=as_is) -> dict[str, DataFrame]:
     """From full-data predictions + SHAP columns of all sites to the aligned weekly tables.
 
-    scan -> per-site top-n features -> one weekly aggregate -> calendar ->
-    aligned grid (zero-filled SHAP, NULL target gaps) -> stack offsets, sums, bounds.
+    One aggregate per (site, week) over the rows; the top features, the
+    calendar, the aligned grid (zero-filled SHAP, NULL target gaps), stack
+    offsets, sums and bounds follow from it. ``sites=None``: those of the data.
     """
     features = list(features)
-    wide = CAL.weekly_wide(full, features)
-    chosen = A.top_n_shap(A.shap_values_long(full, features, with_value=False), top_n)
+    weekly = cut_lineage(CAL.weekly_sums(full, features))
+    if sites is None:
+        sites = sorted(r["site"] for r in weekly.select("site").distinct().collect())
+    wide = CAL.weekly_means(weekly, features)
+    chosen = A.rank_features(CAL.mean_abs_shap(weekly, [f for f in features if top_n is None or f not in C.SEASONAL]),
+                             top_n, order_key=order_key)
     calendar = CAL.season_calendar(wide)
     grid = CAL.aligned_grid(CAL.weekly_shap_mean(wide, features), CAL.weekly_nee_mean(wide),
                             calendar, chosen, sites, features)

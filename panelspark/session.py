@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -16,24 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Wide complete-case filters (30+ IS NOT NULL / NOT isnan predicates) under
-    # aliasing projections make Catalyst's constraint inference grow
-    # combinatorially (planning runs out of heap); the inferred filters add
-    # nothing here because every predicate is already explicit.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
-# Settings that are safe to apply to an existing session at run time.
-RUNTIME_CONF = ("spark.sql.constraintPropagation.enabled",)
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings this library's plans need to any session."""
-    for k in RUNTIME_CONF:
-        if spark.conf.get(k, None) != DEFAULT_CONF[k]:
-            spark.conf.set(k, DEFAULT_CONF[k])
-    return spark
-
 
 def get_session(app: str = "panelspark", master: str | None = None,
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
@@ -53,7 +38,9 @@ def get_session(app: str = "panelspark", master: str | None = None,
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One JVM holds driver and tasks (a ``local-cluster`` master does not count)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -83,3 +70,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors, unlike a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_side(stats: DataFrame, most: int = 100_000) -> DataFrame:
+    """A per-group table, marked for broadcast once its row count is known to be small.
+
+    The table is written first (it is counted and joined without being
+    computed twice). Beyond ``most`` rows the hint is left out and the join
+    shuffles as usual.
+    """
+    kept = cut_lineage(stats)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
+def listing(spark: SparkSession, path: str) -> tuple:
+    """(name, bytes, modification time) of a table's files, through Spark's own file systems."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))

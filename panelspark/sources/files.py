@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from .. import config as C
+from ..session import listing
 
 
 def panel_path(base: str, period: str = "") -> str:
@@ -46,15 +47,31 @@ def scan_panel(spark: SparkSession, path: str, site: str | None = None,
     return df
 
 
-def scan_multi_site(spark: SparkSession, base: str, sites, period: str = "",
+def scan_multi_site(spark: SparkSession, base: str, sites=None, period: str = "",
                     columns=None) -> DataFrame:
-    """Read every site's CSV in one scan; the site comes from the file path."""
-    paths = [site_path(base, s, period) for s in sites]
+    """Read the CSVs of the given sites, by default of all, in one scan; the site comes from the file path."""
+    paths = [f"{panel_path(base, period)}/*"] if sites is None else [site_path(base, s, period) for s in sites]
     raw = spark.read.option("header", True).option("inferSchema", False).csv(paths)
     site = F.regexp_extract(F.col("_metadata.file_path"), r"/site=([^/]+)/[^/]*$", 1)
     return raw.select(site.alias("site"), *_typed(raw, columns))
 
 
+def scan_site_tables(spark: SparkSession, base: str, period: str = "") -> DataFrame:
+    """The user's site tables below ``base``: ``{site}_complete{_period}.csv`` files or the partitioned layout.
+
+    Column names come from the headers (every file of a run has the same
+    measurements); the site comes from the file's path.
+    """
+    suffix = f"_{period.lstrip('_')}" if period else ""
+    names = [name for name, _, _ in listing(spark, base)]
+    flat = [n for n in names if n.endswith(f"_complete{suffix}.csv")]
+    read = spark.read.option("header", True).option("inferSchema", False)
+    raw = read.csv(flat if flat else f"{panel_path(base, period)}/*")
+    rule = rf"([^/]+)_complete{suffix}\.csv$" if flat else r"/site=([^/]+)/[^/]*$"
+    columns = [c for c in raw.columns if c != "site"]
+    return raw.select(F.regexp_extract(F.col("_metadata.file_path"), rule, 1).alias("site"), *_typed(raw, columns))
+
+
 def write_site_csvs(panel: DataFrame, base: str, period: str = "") -> str:
     """Write the panel in one pass as CSV (header, ISO dates), one folder per site."""
     cols = ["Date"] + [c for c in panel.columns if c not in ("site", "Date")]

@@ -7,14 +7,14 @@ such columns, so the panel is aggregated from ``orders`` joined to
 
 Scale notes
 -----------
-* Both scans are pruned to the columns used; the status filter is pushed
-  into the ``orders`` scan.
-* The join is an equi join on the order key; Catalyst/AQE choose
-  sort-merge (or shuffled-hash) for large sides and broadcast only when the
-  optimizer measured a side below ``autoBroadcastJoinThreshold``.
-* Every daily aggregate is algebraic or a bounded map (median of a column
-  with few distinct values), so it is computed map-side before the shuffle
-  on (site, Date): a hot site or day does not put its raw rows in one task.
+* Scans are pruned to the columns used; a site filter, if one is asked for,
+  is pushed into the ``orders`` scan.
+* Line items join orders on the order key (AQE broadcasts only a side it has
+  measured). All algebraic aggregates are first taken per day and discount
+  (a column with few values) and then per day, so the exact median is a
+  frequency-weighted percentile over a few rows and a hot site or day never
+  puts raw rows in one task. Distinct suppliers are counted in a branch of
+  their own that carries nothing but its key.
 * The lag windows run on the aggregated panel (sites x days), partitioned
   by site and ordered once by day number; all 16 lags share that sort.
 """
@@ -24,56 +24,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SITES = ("F", "O")
 LAG_DAYS = (1, 3, 7, 14)
 
 
-def _exact_avg(x: Column) -> Column:
-    """Mean through an exact decimal sum (bit-stable across engines)."""
-    return F.sum(x.cast("decimal(18,6)")).cast("double") / F.count(x)
-
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def _exact_sum(x: Column) -> Column:
-    return F.sum(x.cast("decimal(18,6)")).cast("double")
 
+def _total(x: Column) -> Column:
+    return F.sum(x.cast("decimal(18,6)"))
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def daily_panel(spark: SparkSession, sf_dir: str, sites=None) -> DataFrame:
+    """Raw daily panel without lags (one row per site and day); ``sites=None`` keeps every site."""
+    orders = read_table(spark, sf_dir, "orders")
+    if sites is not None:
+        orders = orders.where(F.col("o_orderstatus").isin(*sites))
+    orders = orders.select("o_orderkey", F.col("o_orderstatus").alias("site"),
+                           F.col("o_orderdate").cast("date").alias("Date"), "o_totalprice")
+    items = read_table(spark, sf_dir, "lineitem")
 
-def daily_panel(spark: SparkSession, sf_dir: str, sites=SITES) -> DataFrame:
-    """Raw daily panel without lags (one row per site and day)."""
-    orders = (read_table(spark, sf_dir, "orders")
-              .where(F.col("o_orderstatus").isin(*sites))
-              .select(F.col("o_orderkey"),
-                      F.col("o_orderstatus").alias("site"),
-                      F.col("o_orderdate").cast("date").alias("Date"),
-                      F.col("o_totalprice")))
-    items = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_quantity", "l_discount", "l_extendedprice", "l_tax",
-        "l_returnflag", "l_suppkey")
-    joined = items.join(orders, items.l_orderkey == orders.o_orderkey, "inner")
+    def joined(*cols):
+        return items.select("l_orderkey", *cols).join(orders, items.l_orderkey == orders.o_orderkey)
 
     q, d, p = F.col("l_quantity"), F.col("l_discount"), F.col("l_extendedprice")
     returned = F.when(F.col("l_returnflag") == "R", F.lit(1.0)).otherwise(F.lit(0.0))
-    return joined.groupBy("site", "Date").agg(
-        (_exact_avg(q * (F.lit(1.0) - d)) - _exact_avg(p) / F.lit(5e3) - F.lit(14.0)).alias("NEE_U50_f"),
-        (F.lit(1e2) * _exact_avg(returned)).alias("Snow_Cover_Percentage"),
-        F.count_distinct("l_suppkey").cast("double").alias("D_SNOW"),
-        F.median(d).alias("NDVI_nonSR_Median"),
+    sums = {"yield": q * (F.lit(1.0) - d), "price": p, "returned": returned, "tax": F.col("l_tax"),
+            "discount": d, "quantity": q}
+    per_discount = joined("l_quantity", "l_discount", "l_extendedprice", "l_tax", "l_returnflag").groupBy(
+        "site", "Date", "l_discount").agg(
+        *[_total(x).alias(f"s_{k}") for k, x in sums.items()], *[F.count(x).alias(f"n_{k}") for k, x in sums.items()],
+        F.sum((p * p).cast("decimal(28,6)")).alias("s_price2"), F.min(p).alias("lo"), F.max(p).alias("hi"),
+        F.max("o_totalprice").alias("order_price"))
+
+    def mean(k):
+        return F.sum(f"s_{k}").cast("double") / F.sum(f"n_{k}")
+
+    n = F.sum("n_price")
+    spread = (F.sum("s_price2") - F.sum("s_price") * F.sum("s_price") / n.cast("decimal(18,0)")).cast("double")
+    daily = per_discount.groupBy("site", "Date").agg(
+        (mean("yield") - mean("price") / F.lit(5e3) - F.lit(14.0)).alias("NEE_U50_f"),
+        (F.lit(1e2) * mean("returned")).alias("Snow_Cover_Percentage"),
+        F.percentile(d, F.lit(0.5), F.greatest("n_discount", F.lit(1))).alias("NDVI_nonSR_Median"),
         F.max(d).alias("NDVI_nonSR_Max"),
-        (F.lit(1e2) * _exact_avg(F.col("l_tax"))).alias("RH"),
-        (F.lit(1e2) * _exact_avg(d)).alias("TA"),
+        (F.lit(1e2) * mean("tax")).alias("RH"),
+        (F.lit(1e2) * mean("discount")).alias("TA"),
         (F.lit(1e2) * F.min(d)).alias("TA_min"),
         (F.lit(1e2) * F.max(d)).alias("TA_max"),
-        (_exact_avg(p) / F.lit(1e3)).alias("RG"),
-        (F.min(p) / F.lit(1e3)).alias("RG_min"),
-        (F.max(p) / F.lit(1e3)).alias("RG_max"),
-        (F.stddev_samp(p) / F.lit(1e3)).alias("VPD_f"),
-        _exact_sum(q).alias("precipitation_rate"),
-        _exact_avg(q).alias("SWC_10cm"),
-        (F.max("o_totalprice") / F.lit(1e3)).alias("TS_10cm"),
-    )
+        (mean("price") / F.lit(1e3)).alias("RG"),
+        (F.min("lo") / F.lit(1e3)).alias("RG_min"),
+        (F.max("hi") / F.lit(1e3)).alias("RG_max"),
+        F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / F.nullif(n - 1, F.lit(0))) / F.lit(1e3)).alias("VPD_f"),
+        F.sum("s_quantity").cast("double").alias("precipitation_rate"),
+        mean("quantity").alias("SWC_10cm"),
+        (F.max("order_price") / F.lit(1e3)).alias("TS_10cm"))
+    suppliers = (joined("l_suppkey").select("site", "Date", "l_suppkey").distinct()
+                 .groupBy("site", "Date").agg(F.count("l_suppkey").cast("double").alias("D_SNOW")))
+    return daily.join(suppliers, ["site", "Date"]).select(
+        "site", "Date", "NEE_U50_f", "Snow_Cover_Percentage", "D_SNOW", "NDVI_nonSR_Median", "NDVI_nonSR_Max", "RH", "TA",
+        "TA_min", "TA_max", "RG", "RG_min", "RG_max", "VPD_f", "precipitation_rate", "SWC_10cm", "TS_10cm")
 
 
 def _lag_mean(x: str, w: Window) -> Column:
@@ -86,7 +95,7 @@ def _lag_sum(x: str, w: Window) -> Column:
     return F.sum(F.col(x).cast("decimal(28,12)")).over(w).cast("double")
 
 
-def driver_panel(spark: SparkSession, sf_dir: str, sites=SITES) -> DataFrame:
+def driver_panel(spark: SparkSession, sf_dir: str, sites=None) -> DataFrame:
     """Full panel: daily measurements, days since previous record, 16 lags.
 
     Lags are averages (sums for precipitation) over the previous N calendar

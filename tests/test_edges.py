@@ -117,11 +117,22 @@ def test_family_rules(spark):
     assert fam["SHAP_sin_doy"] == "season_sin" and fam["SHAP_cos_doy"] == "season_cos"
 
 
-def test_histogram_constant_residual_one_bin(spark):
+def test_histogram_constant_residual_fills_the_first_bin(spark):
     df = spark.createDataFrame([("F", "test", 1.0, 0.5)] * 4,
                                "site string, split string, Observed_NEE double, Predicted_NEE double")
-    h = E.residual_histogram(df).collect()
-    assert len(h) == 1 and h[0]["n"] == 4
+    h = {r["bin"]: r["n"] for r in E.residual_histogram(df).collect()}
+    assert len(h) == 50 and h[0] == 4 and sum(h.values()) == 4
+
+
+def test_rankings_use_raw_values(spark):
+    """Attributions around 1e-7 rank by size, not by name."""
+    long = spark.createDataFrame([("F", "a", 1e-9), ("F", "b", -4e-7), ("F", "c", 1e-7)],
+                                 "site string, Feature string, shap double")
+    assert [r["Feature"] for r in A.top_n_shap(long, 1).collect()] == ["b"]
+    assert {r["Feature"]: r["rank"] for r in A.shap_summary(long).collect()} == {"b": 1, "c": 2, "a": 3}
+    target = spark.createDataFrame([("F", "a", 1e-9), ("F", "b", 3e-8)], "site string, Feature string, Correlation double")
+    top = COR.corr_top_bottom(target, 1).where("end = 'top'").collect()
+    assert [r["Feature"] for r in top] == ["b"]
 
 
 def test_pick_quantile_slots(spark):

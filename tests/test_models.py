@@ -13,6 +13,7 @@ from panelspark.operators import treeshap as TS
 from panelspark.operators import validate as V
 from panelspark.plans.frames import prepared
 from tests.conftest import SF_CHECK
+from tests.shapley import brute_force_shap
 
 FEATS = list(C.S12)
 
@@ -59,7 +60,7 @@ def test_shap_equals_brute_force(spark, rows):
     x = rows.select(*FEATS[:4]).limit(6).toPandas().to_numpy(dtype=float)
     phi, _ = TS.shap_matrix(x, TS.build_paths(trees), 4)
     for k in range(len(x)):
-        assert np.allclose(phi[k], TS.brute_force_shap(x[k], trees), atol=1e-10)
+        assert np.allclose(phi[k], brute_force_shap(x[k], trees), atol=1e-10)
 
 
 def test_unused_feature_gets_zero(spark, rows):
@@ -77,7 +78,7 @@ def test_unused_feature_gets_zero(spark, rows):
 def test_chunked_shap_equals_single_pass(spark, rows, model):
     trees = FO.tree_arrays(spark, model)
     one = TS.shap_tree(rows, trees, FEATS, keep=("Date",)).orderBy("Date").toPandas()
-    many = TS.shap_tree(rows, trees, FEATS, keep=("Date",), budget=1).orderBy("Date").toPandas()
+    many = TS.shap_tree(rows, trees, FEATS, keep=("Date",), leaves=40).orderBy("Date").toPandas()
     cols = [f"SHAP_{f}" for f in FEATS] + ["Predicted_NEE", "base_value"]
     assert np.allclose(one[cols].to_numpy(), many[cols].to_numpy(), atol=1e-10)
 
@@ -127,10 +128,41 @@ def test_oob_rows_and_score(spark, rows):
     covered = oob.where(F.col("oob_trees") > 0).count()
     assert covered > 0.9 * train.count()
     one = sorted(tuple(r) for r in oob.collect())
-    many = sorted(tuple(r) for r in S.oob_predictions(train, bag, FEATS, budget=1).collect())
+    many = sorted(tuple(r) for r in S.oob_predictions(train, bag, FEATS, per_pass=1).collect())
     assert len(one) == len(many)
     for a, b in zip(one, many):
         assert a[:2] == b[:2] and a[3] == b[3]
         assert (a[2] is None and b[2] is None) or abs(a[2] - b[2]) < 1e-9
     score = S.oob_score(train, bag, FEATS, C.TARGET).collect()[0]
     assert score["oob_r2"] is not None and score["oob_r2"] < 1.0
+
+
+def test_split_count_prunes_nodes(spark, rows):
+    """Two settings that differ in the split count only give different trees; SHAP holds on the pruned one."""
+    base = ForestParams(n_estimators=3, max_depth=6, max_features=1.0, min_samples_leaf=1)
+    feats = FEATS[:4]
+    full = FO.tree_arrays(spark, FO.fit_forest(rows, feats, C.TARGET, base))
+    cut = FO.fit_forest(rows, feats, C.TARGET, base.with_(min_samples_split=60))
+    assert isinstance(cut, FO.PrunedForest)
+    for a, b in zip(full, cut.trees):
+        live = b.reachable()
+        assert live.sum() < a.reachable().sum()
+        assert (b.cover[live & (b.left >= 0)] >= 60).all()
+    assert abs(sum(cut.importances()) - 1) < 1e-9
+    sample = rows.limit(40)
+    x = sample.select(*feats).toPandas().to_numpy(dtype=float)
+    phi, pred = TS.shap_matrix(x, TS.build_paths(cut.trees), 4)
+    base_value = TS.expected_value(TS.build_paths(cut.trees))
+    assert np.allclose(phi.sum(1) + base_value, pred)
+    assert np.allclose(pred, np.mean([t.predict(x) for t in cut.trees], axis=0))
+    assert all(np.allclose(phi[k], brute_force_shap(x[k], cut.trees), atol=1e-10) for k in range(5))
+    scored = FO.predict_forest(cut, sample, feats)
+    assert scored.columns == [*sample.columns, "Predicted_NEE"]
+    assert np.allclose(sorted(r["Predicted_NEE"] for r in scored.collect()), sorted(pred))
+
+
+def test_parameter_table_tells_the_depth_used(spark):
+    table = {r["Parameter"]: r["Value"] for r in S.params_table(spark, ForestParams(max_depth=50)).collect()}
+    assert table["max_depth"] == "50" and table["max_depth_used"] == "30"
+    table = {r["Parameter"]: r["Value"] for r in S.params_table(spark, ForestParams()).collect()}
+    assert table["max_depth"] is None and table["max_depth_used"] == "30"
