@@ -16,7 +16,9 @@ The Jaccard distance is a metric, so with r = 1 - similarity:
    linked outside this group to points whose d is at most r larger: if there is
    none, it is settled. The pivot, too, is settled; the other points (outer
    points and the boundary points in the window) form a smaller region that is
-   joined recursively: by a new pivot while it is large, else inside one task.
+   joined recursively: inside one task if it is small, else by rounds of many
+   pivots against blocks of the region, until its points are settled or known
+   to be in one component.
 5. Links are pivot stars and spanning links, so a group of copies gives a
    linear number of rows; components follow by repeated minimum labels.
 
@@ -46,6 +48,8 @@ EXTRA = 0.1                        # prefix beyond the plain prefix filter, as a
 FLUSH = 1_000_000                  # postings a map task holds
 BUCKET = 2_000_000                 # postings per reduce task
 LEAF = 1000                        # points of a region that is joined inside one task
+BLOCK = 500                        # points of a larger region that one task compares with the round's pivots
+MOST_PIVOTS = 1024                 # pivots of a round, at most an eighth of the region
 KEPT_WORDS = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -279,10 +283,10 @@ def _candidates(shards: DataFrame, frequencies: DataFrame, percent: int) -> Data
     return shards.join(told, "shard", "left").mapInArrow(choose, "point long, n long, shingles binary, prefix array<long>")
 
 
-def _distances(members: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
-    """(region, point, fixed, n, m, inter): every member's intersection with its region's pivot."""
+def _distances(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(region, point, n, m, inter): every member's intersection with its region's pivot, the point ``region``."""
     def measure(batches):
-        names = ["region", "point", "pivot", "fixed", "n", "m"]
+        names = ["region", "point", "n", "m"]
         for batch in batches:
             mine, theirs = (batch.column(c).to_pylist() for c in ("shingles", "pivot_shingles"))
             inter = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
@@ -290,28 +294,77 @@ def _distances(members: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(inter, pa.int64())],
                                              [*names, "inter"])
 
-    centre = pivots.join(sets.select(F.col("point").alias("pivot"), F.col("n").alias("m"),
-                                     F.col("shingles").alias("pivot_shingles")), "pivot")
+    centre = sets.select(F.col("point").alias("region"), F.col("n").alias("m"), F.col("shingles").alias("pivot_shingles"))
     return (members.join(sets.select("point", "n", "shingles"), "point").join(centre, "region")
-            .select("region", "point", "pivot", "fixed", "n", "m", "shingles", "pivot_shingles")
-            .mapInArrow(measure, "region long, point long, pivot long, fixed boolean, n long, m long, inter long"))
+            .select("region", "point", "n", "m", "shingles", "pivot_shingles")
+            .mapInArrow(measure, "region long, point long, n long, m long, inter long"))
 
 
-def _rest(measured: DataFrame, percent: int, first: bool) -> DataFrame:
-    """(region, point, fixed): what is left of each region after its pivot's round.
+def _rest(measured: DataFrame, percent: int) -> DataFrame:
+    """(region, point, fixed, size): what is left of each region after its pivot's round.
 
     ``fixed`` points of a region are known to be in one component.
     """
     radius = 1 - percent / 100
-    d = measured.where("point <> pivot").select(
-        "region", "point", "fixed", F.expr(f"100 * inter >= {percent} * (n + m - inter)").alias("linked"),
+    d = measured.where("point <> region").select(
+        "region", "point", F.expr(f"100 * inter >= {percent} * (n + m - inter)").alias("linked"),
         (1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))).alias("d"))
     nearest = d.where("not linked").groupBy("region").agg(F.min("d").alias("outer"))
     left = (d.join(nearest, "region").where(F.expr(f"not linked or d + {radius} >= outer - 1e-9"))
-            .select("region", "point", (F.col("linked") if first else F.col("fixed")).alias("fixed")))
-    size = left.groupBy("region").agg(F.count(F.lit(1)).alias("size"),
-                                      F.sum(F.when(F.col("fixed"), 0).otherwise(1)).alias("open"))
-    return left.join(size.where("size > 1 and open > 0").select("region", "size"), "region")
+            .select("region", "point", F.col("linked").alias("fixed")))
+    return _live(left)
+
+
+def _live(members: DataFrame) -> DataFrame:
+    """The members of regions that still have a pair to compare, with the region's size and open points."""
+    size = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"),
+                                         F.sum(F.when(F.col("fixed"), 0).otherwise(1)).alias("open"))
+    return members.join(size.where("size > 1 and open > 0"), "region")
+
+
+def _block_round(large: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Links of this round's pivots with all points of their regions, and the pivots (region, point).
+
+    A task holds one block of a region's points and the region's pivots; it sends back spanning links only.
+    """
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    share = F.least(F.lit(float(MOST_PIVOTS)), F.ceil(F.col("size") / 8)) / F.col("open")
+    place = F.pmod(F.xxhash64("point", F.lit(turn)), F.lit(1_000_000))
+    first = (large.where("not fixed").groupBy("region").agg(F.min(F.struct(place.alias("place"), F.col("point"))).alias("first"))
+             .select("region", "first.point", F.lit(True).alias("first")))
+    chosen = (large.where("not fixed").join(first, ["region", "point"], "left")
+              .where(F.col("first").isNotNull() | (place < share * 1_000_000)))
+    pivots = chosen.select("region", "point")
+    rows = (chosen.select("region", "point", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("pivot"))
+            .unionByName(large.select("region", "point", F.pmod(F.xxhash64("point", F.lit("block")), blocks).alias("block"),
+                                      F.lit(False).alias("pivot"))))
+
+    def compare(key, table):
+        is_pivot = np.array(table.column("pivot").to_pylist(), bool)
+        points, data = table.column("point").to_numpy(), table.column("shingles").to_pylist()
+        mine = np.flatnonzero(~is_pivot)
+        links: list[tuple[int, int]] = []
+        if len(mine):
+            sets_ = [np.frombuffer(data[i], np.uint64) for i in mine]
+            sizes = np.array([len(s) for s in sets_])
+            values, number = np.unique(np.concatenate(sets_), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            group = np.arange(len(mine))
+            for i in np.flatnonzero(is_pivot):
+                own = np.frombuffer(data[i], np.uint64)
+                at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                mark = np.zeros(len(values), bool)
+                mark[at[values[at] == own]] = True
+                near = np.flatnonzero((points[mine] != points[i]) & is_linked(
+                    _overlap(mark, number, starts, sizes, np.arange(len(mine))), len(own), sizes, percent))
+                if len(near):
+                    _, one = np.unique(group[near], return_index=True)
+                    links += [(int(points[i]), int(points[mine[j]])) for j in near[one]]
+                    group[np.isin(group, group[near])] = group[near[0]]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return rows.join(sets.select("point", "shingles"), "point").groupBy("region", "block").applyInArrow(
+        compare, "a long, b long"), pivots
 
 
 def _leaf_join(percent: int):
@@ -350,11 +403,11 @@ def _overlap(mark: np.ndarray, number: np.ndarray, starts: np.ndarray, sizes: np
     return np.add.reduceat(mark[number[at]].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[sets])[:-1]]))
 
 
-def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def _components(links: DataFrame, scratch: Scratch, name: str = "all") -> DataFrame:
     """(point, label): the smallest point of each component, by minimum labels and pointer jumping."""
-    both = scratch.write(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    both = scratch.write(links.select("a", "b").union(links.select("b", "a")).distinct(), f"links-{name}")
     labels = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
-                           .withColumnRenamed("a", "point"), "labels0")
+                           .withColumnRenamed("a", "point"), f"labels-{name}-0")
     turn = 0
     while True:
         turn += 1
@@ -364,7 +417,7 @@ def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
                                                     F.least("label", "near").alias("label"))
         jump = labels.select(F.col("point").alias("label"), F.col("label").alias("next"))
         labels = scratch.write(lower.join(jump, "label", "left").select(
-            "point", "old", F.least("label", F.coalesce("next", "label")).alias("label")), f"labels{turn}")
+            "point", "old", F.least("label", F.coalesce("next", "label")).alias("label")), f"labels-{name}-{turn}")
         changed = labels.where("old <> label").take(1)
         labels = labels.drop("old")
         if not changed:
@@ -391,28 +444,29 @@ def _links(docs: DataFrame, points: DataFrame, scratch: Scratch, id_col: str, te
     centres = (postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min(
         F.struct(F.xxhash64("point").alias("place"), F.col("point").alias("pivot"))).alias("first"))
         .where("size > 1").select("shingle", F.col("first.pivot").alias("region")))
-    members = scratch.write(postings.join(centres, "shingle").select("region", "point").distinct()
-                            .withColumn("fixed", F.lit(False)), "members0")
-    pivots = members.select("region", F.col("region").alias("pivot")).distinct()
-    links, turn = None, 0
+    members = scratch.write(postings.join(centres, "shingle").select("region", "point").distinct(), "members")
+    measured = scratch.write(_distances(members, sets), "measured")
+    links = (measured.where("point <> region").where(f"100 * inter >= {percent} * (n + m - inter)")
+             .select(F.col("region").alias("a"), F.col("point").alias("b")))
+    left, turn = scratch.write(_rest(measured, percent), "rest0"), 0
     while True:
-        measured = scratch.write(_distances(members, pivots, sets), f"measured{turn}")
-        found = (measured.where("point <> pivot").where(f"100 * inter >= {percent} * (n + m - inter)")
-                 .select(F.col("pivot").alias("a"), F.col("point").alias("b")))
-        left = scratch.write(_rest(measured, percent, first=turn == 0), f"rest{turn}")
         small = (left.where(f"size <= {LEAF}").join(sets.select("point", "shingles"), "point")
                  .select("region", "point", "fixed", "shingles"))
-        found = found.unionByName(scratch.write(
+        links = links.unionByName(scratch.write(
             small.groupBy("region").applyInArrow(_leaf_join(percent), "a long, b long"), f"leaf{turn}"))
-        links = found if links is None else links.unionByName(found)
         large = left.where(f"size > {LEAF}")
         if not large.take(1):
             return links
         turn += 1
-        members = large.select("region", "point", "fixed")
-        pivots = members.where("not fixed").groupBy("region").agg(F.min(F.struct(
-            F.xxhash64("point", F.lit(turn)).alias("place"), F.col("point").alias("pivot"))).alias("first")
-        ).select("region", F.col("first.pivot").alias("pivot"))
+        found, pivots = _block_round(large, sets, percent, turn)
+        links = links.unionByName(scratch.write(found, f"block{turn}"))
+        labels = _components(links, scratch, str(turn))
+        known = (large.select("region", "point").join(pivots, ["region", "point"], "left_anti")
+                 .join(labels, "point", "left").withColumn("label", F.coalesce("label", "point")))
+        main = (known.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("region")
+                .agg(F.max(F.struct("size", "label")).alias("main")).select("region", "main.label", F.lit(True).alias("main")))
+        left = scratch.write(_live(known.join(main, ["region", "label"], "left").select(
+            "region", "point", F.col("main").isNotNull().alias("fixed"))), f"rest{turn}")
 
 
 def link_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
