@@ -271,6 +271,25 @@ def q_metrics_overall(spark, sf_dir):
     return finish(E.metrics_overall(standin_frame(spark, sf_dir)))
 
 
+def _metrics_export_sql() -> str:
+    def side(split, metric):
+        y, q = f"CASE WHEN split = '{split}' THEN Observed_NEE END", f"CASE WHEN split = '{split}' THEN Predicted_NEE END"
+        e = f"({y} - {q})"
+        return {"R²": f"1 - sum({e} * {e}) / nullif(var_pop({y}) * count({e}), 0)", "RMSE": f"sqrt(avg({e} * {e}))",
+                "MAE": f"avg(abs({e}))"}[metric]
+    return STANDIN + " " + " UNION ALL ".join(
+        f"SELECT site, '{m}' AS Metric, {r(side('train', m), 'Training')}, {r(side('test', m), 'Test')}, "
+        + ("12e0" if m == "R²" else "CAST(NULL AS DOUBLE)") + " AS N_Features FROM standin GROUP BY site"
+        for m in ("R²", "RMSE", "MAE"))
+
+
+@register("metrics_export", _metrics_export_sql())
+def q_metrics_export(spark, sf_dir):
+    """The exported layout of a model's metrics (one row per metric, extra columns on the R² row)."""
+    overall = E.metrics_overall(standin_frame(spark, sf_dir))
+    return finish(E.metrics_table(overall, {"N_Features": F.lit(float(len(S12)))}))
+
+
 @register("panel_profile", O.with_(O.panel_cte(), O.prepared_cte(S12)) + """,
 py AS (SELECT site, Year, count(*) AS n_rows, min(Date) AS first_date, max(Date) AS last_date FROM prep GROUP BY site, Year)
 SELECT site, Year, n_rows, first_date, last_date,
