@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, attach, utf8
 
 WORDS, PERCENT = 5, 75
-EXTRA = 0.1                        # prefix beyond the plain prefix filter, as a share of the set
+EXTRA = 0.05                       # prefix beyond the plain prefix filter, as a share of the set
 FLUSH = 1_000_000                  # postings a map task holds
 BUCKET = 2_000_000                 # postings per reduce task
 LEAF = 1000                        # points of a region that is joined inside one task
@@ -132,7 +133,9 @@ def _bucketed(values: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     return [(int(task[p[0]]), p) for p in np.split(order, np.flatnonzero(np.diff(task[order])) + 1) if len(p)]
 
 
-POSTINGS = "bucket long, shingles binary, points binary, many binary, credit_points binary, credits binary"
+POSTINGS = ("bucket long, shingles binary, owners binary, points binary, many binary, credit_points binary, "
+            "credits binary")
+KEPT_BYTES = 6                     # of a shingle's hash in the isolation test: a clash only keeps a point longer
 
 
 def _prefix_postings(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, buckets: int) -> DataFrame:
@@ -153,8 +156,11 @@ def _prefix_postings(docs: DataFrame, id_col: str, text_col: str, words: int, pe
         credited, credits = np.unique(points[np.repeat(count > 1, count)], return_counts=True)
         shingles, points, many = shingles[first], points[first], count > 1
         for i, (bucket, at) in enumerate(_bucketed(shingles, buckets)):
-            row = [bucket, shingles[at].tobytes(), points[at].tobytes(), many[at].tobytes(),
-                   b"" if i else credited.tobytes(), b"" if i else credits.astype(np.int64).tobytes()]
+            named, owner = np.unique(points[at], return_inverse=True)
+            short = shingles[at].view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
+            row = [bucket, short.tobytes(), owner.astype(np.uint32).tobytes(), named.tobytes(),
+                   np.packbits(many[at]).tobytes(), b"" if i else credited.tobytes(),
+                   b"" if i else credits.astype(np.int64).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()),
                                               *(pa.array([v], pa.binary()) for v in row[1:])], names)
 
@@ -178,9 +184,12 @@ def _prefix_postings(docs: DataFrame, id_col: str, text_col: str, words: int, pe
 def _shared_counts(key, table):
     """(point, shared): per bucket, how many of a point's prefix shingles another point has."""
     cols = {c: [np.frombuffer(v, t) for v in table.column(c).to_pylist()] for c, t in (
-        ("shingles", np.uint64), ("points", np.int64), ("many", np.bool_), ("credit_points", np.int64),
-        ("credits", np.int64))}
-    shingles, points, many = (np.concatenate(cols[c]) for c in ("shingles", "points", "many"))
+        ("shingles", np.uint8), ("owners", np.uint32), ("points", np.int64), ("many", np.uint8),
+        ("credit_points", np.int64), ("credits", np.int64))}
+    short = np.concatenate(cols["shingles"]).reshape(-1, KEPT_BYTES)
+    shingles = np.pad(short, ((0, 0), (0, 8 - KEPT_BYTES))).view(np.uint64).ravel()
+    points = np.concatenate([p[o] for p, o in zip(cols["points"], cols["owners"])])
+    many = np.concatenate([np.unpackbits(m, count=len(o)).astype(bool) for m, o in zip(cols["many"], cols["owners"])])
     order = np.lexsort((points, shingles))
     shingles, points, many = shingles[order], points[order], many[order]
     fresh = np.concatenate([[True], shingles[1:] != shingles[:-1]])
@@ -210,9 +219,10 @@ def _set_shards(texts: DataFrame, words: int) -> DataFrame:
                  pa.array([np.array([len(s) for s in sets], np.int64).tobytes()], pa.binary()),
                  pa.array([np.concatenate(sets).tobytes()], pa.binary())], ["shard", "points", "sizes", "shingles"])
 
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for text in batch.column("text"):
-                sets.append(shingle_set(text.as_py(), hashes, words))
+            for text in batch.column("packed"):
+                sets.append(shingle_set(unpack.decompress(text.as_py()), hashes, words))
                 size += len(sets[-1])
                 if size > FLUSH:
                     yield row()
@@ -220,7 +230,24 @@ def _set_shards(texts: DataFrame, words: int) -> DataFrame:
         if sets:
             yield row()
 
-    return texts.select("text").mapInArrow(pack, SETS)
+    return texts.select("packed").mapInArrow(pack, SETS)
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(row, packed): texts compressed for the exchange."""
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array([squeeze.compress(t.as_py()) for t in batch.column("text")], pa.binary())],
+                ["row", "packed"])
+
+    return rows.select("row", "text").mapInArrow(pack, "row long, packed binary")
+
+
+def _merge_join(left: DataFrame, right: DataFrame, key) -> DataFrame:
+    """An equi join by shuffle and merge: the same plan at every size (nothing here has a size bound)."""
+    return left.hint("merge").join(right.hint("merge"), key)
 
 
 def _document_frequencies(shards: DataFrame, buckets: int) -> DataFrame:
@@ -295,7 +322,7 @@ def _distances(members: DataFrame, sets: DataFrame) -> DataFrame:
                                              [*names, "inter"])
 
     centre = sets.select(F.col("point").alias("region"), F.col("n").alias("m"), F.col("shingles").alias("pivot_shingles"))
-    return (members.join(sets.select("point", "n", "shingles"), "point").join(centre, "region")
+    return (_merge_join(_merge_join(members, sets.select("point", "n", "shingles"), "point"), centre, "region")
             .select("region", "point", "n", "m", "shingles", "pivot_shingles")
             .mapInArrow(measure, "region long, point long, n long, m long, inter long"))
 
@@ -363,7 +390,7 @@ def _block_round(large: DataFrame, sets: DataFrame, percent: int, turn: int) ->
                     group[np.isin(group, group[near])] = group[near[0]]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return rows.join(sets.select("point", "shingles"), "point").groupBy("region", "block").applyInArrow(
+    return _merge_join(rows, sets.select("point", "shingles"), "point").groupBy("region", "block").applyInArrow(
         compare, "a long, b long"), pivots
 
 
@@ -435,7 +462,7 @@ def _links(docs: DataFrame, points: DataFrame, scratch: Scratch, id_col: str, te
               .applyInArrow(_shared_counts, "point long, shared long").groupBy("point").agg(F.sum("shared").alias("shared")))
     need = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * F.lit(EXTRA)))
     met = scratch.write(sizes.join(shared, "point").where(F.col("shared") >= need).select("row"), "met")
-    texts = _rows(docs, id_col, text_col).select("row", "text").join(met, "row").dropDuplicates(["row"])
+    texts = _merge_join(_packed(_rows(docs, id_col, text_col)), met, "row").dropDuplicates(["row"])
     shards = scratch.write(_set_shards(texts, words), "shards")
     frequencies = scratch.write(_document_frequencies(shards, buckets), "frequencies")
     sets = scratch.write(_candidates(shards, frequencies, percent), "sets")
@@ -450,7 +477,7 @@ def _links(docs: DataFrame, points: DataFrame, scratch: Scratch, id_col: str, te
              .select(F.col("region").alias("a"), F.col("point").alias("b")))
     left, turn = scratch.write(_rest(measured, percent), "rest0"), 0
     while True:
-        small = (left.where(f"size <= {LEAF}").join(sets.select("point", "shingles"), "point")
+        small = (_merge_join(left.where(f"size <= {LEAF}"), sets.select("point", "shingles"), "point")
                  .select("region", "point", "fixed", "shingles"))
         links = links.unionByName(scratch.write(
             small.groupBy("region").applyInArrow(_leaf_join(percent), "a long, b long"), f"leaf{turn}"))
