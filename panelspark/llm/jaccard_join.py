@@ -46,12 +46,12 @@ from .common import Scratch, attach, utf8
 
 WORDS, PERCENT = 5, 75
 EXTRA = 0.05                       # prefix beyond the plain prefix filter, as a share of the set
-FLUSH = 1_000_000                  # postings a map task holds
-BUCKET = 2_000_000                 # postings per reduce task
+FLUSH = 500_000                    # postings a map task holds
+BUCKET = 1_000_000                 # postings per reduce task
 LEAF = 1000                        # points of a region that is joined inside one task
 BLOCK = 500                        # points of a larger region that one task compares with the round's pivots
 MOST_PIVOTS = 1024                 # pivots of a round, at most an eighth of the region
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
