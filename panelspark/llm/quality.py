@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import Scratch, fold
 
 DIMENSIONS, NONZERO, BUCKETS, VOCABULARY = 64, 8, 1 << 14, 20_000
 CONTEXT = 2
@@ -181,7 +181,8 @@ def _train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
         text_col: str = "text", seed: int = 10) -> Model:
-    sample = training_rows(docs, labels, sample_rows, id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "quality")
+    sample = scratch.write(training_rows(docs, labels, sample_rows, id_col, text_col).repartition(3 * FIT_TASKS), "sample")
     index, model = index_vectors(seed), Model()
     model.vocabulary = _vocabulary(sample)
     sums = _context_sums(sample, model.vocabulary, index)
@@ -195,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
                                 "label": f["label"], "back": f["back"]})
 
     rows = sample.mapInPandas(pool, "x binary, label double, back boolean").toPandas()
+    scratch.drop("sample")
     y = rows["label"].to_numpy(float)
     if len(np.unique(y)) < 2:
         model.constant = float(y.mean()) if len(y) else 0.5
