@@ -181,8 +181,27 @@ def _prefix_postings(docs: DataFrame, id_col: str, text_col: str, words: int, pe
     return _rows(docs, id_col, text_col).select("text").mapInArrow(send, POSTINGS)
 
 
-def _shared_counts(key, table):
-    """(point, shared): per bucket, how many of a point's prefix shingles another point has."""
+def _shared_counts(buckets: int):
+    def count(key, table):
+        points, shared = _credits(table)
+        parts = _bucketed(points.view(np.uint64), buckets)
+        return pa.table({"part": pa.array([b for b, _ in parts], pa.int64()),
+                         "points": pa.array([points[at].tobytes() for _, at in parts], pa.binary()),
+                         "shared": pa.array([shared[at].tobytes() for _, at in parts], pa.binary())})
+
+    return count
+
+
+def _add_counts(key, table):
+    """(point, shared): sums over the packed counts of one part of the points."""
+    points, shared = (np.concatenate([np.frombuffer(v, np.int64) for v in table.column(c).to_pylist()])
+                      for c in ("points", "shared"))
+    found, where = np.unique(points, return_inverse=True)
+    return pa.table({"point": found, "shared": np.bincount(where, shared, len(found)).astype(np.int64)})
+
+
+def _credits(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a bucket of shingles, and how many of each one's prefix shingles another point has."""
     cols = {c: [np.frombuffer(v, t) for v in table.column(c).to_pylist()] for c, t in (
         ("shingles", np.uint8), ("owners", np.uint32), ("points", np.int64), ("many", np.uint8),
         ("credit_points", np.int64), ("credits", np.int64))}
@@ -202,7 +221,7 @@ def _shared_counts(key, table):
     at = np.concatenate([p for p, _ in out])
     weight = np.concatenate([np.broadcast_to(w, len(p)) for p, w in out])
     found, where = np.unique(at, return_inverse=True)
-    return pa.table({"point": found, "shared": np.bincount(where, weight, len(found)).astype(np.int64)})
+    return found, np.bincount(where, weight, len(found)).astype(np.int64)
 
 
 SETS = "shard long, points binary, sizes binary, shingles binary"
@@ -369,26 +388,27 @@ def _block_round(large: DataFrame, sets: DataFrame, percent: int, turn: int) ->
     def compare(key, table):
         is_pivot = np.array(table.column("pivot").to_pylist(), bool)
         points, data = table.column("point").to_numpy(), table.column("shingles").to_pylist()
-        mine = np.flatnonzero(~is_pivot)
-        links: list[tuple[int, int]] = []
-        if len(mine):
-            sets_ = [np.frombuffer(data[i], np.uint64) for i in mine]
-            sizes = np.array([len(s) for s in sets_])
-            values, number = np.unique(np.concatenate(sets_), return_inverse=True)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            group = np.arange(len(mine))
-            for i in np.flatnonzero(is_pivot):
-                own = np.frombuffer(data[i], np.uint64)
-                at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                mark = np.zeros(len(values), bool)
-                mark[at[values[at] == own]] = True
-                near = np.flatnonzero((points[mine] != points[i]) & is_linked(
-                    _overlap(mark, number, starts, sizes, np.arange(len(mine))), len(own), sizes, percent))
-                if len(near):
-                    _, one = np.unique(group[near], return_index=True)
-                    links += [(int(points[i]), int(points[mine[j]])) for j in near[one]]
-                    group[np.isin(group, group[near])] = group[near[0]]
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        mine, centres = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)
+        centres = centres[np.argsort(points[centres])]        # the same order, so the same stars, in every block
+        if not len(mine):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sets_ = [np.frombuffer(data[i], np.uint64) for i in mine]
+        sizes = np.array([len(s) for s in sets_])
+        values, number = np.unique(np.concatenate(sets_), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        node = np.concatenate([points[centres], points[mine]])
+        group = np.arange(len(node))
+        for k, i in enumerate(centres):
+            own = np.frombuffer(data[i], np.uint64)
+            at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+            mark = np.zeros(len(values), bool)
+            mark[at[values[at] == own]] = True
+            near = np.flatnonzero((points[mine] != points[i]) & is_linked(
+                _overlap(mark, number, starts, sizes, np.arange(len(mine))), len(own), sizes, percent))
+            joined = np.unique(np.append(group[len(centres) + near], group[k]))
+            group[np.isin(group, joined)] = joined[0]
+        star = np.flatnonzero((group < len(centres)) & (node != node[group]))
+        return pa.table({"a": node[group[star]], "b": node[star]})
 
     return _merge_join(rows, sets.select("point", "shingles"), "point").groupBy("region", "block").applyInArrow(
         compare, "a long, b long"), pivots
@@ -406,7 +426,6 @@ def _leaf_join(percent: int):
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         group = np.arange(len(points))
         group[fixed] = len(points)
-        links = []
         for i in range(int((~fixed).sum())):
             later = np.arange(i + 1, len(points))
             fits = (100 * np.minimum(sizes[i], sizes[later]) >= percent * np.maximum(sizes[i], sizes[later]))
@@ -417,8 +436,14 @@ def _leaf_join(percent: int):
             mark[number[starts[i]:starts[i] + sizes[i]]] = True
             for j in later[is_linked(_overlap(mark, number, starts, sizes, later), sizes[i], sizes[later], percent)]:
                 if group[j] != group[i]:
-                    links.append((int(points[i]), int(points[j])))
                     group[group == group[j]] = group[i]
+        centre = {}                                            # a star for each group, around its first point
+        for i, g in enumerate(group):
+            if g != len(points) or not fixed[i]:
+                centre.setdefault(g, i)
+        known = next(iter(np.flatnonzero(fixed)), None)        # the fixed points are linked to each other already
+        links = [(int(points[centre[g]]), int(points[i])) for i, g in enumerate(group)
+                 if g in centre and centre[g] != i and (not fixed[i] or i == known)]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return join
@@ -459,7 +484,8 @@ def _links(docs: DataFrame, points: DataFrame, scratch: Scratch, id_col: str, te
     total = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-int(total * (1 - percent / 100 + EXTRA)) // BUCKET))
     shared = (_prefix_postings(docs, id_col, text_col, words, percent, buckets).groupBy("bucket")
-              .applyInArrow(_shared_counts, "point long, shared long").groupBy("point").agg(F.sum("shared").alias("shared")))
+              .applyInArrow(_shared_counts(buckets), "part long, points binary, shared binary")
+              .groupBy("part").applyInArrow(_add_counts, "point long, shared long"))
     need = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * F.lit(EXTRA)))
     met = scratch.write(sizes.join(shared, "point").where(F.col("shared") >= need).select("row"), "met")
     texts = _merge_join(_packed(_rows(docs, id_col, text_col)), met, "row").dropDuplicates(["row"])
