@@ -791,9 +791,10 @@ def q_pipeline_series(spark, sf_dir):
 # Forest sizes, space and iterations are these queries' own parameters, passed
 # as a user would pass them.
 # --------------------------------------------------------------------------
-FOREST = C.ForestParams(n_estimators=10, max_depth=5, max_features="sqrt", min_samples_leaf=2, min_samples_split=5)
+FOREST = C.ForestParams(n_estimators=10, max_depth=5, max_features="sqrt", min_samples_leaf=2)
+SMALL_FOREST = C.ForestParams(n_estimators=5, max_depth=3, max_features="sqrt", min_samples_leaf=3)
 RUN = C.PanelConfig(
-    forest_stage1={None: FOREST}, n_iter=3,
+    forest_stage1={None: SMALL_FOREST}, n_iter=3,
     space={None: {"n_estimators": ("randint", 5, 11), "max_depth": ("choice", [3, 5, 8]),
                   "min_samples_split": ("randint", 2, 20), "min_samples_leaf": ("randint", 1, 10),
                   "max_features": ("choice", ["sqrt", "log2", 0.5]), "max_samples": ("uniform", 0.6, 0.4)}})
@@ -818,7 +819,7 @@ def q_fit_forest(spark, sf_dir):
     from ..operators import forest as FO
 
     def one(rows, site):
-        trees = FO.tree_arrays(spark, FO.fit_forest(_train(rows), S12, C.TARGET, FOREST))
+        trees = FO.tree_arrays(spark, FO.fit_forest(_train(rows), S12, C.TARGET, FOREST.with_(min_samples_split=20)))
         return spark.createDataFrame([(site, i, int(t.reachable().sum()), int((t.reachable() & (t.left < 0)).sum()))
                                       for i, t in enumerate(trees)], "site string, treeID int, n_nodes long, n_leaves long")
     return _per_site(spark, sf_dir, one)
@@ -869,7 +870,7 @@ def _with_folds(rows, fn):
 def q_rfecv_select(spark, sf_dir):
     from ..operators import select as SEL
     return _per_site(spark, sf_dir, lambda rows, site: _with_folds(rows, lambda train: SEL.rfecv_select(
-        spark, train, S12, C.TARGET, FOREST, parallelism=RUN.parallelism)["selection"].select(F.lit(site).alias("site"), "*")))
+        spark, train, S12, C.TARGET, SMALL_FOREST, parallelism=RUN.parallelism)["selection"].select(F.lit(site).alias("site"), "*")))
 
 
 @register("search_random")
