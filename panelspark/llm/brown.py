@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, utf8
+from .common import Scratch, fold, tidy, utf8
 
 FOLDS, HELD_OUT = 10, 0
 CLUSTERED, SUFFIXES, CLASSES, HEAD, LONGEST_HEAD = 1000, 128, 48, 150_000, 64
@@ -77,7 +77,7 @@ def count_tokens(train: DataFrame) -> DataFrame:
                     seen = Counter()
         yield batch_of(seen)
 
-    return train.select("text").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(tidy(count), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def frequent_tokens(counts: DataFrame) -> list[tuple[bytes, int]]:
@@ -114,7 +114,7 @@ def _suffix_sizes(counts: DataFrame, clustered: set[bytes]) -> np.ndarray:
                                          ["suffix", "n", "v"])
 
     out = np.zeros((2, SUFFIXES))
-    for r in (counts.mapInArrow(add, "suffix long, n long, v long").groupBy("suffix")
+    for r in (counts.mapInArrow(tidy(add), "suffix long, n long, v long").groupBy("suffix")
               .agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()):
         out[:, r["suffix"]] = r["n"], r["v"]
     return out
@@ -147,7 +147,7 @@ def symbol_bigrams(train: DataFrame, symbol: SymbolOf) -> np.ndarray:
         return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "strip": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros((SYMBOLS, SYMBOLS))
-    strips = (train.select("text").mapInArrow(count, "at long, strip binary")
+    strips = (train.select("text").mapInArrow(tidy(count), "at long, strip binary")
               .groupBy("at").applyInArrow(add, "at long, strip binary"))
     for r in strips.collect():
         rows = np.frombuffer(r["strip"], np.int64).reshape(-1, SYMBOLS)
@@ -282,7 +282,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 cols = [tail_row, *[blank] * 7, tail_token, tail_uses]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    scored = scratch.write(rows.mapInArrow(score, DOC_ROW), "scored")
+    scored = scratch.write(rows.mapInArrow(tidy(score), DOC_ROW), "scored")
     tail = scored.where("token is not null").select("row", "token", "uses").join(counts, "token", "left")
     tail = tail.groupBy("row").agg(
         F.sum(F.col("uses") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(SHARE))).alias("tail_logs"),

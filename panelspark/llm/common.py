@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +30,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def tidy(work: Callable) -> Callable:
+    """A batch function whose freed memory goes back to the system when its task ends.
+
+    Python workers are kept for later tasks; without this, each keeps the
+    most that any task has used.
+    """
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Scratch:
     """Tables written below ``spark.checkpoint.dir`` to cut lineage between jobs.
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, utf8
+from .common import Scratch, tidy, utf8
 
 WINDOW = 10
 SEGMENT_WORDS = 1_000_000
@@ -84,7 +84,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield _segment_batch(number, doc_ids, lengths, words)
 
     return (docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("text"))
-            .mapInArrow(index, SEGMENT))
+            .mapInArrow(tidy(index), SEGMENT))
 
 
 class Segment:
@@ -155,7 +155,7 @@ def occurrences(index: DataFrame, items: list[tuple[str, list[bytes]]], window:
                  pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
                 ["segment", "item", "first", "last"])
 
-    return index.mapInArrow(search, "segment long, item string, first long, last long")
+    return index.mapInArrow(tidy(search), "segment long, item string, first long, last long")
 
 
 def near_matches(index: DataFrame, terms: list[str], span: int) -> DataFrame:
@@ -170,7 +170,7 @@ def near_matches(index: DataFrame, terms: list[str], span: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([seg.doc_ids[d] for d in docs], pa.int64()),
                                               pa.array(counts, pa.int64())], ["doc_id", "n_matches"])
 
-    return index.mapInArrow(search, "doc_id long, n_matches long")
+    return index.mapInArrow(tidy(search), "doc_id long, n_matches long")
 
 
 def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -215,7 +215,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
     return (index.select("segment", "doc_ids", "starts", "lengths").join(per_segment, "segment", "left")
-            .mapInArrow(count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, "
+            .mapInArrow(tidy(count), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, "
                                "contaminated boolean, items array<string>"))
 
 

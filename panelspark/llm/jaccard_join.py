@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, utf8
+from .common import Scratch, attach, tidy, utf8
 
 WORDS, PERCENT = 5, 75
 EXTRA = 0.05                       # prefix beyond the plain prefix filter, as a share of the set
@@ -117,7 +117,7 @@ def _points(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
                 [batch.column("row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_digest(s) for s in sets], pa.int64())], ["row", "doc_id", "n", "point"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(digest, "row long, doc_id long, n long, point long")
+    return _rows(docs, id_col, text_col).mapInArrow(tidy(digest), "row long, doc_id long, n long, point long")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -178,7 +178,7 @@ def _prefix_postings(docs: DataFrame, id_col: str, text_col: str, words: int, pe
         if held:
             yield from flush(held)
 
-    return _rows(docs, id_col, text_col).select("text").mapInArrow(send, POSTINGS)
+    return _rows(docs, id_col, text_col).select("text").mapInArrow(tidy(send), POSTINGS)
 
 
 def _shared_counts(buckets: int):
@@ -249,7 +249,7 @@ def _set_shards(texts: DataFrame, words: int) -> DataFrame:
         if sets:
             yield row()
 
-    return texts.select("packed").mapInArrow(pack, SETS)
+    return texts.select("packed").mapInArrow(tidy(pack), SETS)
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def _packed(rows: DataFrame) -> DataFrame:
                 [batch.column("row"), pa.array([squeeze.compress(t.as_py()) for t in batch.column("text")], pa.binary())],
                 ["row", "packed"])
 
-    return rows.select("row", "text").mapInArrow(pack, "row long, packed binary")
+    return rows.select("row", "text").mapInArrow(tidy(pack), "row long, packed binary")
 
 
 def _merge_join(left: DataFrame, right: DataFrame, key) -> DataFrame:
@@ -293,7 +293,7 @@ def _document_frequencies(shards: DataFrame, buckets: int) -> DataFrame:
             out.append({"shard": shard, "shingles": v[mine > 1].tobytes(), "counts": mine[mine > 1].tobytes()})
         return pa.Table.from_pylist(out, pa.schema([("shard", pa.int64()), ("shingles", pa.binary()), ("counts", pa.binary())]))
 
-    return (shards.select("shard", "shingles").mapInArrow(send, "bucket long, shard long, shingles binary, counts binary")
+    return (shards.select("shard", "shingles").mapInArrow(tidy(send), "bucket long, shard long, shingles binary, counts binary")
             .groupBy("bucket").applyInArrow(add, "shard long, shingles binary, counts binary"))
 
 
@@ -326,7 +326,7 @@ def _candidates(shards: DataFrame, frequencies: DataFrame, percent: int) -> Data
                     ["point", "n", "shingles", "prefix"])
 
     told = frequencies.groupBy("shard").agg(F.collect_list(F.struct("shingles", "counts")).alias("frequencies"))
-    return shards.join(told, "shard", "left").mapInArrow(choose, "point long, n long, shingles binary, prefix array<long>")
+    return shards.join(told, "shard", "left").mapInArrow(tidy(choose), "point long, n long, shingles binary, prefix array<long>")
 
 
 def _distances(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def _distances(members: DataFrame, sets: DataFrame) -> DataFrame:
     centre = sets.select(F.col("point").alias("region"), F.col("n").alias("m"), F.col("shingles").alias("pivot_shingles"))
     return (_merge_join(_merge_join(members, sets.select("point", "n", "shingles"), "point"), centre, "region")
             .select("region", "point", "n", "m", "shingles", "pivot_shingles")
-            .mapInArrow(measure, "region long, point long, n long, m long, inter long"))
+            .mapInArrow(tidy(measure), "region long, point long, n long, m long, inter long"))
 
 
 def _rest(measured: DataFrame, percent: int) -> DataFrame:

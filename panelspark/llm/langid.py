@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold
+from .common import Scratch, fold, tidy
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample_rows: int = SAMPLE
              pa.array(list(seen.values()), pa.int64())], ["word", "lang", "n"])
 
     words = Scratch(docs.sparkSession, "langid").write(
-        sample.mapInArrow(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")),
+        sample.mapInArrow(tidy(count), "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")),
         "words")
     pieces = lattice.none + 1
     p = _normalised(np.ones((pieces, len(languages))), lattice.unknown)
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample_rows: int = SAMPLE
                                               pa.array(total[row, col], pa.float64())], ["piece", "lang", "n"])
 
         total = np.zeros_like(p)
-        for r in (words.mapInArrow(expect, "piece long, lang long, n double")
+        for r in (words.mapInArrow(tidy(expect), "piece long, lang long, n double")
                   .groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect()):
             total[r["piece"], r["lang"]] = r["n"]
         shared.destroy()
@@ -239,7 +239,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     [part.column("doc_id"), part.column("held_out"), pa.array([x for x, _ in out], pa.string()),
                      pa.array([s for _, s in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame, **options) -> DataFrame:

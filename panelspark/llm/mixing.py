@@ -21,12 +21,11 @@ sources without words have target 0; a mix of nothing is empty; repeated rows
 share their decisions; result columns win over input columns of the same name.
 """
 
-from __future__ import annotations
-
 from math import gcd
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +38,9 @@ EXTRAS = 16
 INTERNAL = ("_size", "_source", "_h", "_rank", "_draws", "_draw", "_mix_key")
 
 
-@F.pandas_udf(T.LongType())
-def count_words(texts: pd.Series) -> pd.Series:
-    return pd.Series([len(t.split()) for t in texts], dtype="int64")
+@F.arrow_udf(T.LongType())
+def count_words(texts: pa.Array) -> pa.Array:
+    return pa.array([len(t.as_py().split()) for t in texts], pa.int64())
 
 
 def mix_targets(sizes: list[int], weights: list[float], ratio: float, max_repeat: float) -> list[float]:

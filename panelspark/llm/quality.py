@@ -17,11 +17,10 @@ without labels of both classes the score is the labels' mean (0.5 without
 any); other columns are ignored.
 """
 
-from __future__ import annotations
-
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold
+from .common import Scratch, fold, tidy
 
 DIMENSIONS, NONZERO, BUCKETS, VOCABULARY = 64, 8, 1 << 14, 20_000
 CONTEXT = 2
@@ -41,6 +40,7 @@ THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 POOLED = 8
+SLICE = 256                        # texts that are Python strings at a time
 
 
 def tokens_of(text: str) -> list[str]:
@@ -127,7 +127,7 @@ def _vocabulary(sample: DataFrame) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
                                          ["token", "n"])
 
-    top = (sample.select("text").mapInArrow(count, "token string, n long").where(F.length("token") <= 64)
+    top = (sample.select("text").mapInArrow(tidy(count), "token string, n long").where(F.length("token") <= 64)
            .groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
            .orderBy(F.desc("n"), "token").limit(VOCABULARY).collect())
     return {r["token"]: i for i, r in enumerate(top)}
@@ -150,7 +150,7 @@ def _context_sums(sample: DataFrame, vocabulary: dict, index: np.ndarray) -> np.
                         np.add.at(sums, own[keep], other[keep])
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
-    parts = sample.select("text").coalesce(FIT_TASKS).mapInArrow(add, "sums binary").toLocalIterator()
+    parts = sample.select("text").coalesce(FIT_TASKS).mapInArrow(tidy(add), "sums binary").toLocalIterator()
     total = np.zeros((VOCABULARY, DIMENSIONS), np.float64)
     for r in parts:
         total += np.frombuffer(r["sums"], np.float32).reshape(VOCABULARY, DIMENSIONS)
@@ -222,9 +222,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
 def score_column(model: Model, docs: DataFrame, text: Column) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.probability(texts), dtype="float64")
+    def scores(arrays):
+        for texts in arrays:
+            parts = [shared.value.probability(texts.slice(at, SLICE).to_pylist()) for at in range(0, len(texts), SLICE)]
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+
+    @F.arrow_udf("double")
+    def score(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(scores)(arrays)
 
     return score(F.coalesce(text.cast("string"), F.lit("")))
 

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, utf8
+from .common import Scratch, tidy, utf8
 
 LENGTH, SPAN, GRAM = 400, 256, 64
 SYMBOL_BYTES = (72, 72, 128, 128)
@@ -222,7 +222,7 @@ def build_shards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield _shard_batch(number, doc_ids, texts)
 
     return (docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("text"))
-            .mapInArrow(build, SHARD))
+            .mapInArrow(tidy(build), SHARD))
 
 
 ENTRY = "shard long, class long, s1 long, s2 long, s3 long, s4 long, bwt long, uses long"
@@ -239,7 +239,7 @@ def shard_entries(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols],
                                                  [c.split()[0] for c in ENTRY.split(", ")])
 
-    return shards.select("shard", "tables", "uses").mapInArrow(unpack, ENTRY)
+    return shards.select("shard", "tables", "uses").mapInArrow(tidy(unpack), ENTRY)
 
 
 def merge_entries(entries: DataFrame, tasks: int) -> DataFrame:
@@ -327,7 +327,7 @@ def repeated_starts(shards: DataFrame, tasks: int) -> DataFrame:
                 out.append({"shard": r["shard"], "hashes": mine.tobytes()})
         return pa.Table.from_pylist(out, pa.schema([("shard", pa.int64()), ("hashes", pa.binary())]))
 
-    sent = shards.mapInArrow(send, "task long, shard long, hashes binary, twice binary")
+    sent = shards.mapInArrow(tidy(send), "task long, shard long, hashes binary, twice binary")
     return sent.groupBy("task").applyInArrow(meet, "shard long, hashes binary")
 
 
@@ -386,4 +386,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for i in range(batch.num_rows):
                 yield pa.RecordBatch.from_pylist(list(_cut(batch.slice(i, 1).to_pylist()[0], keep_text)), schema)
 
-    return both.mapInArrow(cut, RESULT)
+    return both.mapInArrow(tidy(cut), RESULT)

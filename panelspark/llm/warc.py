@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, table, utf8
+from .common import Scratch, attach, table, tidy, utf8
 
 ARCHIVE_BYTES = 16 << 20
 LINES_PER_BLOCK, MOST_BLOCKS, KEY_CHARS = 3000, 65_536, 200
@@ -116,7 +116,7 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, id_col: st
     out = (rows.select("*", pid, base32_sha1(F.col("payload")).alias("digest"))
            .join(revisits, ["pid", "same"], "left")
            .select("page_id", "url", "payload", "digest", "refers_to"))
-    (out.mapInArrow(_write_batches, RECORD)
+    (out.mapInArrow(tidy(_write_batches), RECORD)
      .select("archive", F.col("record").cast("string").alias("value"))
      .write.partitionBy("archive").option("encoding", "ISO-8859-1")
      .option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path))
@@ -183,7 +183,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                          for at, n, data in _members(content)]
                 yield pa.RecordBatch.from_pylist(lines, schema)
 
-    return _files(spark, path).mapInArrow(scan, CAPTURE)
+    return _files(spark, path).mapInArrow(tidy(scan), CAPTURE)
 
 
 def build_index(lines: DataFrame, total: int) -> DataFrame:
@@ -209,7 +209,7 @@ def build_index(lines: DataFrame, total: int) -> DataFrame:
 
     order = ["key", "file", "offset"]
     return (lines.repartitionByRange(*order).sortWithinPartitions(*order)
-            .mapInArrow(pack, "block long, first_key string, lines binary"))
+            .mapInArrow(tidy(pack), "block long, first_key string, lines binary"))
 
 
 def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
@@ -240,9 +240,9 @@ def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    wanted = (keys.select("key").distinct().mapInArrow(find, "block long, key string")
+    wanted = (keys.select("key").distinct().mapInArrow(tidy(find), "block long, key string")
               .groupBy("block").agg(F.collect_set("key").alias("wanted")))
-    return index.join(wanted, "block").select("lines", "wanted").mapInArrow(open_blocks, CAPTURE)
+    return index.join(wanted, "block").select("lines", "wanted").mapInArrow(tidy(open_blocks), CAPTURE)
 
 
 def read_ranges(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def read_ranges(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     ranges = lines.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    return _files(spark, path).join(ranges, "file").select("content", "ranges").mapInArrow(cut, PARSED)
+    return _files(spark, path).join(ranges, "file").select("content", "ranges").mapInArrow(tidy(cut), PARSED)
 
 
 def round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
