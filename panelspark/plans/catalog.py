@@ -788,16 +788,13 @@ def q_pipeline_series(spark, sf_dir):
 # --------------------------------------------------------------------------
 # 2.9 model operators.  Forest output is engine-specific: these queries are
 # checked by invariants in tests/; their exact counterparts follow below.
-# Forest sizes, space and iterations are these queries' own parameters, passed
-# as a user would pass them.
+# Forests, spaces and iterations are the analysis' own (`PanelConfig`).
 # --------------------------------------------------------------------------
-FOREST = C.ForestParams(n_estimators=10, max_depth=5, max_features="sqrt", min_samples_leaf=2)
-SMALL_FOREST = C.ForestParams(n_estimators=5, max_depth=3, max_features="sqrt", min_samples_leaf=3)
-RUN = C.PanelConfig(
-    forest_stage1={None: SMALL_FOREST}, n_iter=3,
-    space={None: {"n_estimators": ("randint", 5, 11), "max_depth": ("choice", [3, 5, 8]),
-                  "min_samples_split": ("randint", 2, 20), "min_samples_leaf": ("randint", 1, 10),
-                  "max_features": ("choice", ["sqrt", "log2", 0.5]), "max_samples": ("uniform", 0.6, 0.4)}})
+RUN = C.PanelConfig()
+
+
+def _forest(site: str) -> C.ForestParams:
+    return RUN.of_site("forest_stage1", site)
 
 
 def _per_site(spark, sf_dir, fn, features=tuple(S12)):
@@ -819,7 +816,7 @@ def q_fit_forest(spark, sf_dir):
     from ..operators import forest as FO
 
     def one(rows, site):
-        trees = FO.tree_arrays(spark, FO.fit_forest(_train(rows), S12, C.TARGET, FOREST.with_(min_samples_split=20)))
+        trees = FO.tree_arrays(spark, FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site)))
         return spark.createDataFrame([(site, i, int(t.reachable().sum()), int((t.reachable() & (t.left < 0)).sum()))
                                       for i, t in enumerate(trees)], "site string, treeID int, n_nodes long, n_leaves long")
     return _per_site(spark, sf_dir, one)
@@ -831,7 +828,7 @@ def q_predict_forest(spark, sf_dir):
     from .stages import predicted
 
     def one(rows, site):
-        m = FO.fit_forest(_train(rows), S12, C.TARGET, FOREST)
+        m = FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site))
         return predicted(rows, m, S12).select("site", "Date", "split", "Observed_NEE", "Predicted_NEE")
     return _per_site(spark, sf_dir, one)
 
@@ -841,7 +838,7 @@ def q_forest_importance(spark, sf_dir):
     from ..operators import forest as FO
 
     def one(rows, site):
-        m = FO.fit_forest(_train(rows), S12, C.TARGET, FOREST)
+        m = FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site))
         return FO.forest_importance(spark, m, S12).select(F.lit(site).alias("site"), "*")
     return _per_site(spark, sf_dir, one)
 
@@ -852,7 +849,7 @@ def q_shap_tree(spark, sf_dir):
     from ..operators import treeshap as TS
 
     def one(rows, site):
-        m = FO.fit_forest(_train(rows), S12, C.TARGET, FOREST)
+        m = FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site))
         return TS.shap_tree(rows, FO.tree_arrays(spark, m), S12, keep=("site", "Date", "split"))
     return _per_site(spark, sf_dir, one)
 
@@ -870,7 +867,7 @@ def _with_folds(rows, fn):
 def q_rfecv_select(spark, sf_dir):
     from ..operators import select as SEL
     return _per_site(spark, sf_dir, lambda rows, site: _with_folds(rows, lambda train: SEL.rfecv_select(
-        spark, train, S12, C.TARGET, SMALL_FOREST, parallelism=RUN.parallelism)["selection"].select(F.lit(site).alias("site"), "*")))
+        spark, train, S12, C.TARGET, _forest(site), parallelism=RUN.parallelism)["selection"].select(F.lit(site).alias("site"), "*")))
 
 
 @register("search_random")
@@ -887,7 +884,7 @@ def q_oob_score(spark, sf_dir):
 
     def one(rows, site):
         train = _train(rows)
-        bagged = S.fit_bagged_forest(spark, train, S12, C.TARGET, FOREST.with_(max_samples=0.8), RUN.parallelism)
+        bagged = S.fit_bagged_forest(spark, train, S12, C.TARGET, _forest(site).with_(max_samples=0.8), RUN.parallelism)
         return S.oob_score(train, bagged, S12, C.TARGET).select(F.lit(site).alias("site"), "*")
     return _per_site(spark, sf_dir, one)
 
@@ -898,7 +895,7 @@ def q_shap_export_full(spark, sf_dir):
     from .stages import attributed
 
     def one(rows, site):
-        m = FO.fit_forest(_train(rows), S12, C.TARGET, FOREST)
+        m = FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site))
         return A.shap_export_full(attributed(spark, rows, m, S12), S12, residuals=True)
     return _per_site(spark, sf_dir, one)
 
@@ -914,7 +911,7 @@ def q_pipeline_stage1(spark, sf_dir):
     def one(site):
         feats = list(RUN.of_site("stage1_features", site))
         return tagged(site, stage1_site(spark, model_frame(pan, keys, feats, site=site), site, feats,
-                                        RUN.of_site("forest_stage1", site), RUN))
+                                        _forest(site), RUN))
     return reduce(lambda a, b: a.unionByName(b), for_sites(site_names(pan, RUN), one))
 
 
@@ -926,7 +923,7 @@ def q_pipeline_stage2(spark, sf_dir):
 
     def one(rows, site):
         res = stage2_site(spark, rows, site, S12, RUN.of_site("space", site), RUN)
-        plain = predicted(rows, FO.fit_forest(_train(rows), S12, C.TARGET, FOREST), S12)
+        plain = predicted(rows, FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site)), S12)
         first = E.metrics_table(E.metrics_overall(plain))
         return tagged(site, res | {"stage_comparison": stage_comparison(first, res["metrics"], len(S12), len(S12))})
     return _per_site(spark, sf_dir, one)
