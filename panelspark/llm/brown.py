@@ -6,14 +6,21 @@
    training part are counted; the matrix has a fixed size.
 3. The exchange algorithm moves symbols between ``CLASSES`` classes while the
    likelihood of the class bigram model rises.
-4. log P(text) = sum of log P(class | class before) + log P(symbol | class)
-   + log P(token | suffix group); the class transitions are interpolated with
-   the class unigrams, group members are additively smoothed with one share
-   for unseen tokens, so all distributions are proper.
-
-The ``HEAD`` most frequent tokens (a fixed number) are broadcast with their
-counts; the documents' other tokens meet their counts in a join, after being
-combined per document.
+4. Every other training token starts in the class of its suffix group. In each
+   of ``ASSIGN_SWEEPS`` sweeps the classes before and after it are counted over
+   all training texts and it moves to the class of the highest exchange gain.
+   All tokens of a sweep are moved against the same class bigrams, in tasks; so
+   none moves to a class without tokens, and a sweep that does not raise the
+   likelihood is not taken.
+5. log P(text) = sum of log P(class | class before) + log P(token | class); the
+   class transitions are interpolated with the class unigrams, tokens are
+   additively smoothed with one share for the unseen tokens of each suffix group
+   (in that group's class), so all distributions are proper.
+
+Texts are coded once: the ``HEAD`` most frequent tokens (a fixed number) by their
+place, others by their suffix group. The bigrams with one of the others ("rare"
+tokens) are kept beside the codes and meet the rare tokens' classes and counts in
+joins; all other bigrams are counted from the codes and a class for each code.
 
 Defined results: null text is empty (one end token); without training rows all
 counts are 0 and both scores are finite; repeated rows are scored separately;
@@ -37,12 +44,15 @@ from .common import Scratch, fold, tidy, utf8
 FOLDS, HELD_OUT = 10, 0
 CLUSTERED, SUFFIXES, CLASSES, HEAD, LONGEST_HEAD = 1000, 128, 48, 150_000, 64
 SHARE = 0.1
-SWEEPS = 6
+SWEEPS, ASSIGN_SWEEPS = 6, 2
 BACKOFF = 20.0
 FLUSH_TOKENS = 400_000
 END = CLUSTERED + SUFFIXES
 SYMBOLS = END + 1
-ROWS_PER_STRIP = 64
+ROWS_PER_STRIP, WORDS_PER_STRIP = 64, 2048
+CHUNK = 2_000_000                  # codes that are counted at a time
+AFTER, BEFORE, ITSELF = 0, CLASSES, 2 * CLASSES       # columns of a token's contexts
+CONTEXTS = 2 * CLASSES + 1
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -54,11 +64,11 @@ def suffix_symbol(token: bytes) -> int:
     return CLUSTERED + zlib.crc32(token[-3:]) % SUFFIXES
 
 
-class SymbolOf(dict):
-    """Symbol of a token: its own when clustered, else its suffix group's."""
+class CodeOf(dict):
+    """Code of a token: its place when frequent, else the number of frequent tokens plus its suffix group."""
 
     def __missing__(self, token: bytes) -> int:
-        return suffix_symbol(token)
+        return len(self) + suffix_symbol(token) - CLUSTERED
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
@@ -100,65 +110,256 @@ def frequent_tokens(counts: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(zip(rows.column("token").to_pylist(), rows.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
-def _suffix_sizes(counts: DataFrame, clustered: set[bytes]) -> np.ndarray:
-    """(2, SUFFIXES): tokens and different tokens of each suffix group."""
-    shared = counts.sparkSession.sparkContext.broadcast(clustered)
+CODED = ("row long, doc_id long, held_out boolean, codes binary, a binary, a_code int, b binary, b_code int, uses long")
+CODED_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()),
+                         ("a", pa.binary()), ("a_code", pa.int32()), ("b", pa.binary()), ("b_code", pa.int32()),
+                         ("uses", pa.int64())])
+
+
+def code_texts(rows: DataFrame, head: list[bytes]) -> DataFrame:
+    """Per document a row with its codes, and a row for each different bigram with a rare token.
+
+    In the bigrams, ``a`` and ``b`` are the tokens where they are rare, else null.
+    """
+    shared, rare, end = rows.sparkSession.sparkContext.broadcast(head), len(head), len(head) + SUFFIXES
 
-    def add(batches):
-        sums = np.zeros((2, SUFFIXES), np.int64)
+    def code(batches):
+        of = CodeOf((t, i) for i, t in enumerate(shared.value)).__getitem__
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for token, n in zip(batch.column("token").to_pylist(), batch.column("n").to_pylist()):
-                if token not in shared.value:
-                    sums[:, suffix_symbol(token) - CLUSTERED] += (n, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SUFFIXES), pa.int64()), pa.array(sums[0]), pa.array(sums[1])],
-                                         ["suffix", "n", "v"])
-
-    out = np.zeros((2, SUFFIXES))
-    for r in (counts.mapInArrow(tidy(add), "suffix long, n long, v long").groupBy("suffix")
-              .agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()):
-        out[:, r["suffix"]] = r["n"], r["v"]
-    return out
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                whole, pairs = [], []
+                for doc_id, held_out, text in zip(part.column("doc_id").to_pylist(),
+                                                  part.column("held_out").to_pylist(), part.column("text")):
+                    found = tokens_of(text.as_py())
+                    codes = np.array([end, *map(of, found), end], np.int32)
+                    is_rare = (codes >= rare) & (codes < end)
+                    uses = Counter()
+                    for i in np.flatnonzero(is_rare[:-1] | is_rare[1:]).tolist():
+                        uses[found[i - 1] if is_rare[i] else None, int(codes[i]),
+                             found[i] if is_rare[i + 1] else None, int(codes[i + 1])] += 1
+                    whole.append((row, doc_id, held_out, codes[1:-1].tobytes(), None, None, None, None, None))
+                    pairs += [(row, None, held_out, None, *pair, n) for pair, n in uses.items()]
+                    row += 1
+                for out in (whole, pairs):
+                    cols = list(zip(*out)) or [[]] * len(CODED_ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, CODED_ARROW)],
+                                                     schema=CODED_ARROW)
+
+    return rows.mapInArrow(tidy(code), CODED)
+
 
+def _chunks(batches, end: int):
+    """Codes of many documents at a time, with the end code before, between and after them."""
+    held, size = [np.array([end], np.int32)], 0
+    for batch in batches:
+        for codes in batch.column("codes"):
+            held += (np.frombuffer(codes.as_buffer(), np.int32), held[0])
+            size += len(held[-2]) + 1
+            if size > CHUNK:
+                yield np.concatenate(held)
+                held, size = held[:1], 0
+    yield np.concatenate(held)
 
-def symbol_bigrams(train: DataFrame, symbol: SymbolOf) -> np.ndarray:
-    """(SYMBOLS, SYMBOLS) counts; the end symbol also stands before the first token."""
-    shared = train.sparkSession.sparkContext.broadcast(dict(symbol))
 
+def _strips(total: np.ndarray, rows: int) -> pa.RecordBatch:
+    """Compressed strips of ``rows`` rows of a matrix, without those that are zero."""
+    parts = [(at, total[at:at + rows]) for at in range(0, len(total), rows)]
+    parts = [(at, zlib.compress(part.astype(np.int64).tobytes(), 1)) for at, part in parts if part.any()]
+    return pa.RecordBatch.from_arrays([pa.array([at for at, _ in parts], pa.int64()),
+                                       pa.array([part for _, part in parts], pa.binary())], ["at", "strip"])
+
+
+def _added(table: pa.Table) -> np.ndarray:
+    return sum(np.frombuffer(zlib.decompress(s), np.int64) for s in table.column("strip").to_pylist())
+
+
+def bigram_counts(coded: DataFrame, of_code: np.ndarray, size: int, rare: slice | None = None) -> np.ndarray:
+    """(size, size) counts of the codes' symbols; bigrams with a code in ``rare`` are left to the caller.
+
+    The end symbol also stands before the first token.
+    """
     def count(batches):
-        get = SymbolOf(shared.value).__getitem__
-        total, held = np.zeros(SYMBOLS * SYMBOLS, np.int64), [END]
-        for batch in batches:
-            for text in batch.column("text"):
-                held += map(get, tokens_of(text.as_py()))
-                held.append(END)
-                if len(held) > 2_000_000:
-                    ids = np.array(held, np.int64)
-                    total += np.bincount(ids[:-1] * SYMBOLS + ids[1:], minlength=SYMBOLS * SYMBOLS)
-                    held = [END]
-        ids = np.array(held, np.int64)
-        total += np.bincount(ids[:-1] * SYMBOLS + ids[1:], minlength=SYMBOLS * SYMBOLS)
-        total = total.reshape(SYMBOLS, SYMBOLS)
-        for at in range(0, SYMBOLS, ROWS_PER_STRIP):
-            strip = zlib.compress(total[at:at + ROWS_PER_STRIP].tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([strip], pa.binary())], ["at", "strip"])
+        total = np.zeros(size * size, np.int64)
+        for codes in _chunks(batches, len(of_code) - 1):
+            pair = of_code[codes[:-1]] * size + of_code[codes[1:]]
+            if rare is not None:
+                is_rare = (codes >= rare.start) & (codes < rare.stop)
+                pair = pair[~(is_rare[:-1] | is_rare[1:])]
+            total += np.bincount(pair, minlength=size * size)
+        yield _strips(total.reshape(size, size), ROWS_PER_STRIP)
 
     def add(key, table):
-        total = sum(np.frombuffer(zlib.decompress(s), np.int64) for s in table.column("strip").to_pylist())
-        return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "strip": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "strip": pa.array([_added(table).tobytes()], pa.binary())})
 
-    out = np.zeros((SYMBOLS, SYMBOLS))
-    strips = (train.select("text").mapInArrow(tidy(count), "at long, strip binary")
+    out = np.zeros((size, size))
+    strips = (coded.select("codes").mapInArrow(tidy(count), "at long, strip binary")
               .groupBy("at").applyInArrow(add, "at long, strip binary"))
     for r in strips.collect():
-        rows = np.frombuffer(r["strip"], np.int64).reshape(-1, SYMBOLS)
+        rows = np.frombuffer(r["strip"], np.int64).reshape(-1, size)
         out[r["at"]:r["at"] + len(rows)] = rows
     return out
 
 
+def _classed(pairs: DataFrame, rare: DataFrame | None) -> DataFrame:
+    """Bigrams with the class and count of their rare tokens (null for frequent and unseen ones)."""
+    for side in ("a", "b"):
+        new = [F.lit(None).cast(kind).alias(f"{side}_{name}") for name, kind in (("class", "int"), ("n", "long"))]
+        if rare is None:
+            pairs = pairs.select("*", *new)
+            continue
+        known = rare.select(F.col("token").alias(side), F.col("class").alias(f"{side}_class"), F.col("n").alias(f"{side}_n"))
+        pairs = (pairs.where(F.col(side).isNotNull()).join(known, side, "left")       # nulls would meet in one task
+                 .unionByName(pairs.where(F.col(side).isNull()).select("*", *new)))
+    return pairs
+
+
+def _side_classes(batch: pa.RecordBatch, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of both tokens of each bigram: the rare token's own, else that of its code."""
+    return tuple(np.where(own < 0, label[batch.column(f"{side}_code").to_numpy()], own) for side, own in
+                 ((side, batch.column(f"{side}_class").fill_null(-1).to_numpy()) for side in ("a", "b")))
+
+
+def class_bigrams(coded: DataFrame, pairs: DataFrame, label: np.ndarray) -> np.ndarray:
+    """(CLASSES, CLASSES) counts under the codes' classes and the rare tokens' classes in ``pairs``."""
+    def count(batches):
+        total = np.zeros((CLASSES, CLASSES), np.int64)
+        for batch in batches:
+            np.add.at(total, _side_classes(batch, label), batch.column("uses").to_numpy())
+        first, second = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(total[first, second])], ["a", "b", "n"])
+
+    end = len(label) - 1
+    out = bigram_counts(coded, label, CLASSES, slice(end - SUFFIXES, end))
+    for r in pairs.mapInArrow(tidy(count), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        out[r["a"], r["b"]] += r["n"]
+    return out
+
+
+def best_classes(contexts: np.ndarray, old: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """Class of the highest exchange gain of each token, against the class bigrams without the token.
+
+    ``contexts``: how often each class stands after and before the token, other
+    than itself, and how often it follows itself. Only cells that the token
+    changes are computed. Classes without other tokens are not taken.
+    """
+    after, before = contexts[:, AFTER:BEFORE].astype(float), contexts[:, BEFORE:ITSELF].astype(float)
+    itself, at = contexts[:, ITSELF].astype(float), np.arange(len(contexts))
+    gain = np.zeros((len(contexts), CLASSES))
+    for mine, other, table in ((after, before, between), (before, after, between.T)):
+        token, c = np.nonzero(mine)
+        n, here = mine[token, c][:, None], np.arange(len(token))
+        cells = table[:, c].T.copy()                      # [entry, class the token may take]
+        cells[here, old[token]] -= n[:, 0]
+        own = c == old[token]
+        cells[own] -= other[token[own]]
+        change = _xlogx(np.maximum(cells, 0) + n) - _xlogx(np.maximum(cells, 0))
+        change[here, c] = 0                               # the diagonal follows
+        np.add.at(gain, token, change)
+    cells = np.repeat(np.diag(between)[None], len(contexts), 0)
+    both = after + before + itself[:, None]
+    cells[at, old] -= both[at, old]
+    gain += _xlogx(cells + both) - _xlogx(cells)
+    for n, size in ((after.sum(1) + itself, between.sum(1)), (before.sum(1) + itself, between.sum(0))):
+        size = np.repeat(size[None], len(contexts), 0)
+        size[at, old] -= n
+        gain -= _xlogx(size + n[:, None]) - _xlogx(size)
+        gain[(size <= 0) & (np.arange(CLASSES) != old[:, None])] = -np.inf
+    new = np.argmax(gain[:, :CLASSES - 1], axis=1)
+    return np.where(gain[at, new] > gain[at, old] + 1e-9, new, old)
+
+
+def assign_frequent(coded: DataFrame, pairs: DataFrame, label: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """New classes of the codes: of the frequent tokens that the exchange did not place."""
+    end = len(label) - 1
+    rare = end - SUFFIXES
+
+    def from_codes(batches):
+        total = np.zeros((rare, CONTEXTS), np.int32)
+        for codes in _chunks(batches, end):
+            a, b = codes[:-1], codes[1:]
+            keep = ((a < rare) | (a == end)) & ((b < rare) | (b == end))
+            a, b = a[keep], b[keep]
+            one = (a < rare) & (a >= CLUSTERED)
+            np.add.at(total, (a[one], np.where(a == b, ITSELF, AFTER + label[b])[one]), 1)
+            one = (b < rare) & (b >= CLUSTERED) & (a != b)
+            np.add.at(total, (b[one], BEFORE + label[a[one]]), 1)
+        yield _strips(total, WORDS_PER_STRIP)
+
+    def from_pairs(batches):
+        total = np.zeros((rare, CONTEXTS), np.int32)
+        for batch in batches:
+            first, second = _side_classes(batch, label)
+            a, b, n = (batch.column(c).to_numpy() for c in ("a_code", "b_code", "uses"))
+            one = (a < rare) & (a >= CLUSTERED)
+            np.add.at(total, (a[one], AFTER + second[one]), n[one])
+            one = (b < rare) & (b >= CLUSTERED)
+            np.add.at(total, (b[one], BEFORE + first[one]), n[one])
+        yield _strips(total, WORDS_PER_STRIP)
+
+    def assign(key, table):
+        at, contexts = key[0].as_py(), _added(table).reshape(-1, CONTEXTS)
+        old, used = label[at:at + len(contexts)], np.flatnonzero(contexts.any(axis=1))
+        new = old.copy()
+        for k in range(0, len(used), 256):
+            some = used[k:k + 256]
+            new[some] = best_classes(contexts[some], old[some], between)
+        return pa.table({"at": pa.array([at], pa.int64()), "classes": pa.array([new.tobytes()], pa.binary())})
+
+    out = label.copy()
+    if rare > CLUSTERED:
+        strips = (coded.select("codes").mapInArrow(tidy(from_codes), "at long, strip binary")
+                  .unionByName(pairs.mapInArrow(tidy(from_pairs), "at long, strip binary")))
+        for r in strips.groupBy("at").applyInArrow(assign, "at long, classes binary").collect():
+            new = np.frombuffer(r["classes"], label.dtype)
+            out[r["at"]:r["at"] + len(new)] = new
+    return out
+
+
+def assign_rare(pairs: DataFrame, label: np.ndarray, between: np.ndarray) -> DataFrame:
+    """(token, old, class, n): old and new classes of all rare training tokens."""
+    def contexts(batches):
+        for batch in batches:
+            first, second = _side_classes(batch, label)
+            a, b, n = batch.column("a"), batch.column("b"), batch.column("uses")
+            itself = np.array([x is not None and x == y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)
+            for token, own, at, keep in ((a, first, np.where(itself, ITSELF, AFTER + second), True),
+                                         (b, second, BEFORE + first, ~itself)):
+                keep = pa.array(token.is_valid().to_numpy(zero_copy_only=False) & keep)
+                yield pa.RecordBatch.from_arrays([token.filter(keep), pa.array(own.astype(np.int32)).filter(keep),
+                                                  pa.array(at.astype(np.int32)).filter(keep), n.filter(keep)],
+                                                 ["token", "class", "at", "n"])
+
+    def assign(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                lists = part.column("contexts")
+                cells = lists.flatten()
+                table = np.zeros((part.num_rows, CONTEXTS), np.int64)
+                place = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                table[place, cells.field("at").to_numpy()] = cells.field("n").to_numpy()
+                new = best_classes(table, part.column("class").to_numpy().astype(np.int64), between)
+                n = table[:, AFTER:BEFORE].sum(1) + table[:, ITSELF]
+                yield pa.RecordBatch.from_arrays([part.column("token"), part.column("class"), pa.array(new.astype(np.int32)),
+                                                  pa.array(n)], ["token", "old", "class", "n"])
+
+    found = pairs.mapInArrow(tidy(contexts), "token binary, class int, at int, n long")
+    return (found.groupBy("token", "class", "at").agg(F.sum("n").alias("n"))
+            .groupBy("token", "class").agg(F.collect_list(F.struct("at", "n")).alias("contexts"))
+            .mapInArrow(tidy(assign), "token binary, old int, class int, n long"))
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def likelihood(between: np.ndarray) -> float:
+    """Log-likelihood of the class bigram model, but for what does not depend on the classes."""
+    return float(_xlogx(between).sum() - _xlogx(between.sum(1)).sum() - _xlogx(between.sum(0)).sum())
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of every symbol; the end symbol keeps the last class to itself."""
     free, end = classes - 1, len(bigrams) - 1
@@ -206,21 +407,40 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return label
 
 
+def class_steps(between: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """P(class | class before), interpolated with the class unigrams."""
+    return (between + BACKOFF * mass / mass.sum()) / (between.sum(1, keepdims=True) + BACKOFF)
+
+
 def transition_table(bigrams: np.ndarray, label: np.ndarray, group_mass: np.ndarray) -> np.ndarray:
-    """log10 P(class | class before) + log10 P(symbol | class) - log10(group mass), by symbol pair."""
+    """log10 P(class | class before) + log10 P(symbol | class) - log10(group mass), by symbol pair (the symbols alone)."""
     member = np.eye(CLASSES)[label]
-    between = member.T @ bigrams @ member
     uses = bigrams.sum(0) + SHARE
     class_uses = member.T @ uses
-    unigram = class_uses / class_uses.sum()
-    step = (between + BACKOFF * unigram) / (between.sum(1, keepdims=True) + BACKOFF)
     emission = np.log10(uses / class_uses[label])
     emission[CLUSTERED:END] -= np.log10(group_mass)
-    return np.log10(step)[np.ix_(label, label)] + emission[None, :]
-
-
-DOC_ROW = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, group_logs double, "
-           "path double, token binary, uses long")
+    return np.log10(class_steps(member.T @ bigrams @ member, class_uses))[np.ix_(label, label)] + emission[None, :]
+
+
+def cluster(scratch: Scratch, coded: DataFrame, pairs: DataFrame, head: list[bytes]) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """(class of every code, classes and counts of the rare tokens, class bigrams) of the training part."""
+    symbols = [i if i < CLUSTERED else suffix_symbol(t) for i, t in enumerate(head)]
+    of_code = np.array([*symbols, *range(CLUSTERED, END), END], np.int64)
+    label, met = exchange(bigram_counts(coded, of_code, SYMBOLS))[of_code], _classed(pairs, None)
+    between = class_bigrams(coded, met, label)
+    for sweep in range(1, ASSIGN_SWEEPS + 1):
+        new = assign_frequent(coded, met, label, between)
+        rare = scratch.write(assign_rare(met, label, between), f"rare{sweep}")
+        if sweep > 1:
+            scratch.drop(f"classed{sweep - 1}", f"rare{sweep - 1}")
+        met = scratch.write(_classed(pairs, rare), f"classed{sweep}")
+        after = class_bigrams(coded, met, new)
+        if likelihood(after) <= likelihood(between):
+            rare = rare.withColumn("class", F.col("old"))
+            break
+        label, between = new, after
+    scratch.drop(f"classed{sweep}", "pairs")
+    return label, rare, between
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,68 +449,67 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch = Scratch(spark, "brown")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"),
                        utf8(F.col(text_col)).alias("text"))
-    train = rows.where(~F.col("held_out"))
-    counts = scratch.write(count_tokens(train), "counts")
-    texts = train.count()
+    counts = scratch.write(count_tokens(rows.where(~F.col("held_out"))), "counts")
     total, kinds = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    frequent = frequent_tokens(counts)
+    scratch.drop("counts")
+    head = [t for t, _ in frequent]
+    coded = scratch.write(code_texts(rows, head), "coded")
+    whole, bigrams = coded.where("codes is not null"), coded.where("codes is null")
+    train = whole.where(~F.col("held_out"))
+    texts = train.count()
     n, v = (total or 0) + texts, kinds + (texts > 0)
-    head = frequent_tokens(counts)
-    symbol = SymbolOf((t, i) for i, (t, _) in enumerate(head[:CLUSTERED]))
-    sizes = _suffix_sizes(counts, set(symbol))
-    bigrams = symbol_bigrams(train, symbol)
-    path = transition_table(bigrams, exchange(bigrams), sizes[0] + SHARE * (sizes[1] + 1))
-    lookup = {t: (i if i < CLUSTERED else suffix_symbol(t), log10(c + SHARE)) for i, (t, c) in enumerate(head)}
-    shared = spark.sparkContext.broadcast((lookup, path))
-    end_log, has_end = log10(texts + SHARE), int(texts > 0)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                        ("n_known", pa.int64()), ("logs", pa.float64()), ("group_logs", pa.float64()),
-                        ("path", pa.float64()), ("token", pa.binary()), ("uses", pa.int64())])
+    pairs = scratch.write(bigrams.where(~F.col("held_out")).groupBy("a", "a_code", "b", "b_code")
+                          .agg(F.sum("uses").alias("uses")), "pairs")
+    label, rare, between = cluster(scratch, train, pairs, head)
+    own = np.array([*(c for _, c in frequent), *[0] * SUFFIXES, texts], float)
+    mass = np.bincount(label, own + SHARE, CLASSES)        # a suffix group's share is for its unseen tokens
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
+        mass[r["class"]] += r["n"] + SHARE * r["kinds"]
+    with np.errstate(divide="ignore"):                     # a class without tokens is never stepped into
+        steps, mass_log = np.log10(class_steps(between, mass)), np.log10(mass)
+    logs = np.log10(own + SHARE)
+    shared = spark.sparkContext.broadcast((label, logs, logs - mass_log[label]))
+    first_rare, end, has_end = len(head), len(head) + SUFFIXES, int(texts > 0)
 
     def score(batches):
-        known, steps = shared.value
-        row = TaskContext.get().partitionId() << 36
+        classes, base, emission = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                whole, tail_row, tail_token, tail_uses = [], [], [], []
-                for doc_id, held_out, text in zip(part.column("doc_id").to_pylist(),
-                                                  part.column("held_out").to_pylist(), part.column("text")):
-                    found = tokens_of(text.as_py())
-                    symbols, logs, group_logs, tail = [END], end_log, 0.0, []
-                    for t in found:
-                        hit = known.get(t)
-                        if hit is None:
-                            tail.append(t)
-                            symbols.append(suffix_symbol(t))
-                        else:
-                            symbols.append(hit[0])
-                            logs += hit[1]
-                            if hit[0] >= CLUSTERED:
-                                group_logs += hit[1]
-                    symbols.append(END)
-                    ids = np.array(symbols)
-                    whole.append((row, doc_id, held_out, len(found) + 1, len(found) - len(tail) + has_end, logs,
-                                  group_logs, float(steps[ids[:-1], ids[1:]].sum())))
-                    uses = Counter(tail)
-                    tail_row += [row] * len(uses)
-                    tail_token += uses
-                    tail_uses += uses.values()
-                    row += 1
-                blank = [None] * len(tail_row)
-                cols = list(zip(*whole)) + [[None] * len(whole)] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-                cols = [tail_row, *[blank] * 7, tail_token, tail_uses]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
-    scored = scratch.write(rows.mapInArrow(tidy(score), DOC_ROW), "scored")
-    tail = scored.where("token is not null").select("row", "token", "uses").join(counts, "token", "left")
-    tail = tail.groupBy("row").agg(
-        F.sum(F.col("uses") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(SHARE))).alias("tail_logs"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("uses"))).alias("tail_known"))
+            out = []
+            for codes in batch.column("codes"):
+                codes = np.concatenate([[end], np.frombuffer(codes.as_buffer(), np.int32), [end]])
+                plain = (codes < first_rare) | (codes == end)
+                pair, seen = plain[:-1] & plain[1:], codes[1:][plain[1:]]
+                path = steps[classes[codes[:-1][pair]], classes[codes[1:][pair]]].sum()
+                out.append((len(codes) - 1, len(seen) - 1 + has_end, float(base[seen].sum()),
+                            float(path + emission[seen].sum())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("row", "doc_id", "held_out")]
+                + [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "path"])
+
+    def score_rare(batches):
+        classes = shared.value[0]
+        for batch in batches:
+            a, b = _side_classes(batch, classes)
+            uses, is_rare = batch.column("uses").to_numpy(), batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+            found = batch.column("b_n").fill_null(0).to_numpy()
+            own_logs = np.log10(found + SHARE)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(np.where(is_rare & (found > 0), uses, 0)),
+                 pa.array(np.where(is_rare, uses * own_logs, 0.0)),
+                 pa.array(uses * (steps[a, b] + np.where(is_rare, own_logs - mass_log[b], 0.0)))],
+                ["row", "rare_known", "rare_logs", "rare_path"])
+
+    tail = (_classed(bigrams.select("row", "a", "a_code", "b", "b_code", "uses"), rare)
+            .mapInArrow(tidy(score_rare), "row long, rare_known long, rare_logs double, rare_path double")
+            .groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rare_known", "rare_logs", "rare_path")]))
+    scored = whole.select("row", "doc_id", "held_out", "codes").mapInArrow(
+        tidy(score), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, path double")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return (scored.where("token is null").join(tail, "row", "left")
-            .select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("tail_known")).cast("long").alias("n_known"),
+    return (scored.join(tail, "row", "left")
+            .select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("rare_known")).cast("long").alias("n_known"),
                     F.lit(n).cast("long").alias("train_tokens"),
-                    (F.col("logs") + zero("tail_logs")
+                    (F.col("logs") + zero("rare_logs")
                      - F.col("n_tokens") * F.lit(log10(n + SHARE * (v + 1)))).alias("base_score"),
-                    (F.col("path") + F.col("group_logs") + zero("tail_logs")).alias("score")))
+                    (F.col("path") + zero("rare_path")).alias("score")))

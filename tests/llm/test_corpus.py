@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -290,3 +291,59 @@ def test_quality_edges(spark, edge, nothing):
     none = quality.score_quality(edge, spark.createDataFrame([], kinds)).collect()
     assert {r["score"] for r in none} == {0.5}
     assert quality.keep_good(edge, labels).columns == edge.columns
+
+
+def test_best_classes_are_the_exchange_gains():
+    """The argmax over the changed cells is that of the whole likelihood, token by token."""
+    rng = np.random.default_rng(4)
+    words, classes = 30, brown.CLASSES
+    bigrams = rng.poisson(0.6, (words, words)).astype(float)
+    label = rng.integers(0, classes - 1, words)
+    label[:12] = 3
+
+    def between(of):
+        member = np.eye(classes)[of]
+        return member.T @ bigrams @ member
+
+    contexts = np.zeros((words, brown.CONTEXTS), np.int64)
+    for w in range(words):
+        for x in range(words):
+            if x == w:
+                contexts[w, brown.ITSELF] = bigrams[w, w]
+            else:
+                contexts[w, brown.AFTER + label[x]] += bigrams[w, x]
+                contexts[w, brown.BEFORE + label[x]] += bigrams[x, w]
+    got = brown.best_classes(contexts, label, between(label))
+    for w in range(words):
+        tried = {c: brown.likelihood(between(np.where(np.arange(words) == w, c, label))) for c in set(label.tolist())}
+        assert abs(tried[got[w]] - max(tried.values())) < 1e-6
+
+
+@pytest.mark.parametrize("head", [60, 100_000])
+def test_brown_classes_follow_the_contexts(spark, monkeypatch, head):
+    """Tokens beyond the exchange get the class of tokens in the same contexts, whatever their endings."""
+    monkeypatch.setattr(brown, "CLUSTERED", 20)
+    monkeypatch.setattr(brown, "END", 20 + brown.SUFFIXES)
+    monkeypatch.setattr(brown, "SYMBOLS", 21 + brown.SUFFIXES)
+    monkeypatch.setattr(brown, "HEAD", head)
+    rng = random.Random(3)
+    often, seldom = [10] * 10, [1] * 100
+    kinds = [[f"{k}w{i * 7919 % 1000:03d}" for i in range(110)] for k in "ab"]
+    docs = [(i, " ".join(rng.choices(kinds[j % 2], often + seldom)[0] for j in range(200)), None, None, 0)
+            for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    kept, cluster = {}, brown.cluster
+
+    def keep(scratch, coded, pairs, names):
+        out = cluster(scratch, coded, pairs, names)
+        kept.update(zip(names, out[0].tolist()))
+        kept.update((bytes(r["token"]), r["class"]) for r in out[1].collect())
+        return out
+
+    monkeypatch.setattr(brown, "cluster", keep)
+    out = brown.score_texts(df).collect()
+    assert len(kept) == 220 and len(out) == 120
+    first, second = (Counter(kept[w.encode()] for w in kind) for kind in kinds)
+    assert sum(max(first[c], second[c]) for c in first | second) >= 0.95 * 220     # 220 tokens by their class's kind
+    mine = np.mean([r["score"] - r["base_score"] for r in out if r["held_out"]])
+    assert mine > 200 * 0.25                               # alternation is worth log10(2) a token
