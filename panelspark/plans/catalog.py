@@ -917,16 +917,19 @@ def q_pipeline_stage1(spark, sf_dir):
 
 @register("pipeline_stage2")
 def q_pipeline_stage2(spark, sf_dir):
-    """Every exported table of stage 2, all sites, in one long form; compared with an untuned forest on the same rows."""
-    from ..operators import forest as FO
-    from .stages import predicted, stage2_site, stage_comparison, tagged
+    """Every exported table of stage 2, all sites, in one long form; compared with stage 1 on its own features."""
+    from functools import reduce
+    from .stages import for_sites, model_frame, site_names, stage1_site, stage2_site, stage_comparison, tagged
+    pan = panel(spark, sf_dir)
+    keys = V.split_keys(pan)
 
-    def one(rows, site):
-        res = stage2_site(spark, rows, site, S12, RUN.of_site("space", site), RUN)
-        plain = predicted(rows, FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site)), S12)
-        first = E.metrics_table(E.metrics_overall(plain))
-        return tagged(site, res | {"stage_comparison": stage_comparison(first, res["metrics"], len(S12), len(S12))})
-    return _per_site(spark, sf_dir, one)
+    def one(site):
+        feats = list(RUN.of_site("stage1_features", site))
+        first = stage1_site(spark, model_frame(pan, keys, feats, site=site), site, feats, _forest(site), RUN)
+        res = stage2_site(spark, model_frame(pan, keys, S12, site=site), site, S12, RUN.of_site("space", site), RUN)
+        compared = stage_comparison(first["metrics"], res["metrics"], len(first["selected"]), len(S12))
+        return tagged(site, res | {"stage_comparison": compared})
+    return reduce(lambda a, b: a.unionByName(b), for_sites(site_names(pan, RUN), one))
 
 
 # --------------------------------------------------------------------------

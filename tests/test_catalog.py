@@ -1,12 +1,14 @@
 """The registered model queries run the analysis' own forests, spaces and iterations."""
 
+import json
+
 import pytest
 
 from panelspark import config as C
 from panelspark.operators import forest as FO
 from panelspark.operators import search as S
 from panelspark.operators import select as SEL
-from panelspark.plans import catalog
+from panelspark.plans import catalog, stages
 from tests.conftest import SF_SMALL
 
 CFG = C.PanelConfig()
@@ -33,16 +35,34 @@ def test_fits_use_the_analysis_forests(spark, monkeypatch, name):
     assert _asked(monkeypatch, spark, FO, "fit_forest", name)[3] in FORESTS
 
 
-@pytest.mark.parametrize("name", ["rfecv_select", "pipeline_stage1"])
+@pytest.mark.parametrize("name", ["rfecv_select", "pipeline_stage1", "pipeline_stage2"])
 def test_eliminations_use_the_analysis_forests(spark, monkeypatch, name):
     assert _asked(monkeypatch, spark, SEL, "rfecv_select", name)[4] in FORESTS
 
 
 @pytest.mark.parametrize("name", ["search_random", "pipeline_stage2"])
 def test_searches_use_the_analysis_space(spark, monkeypatch, name):
+    monkeypatch.setattr(stages, "stage1_site", lambda *args: {})
     args = _asked(monkeypatch, spark, S, "search_random", name)
     assert args[4] in CFG.space.values() and args[5] == 100
 
 
 def test_bagged_forest_has_the_analysis_size(spark, monkeypatch):
     assert _asked(monkeypatch, spark, S, "fit_bagged_forest", "oob_score")[4] in [f.with_(max_samples=0.8) for f in FORESTS]
+
+
+def test_stage2_is_compared_with_stage1(spark, monkeypatch):
+    """The stage-1 row has the metrics and the number of selected features of that site's stage 1."""
+    def metrics(site, r2):
+        return {"metrics": spark.createDataFrame([(site, m, 0.9, r2 + i) for i, m in enumerate(("R²", "RMSE", "MAE"))],
+                                                 "site string, Metric string, Training double, Test double")}
+
+    chosen = {"F": 7, "O": 3, "P": 5}
+    monkeypatch.setattr(stages, "stage1_site", lambda spark, frame, site, feats, *rest:
+                        metrics(site, 0.25) | {"selected": feats[:chosen[site]]})
+    monkeypatch.setattr(stages, "stage2_site", lambda spark, rows, site, *rest: metrics(site, 0.5))
+    rows = [(r["site"], json.loads(r["row"])) for r in
+            catalog.QUERIES["pipeline_stage2"](spark, SF_SMALL).where("table = 'stage_comparison'").collect()]
+    got = {(s, r["Stage"]): (r["Test_R2"], r["Test_RMSE"], r["Test_MAE"], r["N_Features"]) for s, r in rows}
+    assert got == {(s, stage): row for s, n in chosen.items() for stage, row in
+                   (("Stage 1 (RFE)", (0.25, 1.25, 2.25, n)), ("Stage 2 (HPT)", (0.5, 1.5, 2.5, len(C.S12))))}
