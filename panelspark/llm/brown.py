@@ -94,19 +94,27 @@ def frequent_tokens(counts: DataFrame) -> list[tuple[bytes, int]]:
     """At most ``HEAD`` tokens with the highest counts, most frequent first.
 
     The least count is found from a histogram of counts (sixteenths of powers
-    of two), so no task or driver sorts the vocabulary.
+    of two), so no task or driver sorts the vocabulary. Of the step at the border
+    those tokens are taken that come first by a hash, in buckets.
     """
     step = F.floor(F.log2("n") * F.lit(16))
     short = counts.where(F.octet_length("token") <= LONGEST_HEAD).withColumn("step", step)
-    least, kept = None, 0
+    kept, chosen = 0, F.lit(False)
     for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
-        kept += r["count"]
-        if kept > HEAD:
-            break
-        least = r["step"]
-    if least is None:
-        return []
-    rows = short.where(F.col("step") >= least).select("token", "n").toArrow()
+        if kept + r["count"] <= HEAD:
+            kept += r["count"]
+            chosen = F.col("step") >= r["step"]
+            continue
+        bucket = F.pmod(F.xxhash64("token"), F.lit(min(1 << 16, 1 + 64 * r["count"] // HEAD)))
+        border, last = F.col("step") == r["step"], -1
+        for x in sorted(short.where(border).groupBy(bucket.alias("bucket")).count().collect()):
+            kept += x["count"]
+            if kept > HEAD:
+                break
+            last = x["bucket"]
+        chosen = chosen | (border & (bucket <= last))
+        break
+    rows = short.where(chosen).select("token", "n").toArrow()
     return sorted(zip(rows.column("token").to_pylist(), rows.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
 
 

@@ -347,3 +347,12 @@ def test_brown_classes_follow_the_contexts(spark, monkeypatch, head):
     assert sum(max(first[c], second[c]) for c in first | second) >= 0.95 * 220     # 220 tokens by their class's kind
     mine = np.mean([r["score"] - r["base_score"] for r in out if r["held_out"]])
     assert mine > 200 * 0.25                               # alternation is worth log10(2) a token
+
+
+def test_frequent_tokens_fill_the_head_among_ties(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HEAD", 300)
+    counts = spark.createDataFrame([(f"t{i}".encode(), 9 if i < 20 else 5) for i in range(1000)], "token binary, n long")
+    head = brown.frequent_tokens(counts)
+    assert 270 <= len(head) <= 300 and [n for _, n in head[:21]] == [9] * 20 + [5]
+    assert 270 <= len(brown.frequent_tokens(counts.where("n = 5"))) <= 300
+    assert head == brown.frequent_tokens(counts.repartition(7))
