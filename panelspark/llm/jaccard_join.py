@@ -19,8 +19,9 @@ The Jaccard distance is a metric, so with r = 1 - similarity:
    joined recursively: inside one task if it is small, else by rounds of many
    pivots against blocks of the region, until its points are settled or known
    to be in one component.
-5. Links are pivot stars and spanning links, so a group of copies gives a
-   linear number of rows; components follow by repeated minimum labels.
+5. Links are pivot stars and spanning links, reduced to a spanning forest in
+   each task, so a group of copies gives a linear number of rows; components
+   follow by contraction of the link table (``components``).
 
 Sets are compared by 64-bit hashes of their shingles.
 
@@ -33,6 +34,7 @@ ignored by ``link_documents`` and kept by ``keep_one``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, attach, tidy, utf8
+from .components import components, local_forest
 
 WORDS, PERCENT = 5, 75
 EXTRA = 0.05                       # prefix beyond the plain prefix filter, as a share of the set
@@ -346,8 +349,8 @@ def _distances(members: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInArrow(tidy(measure), "region long, point long, n long, m long, inter long"))
 
 
-def _rest(measured: DataFrame, percent: int) -> DataFrame:
-    """(region, point, fixed, size): what is left of each region after its pivot's round.
+def _rest(measured: DataFrame, percent: int, total: int) -> DataFrame:
+    """(region, point, fixed): what is left of each region after its pivot's round.
 
     ``fixed`` points of a region are known to be in one component.
     """
@@ -355,17 +358,17 @@ def _rest(measured: DataFrame, percent: int) -> DataFrame:
     d = measured.where("point <> region").select(
         "region", "point", F.expr(f"100 * inter >= {percent} * (n + m - inter)").alias("linked"),
         (1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))).alias("d"))
-    nearest = d.where("not linked").groupBy("region").agg(F.min("d").alias("outer"))
-    left = (d.join(nearest, "region").where(F.expr(f"not linked or d + {radius} >= outer - 1e-9"))
+    nearest = (d.groupBy("region").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("outer"), F.count(F.lit(1)).alias("weight"))
+               .where("outer is not null"))
+    return (attach(d, nearest, "region", "weight", total).where(F.expr(f"not linked or d + {radius} >= outer - 1e-9"))
             .select("region", "point", F.col("linked").alias("fixed")))
-    return _live(left)
 
 
 def _live(members: DataFrame) -> DataFrame:
-    """The members of regions that still have a pair to compare, with the region's size and open points."""
+    """The (written) members of regions that still have a pair to compare, with the region's size and open points."""
     size = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"),
                                          F.sum(F.when(F.col("fixed"), 0).otherwise(1)).alias("open"))
-    return members.join(size.where("size > 1 and open > 0"), "region")
+    return attach(members, size.where("size > 1 and open > 0"), "region", "size", members.count())
 
 
 def _block_round(large: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -455,27 +458,6 @@ def _overlap(mark: np.ndarray, number: np.ndarray, starts: np.ndarray, sizes: np
     return np.add.reduceat(mark[number[at]].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[sets])[:-1]]))
 
 
-def _components(links: DataFrame, scratch: Scratch, name: str = "all") -> DataFrame:
-    """(point, label): the smallest point of each component, by minimum labels and pointer jumping."""
-    both = scratch.write(links.select("a", "b").union(links.select("b", "a")).distinct(), f"links-{name}")
-    labels = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
-                           .withColumnRenamed("a", "point"), f"labels-{name}-0")
-    turn = 0
-    while True:
-        turn += 1
-        around = (both.join(labels.withColumnRenamed("point", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-                  .withColumnRenamed("a", "point"))
-        lower = labels.join(around, "point").select("point", F.col("label").alias("old"),
-                                                    F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("point").alias("label"), F.col("label").alias("next"))
-        labels = scratch.write(lower.join(jump, "label", "left").select(
-            "point", "old", F.least("label", F.coalesce("next", "label")).alias("label")), f"labels-{name}-{turn}")
-        changed = labels.where("old <> label").take(1)
-        labels = labels.drop("old")
-        if not changed:
-            return labels
-
-
 def _links(docs: DataFrame, points: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int,
            percent: int) -> DataFrame:
     """(a, b): links between points that connect every component."""
@@ -499,27 +481,30 @@ def _links(docs: DataFrame, points: DataFrame, scratch: Scratch, id_col: str, te
         .where("size > 1").select("shingle", F.col("first.pivot").alias("region")))
     members = scratch.write(postings.join(centres, "shingle").select("region", "point").distinct(), "members")
     measured = scratch.write(_distances(members, sets), "measured")
-    links = (measured.where("point <> region").where(f"100 * inter >= {percent} * (n + m - inter)")
-             .select(F.col("region").alias("a"), F.col("point").alias("b")))
-    left, turn = scratch.write(_rest(measured, percent), "rest0"), 0
+    near = (measured.where("point <> region").where(f"100 * inter >= {percent} * (n + m - inter)")
+            .select(F.col("region").alias("a"), F.col("point").alias("b")))
+    links = [scratch.write(local_forest(near), "stars")]      # a point meets as many pivots as it has rare shingles
+    rest = scratch.write(_rest(measured, percent, measured.count()), "left0")
+    left, turn = scratch.write(_live(rest), "rest0"), 0
     while True:
         small = (_merge_join(left.where(f"size <= {LEAF}"), sets.select("point", "shingles"), "point")
                  .select("region", "point", "fixed", "shingles"))
-        links = links.unionByName(scratch.write(
-            small.groupBy("region").applyInArrow(_leaf_join(percent), "a long, b long"), f"leaf{turn}"))
+        links.append(scratch.write(small.groupBy("region").applyInArrow(_leaf_join(percent), "a long, b long"), f"leaf{turn}"))
         large = left.where(f"size > {LEAF}")
         if not large.take(1):
-            return links
+            return reduce(DataFrame.unionByName, links)
         turn += 1
         found, pivots = _block_round(large, sets, percent, turn)
-        links = links.unionByName(scratch.write(found, f"block{turn}"))
-        labels = _components(links, scratch, str(turn))
+        links.append(scratch.write(local_forest(found), f"block{turn}"))
+        labels = components(reduce(DataFrame.unionByName, links), scratch, f"round{turn}")
+        links = [labels.where("point <> label").select(F.col("label").alias("a"), F.col("point").alias("b"))]
         known = (large.select("region", "point").join(pivots, ["region", "point"], "left_anti")
                  .join(labels, "point", "left").withColumn("label", F.coalesce("label", "point")))
         main = (known.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("region")
                 .agg(F.max(F.struct("size", "label")).alias("main")).select("region", "main.label", F.lit(True).alias("main")))
-        left = scratch.write(_live(known.join(main, ["region", "label"], "left").select(
-            "region", "point", F.col("main").isNotNull().alias("fixed"))), f"rest{turn}")
+        rest = scratch.write(known.join(main, ["region", "label"], "left").select(
+            "region", "point", F.col("main").isNotNull().alias("fixed")), f"left{turn}")
+        left = scratch.write(_live(rest), f"rest{turn}")
 
 
 def link_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -527,7 +512,7 @@ def link_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """(row, doc_id, n_shingles, component_id, first): ``first`` marks one document of each component."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     points = scratch.write(_points(docs, id_col, text_col, words), "points")
-    labels = _components(_links(docs, points, scratch, id_col, text_col, words, percent), scratch)
+    labels = components(_links(docs, points, scratch, id_col, text_col, words, percent), scratch)
     own = points.where("n > 0").groupBy("point").agg(F.count(F.lit(1)).alias("copies"),
                                                       F.min(_name()).alias("least"))
     named = own.join(labels, "point", "left").withColumn("label", F.coalesce("label", "point"))
@@ -554,7 +539,6 @@ def link_documents(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The first document of each component, with all its columns; wholly repeated rows are kept once."""
-    first = link_rows(docs, id_col=id_col, text_col=text_col, **options).where("first").select(
-        F.col("row").alias("_row")).distinct()
-    return (docs.withColumn("_row", F.xxhash64(F.col(id_col), utf8(F.col(text_col))))
-            .join(first, "_row").dropDuplicates(["_row"]).select(*docs.columns))
+    first = link_rows(docs, id_col=id_col, text_col=text_col, **options).where("first").select("row").distinct()
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.xxhash64(F.col(id_col), utf8(F.col(text_col))).alias("row"))
+    return whole.join(first, "row").dropDuplicates(["row"]).select("whole.*")
