@@ -140,6 +140,7 @@ class PanelConfig:
     shap_sample: int | None = None         # rows per site in the attribution summaries; None: every test row
     top_n: int | None = TOP_N_WEEKLY
     parallelism: int = 8
+    ledger: str | None = None              # shared folder of finished fits; None: a fresh one for each run
 
     def of_site(self, table: str, site: str):
         """The site's entry of ``stage1_features``, ``forest_stage1`` or ``space``."""

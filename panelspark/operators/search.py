@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import ForestParams
-from .forest import effective_depth, fit_forest, predict_forest, tree_arrays
+from .forest import fit_forest, predict_forest, tree_arrays
+from .forests import Fit
 from .select import r2_by_fold
 
 PARAM_COLS = ["n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "max_features", "max_samples"]
@@ -95,6 +96,30 @@ def search_random(spark: SparkSession, train: DataFrame, features, label: str, s
             "cv_best": best["mean_test_score"]}
 
 
+def search_forests(spark: SparkSession, matrix, features: dict[str, list], spaces: dict[str, dict], n_iter: int, ledger,
+                   seed: int = C.SEED) -> dict[str, dict]:
+    """``search_random`` for all sites at once: (site, config, fold) fits are scored in waves of the ledger.
+
+    The largest fits come first, so the last tasks of a wave are short ones.
+    """
+    drawn, work = {}, []
+    for site, space in spaces.items():
+        if len(matrix.folds[site]) < 2:
+            raise ValueError("Need at least 2 unique years for year folds.")
+        configs = search_configs(spark, space, n_iter, seed)
+        drawn[site] = (configs, [r.asDict() for r in configs.collect()])        # n_iter small rows of parameters
+        work += [(site, row, k) for row in drawn[site][1] for k in matrix.folds[site]]
+    fits = [Fit(site, tuple(features[site]), _as_params(row), k) for site, row, k in work]
+    found, out = ledger.scores(matrix, fits, with_importances=False), {}
+    for site, (configs, _) in drawn.items():
+        rows = [(row["config_id"], int(k), s.train_r2, s.test_r2) for (name, row, k), s in zip(work, found) if name == site]
+        long = spark.createDataFrame(rows, "config_id int, fold int, train_r2 double, test_r2 double")
+        summary = rank_configs(long).join(configs, "config_id")
+        best = summary.orderBy("rank_test_score", "config_id").limit(1).collect()[0].asDict()
+        out[site] = {"scores": long, "summary": summary, "best": best, "best_params": _as_params(best), "cv_best": best["mean_test_score"]}
+    return out
+
+
 def rank_configs(long: DataFrame) -> DataFrame:
     """Mean/std (population) of fold scores per config; rank on mean test R2 (ties share the min rank)."""
     agg = long.groupBy("config_id").agg(
@@ -111,10 +136,9 @@ def top_configs(summary: DataFrame, n: int = 20) -> DataFrame:
 
 
 def params_table(spark: SparkSession, params: ForestParams, extra: dict | None = None) -> DataFrame:
-    """Parameter/Value table (values as strings): the parameters asked for and the depth that was grown."""
+    """Parameter/Value table (values as strings): the parameters asked for, and what is known of the forest."""
     rows = [(k, None if v is None else str(v)) for k, v in
             [("n_estimators", params.n_estimators), ("max_depth", params.max_depth),
-             ("max_depth_used", effective_depth(params)),
              ("min_samples_split", params.min_samples_split), ("min_samples_leaf", params.min_samples_leaf),
              ("max_features", params.max_features), ("max_samples", params.max_samples),
              ("random_state", params.seed)] + list((extra or {}).items())]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import ForestParams
 from .forest import fit_forest, importances, predict_forest
+from .forests import Fit
 
 
 def r2_score(pred: DataFrame, label: str, predicted: str = "Predicted_NEE") -> float | None:
@@ -115,7 +116,12 @@ def rfecv_select(spark: SparkSession, train: DataFrame, features, label: str, es
         fold_scores = list(pool.map(run_fold, folds))
         _, full_order, _ = full.result()
 
-    rows = [(int(k), int(n), None if s is None else float(s)) for k, sc in fold_scores for n, s in sc.items()]
+    return selection_tables(spark, features, dict(fold_scores), full_order)
+
+
+def selection_tables(spark: SparkSession, features, fold_scores: dict, full_order: list) -> dict:
+    """Curve, selection and ranking from the scores by fold and feature count and the elimination order on all rows."""
+    rows = [(int(k), int(n), None if s is None else float(s)) for k, sc in fold_scores.items() for n, s in sc.items()]
     long = spark.createDataFrame(rows, "fold int, N_Features int, r2 double")
     curve = long.groupBy("N_Features").agg(F.avg("r2").alias("CV_R2"), F.stddev_pop("r2").alias("CV_R2_std"))
     curve_rows = {r["N_Features"]: r["CV_R2"] for r in curve.collect()}
@@ -132,3 +138,30 @@ def rfecv_select(spark: SparkSession, train: DataFrame, features, label: str, es
                                 "Feature string, Selected boolean, Ranking int")
     return {"curve": curve, "scores": long, "selection": sel, "n_features": n_best,
             "cv_best": best_score, "selected": [f for f in features if f in selected]}
+
+
+def rfecv_forests(spark: SparkSession, matrix, features: dict[str, list], params: dict[str, ForestParams], ledger) -> dict[str, dict]:
+    """``rfecv_select`` with forests for all sites at once: a step of the elimination is one job over all (site, fold) fits.
+
+    The driver holds one score and one importance per feature and fit.
+    """
+    chains = {}
+    for site in features:
+        if len(matrix.folds[site]) < 2:
+            raise ValueError("Need at least 2 unique years for year folds.")
+        chains |= {(site, k): list(features[site]) for k in (*matrix.folds[site], None)}
+    scores: dict = {chain: {} for chain in chains}
+    order: dict = {chain: [] for chain in chains}
+    while True:
+        live = [c for c, names in chains.items() if len(names) > (c[1] is None)]
+        if not live:
+            break
+        found = ledger.scores(matrix, [Fit(site, tuple(chains[site, k]), params[site], k) for site, k in live])
+        for (site, k), score in zip(live, found):
+            names = chains[site, k]
+            scores[site, k][len(names)] = score.test_r2
+            drop = least_important(names, [score.importances.get(f, 0.0) for f in names])
+            order[site, k].append(drop)
+            chains[site, k] = [f for f in names if f != drop]
+    return {site: selection_tables(spark, list(features[site]), {k: scores[site, k] for k in matrix.folds[site]}, order[site, None])
+            for site in features}

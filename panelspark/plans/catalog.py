@@ -787,8 +787,9 @@ def q_pipeline_series(spark, sf_dir):
 
 # --------------------------------------------------------------------------
 # 2.9 model operators.  Forest output is engine-specific: these queries are
-# checked by invariants in tests/; their exact counterparts follow below.
-# Forests, spaces and iterations are the analysis' own (`PanelConfig`).
+# checked by invariants and brute force in tests/; their exact counterparts
+# follow below.  Forests, spaces and iterations are the analysis' own
+# (`PanelConfig`); all sites are grown together.
 # --------------------------------------------------------------------------
 RUN = C.PanelConfig()
 
@@ -797,139 +798,121 @@ def _forest(site: str) -> C.ForestParams:
     return RUN.of_site("forest_stage1", site)
 
 
-def _per_site(spark, sf_dir, fn, features=tuple(S12)):
-    """fn(rows of one site, site) for every site of the data, results united."""
-    from functools import reduce
-    from .stages import for_sites, model_frame, site_names
+def _matrix(spark, sf_dir, features=tuple(S12)):
+    """(prepared rows, their code matrix, sites) of all sites of the data."""
+    from .stages import coded, model_frame, site_names
     pan = panel(spark, sf_dir)
-    keys = V.split_keys(pan)
-    outs = for_sites(site_names(pan, RUN), lambda s: fn(model_frame(pan, keys, list(features), site=s), s))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outs)
+    sites = site_names(pan, RUN)
+    feats = dict.fromkeys(sites, list(features))
+    rows = model_frame(pan, V.split_keys(pan), feats)
+    return rows, coded(rows, feats), sites
+
+
+def _fits(sites):
+    from ..operators.forests import Fit
+    return [Fit(s, tuple(S12), _forest(s)) for s in sites]
 
 
-def _train(rows):
-    return rows.where(F.col("split") == "train")
+def _grown(spark, sf_dir):
+    from ..operators import forests as FS
+    rows, matrix, sites = _matrix(spark, sf_dir)
+    return rows, matrix, FS.grow_forests(matrix, _fits(sites))
+
+
+def _split():
+    return F.when(F.col("fold") < 0, "test").otherwise("train").alias("split")
 
 
 @register("fit_forest")
 def q_fit_forest(spark, sf_dir):
-    from ..operators import forest as FO
-
-    def one(rows, site):
-        trees = FO.tree_arrays(spark, FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site)))
-        return spark.createDataFrame([(site, i, int(t.reachable().sum()), int((t.reachable() & (t.left < 0)).sum()))
-                                      for i, t in enumerate(trees)], "site string, treeID int, n_nodes long, n_leaves long")
-    return _per_site(spark, sf_dir, one)
+    forest = _grown(spark, sf_dir)[2]
+    return forest.select("site", F.col("tree").cast("int").alias("treeID"), F.col("nodes").alias("n_nodes"),
+                         F.col("leaves").alias("n_leaves"))
 
 
 @register("predict_forest")
 def q_predict_forest(spark, sf_dir):
-    from ..operators import forest as FO
-    from .stages import predicted
-
-    def one(rows, site):
-        m = FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site))
-        return predicted(rows, m, S12).select("site", "Date", "split", "Observed_NEE", "Predicted_NEE")
-    return _per_site(spark, sf_dir, one)
+    from ..operators import forests as FS
+    _, matrix, forest = _grown(spark, sf_dir)
+    return FS.predictions(matrix, forest).select("site", "Date", _split(), F.col("y").alias("Observed_NEE"), "Predicted_NEE")
 
 
 @register("forest_importance")
 def q_forest_importance(spark, sf_dir):
-    from ..operators import forest as FO
-
-    def one(rows, site):
-        m = FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site))
-        return FO.forest_importance(spark, m, S12).select(F.lit(site).alias("site"), "*")
-    return _per_site(spark, sf_dir, one)
+    from ..operators import forests as FS
+    _, matrix, forest = _grown(spark, sf_dir)
+    return FS.forest_importance(forest, matrix, S12).drop("fit")
 
 
 @register("shap_tree")
 def q_shap_tree(spark, sf_dir):
-    from ..operators import forest as FO
-    from ..operators import treeshap as TS
-
-    def one(rows, site):
-        m = FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site))
-        return TS.shap_tree(rows, FO.tree_arrays(spark, m), S12, keep=("site", "Date", "split"))
-    return _per_site(spark, sf_dir, one)
-
-
-def _with_folds(rows, fn):
-    from .stages import fold_frame
-    train = fold_frame(rows)
-    try:
-        return fn(train)
-    finally:
-        train.unpersist()
+    from ..operators import forests as FS
+    _, matrix, forest = _grown(spark, sf_dir)
+    return FS.attributions(matrix, forest, S12).select("site", "Date", _split(), *[f"SHAP_{f}" for f in S12], "Predicted_NEE", "base_value")
 
 
 @register("rfecv_select")
 def q_rfecv_select(spark, sf_dir):
+    from functools import reduce
     from ..operators import select as SEL
-    return _per_site(spark, sf_dir, lambda rows, site: _with_folds(rows, lambda train: SEL.rfecv_select(
-        spark, train, S12, C.TARGET, _forest(site), parallelism=RUN.parallelism)["selection"].select(F.lit(site).alias("site"), "*")))
+    from ..operators.ledger import Ledger
+    _, matrix, sites = _matrix(spark, sf_dir)
+    found = SEL.rfecv_forests(spark, matrix, dict.fromkeys(sites, list(S12)), {s: _forest(s) for s in sites}, Ledger(spark, RUN.ledger))
+    return reduce(lambda a, b: a.unionByName(b), [r["selection"].select(F.lit(s).alias("site"), "*") for s, r in found.items()])
 
 
 @register("search_random")
 def q_search_random(spark, sf_dir):
+    from functools import reduce
     from ..operators import search as S
-    return _per_site(spark, sf_dir, lambda rows, site: _with_folds(rows, lambda train: S.top_configs(S.search_random(
-        spark, train, S12, C.TARGET, RUN.of_site("space", site), RUN.n_iter, parallelism=RUN.parallelism)["summary"])
-        .select(F.lit(site).alias("site"), "*")))
+    from ..operators.ledger import Ledger
+    _, matrix, sites = _matrix(spark, sf_dir)
+    found = S.search_forests(spark, matrix, dict.fromkeys(sites, list(S12)), {s: RUN.of_site("space", s) for s in sites}, RUN.n_iter,
+                             Ledger(spark, RUN.ledger))
+    return reduce(lambda a, b: a.unionByName(b), [S.top_configs(r["summary"]).select(F.lit(s).alias("site"), "*") for s, r in found.items()])
 
 
 @register("oob_score")
 def q_oob_score(spark, sf_dir):
-    from ..operators import search as S
-
-    def one(rows, site):
-        train = _train(rows)
-        bagged = S.fit_bagged_forest(spark, train, S12, C.TARGET, _forest(site).with_(max_samples=0.8), RUN.parallelism)
-        return S.oob_score(train, bagged, S12, C.TARGET).select(F.lit(site).alias("site"), "*")
-    return _per_site(spark, sf_dir, one)
+    """Out-of-bag R2 of the very forests that predict."""
+    from ..operators import forests as FS
+    _, matrix, sites = _matrix(spark, sf_dir)
+    fits = _fits(sites)
+    return FS.oob_score(FS.out_of_bag(matrix, FS.grow_forests(matrix, fits), fits)).drop("fit")
 
 
 @register("shap_export_full")
 def q_shap_export_full(spark, sf_dir):
-    from ..operators import forest as FO
-    from .stages import attributed
+    from ..operators import forests as FS
+    _, matrix, forest = _grown(spark, sf_dir)
+    return A.shap_export_full(FS.attributions(matrix, forest, S12).withColumn("Observed_NEE", F.col("y")), S12, residuals=True)
 
-    def one(rows, site):
-        m = FO.fit_forest(_train(rows), S12, C.TARGET, _forest(site))
-        return A.shap_export_full(attributed(spark, rows, m, S12), S12, residuals=True)
-    return _per_site(spark, sf_dir, one)
+
+def _long(tables: dict):
+    from functools import reduce
+    from .stages import tagged
+    return reduce(lambda a, b: a.unionByName(b), [tagged(site, t) for site, t in tables.items()])
 
 
 @register("pipeline_stage1")
 def q_pipeline_stage1(spark, sf_dir):
     """Every exported table of stage 1, all sites, in one long form."""
-    from functools import reduce
-    from .stages import for_sites, model_frame, site_names, stage1_site, tagged
+    from . import stages
     pan = panel(spark, sf_dir)
-    keys = V.split_keys(pan)
-
-    def one(site):
-        feats = list(RUN.of_site("stage1_features", site))
-        return tagged(site, stage1_site(spark, model_frame(pan, keys, feats, site=site), site, feats,
-                                        _forest(site), RUN))
-    return reduce(lambda a, b: a.unionByName(b), for_sites(site_names(pan, RUN), one))
+    return _long(stages.stage1(spark, pan, V.split_keys(pan), RUN))
 
 
 @register("pipeline_stage2")
 def q_pipeline_stage2(spark, sf_dir):
     """Every exported table of stage 2, all sites, in one long form; compared with stage 1 on its own features."""
-    from functools import reduce
-    from .stages import for_sites, model_frame, site_names, stage1_site, stage2_site, stage_comparison, tagged
+    from . import stages
     pan = panel(spark, sf_dir)
     keys = V.split_keys(pan)
-
-    def one(site):
-        feats = list(RUN.of_site("stage1_features", site))
-        first = stage1_site(spark, model_frame(pan, keys, feats, site=site), site, feats, _forest(site), RUN)
-        res = stage2_site(spark, model_frame(pan, keys, S12, site=site), site, S12, RUN.of_site("space", site), RUN)
-        compared = stage_comparison(first["metrics"], res["metrics"], len(first["selected"]), len(S12))
-        return tagged(site, res | {"stage_comparison": compared})
-    return reduce(lambda a, b: a.unionByName(b), for_sites(site_names(pan, RUN), one))
+    first, second = stages.stage1(spark, pan, keys, RUN), stages.stage2(spark, pan, keys, RUN)
+    for site, tables in second.items():
+        tables["stage_comparison"] = stages.stage_comparison(first[site]["metrics"], tables["metrics"], len(first[site]["selected"]),
+                                                             len(S12))
+    return _long(second)
 
 
 # --------------------------------------------------------------------------
@@ -952,31 +935,40 @@ best AS (SELECT *, ls / ln AS lv, (ts - ls) / (tn - ln) AS rv, ts / tn AS base F
 _STUMP_SIDE = "CASE WHEN " + " OR ".join(f"(f = '{f}' AND p.{f} <= v)" for f in STUMP_FEATURES) + " THEN lv ELSE rv END"
 
 
-def _stump(spark, rows):
-    from ..operators import forest as FO
-    return FO.fit_forest(_train(rows), STUMP_FEATURES, C.TARGET, STUMP, bootstrap=False)
+def _stumps(spark, sf_dir):
+    """(rows, matrix of the stump's features, one unbagged stump of each site)."""
+    from ..operators import forests as FS
+    from .stages import coded, model_frame, site_names
+    pan = panel(spark, sf_dir)
+    sites = site_names(pan, RUN)
+    rows = model_frame(pan, V.split_keys(pan), dict.fromkeys(sites, list(S12)))
+    matrix = coded(rows, dict.fromkeys(sites, STUMP_FEATURES))
+    return rows, matrix, FS.grow_forests(matrix, [FS.Fit(s, tuple(STUMP_FEATURES), STUMP, bootstrap=False) for s in sites])
 
 
 @register("fit_forest_exact", _STUMP_SQL + " SELECT site, f AS feature, CAST(ln AS BIGINT) AS n_left, "
           "CAST(tn - ln AS BIGINT) AS n_right, " + r("lv", "left_value") + ", " + r("rv", "right_value") + " FROM best")
 def q_fit_forest_exact(spark, sf_dir):
-    from ..operators import forest as FO
+    from ..operators import forests as FS
+    forest = _stumps(spark, sf_dir)[2]
+
+    def tell(batches):
+        import pandas as pd
+        for pdf in batches:
+            trees = [FS.tree_of(row) for row in pdf.to_dict("records")]
+            yield pd.DataFrame([{"site": site, "feature": STUMP_FEATURES[t.feature[0]], "n_left": t.cover[t.left[0]],
+                                 "n_right": t.cover[t.right[0]], "left_value": t.value[t.left[0]], "right_value": t.value[t.right[0]]}
+                                for site, t in zip(pdf["site"], trees)])
 
-    def one(rows, site):
-        t = FO.tree_arrays(spark, _stump(spark, rows))[0]
-        a, b = t.left[0], t.right[0]
-        return spark.createDataFrame(
-            [(site, STUMP_FEATURES[t.feature[0]], int(t.cover[a]), int(t.cover[b]), float(t.value[a]), float(t.value[b]))],
-            "site string, feature string, n_left long, n_right long, left_value double, right_value double")
-    return finish(_per_site(spark, sf_dir, one))
+    return finish(forest.mapInPandas(tell, "site string, feature string, n_left long, n_right long, left_value double, right_value double"))
 
 
 @register("predict_forest_exact", _STUMP_SQL + f" SELECT p.site, p.Date, p.split, {r(_STUMP_SIDE, 'Predicted_NEE')} "
           "FROM prep_split p JOIN best USING (site)")
 def q_predict_forest_exact(spark, sf_dir):
-    from ..operators import forest as FO
-    return finish(_per_site(spark, sf_dir, lambda rows, site: FO.predict_forest(
-        _stump(spark, rows), rows, STUMP_FEATURES).select("site", "Date", "split", "Predicted_NEE")))
+    from ..operators import forests as FS
+    _, matrix, forest = _stumps(spark, sf_dir)
+    return finish(FS.predictions(matrix, forest).select("site", "Date", _split(), "Predicted_NEE"))
 
 
 @register("forest_importance_exact", _STUMP_SQL + f""",
@@ -984,19 +976,18 @@ names AS (SELECT unnest([{", ".join(repr(f) for f in STUMP_FEATURES)}]) AS Featu
 SELECT site, Feature, CASE WHEN Feature = f THEN 1e0 ELSE 0e0 END AS Importance,
   CAST(row_number() OVER (PARTITION BY site ORDER BY Feature = f DESC, Feature) AS INTEGER) AS rank FROM best, names""")
 def q_forest_importance_exact(spark, sf_dir):
-    from ..operators import forest as FO
-    return finish(_per_site(spark, sf_dir, lambda rows, site: FO.forest_importance(
-        spark, _stump(spark, rows), STUMP_FEATURES).select(F.lit(site).alias("site"), "*")))
+    from ..operators import forests as FS
+    _, matrix, forest = _stumps(spark, sf_dir)
+    return finish(FS.forest_importance(forest, matrix, STUMP_FEATURES).drop("fit"))
 
 
 @register("shap_tree_exact", _STUMP_SQL + " SELECT p.site, p.Date, " + ", ".join(
     r(f"CASE WHEN f = '{x}' THEN {_STUMP_SIDE} - base ELSE 0e0 END", f"SHAP_{x}") for x in STUMP_FEATURES)
     + ", " + r(_STUMP_SIDE, "Predicted_NEE") + ", " + r("base", "base_value") + " FROM prep_split p JOIN best USING (site)")
 def q_shap_tree_exact(spark, sf_dir):
-    from ..operators import forest as FO
-    from ..operators import treeshap as TS
-    return finish(_per_site(spark, sf_dir, lambda rows, site: TS.shap_tree(
-        rows, FO.tree_arrays(spark, _stump(spark, rows)), STUMP_FEATURES)))
+    from ..operators import forests as FS
+    _, matrix, forest = _stumps(spark, sf_dir)
+    return finish(FS.attributions(matrix, forest, STUMP_FEATURES).drop("fit", "y", "fold"))
 
 
 @register("shap_export_full_exact", _STUMP_SQL + f""",
@@ -1005,9 +996,10 @@ SELECT site, Date, Year, Month, """ + r("obs", "Observed_NEE") + ", " + r("pred"
     + r("obs - pred", "Residual") + ", " + r("abs(obs - pred)", "Abs_Residual") + ", " + ", ".join(
     r(f"CASE WHEN f = '{x}' THEN pred - base ELSE 0e0 END", f"SHAP_{x}") for x in STUMP_FEATURES) + " FROM scored")
 def q_shap_export_full_exact(spark, sf_dir):
-    from .stages import attributed
-    return finish(_per_site(spark, sf_dir, lambda rows, site: A.shap_export_full(
-        attributed(spark, rows, _stump(spark, rows), STUMP_FEATURES), STUMP_FEATURES)))
+    from ..operators import forests as FS
+    _, matrix, forest = _stumps(spark, sf_dir)
+    scored = FS.attributions(matrix, forest, STUMP_FEATURES).withColumn("Observed_NEE", F.col("y"))
+    return finish(A.shap_export_full(scored, STUMP_FEATURES))
 
 
 _FOLDS_SQL = O.with_(O.panel_cte(), O.split_cte(), O.prepared_cte(S12),
@@ -1031,11 +1023,17 @@ best AS (SELECT site, n AS n_best FROM curve QUALIFY row_number() OVER (PARTITIO
 
 
 def _eliminate(spark, sf_dir, table):
+    from functools import reduce
     from ..operators import select as SEL
     from ..operators.standin import MarginalEstimator
-    return _per_site(spark, sf_dir, lambda rows, site: _with_folds(rows, lambda train: SEL.rfecv_select(
-        spark, train, ELIMINATED, C.TARGET, MarginalEstimator(), parallelism=RUN.parallelism)[table]
-        .select(F.lit(site).alias("site"), "*")))
+    rows, _, sites = _matrix(spark, sf_dir, ELIMINATED + [f for f in S12 if f not in ELIMINATED])
+    outs = []
+    for site in sites:
+        train = rows.where((F.col("site") == site) & (F.col("fold") >= 0)).cache()
+        outs.append(SEL.rfecv_select(spark, train, ELIMINATED, C.TARGET, MarginalEstimator(), parallelism=RUN.parallelism)[table]
+                    .select(F.lit(site).alias("site"), "*"))
+        train.unpersist()
+    return reduce(lambda a, b: a.unionByName(b), outs)
 
 
 @register("rfecv_select_exact", _ELIMINATION_SQL + """

@@ -26,7 +26,7 @@ from ..session import cut_lineage
 from ..sources.files import read_optional, scan_site_tables, sink_table
 from .correlation import correlation_study
 from .frames import panel
-from .stages import for_sites, model_frame, site_names, stage1_site, stage2_site, stage_comparison
+from .stages import site_names, stage1, stage2, stage_comparison
 from .weekly import observed_predicted_series, require_calendar, weekly_tables
 
 METRICS_SCHEMA = T.StructType([T.StructField("site", T.StringType()), T.StructField("Metric", T.StringType()),
@@ -50,24 +50,15 @@ def load_panel(spark: SparkSession, cfg: C.PanelConfig, sf_dir: str | None = Non
 
 
 def run_stage1(spark: SparkSession, cfg: C.PanelConfig, pan: DataFrame, out: str, fmt: str = "csv"):
-    keys = V.split_keys(pan, cfg.target)
-
-    def one(site):
-        feats = list(cfg.of_site("stage1_features", site))
-        frame = model_frame(pan, keys, feats, cfg.period, site, cfg.target)
-        res = stage1_site(spark, frame, site, feats, cfg.of_site("forest_stage1", site), cfg)
+    tables = stage1(spark, pan, V.split_keys(pan, cfg.target), cfg)
+    for site, res in tables.items():
         write_tables(res, f"{out}/{site}/stage1", fmt)
-        return site, res["selected"]
-    return dict(for_sites(site_names(pan, cfg), one))
+    return {site: res["selected"] for site, res in tables.items()}
 
 
 def run_stage2(spark: SparkSession, cfg: C.PanelConfig, pan: DataFrame, out: str, fmt: str = "csv"):
-    feats = list(cfg.stage2_features)
-    keys = V.split_keys(pan, cfg.target)
-
-    def one(site):
-        frame = model_frame(pan, keys, feats, cfg.period, site, cfg.target)
-        res = stage2_site(spark, frame, site, feats, cfg.of_site("space", site), cfg)
+    tables = stage2(spark, pan, V.split_keys(pan, cfg.target), cfg)
+    for site, res in tables.items():
         write_tables({k: v for k, v in res.items() if k != "scored"}, f"{out}/{site}/stage2", fmt)
         s1 = read_optional(spark, f"{out}/{site}/stage1/metrics", METRICS_SCHEMA, fmt)
         n1 = read_optional(spark, f"{out}/{site}/stage1/feature_selection_results",
@@ -75,10 +66,9 @@ def run_stage2(spark: SparkSession, cfg: C.PanelConfig, pan: DataFrame, out: str
                                          T.StructField("Selected", T.BooleanType()),
                                          T.StructField("Ranking", T.IntegerType())]), fmt)
         n_sel = n1.where(F.col("Selected")).count()
-        cmp = stage_comparison(s1.withColumn("site", F.lit(site)), res["metrics"], n_sel or None, len(feats))
+        cmp = stage_comparison(s1.withColumn("site", F.lit(site)), res["metrics"], n_sel or None, len(cfg.stage2_features))
         sink_table(cmp, f"{out}/{site}/stage2/stage_comparison", fmt)
-        return site
-    return for_sites(site_names(pan, cfg), one)
+    return list(tables)
 
 
 def run_weekly(spark: SparkSession, cfg: C.PanelConfig, sites, out: str, fmt: str = "csv"):
@@ -120,13 +110,14 @@ def main(argv=None):
     ap.add_argument("--sites", nargs="*", help="default: every site of the data")
     ap.add_argument("--target", default=C.TARGET)
     ap.add_argument("--n-iter", type=int, default=100)
-    ap.add_argument("--parallelism", type=int, default=8)
+    ap.add_argument("--ledger", help="shared folder of finished fits; a restarted run repeats only open ones "
+                                     "(default: <out>/ledger)")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
     a = ap.parse_args(argv)
     from ..session import get_session
     spark = get_session()
     cfg = C.PanelConfig(period=a.period, sites=tuple(a.sites) if a.sites else None, target=a.target, n_iter=a.n_iter,
-                        parallelism=a.parallelism)
+                        ledger=a.ledger or f"{a.out}/ledger")
     pan = load_panel(spark, cfg, a.sf, a.input)
     if a.what == "stage1":
         run_stage1(spark, cfg, pan, a.out, a.format)

@@ -5,12 +5,15 @@ and produce the same family of tables: metrics overall and per year, the
 exported metrics layout, impurity and SHAP importances, test SHAP values,
 test predictions, parameters and the full-data predictions with SHAP.
 
-Per site the model work is a sequence of distributed Spark jobs (fits,
-scores, one SHAP pass); all table work is lazy DataFrame algebra.
+All sites go through a stage together: their rows are one code matrix, and
+every step of the elimination or wave of the search is one job over all (site,
+fold, setting) fits. Table work is lazy DataFrame algebra.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +21,12 @@ from .. import config as C
 from ..config import ForestParams, PanelConfig
 from ..operators import attribution as A
 from ..operators import evaluate as E
-from ..operators import forest as FO
+from ..operators import forests as FS
 from ..operators import search as S
 from ..operators import select as SEL
-from ..operators import treeshap as TS
 from ..operators import validate as V
+from ..operators.codes import TEST_FOLD, CodeMatrix, code_matrix
+from ..operators.ledger import Ledger
 from ..operators.prepare import prepare, scan_by_site_period
 from ..session import cut_lineage
 
@@ -33,23 +37,29 @@ def site_names(panel: DataFrame, cfg: PanelConfig) -> list[str]:
         r["site"] for r in panel.select("site").distinct().collect())
 
 
-def model_frame(panel: DataFrame, keys: DataFrame, features, period: str = "", site: str | None = None,
+def model_frame(panel: DataFrame, keys: DataFrame, features: dict[str, list], period: str = "",
                 target: str = C.TARGET) -> DataFrame:
-    """Prepared, split rows of one site (or all) for one feature list, checkpointed (every fit rereads it).
+    """Prepared, split rows of all sites with their year folds, checkpointed.
 
-    Rows are dealt by (site, Date) over the session's default parallelism and
-    sorted, so that seeded fits depend on rows and parallelism only.
+    ``features`` lists each site's own features; rows are complete in those. A feature that only
+    other sites use is 0 where it is missing (no fit of the site reads it).
     """
-    rows = scan_by_site_period(panel, sites=None if site is None else [site], period=period)
-    rows = V.split_stratified(prepare(rows, features, target), keys)
-    n = panel.sparkSession.sparkContext.defaultParallelism
-    return cut_lineage(rows.select("site", "Date", "Year", "Month", "split", *features, target)
-                       .repartition(n, "site", "Date").sortWithinPartitions("site", "Date"))
+    every = list(dict.fromkeys(f for names in features.values() for f in names))
+    lists: dict[tuple, list] = {}
+    for site, names in features.items():
+        lists.setdefault(tuple(names), []).append(site)
+    parts = []
+    for names, sites in lists.items():
+        rows = V.split_stratified(prepare(scan_by_site_period(panel, sites=sites, period=period), list(names), target), keys)
+        filled = [F.coalesce(F.col(f), F.lit(0.0)).alias(f) if f not in names else F.col(f) for f in every]
+        parts.append(rows.select("site", "Date", "Year", "Month", "split", *filled, target))
+    rows = cut_lineage(reduce(DataFrame.unionByName, parts))
+    folds = V.cv_group_folds(rows.where(F.col("split") == "train")).select("site", "Date", "fold")
+    return cut_lineage(rows.join(folds, ["site", "Date"], "left").fillna(TEST_FOLD, ["fold"]))
 
 
-def fold_frame(rows: DataFrame) -> DataFrame:
-    """Training rows with their year fold, cached for the fit loops (the caller unpersists it)."""
-    return V.cv_group_folds(rows.where(F.col("split") == "train")).cache()
+def coded(rows: DataFrame, features: dict[str, list], target: str = C.TARGET) -> CodeMatrix:
+    return code_matrix(rows, list(dict.fromkeys(f for names in features.values() for f in names)), target)
 
 
 def _evaluate(spark, pred: DataFrame, features, model_label: str, extra_metrics: dict) -> dict:
@@ -80,86 +90,90 @@ def _attribution(test: DataFrame, features, sample: int | None) -> dict:
     }
 
 
-def predicted(rows: DataFrame, model, features, target: str = C.TARGET) -> DataFrame:
-    """Rows with observed and predicted target (no attribution)."""
-    return FO.predict_forest(model, rows, features).withColumn("Observed_NEE", F.col(target))
-
-
-def attributed(spark, rows: DataFrame, model, features, target: str = C.TARGET) -> DataFrame:
-    """Predictions and attributions in one narrow pass (rows flow through the kernel)."""
-    scored = TS.shap_tree(rows, FO.tree_arrays(spark, model), features, keep=tuple(rows.columns))
-    return scored.withColumn("Observed_NEE", F.col(target))
+def of_fit(table: DataFrame, number: int) -> DataFrame:
+    return table.where(F.col("fit") == number).drop("fit", "y", "fold")
 
 
-def stage1_site(spark: SparkSession, frame: DataFrame, site: str, features, params: ForestParams,
-                cfg: PanelConfig = PanelConfig(), refit_on_full: bool = True) -> dict:
-    """Feature elimination for one site, then evaluation and attribution of the selected model.
+def stage1(spark: SparkSession, panel: DataFrame, keys: DataFrame, cfg: PanelConfig = PanelConfig(),
+           refit_on_full: bool = True) -> dict[str, dict]:
+    """Feature elimination for every site, then evaluation and attribution of the selected models: tables by site.
 
     Metrics come from plain predictions; attributions are computed for the
     test rows, and for all rows only for the full export.
     """
-    target = cfg.target
-    rows = frame.where(F.col("site") == site).select("site", "Date", "Year", "Month", "split", *features, target)
-    train = fold_frame(rows)
-    try:
-        sel = SEL.rfecv_select(spark, train, features, target, params, parallelism=cfg.parallelism)
-        chosen = sel["selected"]
-        model = FO.fit_forest(train, chosen, target, params)
-    finally:
-        train.unpersist()
-    pred = cut_lineage(predicted(rows, model, chosen, target))
-    test = cut_lineage(attributed(spark, rows.where(F.col("split") == "test"), model, chosen, target))
-    out = _evaluate(spark, pred, chosen, "Default RF",
-                    {"CV_Best": F.lit(sel["cv_best"]), "N_Features": F.lit(float(len(chosen)))})
-    out.update(_attribution(test, chosen, cfg.shap_sample))
-    out.update({
-        "feature_selection_results": sel["selection"].orderBy("Ranking", "Feature"),
-        "rfecv_performance_curve": sel["curve"].orderBy("N_Features"),
-        "feature_importance": FO.forest_importance(spark, model, chosen),
-        "rf_default_parameters": S.params_table(spark, params),
-        "selected": chosen,
-    })
-    full_model = FO.fit_forest(rows, chosen, target, params) if refit_on_full else model
-    full = cut_lineage(attributed(spark, rows, full_model, chosen, target))
-    out["full_dataset_predictions_shap_values"] = A.shap_export_full(full, chosen, residuals=False)
+    target, sites = cfg.target, site_names(panel, cfg)
+    feats = {s: list(cfg.of_site("stage1_features", s)) for s in sites}
+    params: dict[str, ForestParams] = {s: cfg.of_site("forest_stage1", s) for s in sites}
+    rows = model_frame(panel, keys, feats, cfg.period, target)
+    matrix = coded(rows, feats, target)
+    chosen = SEL.rfecv_forests(spark, matrix, feats, params, Ledger(spark, cfg.ledger))
+    fits = [FS.Fit(s, tuple(chosen[s]["selected"]), params[s]) for s in sites]
+    full = [FS.Fit(s, f.features, params[s], FS.ALL_ROWS) for s, f in zip(sites, fits)] if refit_on_full else []
+    forest = FS.grow_forests(matrix, fits + full)
+    known = rows.drop("fold").withColumn("Observed_NEE", F.col(target))
+    predicted = cut_lineage(FS.predictions(matrix, forest.where(F.col("fit") < len(fits))))
+    shap = cut_lineage(FS.attributions(matrix, forest, matrix.features, test_only=range(len(fits)) if full else ()))
+    depth = {r["fit"]: r["d"] for r in forest.groupBy("fit").agg(F.max("depth").alias("d")).collect()}
+    importance = cut_lineage(FS.forest_importance(forest, matrix, matrix.features))
+    out = {}
+    for i, site in enumerate(sites):
+        mine, names, sel = known.where(F.col("site") == site), list(fits[i].features), chosen[site]
+        pred = mine.join(of_fit(predicted, i), ["site", "Date"])
+        test = mine.where(F.col("split") == "test").join(of_fit(shap, i), ["site", "Date"])
+        all_rows = mine.join(of_fit(shap, i + len(fits) if full else i), ["site", "Date"])
+        tables = _evaluate(spark, pred, names, "Default RF",
+                           {"CV_Best": F.lit(sel["cv_best"]), "N_Features": F.lit(float(len(names)))})
+        tables.update(_attribution(test, names, cfg.shap_sample))
+        tables.update({
+            "feature_selection_results": sel["selection"].orderBy("Ranking", "Feature"),
+            "rfecv_performance_curve": sel["curve"].orderBy("N_Features"),
+            "feature_importance": of_fit(importance, i).where(F.col("Feature").isin(names)).drop("site"),
+            "rf_default_parameters": S.params_table(spark, params[site], {"max_depth_used": depth[i]}),
+            "selected": names,
+            "full_dataset_predictions_shap_values": A.shap_export_full(all_rows, names, residuals=False),
+        })
+        out[site] = tables
     return out
 
 
-def stage2_site(spark: SparkSession, frame: DataFrame, site: str, features, space: dict,
-                cfg: PanelConfig = PanelConfig()) -> dict:
-    """Random search for one site, then evaluation and attribution of the best model.
+def stage2(spark: SparkSession, panel: DataFrame, keys: DataFrame, cfg: PanelConfig = PanelConfig()) -> dict[str, dict]:
+    """Random search for every site, then evaluation and attribution of the best models: tables by site.
 
-    MLlib does not tell which rows a tree has seen, so the out-of-bag score
-    belongs to a second forest with the same parameters whose bags are drawn
-    explicitly; its column is named accordingly.
+    The out-of-bag score is that of the reported forest: its bags are hashes, so the rows
+    without a draw in a tree are known.
     """
-    target = cfg.target
-    rows = frame.where(F.col("site") == site).select("site", "Date", "Year", "Month", "split", *features, target)
-    train = fold_frame(rows)
-    try:
-        res = S.search_random(spark, train, features, target, space, cfg.n_iter, parallelism=cfg.parallelism)
-        model, best = res["model"], res["best_params"]
+    target, sites, names = cfg.target, site_names(panel, cfg), list(cfg.stage2_features)
+    feats = dict.fromkeys(sites, names)
+    rows = model_frame(panel, keys, feats, cfg.period, target)
+    matrix = coded(rows, feats, target)
+    found = S.search_forests(spark, matrix, feats, {s: cfg.of_site("space", s) for s in sites}, cfg.n_iter, Ledger(spark, cfg.ledger))
+    fits = [FS.Fit(s, tuple(names), found[s]["best_params"]) for s in sites]
+    forest = FS.grow_forests(matrix, fits)
+    shap = cut_lineage(FS.attributions(matrix, forest, names))
+    known = rows.drop("fold").withColumn("Observed_NEE", F.col(target))
+    scored_all = cut_lineage(known.join(shap.drop("y", "fold"), ["site", "Date"]))
+    depth = {r["fit"]: r["d"] for r in forest.groupBy("fit").agg(F.max("depth").alias("d")).collect()}
+    importance = cut_lineage(FS.forest_importance(forest, matrix, names))
+    oob = cut_lineage(FS.oob_score(FS.out_of_bag(matrix, forest, fits))) if cfg.oob else None
+    out = {}
+    for i, site in enumerate(sites):
+        scored, res = scored_all.where(F.col("fit") == i).drop("fit"), found[site]
         extra = {"CV_Best": F.lit(res["cv_best"])}
-        oob_tab = None
-        if cfg.oob:
-            bagged = S.fit_bagged_forest(spark, train, features, target, best, cfg.parallelism)
-            oob_tab = cut_lineage(S.oob_score(train.select("site", "Date", target, *features), bagged, features, target))
-            extra["OOB_Explicit_Bags"] = F.lit(oob_tab.collect()[0]["oob_r2"])
-    finally:
-        train.unpersist()
-    scored = cut_lineage(attributed(spark, rows, model, features, target))
-    out = _evaluate(spark, scored, features, "Tuned RF", extra)
-    out.update(_attribution(scored.where(F.col("split") == "test"), features, cfg.shap_sample))
-    out.update({
-        "best_hyperparameters": S.params_table(spark, best),
-        "hyperparameter_search_top20": S.top_configs(res["summary"], 20),
-        "search_scores": res["scores"],
-        "feature_importance": FO.forest_importance(spark, model, features),
-        "full_dataset_predictions_shap_values": A.shap_export_full(scored, features, residuals=True),
-        "scored": scored,
-    })
-    if oob_tab is not None:
-        out["oob"] = oob_tab
+        if oob is not None:
+            extra["OOB"] = F.lit(oob.where(F.col("fit") == i).collect()[0]["oob_r2"])
+        tables = _evaluate(spark, scored, names, "Tuned RF", extra)
+        tables.update(_attribution(scored.where(F.col("split") == "test"), names, cfg.shap_sample))
+        tables.update({
+            "best_hyperparameters": S.params_table(spark, res["best_params"], {"max_depth_used": depth[i]}),
+            "hyperparameter_search_top20": S.top_configs(res["summary"], 20),
+            "search_scores": res["scores"],
+            "feature_importance": of_fit(importance, i).drop("site"),
+            "full_dataset_predictions_shap_values": A.shap_export_full(scored, names, residuals=True),
+            "scored": scored,
+        })
+        if oob is not None:
+            tables["oob"] = oob.where(F.col("fit") == i).select("n_oob_rows", "oob_r2")
+        out[site] = tables
     return out
 
 
@@ -188,14 +202,3 @@ def stage_comparison(stage1_metrics: DataFrame, stage2_metrics: DataFrame, n1: i
     both = s1.join(s2.select("site"), "site", "left_semi")
     return both.unionByName(s2.join(s1.select("site"), "site", "left_semi"))
 
-
-SITE_THREADS = 4                   # sites whose jobs are submitted at a time
-
-
-def for_sites(sites, fn, parallel: bool = True) -> list:
-    """Run fn(site) for every site, concurrently (each site's jobs are independent)."""
-    from concurrent.futures import ThreadPoolExecutor
-    if not parallel or len(sites) < 2:
-        return [fn(s) for s in sites]
-    with ThreadPoolExecutor(max_workers=min(len(sites), SITE_THREADS)) as pool:
-        return list(pool.map(fn, sites))

@@ -5,14 +5,14 @@ import json
 import pytest
 
 from panelspark import config as C
-from panelspark.operators import forest as FO
+from panelspark.operators import forests as FS
 from panelspark.operators import search as S
 from panelspark.operators import select as SEL
 from panelspark.plans import catalog, stages
 from tests.conftest import SF_SMALL
 
 CFG = C.PanelConfig()
-FORESTS = list(CFG.forest_stage1.values())
+SITES = {"F", "O", "P"}
 
 
 class Asked(Exception):
@@ -30,25 +30,27 @@ def _asked(monkeypatch, spark, module, function, name):
     return call.value.args[0]
 
 
-@pytest.mark.parametrize("name", ["fit_forest", "predict_forest", "forest_importance", "shap_tree", "shap_export_full"])
+@pytest.mark.parametrize("name", ["fit_forest", "predict_forest", "forest_importance", "shap_tree", "shap_export_full", "oob_score"])
 def test_fits_use_the_analysis_forests(spark, monkeypatch, name):
-    assert _asked(monkeypatch, spark, FO, "fit_forest", name)[3] in FORESTS
+    fits = _asked(monkeypatch, spark, FS, "grow_forests", name)[1]
+    assert {f.site for f in fits} == SITES and all(f.params == CFG.of_site("forest_stage1", f.site) for f in fits)
+    assert all(f.features == tuple(C.S12) and f.held_out is None and f.bootstrap for f in fits)
 
 
 @pytest.mark.parametrize("name", ["rfecv_select", "pipeline_stage1", "pipeline_stage2"])
 def test_eliminations_use_the_analysis_forests(spark, monkeypatch, name):
-    assert _asked(monkeypatch, spark, SEL, "rfecv_select", name)[4] in FORESTS
+    _, _, features, params, _ = _asked(monkeypatch, spark, SEL, "rfecv_forests", name)
+    assert params == {s: CFG.of_site("forest_stage1", s) for s in SITES}
+    want = C.S12 if name == "rfecv_select" else None
+    assert all(list(features[s]) == list(want or CFG.of_site("stage1_features", s)) for s in SITES)
 
 
 @pytest.mark.parametrize("name", ["search_random", "pipeline_stage2"])
 def test_searches_use_the_analysis_space(spark, monkeypatch, name):
-    monkeypatch.setattr(stages, "stage1_site", lambda *args: {})
-    args = _asked(monkeypatch, spark, S, "search_random", name)
-    assert args[4] in CFG.space.values() and args[5] == 100
-
-
-def test_bagged_forest_has_the_analysis_size(spark, monkeypatch):
-    assert _asked(monkeypatch, spark, S, "fit_bagged_forest", "oob_score")[4] in [f.with_(max_samples=0.8) for f in FORESTS]
+    monkeypatch.setattr(stages, "stage1", lambda *args: {})
+    _, _, features, spaces, n_iter, _ = _asked(monkeypatch, spark, S, "search_forests", name)
+    assert spaces == {s: CFG.of_site("space", s) for s in SITES} and n_iter == 100
+    assert all(list(f) == C.S12 for f in features.values())
 
 
 def test_stage2_is_compared_with_stage1(spark, monkeypatch):
@@ -58,9 +60,9 @@ def test_stage2_is_compared_with_stage1(spark, monkeypatch):
                                                  "site string, Metric string, Training double, Test double")}
 
     chosen = {"F": 7, "O": 3, "P": 5}
-    monkeypatch.setattr(stages, "stage1_site", lambda spark, frame, site, feats, *rest:
-                        metrics(site, 0.25) | {"selected": feats[:chosen[site]]})
-    monkeypatch.setattr(stages, "stage2_site", lambda spark, rows, site, *rest: metrics(site, 0.5))
+    monkeypatch.setattr(stages, "stage1", lambda *args: {
+        s: metrics(s, 0.25) | {"selected": list(CFG.of_site("stage1_features", s))[:n]} for s, n in chosen.items()})
+    monkeypatch.setattr(stages, "stage2", lambda *args: {s: metrics(s, 0.5) for s in chosen})
     rows = [(r["site"], json.loads(r["row"])) for r in
             catalog.QUERIES["pipeline_stage2"](spark, SF_SMALL).where("table = 'stage_comparison'").collect()]
     got = {(s, r["Stage"]): (r["Test_R2"], r["Test_RMSE"], r["Test_MAE"], r["N_Features"]) for s, r in rows}
