@@ -105,7 +105,10 @@ def test_groups_cover_all_bits():
         assert sum(parts) == mask and len(parts) == 3 and all(x & y == 0 for x in parts for y in parts if x is not y)
 
 
-def test_components_of_chains_stars_and_random_links(spark):
+@pytest.mark.parametrize("finish", [1_000_000, 100, 0])
+def test_components_of_chains_stars_and_random_links(spark, monkeypatch, finish):
+    monkeypatch.setattr(components, "FINISH_LINKS", finish)
+    monkeypatch.setattr(components, "FOREST_LINKS", 40)
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(300)] + [(7, 7), (5, 4), (5, 4)]
     names = {x: rng.randrange(-1 << 62, 1 << 62) for link in links for x in link}
