@@ -17,24 +17,30 @@
    additively smoothed with one share for the unseen tokens of each suffix group
    (in that group's class), so all distributions are proper.
 
-Texts are coded once: the ``HEAD`` most frequent tokens (a fixed number) by their
-place, others by their suffix group. The bigrams with one of the others ("rare"
-tokens) are kept beside the codes and meet the rare tokens' classes and counts in
-joins; all other bigrams are counted from the codes and a class for each code.
+Texts are coded once, many documents to a packed row ("shard"): the ``HEAD`` most
+frequent tokens (a fixed number) by their place, others ("rare" tokens) by their
+suffix group, with 64-bit hashes of the rare tokens beside the codes. No row is
+made for a token or a bigram: a shard sends its distinct rare tokens, packed by
+hash bucket, with the classes around them, and each bucket task answers every
+shard with the classes and counts of the tokens it asked for.
 
 Defined results: null text is empty (one end token); without training rows all
 counts are 0 and both scores are finite; repeated rows are scored separately;
-a null id falls in the fold of the empty string; other columns are ignored.
+a null id falls in the fold of the empty string; other columns are ignored. Rare
+tokens are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +52,11 @@ CLUSTERED, SUFFIXES, CLASSES, HEAD, LONGEST_HEAD = 1000, 128, 48, 150_000, 64
 SHARE = 0.1
 SWEEPS, ASSIGN_SWEEPS = 6, 2
 BACKOFF = 20.0
-FLUSH_TOKENS = 400_000
+FLUSH_TOKENS, SHARD_TOKENS = 400_000, 400_000
+BUCKET_TOKENS = 1_000_000          # rare tokens, as often as they occur, that one task classes
 END = CLUSTERED + SUFFIXES
 SYMBOLS = END + 1
 ROWS_PER_STRIP, WORDS_PER_STRIP = 64, 2048
-CHUNK = 2_000_000                  # codes that are counted at a time
 AFTER, BEFORE, ITSELF = 0, CLASSES, 2 * CLASSES       # columns of a token's contexts
 CONTEXTS = 2 * CLASSES + 1
 
@@ -90,26 +96,27 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(tidy(count), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def frequent_tokens(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """At most ``HEAD`` tokens with the highest counts, most frequent first.
+def frequent_tokens(counts: DataFrame, most: int | None = None) -> list[tuple[bytes, int]]:
+    """At most ``most`` (``HEAD``) tokens with the highest counts, most frequent first.
 
     The least count is found from a histogram of counts (sixteenths of powers
     of two), so no task or driver sorts the vocabulary. Of the step at the border
     those tokens are taken that come first by a hash, in buckets.
     """
+    most = HEAD if most is None else most
     step = F.floor(F.log2("n") * F.lit(16))
     short = counts.where(F.octet_length("token") <= LONGEST_HEAD).withColumn("step", step)
     kept, chosen = 0, F.lit(False)
     for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
-        if kept + r["count"] <= HEAD:
+        if kept + r["count"] <= most:
             kept += r["count"]
             chosen = F.col("step") >= r["step"]
             continue
-        bucket = F.pmod(F.xxhash64("token"), F.lit(min(1 << 16, 1 + 64 * r["count"] // HEAD)))
+        bucket = F.pmod(F.xxhash64("token"), F.lit(min(1 << 16, 1 + 64 * r["count"] // most)))
         border, last = F.col("step") == r["step"], -1
         for x in sorted(short.where(border).groupBy(bucket.alias("bucket")).count().collect()):
             kept += x["count"]
-            if kept > HEAD:
+            if kept > most:
                 break
             last = x["bucket"]
         chosen = chosen | (border & (bucket <= last))
@@ -118,57 +125,102 @@ def frequent_tokens(counts: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(zip(rows.column("token").to_pylist(), rows.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
-CODED = ("row long, doc_id long, held_out boolean, codes binary, a binary, a_code int, b binary, b_code int, uses long")
-CODED_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()),
-                         ("a", pa.binary()), ("a_code", pa.int32()), ("b", pa.binary()), ("b_code", pa.int32()),
-                         ("uses", pa.int64())])
+SHARDS = "shard long, held_out boolean, doc_ids array<long>, lengths binary, codes binary, rare binary"
+SHARDS_ARROW = pa.schema([("shard", pa.int64()), ("held_out", pa.bool_()), ("doc_ids", pa.list_(pa.int64())),
+                          *[(c, pa.binary()) for c in ("lengths", "codes", "rare")]])
 
 
 def code_texts(rows: DataFrame, head: list[bytes]) -> DataFrame:
-    """Per document a row with its codes, and a row for each different bigram with a rare token.
+    """Packed documents of about ``SHARD_TOKENS`` tokens: lengths, codes and the hashes of the rare tokens, in order.
 
-    In the bigrams, ``a`` and ``b`` are the tokens where they are rare, else null.
+    Training and held-out documents are packed apart.
     """
-    shared, rare, end = rows.sparkSession.sparkContext.broadcast(head), len(head), len(head) + SUFFIXES
+    shared, rare = rows.sparkSession.sparkContext.broadcast(head), len(head)
 
     def code(batches):
-        of = CodeOf((t, i) for i, t in enumerate(shared.value)).__getitem__
-        row = TaskContext.get().partitionId() << 36
+        of, squeeze = CodeOf((t, i) for i, t in enumerate(shared.value)).__getitem__, zstandard.ZstdCompressor(level=3)
+        held: dict[bool, list] = {False: [], True: []}
+        size, shard = {False: 0, True: 0}, TaskContext.get().partitionId() << 32
+
+        def packed(flag):
+            nonlocal shard
+            doc_ids, codes, hashes = zip(*held[flag])
+            row = [shard, flag, list(doc_ids), np.array([len(c) for c in codes], np.int64).tobytes(),
+                   squeeze.compress(np.concatenate(codes).tobytes()), b"".join(hashes)]
+            held[flag], size[flag], shard = [], 0, shard + 1
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, SHARDS_ARROW)], schema=SHARDS_ARROW)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                whole, pairs = [], []
-                for doc_id, held_out, text in zip(part.column("doc_id").to_pylist(),
-                                                  part.column("held_out").to_pylist(), part.column("text")):
-                    found = tokens_of(text.as_py())
-                    codes = np.array([end, *map(of, found), end], np.int32)
-                    is_rare = (codes >= rare) & (codes < end)
-                    uses = Counter()
-                    for i in np.flatnonzero(is_rare[:-1] | is_rare[1:]).tolist():
-                        uses[found[i - 1] if is_rare[i] else None, int(codes[i]),
-                             found[i] if is_rare[i + 1] else None, int(codes[i + 1])] += 1
-                    whole.append((row, doc_id, held_out, codes[1:-1].tobytes(), None, None, None, None, None))
-                    pairs += [(row, None, held_out, None, *pair, n) for pair, n in uses.items()]
-                    row += 1
-                for out in (whole, pairs):
-                    cols = list(zip(*out)) or [[]] * len(CODED_ARROW)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, CODED_ARROW)],
-                                                     schema=CODED_ARROW)
-
-    return rows.mapInArrow(tidy(code), CODED)
-
-
-def _chunks(batches, end: int):
-    """Codes of many documents at a time, with the end code before, between and after them."""
-    held, size = [np.array([end], np.int32)], 0
+            for doc_id, flag, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(),
+                                          batch.column("text")):
+                found = tokens_of(text.as_py())
+                codes = np.fromiter(map(of, found), np.int32, len(found))
+                hashes = [xxhash.xxh3_64_intdigest(found[i]) for i in np.flatnonzero(codes >= rare).tolist()]
+                held[flag].append((doc_id, codes, np.array(hashes, np.uint64).tobytes()))
+                size[flag] += len(codes) + 1
+                if size[flag] > SHARD_TOKENS:
+                    yield packed(flag)
+        for flag in held:
+            if held[flag]:
+                yield packed(flag)
+
+    return rows.mapInArrow(tidy(code), SHARDS)
+
+
+class Shard:
+    """A packed row as one sequence of codes: an end before the first document and after each of them."""
+
+    def __init__(self, row: dict, n_frequent: int):
+        self.rare, self.end = n_frequent, n_frequent + SUFFIXES
+        lengths = np.frombuffer(row["lengths"], np.int64)
+        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.int32)
+        self.codes = np.full(len(codes) + len(lengths) + 1, self.end, np.int64)
+        self.codes[np.arange(len(codes)) + np.repeat(np.arange(len(lengths)), lengths) + 1] = codes
+        self.first = np.cumsum(lengths + 1) - lengths - 1           # of each document, counted behind the leading end
+        self.lengths, self.number, self.held_out, self.doc_ids = lengths, row["shard"], row["held_out"], row["doc_ids"]
+        self.at = np.flatnonzero((self.codes >= self.rare) & (self.codes < self.end))
+        self.hashes, place, self.token = np.unique(np.frombuffer(row["rare"], np.uint64), return_index=True, return_inverse=True)
+        self.code = self.codes[self.at[place]]                      # of each distinct rare token
+
+    def parts(self, buckets: int) -> list[tuple[int, np.ndarray]]:
+        """(bucket, distinct rare tokens in it)."""
+        of = (self.hashes % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        return [(int(of[p[0]]), p) for p in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(p)]
+
+    def told(self, label: np.ndarray, answers: list[dict] | None, buckets: int, use_old: bool = False):
+        """(class of each distinct rare token, its training count): its suffix group's class where it is not known."""
+        classes, counts = label[self.code].copy(), np.zeros(len(self.hashes), np.int64)
+        if answers is not None:
+            of = {a["key"]: a for a in answers}
+            for bucket, mine in self.parts(buckets):
+                new = np.frombuffer(of[bucket]["old" if use_old else "classes"], np.int8).astype(np.int64)
+                classes[mine] = np.where(new >= 0, new, classes[mine])
+                counts[mine] = np.frombuffer(of[bucket]["counts"], np.int64)
+        return classes, counts
+
+    def classes(self, label: np.ndarray, rare_classes: np.ndarray) -> np.ndarray:
+        """Class at each place of the sequence."""
+        out = label[self.codes]
+        out[self.at] = rare_classes[self.token]
+        return out
+
+
+def _shards(batches, n_frequent: int):
+    """(shard, answers to it or None), one packed row at a time."""
     for batch in batches:
-        for codes in batch.column("codes"):
-            held += (np.frombuffer(codes.as_buffer(), np.int32), held[0])
-            size += len(held[-2]) + 1
-            if size > CHUNK:
-                yield np.concatenate(held)
-                held, size = held[:1], 0
-    yield np.concatenate(held)
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            yield Shard(row, n_frequent), row.get("answers")
+
+
+def _with_answers(shards: DataFrame, answers: DataFrame | None) -> DataFrame:
+    """Each packed row with the answers to it; a row without rare tokens asks and gets nothing."""
+    if answers is None:
+        return shards
+    mine = answers.where("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("key", "classes", "old", "counts")).alias("answers"))
+    nothing = F.array().cast(mine.schema["answers"].dataType)
+    return shards.join(mine, "shard", "left").withColumn("answers", F.coalesce("answers", nothing))
 
 
 def _strips(total: np.ndarray, rows: int) -> pa.RecordBatch:
@@ -183,68 +235,114 @@ def _added(table: pa.Table) -> np.ndarray:
     return sum(np.frombuffer(zlib.decompress(s), np.int64) for s in table.column("strip").to_pylist())
 
 
-def bigram_counts(coded: DataFrame, of_code: np.ndarray, size: int, rare: slice | None = None) -> np.ndarray:
-    """(size, size) counts of the codes' symbols; bigrams with a code in ``rare`` are left to the caller.
+def symbol_bigrams(shards: DataFrame, of_code: np.ndarray) -> np.ndarray:
+    """(SYMBOLS, SYMBOLS) counts of the codes' symbols; the end symbol also stands before the first token."""
+    n_frequent = len(of_code) - 1 - SUFFIXES
 
-    The end symbol also stands before the first token.
-    """
     def count(batches):
-        total = np.zeros(size * size, np.int64)
-        for codes in _chunks(batches, len(of_code) - 1):
-            pair = of_code[codes[:-1]] * size + of_code[codes[1:]]
-            if rare is not None:
-                is_rare = (codes >= rare.start) & (codes < rare.stop)
-                pair = pair[~(is_rare[:-1] | is_rare[1:])]
-            total += np.bincount(pair, minlength=size * size)
-        yield _strips(total.reshape(size, size), ROWS_PER_STRIP)
+        total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        for shard, _ in _shards(batches, n_frequent):
+            symbols = of_code[shard.codes]
+            total += np.bincount(symbols[:-1] * SYMBOLS + symbols[1:], minlength=SYMBOLS * SYMBOLS)
+        yield _strips(total.reshape(SYMBOLS, SYMBOLS), ROWS_PER_STRIP)
 
     def add(key, table):
         return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "strip": pa.array([_added(table).tobytes()], pa.binary())})
 
-    out = np.zeros((size, size))
-    strips = (coded.select("codes").mapInArrow(tidy(count), "at long, strip binary")
-              .groupBy("at").applyInArrow(add, "at long, strip binary"))
-    for r in strips.collect():
-        rows = np.frombuffer(r["strip"], np.int64).reshape(-1, size)
+    out = np.zeros((SYMBOLS, SYMBOLS))
+    for r in (shards.mapInArrow(tidy(count), "at long, strip binary").groupBy("at").applyInArrow(add, "at long, strip binary")
+              .collect()):
+        rows = np.frombuffer(r["strip"], np.int64).reshape(-1, SYMBOLS)
         out[r["at"]:r["at"] + len(rows)] = rows
     return out
 
 
-def _classed(pairs: DataFrame, rare: DataFrame | None) -> DataFrame:
-    """Bigrams with the class and count of their rare tokens (null for frequent and unseen ones)."""
-    for side in ("a", "b"):
-        new = [F.lit(None).cast(kind).alias(f"{side}_{name}") for name, kind in (("class", "int"), ("n", "long"))]
-        if rare is None:
-            pairs = pairs.select("*", *new)
-            continue
-        known = rare.select(F.col("token").alias(side), F.col("class").alias(f"{side}_class"), F.col("n").alias(f"{side}_n"))
-        pairs = (pairs.where(F.col(side).isNotNull()).join(known, side, "left")       # nulls would meet in one task
-                 .unionByName(pairs.where(F.col(side).isNull()).select("*", *new)))
-    return pairs
+CONTEXT_ROWS = "key long, shard long, hashes binary, classes binary, uses binary, places binary, counts binary"
+_CONTEXT_NAMES = [c.split()[0] for c in CONTEXT_ROWS.split(", ")]
+ANSWERS = "key long, shard long, classes binary, old binary, counts binary, n long, kinds long"
+_ANSWER_NAMES = [c.split()[0] for c in ANSWERS.split(", ")]
+STRIP_OF_CLASSES, MASS_NEW, MASS_OLD, BIGRAMS = -1, -2, -3, -4    # numbers in place of a shard's
 
 
-def _side_classes(batch: pa.RecordBatch, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of both tokens of each bigram: the rare token's own, else that of its code."""
-    return tuple(np.where(own < 0, label[batch.column(f"{side}_code").to_numpy()], own) for side, own in
-                 ((side, batch.column(f"{side}_class").fill_null(-1).to_numpy()) for side in ("a", "b")))
+def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, types)], _CONTEXT_NAMES)
 
 
-def class_bigrams(coded: DataFrame, pairs: DataFrame, label: np.ndarray) -> np.ndarray:
-    """(CLASSES, CLASSES) counts under the codes' classes and the rare tokens' classes in ``pairs``."""
-    def count(batches):
-        total = np.zeros((CLASSES, CLASSES), np.int64)
-        for batch in batches:
-            np.add.at(total, _side_classes(batch, label), batch.column("uses").to_numpy())
-        first, second = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(total[first, second])], ["a", "b", "n"])
-
-    end = len(label) - 1
-    out = bigram_counts(coded, label, CLASSES, slice(end - SUFFIXES, end))
-    for r in pairs.mapInArrow(tidy(count), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        out[r["a"], r["b"]] += r["n"]
+def contexts(shards: DataFrame, label: np.ndarray, answers: DataFrame | None, buckets: int) -> DataFrame:
+    """What stands around every token of the training texts that the exchange did not place, under the given classes.
+
+    Rows for the strips of frequent tokens (key: -1 - strip), for the buckets of rare tokens (key: bucket), and the
+    class bigrams (shard ``BIGRAMS``, key: first class). Held-out shards ask for their rare tokens only.
+    """
+    rare = len(label) - 1 - SUFFIXES
+
+    def around(batches):
+        total, bigrams, used = np.zeros((rare, CONTEXTS), np.int32), np.zeros(CLASSES * CLASSES, np.int64), False
+        for shard, told in _shards(batches, rare):
+            own, _ = shard.told(label, told, buckets)
+            cls, codes = shard.classes(label, own), shard.codes
+            identity = codes.copy()
+            identity[shard.at] = shard.end + 1 + shard.token
+            a, b, itself = identity[:-1], identity[1:], identity[:-1] == identity[1:]
+            token, place = np.concatenate([a, b[~itself]]), np.concatenate([np.where(itself, ITSELF, AFTER + cls[1:]),
+                                                                            (BEFORE + cls[:-1])[~itself]])
+            if shard.held_out:
+                token, place = token[:0], place[:0]
+            else:
+                bigrams += np.bincount(cls[:-1] * CLASSES + cls[1:], minlength=CLASSES * CLASSES)
+                frequent = (token >= CLUSTERED) & (token < rare)
+                if frequent.any():
+                    cell, n = np.unique(token[frequent] * CONTEXTS + place[frequent], return_counts=True)
+                    total.ravel()[cell] += n.astype(np.int32)
+                    used = True
+            mine = token > shard.end
+            cell, n = np.unique((token[mine] - shard.end - 1) * CONTEXTS + place[mine], return_counts=True)
+            uses = np.bincount(cell // CONTEXTS, minlength=len(shard.hashes))
+            begin, rows = np.cumsum(uses) - uses, []
+            for bucket, tokens in shard.parts(buckets):
+                size = uses[tokens]
+                entry = np.repeat(begin[tokens] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                rows.append((bucket, shard.number, shard.hashes[tokens].tobytes(), own[tokens].astype(np.int8).tobytes(),
+                             size.astype(np.int32).tobytes(), (cell[entry] % CONTEXTS).astype(np.uint8).tobytes(),
+                             n[entry].astype(np.int32).tobytes()))
+            yield _context_batch(rows)
+        rows = [(k, BIGRAMS, b"", b"", b"", b"", bigrams[k * CLASSES:(k + 1) * CLASSES].tobytes()) for k in range(CLASSES)]
+        if used:
+            strips = _strips(total, WORDS_PER_STRIP)
+            rows += [(-1 - at // WORDS_PER_STRIP, STRIP_OF_CLASSES, b"", b"", b"", b"", strip) for at, strip in
+                     zip(strips.column("at").to_pylist(), strips.column("strip").to_pylist())]
+        yield _context_batch(rows)
+
+    return _with_answers(shards, answers).mapInArrow(tidy(around), CONTEXT_ROWS)
+
+
+def class_bigrams(rows: DataFrame) -> np.ndarray:
+    """(CLASSES, CLASSES) sums of the ``BIGRAMS`` rows."""
+    def add(key, table):
+        return pa.table({"key": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([sum(
+            np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist()).tobytes()], pa.binary())})
+
+    out = np.zeros((CLASSES, CLASSES))
+    for r in rows.where(F.col("shard") == BIGRAMS).select("key", "counts").groupBy("key").applyInArrow(add, "key long, counts binary").collect():
+        out[r["key"]] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
+def bigrams_under(shards: DataFrame, label: np.ndarray, answers: DataFrame, buckets: int) -> np.ndarray:
+    """Class bigrams of the training texts under the answers (without the contexts)."""
+    rare = len(label) - 1 - SUFFIXES
+
+    def count(batches):
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for shard, told in _shards(batches, rare):
+            cls = shard.classes(label, shard.told(label, told, buckets)[0])
+            total += np.bincount(cls[:-1] * CLASSES + cls[1:], minlength=CLASSES * CLASSES)
+        yield _context_batch([(k, BIGRAMS, b"", b"", b"", b"", total[k * CLASSES:(k + 1) * CLASSES].tobytes()) for k in range(CLASSES)])
+
+    return class_bigrams(_with_answers(shards, answers).mapInArrow(tidy(count), CONTEXT_ROWS))
+
+
 def best_classes(contexts: np.ndarray, old: np.ndarray, between: np.ndarray) -> np.ndarray:
     """Class of the highest exchange gain of each token, against the class bigrams without the token.
 
@@ -278,85 +376,54 @@ def best_classes(contexts: np.ndarray, old: np.ndarray, between: np.ndarray) ->
     return np.where(gain[at, new] > gain[at, old] + 1e-9, new, old)
 
 
-def assign_frequent(coded: DataFrame, pairs: DataFrame, label: np.ndarray, between: np.ndarray) -> np.ndarray:
-    """New classes of the codes: of the frequent tokens that the exchange did not place."""
-    end = len(label) - 1
-    rare = end - SUFFIXES
-
-    def from_codes(batches):
-        total = np.zeros((rare, CONTEXTS), np.int32)
-        for codes in _chunks(batches, end):
-            a, b = codes[:-1], codes[1:]
-            keep = ((a < rare) | (a == end)) & ((b < rare) | (b == end))
-            a, b = a[keep], b[keep]
-            one = (a < rare) & (a >= CLUSTERED)
-            np.add.at(total, (a[one], np.where(a == b, ITSELF, AFTER + label[b])[one]), 1)
-            one = (b < rare) & (b >= CLUSTERED) & (a != b)
-            np.add.at(total, (b[one], BEFORE + label[a[one]]), 1)
-        yield _strips(total, WORDS_PER_STRIP)
-
-    def from_pairs(batches):
-        total = np.zeros((rare, CONTEXTS), np.int32)
-        for batch in batches:
-            first, second = _side_classes(batch, label)
-            a, b, n = (batch.column(c).to_numpy() for c in ("a_code", "b_code", "uses"))
-            one = (a < rare) & (a >= CLUSTERED)
-            np.add.at(total, (a[one], AFTER + second[one]), n[one])
-            one = (b < rare) & (b >= CLUSTERED)
-            np.add.at(total, (b[one], BEFORE + first[one]), n[one])
-        yield _strips(total, WORDS_PER_STRIP)
-
-    def assign(key, table):
-        at, contexts = key[0].as_py(), _added(table).reshape(-1, CONTEXTS)
-        old, used = label[at:at + len(contexts)], np.flatnonzero(contexts.any(axis=1))
+def assign(rows: DataFrame, label: np.ndarray, between: np.ndarray) -> DataFrame:
+    """``ANSWERS``: new and old class and training count of every rare token to each shard that has it, new classes of the
+    frequent tokens by strip, and the sizes of the classes."""
+    def strip(key, table):
+        at, found = (-1 - key) * WORDS_PER_STRIP, sum(np.frombuffer(zlib.decompress(c), np.int64) for c in table.column("counts").to_pylist())
+        found = found.reshape(-1, CONTEXTS)
+        old, used = label[at:at + len(found)], np.flatnonzero(found.any(axis=1))
         new = old.copy()
         for k in range(0, len(used), 256):
             some = used[k:k + 256]
-            new[some] = best_classes(contexts[some], old[some], between)
-        return pa.table({"at": pa.array([at], pa.int64()), "classes": pa.array([new.tobytes()], pa.binary())})
-
-    out = label.copy()
-    if rare > CLUSTERED:
-        strips = (coded.select("codes").mapInArrow(tidy(from_codes), "at long, strip binary")
-                  .unionByName(pairs.mapInArrow(tidy(from_pairs), "at long, strip binary")))
-        for r in strips.groupBy("at").applyInArrow(assign, "at long, classes binary").collect():
-            new = np.frombuffer(r["classes"], label.dtype)
-            out[r["at"]:r["at"] + len(new)] = new
-    return out
-
-
-def assign_rare(pairs: DataFrame, label: np.ndarray, between: np.ndarray) -> DataFrame:
-    """(token, old, class, n): old and new classes of all rare training tokens."""
-    def contexts(batches):
-        for batch in batches:
-            first, second = _side_classes(batch, label)
-            a, b, n = batch.column("a"), batch.column("b"), batch.column("uses")
-            itself = np.array([x is not None and x == y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)
-            for token, own, at, keep in ((a, first, np.where(itself, ITSELF, AFTER + second), True),
-                                         (b, second, BEFORE + first, ~itself)):
-                keep = pa.array(token.is_valid().to_numpy(zero_copy_only=False) & keep)
-                yield pa.RecordBatch.from_arrays([token.filter(keep), pa.array(own.astype(np.int32)).filter(keep),
-                                                  pa.array(at.astype(np.int32)).filter(keep), n.filter(keep)],
-                                                 ["token", "class", "at", "n"])
-
-    def assign(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                part = batch.slice(k, 2048)
-                lists = part.column("contexts")
-                cells = lists.flatten()
-                table = np.zeros((part.num_rows, CONTEXTS), np.int64)
-                place = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                table[place, cells.field("at").to_numpy()] = cells.field("n").to_numpy()
-                new = best_classes(table, part.column("class").to_numpy().astype(np.int64), between)
-                n = table[:, AFTER:BEFORE].sum(1) + table[:, ITSELF]
-                yield pa.RecordBatch.from_arrays([part.column("token"), part.column("class"), pa.array(new.astype(np.int32)),
-                                                  pa.array(n)], ["token", "old", "class", "n"])
-
-    found = pairs.mapInArrow(tidy(contexts), "token binary, class int, at int, n long")
-    return (found.groupBy("token", "class", "at").agg(F.sum("n").alias("n"))
-            .groupBy("token", "class").agg(F.collect_list(F.struct("at", "n")).alias("contexts"))
-            .mapInArrow(tidy(assign), "token binary, old int, class int, n long"))
+            new[some] = best_classes(found[some], old[some], between)
+        return [(at, STRIP_OF_CLASSES, new.tobytes(), b"", b"", 0, 0)]
+
+    def bucket(key, table):
+        hashes = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+        join = lambda c, t: np.concatenate([np.frombuffer(v, t) for v in table.column(c).to_pylist()])
+        tokens, first, of = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        old = join("classes", np.int8)[first].astype(np.int64)
+        owner, place, n = np.repeat(of, join("uses", np.int32)), join("places", np.uint8), join("counts", np.int32)
+        order = np.argsort(owner, kind="stable")
+        owner, place, n = owner[order], place[order].astype(np.int64), n[order]
+        new, count = old.copy(), np.zeros(len(tokens), np.int64)
+        for k in range(0, len(tokens), 2048):
+            a, b = np.searchsorted(owner, (k, k + 2048))
+            size = min(2048, len(tokens) - k)
+            found = np.zeros((size, CONTEXTS), np.int64)
+            np.add.at(found, (owner[a:b] - k, place[a:b]), n[a:b])
+            count[k:k + size] = found[:, AFTER:BEFORE].sum(1) + found[:, ITSELF]
+            new[k:k + size] = best_classes(found, old[k:k + size], between)
+        seen = count > 0
+        new[~seen] = -1                                    # only held-out texts have it
+        out, at = [], 0
+        told = np.where(seen, old, -1).astype(np.int8)
+        for shard, mine in zip(table.column("shard").to_pylist(), hashes):
+            here, at = of[at:at + len(mine)], at + len(mine)
+            out.append((key, shard, new[here].astype(np.int8).tobytes(), told[here].tobytes(), count[here].tobytes(), 0, 0))
+        for what, classes in ((MASS_NEW, new[seen]), (MASS_OLD, old[seen])):
+            sums, kinds = np.bincount(classes, count[seen], CLASSES), np.bincount(classes, minlength=CLASSES)
+            out += [(int(c), what, b"", b"", b"", int(sums[c]), int(kinds[c])) for c in np.flatnonzero(kinds)]
+        return out
+
+    def answer(key, table):
+        number = key[0].as_py()
+        out = strip(number, table) if number < 0 else bucket(number, table)
+        types = (pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=_ANSWER_NAMES)
+
+    return rows.where(F.col("shard") != BIGRAMS).groupBy("key").applyInArrow(answer, ANSWERS)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -430,25 +497,47 @@ def transition_table(bigrams: np.ndarray, label: np.ndarray, group_mass: np.ndar
     return np.log10(class_steps(member.T @ bigrams @ member, class_uses))[np.ix_(label, label)] + emission[None, :]
 
 
-def cluster(scratch: Scratch, coded: DataFrame, pairs: DataFrame, head: list[bytes]) -> tuple[np.ndarray, DataFrame, np.ndarray]:
-    """(class of every code, classes and counts of the rare tokens, class bigrams) of the training part."""
+@dataclass
+class Classes:
+    """Classes of all training tokens: of the codes, and of the rare tokens as answers to the shards that have them."""
+
+    label: np.ndarray
+    answers: DataFrame
+    use_old: bool
+    buckets: int
+    between: np.ndarray
+    masses: dict                       # class: (draws, kinds) of the rare tokens
+
+
+def cluster(scratch: Scratch, shards: DataFrame, head: list[bytes], rare_uses: int) -> Classes:
+    """Exchange clustering of the head, then ``ASSIGN_SWEEPS`` sweeps over all other tokens."""
     symbols = [i if i < CLUSTERED else suffix_symbol(t) for i, t in enumerate(head)]
     of_code = np.array([*symbols, *range(CLUSTERED, END), END], np.int64)
-    label, met = exchange(bigram_counts(coded, of_code, SYMBOLS))[of_code], _classed(pairs, None)
-    between = class_bigrams(coded, met, label)
+    bigrams = symbol_bigrams(shards.where(~F.col("held_out")), of_code)
+    placed = exchange(bigrams)
+    label, member = placed[of_code], np.eye(CLASSES)[placed]
+    between, answers, buckets = member.T @ bigrams @ member, None, max(8, -(-rare_uses // BUCKET_TOKENS))
+    found = contexts(shards, label, None, buckets)
     for sweep in range(1, ASSIGN_SWEEPS + 1):
-        new = assign_frequent(coded, met, label, between)
-        rare = scratch.write(assign_rare(met, label, between), f"rare{sweep}")
+        new, last = label.copy(), sweep == ASSIGN_SWEEPS
+        before, answers = answers, scratch.write(assign(found, label, between), f"answers{sweep}")
+        for r in answers.where(F.col("shard") == STRIP_OF_CLASSES).select("key", "classes").collect():
+            mine = np.frombuffer(r["classes"], label.dtype)
+            new[r["key"]:r["key"] + len(mine)] = mine
+        if last:
+            after = bigrams_under(shards.where(~F.col("held_out")), new, answers, buckets)
+        else:                                              # one pass gives this sweep's bigrams and the next one's contexts
+            found = scratch.write(contexts(shards, new, answers, buckets), f"contexts{sweep}")
+            after = class_bigrams(found)
         if sweep > 1:
-            scratch.drop(f"classed{sweep - 1}", f"rare{sweep - 1}")
-        met = scratch.write(_classed(pairs, rare), f"classed{sweep}")
-        after = class_bigrams(coded, met, new)
-        if likelihood(after) <= likelihood(between):
-            rare = rare.withColumn("class", F.col("old"))
+            scratch.drop(f"contexts{sweep - 1}", f"answers{sweep - 1}")
+        use_old = likelihood(after) <= likelihood(between)
+        if use_old:
             break
         label, between = new, after
-    scratch.drop(f"classed{sweep}", "pairs")
-    return label, rare, between
+    masses = {r["key"]: (r["n"], r["kinds"]) for r in answers.where(F.col("shard") == (MASS_OLD if use_old else MASS_NEW))
+              .groupBy("key").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect()}
+    return Classes(label, answers, use_old, buckets, between, masses)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -462,62 +551,36 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     frequent = frequent_tokens(counts)
     scratch.drop("counts")
     head = [t for t, _ in frequent]
-    coded = scratch.write(code_texts(rows, head), "coded")
-    whole, bigrams = coded.where("codes is not null"), coded.where("codes is null")
-    train = whole.where(~F.col("held_out"))
-    texts = train.count()
+    shards = scratch.write(code_texts(rows, head), "shards")
+    texts, rare_uses = shards.agg(F.sum(F.when(F.col("held_out"), 0).otherwise(F.size("doc_ids"))),
+                                  F.sum(F.octet_length("rare") / 8)).first()
+    texts = texts or 0
     n, v = (total or 0) + texts, kinds + (texts > 0)
-    pairs = scratch.write(bigrams.where(~F.col("held_out")).groupBy("a", "a_code", "b", "b_code")
-                          .agg(F.sum("uses").alias("uses")), "pairs")
-    label, rare, between = cluster(scratch, train, pairs, head)
+    model = cluster(scratch, shards, head, int(rare_uses or 0))
+    label, buckets, use_old = model.label, model.buckets, model.use_old
     own = np.array([*(c for _, c in frequent), *[0] * SUFFIXES, texts], float)
     mass = np.bincount(label, own + SHARE, CLASSES)        # a suffix group's share is for its unseen tokens
-    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
-        mass[r["class"]] += r["n"] + SHARE * r["kinds"]
+    for c, (uses, different) in model.masses.items():
+        mass[c] += uses + SHARE * different
     with np.errstate(divide="ignore"):                     # a class without tokens is never stepped into
-        steps, mass_log = np.log10(class_steps(between, mass)), np.log10(mass)
-    logs = np.log10(own + SHARE)
-    shared = spark.sparkContext.broadcast((label, logs, logs - mass_log[label]))
-    first_rare, end, has_end = len(head), len(head) + SUFFIXES, int(texts > 0)
+        steps, mass_log = np.log10(class_steps(model.between, mass)), np.log10(mass)
+    logs, norm = np.log10(own + SHARE), log10(n + SHARE * (v + 1))
+    first_rare, known_end = len(head), int(texts > 0)
 
     def score(batches):
-        classes, base, emission = shared.value
-        for batch in batches:
-            out = []
-            for codes in batch.column("codes"):
-                codes = np.concatenate([[end], np.frombuffer(codes.as_buffer(), np.int32), [end]])
-                plain = (codes < first_rare) | (codes == end)
-                pair, seen = plain[:-1] & plain[1:], codes[1:][plain[1:]]
-                path = steps[classes[codes[:-1][pair]], classes[codes[1:][pair]]].sum()
-                out.append((len(codes) - 1, len(seen) - 1 + has_end, float(base[seen].sum()),
-                            float(path + emission[seen].sum())))
+        for shard, told in _shards(batches, first_rare):
+            own_classes, found = shard.told(label, told, buckets, use_old)
+            cls, token_logs = shard.classes(label, own_classes), logs[shard.codes]
+            token_logs[shard.at] = np.log10(found + SHARE)[shard.token]
+            known = (shard.codes < first_rare).astype(np.int64)
+            known[shard.at] = (found > 0)[shard.token]
+            path = steps[cls[:-1], cls[1:]] + token_logs[1:] - mass_log[cls[1:]]
+            n_tokens = shard.lengths + 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("row", "doc_id", "held_out")]
-                + [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "path"])
+                [pa.array(shard.doc_ids, pa.int64()), pa.array([shard.held_out] * len(n_tokens), pa.bool_()), pa.array(n_tokens),
+                 pa.array(np.add.reduceat(known[1:], shard.first) + known_end), pa.array([n] * len(n_tokens), pa.int64()),
+                 pa.array(np.add.reduceat(token_logs[1:], shard.first) - n_tokens * norm), pa.array(np.add.reduceat(path, shard.first))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    def score_rare(batches):
-        classes = shared.value[0]
-        for batch in batches:
-            a, b = _side_classes(batch, classes)
-            uses, is_rare = batch.column("uses").to_numpy(), batch.column("b").is_valid().to_numpy(zero_copy_only=False)
-            found = batch.column("b_n").fill_null(0).to_numpy()
-            own_logs = np.log10(found + SHARE)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.where(is_rare & (found > 0), uses, 0)),
-                 pa.array(np.where(is_rare, uses * own_logs, 0.0)),
-                 pa.array(uses * (steps[a, b] + np.where(is_rare, own_logs - mass_log[b], 0.0)))],
-                ["row", "rare_known", "rare_logs", "rare_path"])
-
-    tail = (_classed(bigrams.select("row", "a", "a_code", "b", "b_code", "uses"), rare)
-            .mapInArrow(tidy(score_rare), "row long, rare_known long, rare_logs double, rare_path double")
-            .groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rare_known", "rare_logs", "rare_path")]))
-    scored = whole.select("row", "doc_id", "held_out", "codes").mapInArrow(
-        tidy(score), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, path double")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return (scored.join(tail, "row", "left")
-            .select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("rare_known")).cast("long").alias("n_known"),
-                    F.lit(n).cast("long").alias("train_tokens"),
-                    (F.col("logs") + zero("rare_logs")
-                     - F.col("n_tokens") * F.lit(log10(n + SHARE * (v + 1)))).alias("base_score"),
-                    (F.col("path") + zero("rare_path")).alias("score")))
+    return _with_answers(shards, model.answers).mapInArrow(
+        tidy(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
