@@ -9,8 +9,8 @@ sample of about ``sample_rows`` labelled documents a language; every document
 is scored, over its whole text.
 
 Words are runs of letters in lower case, with the vocabulary's word-start
-mark; runs over ``LONGEST`` letters are cut into parts of that length. Letters
-outside the vocabulary are an unknown piece. Scores of different words are
+mark, summed over in whole however long they are (a script without spaces has
+clauses for words). Letters outside the vocabulary are an unknown piece. Scores of different words are
 computed once and kept, so the work follows the number of different words.
 
 Defined results: null texts and texts without a letter are ``und`` with score
@@ -33,7 +33,7 @@ from .common import Scratch, fold, tidy
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LONGEST, UNKNOWN_SHARE = 24, 1e-3
+UNKNOWN_SHARE, RESCALE = 1e-3, 16
 SAMPLE_ROWS, ROUNDS, PRIOR = 2_000, 3, 0.05
 FOLDS, HELD_OUT = 4, 2
 WORD = re.compile(r"[^\W\d_]+")
@@ -61,16 +61,15 @@ class Lattice:
         self.unknown, self.none = len(pieces), len(pieces) + 1   # rows of the probability table
         self.widest = max(map(len, pieces))
 
-    def parts(self, word: str) -> list[str]:
-        letters = word if word.isalpha() else "".join(filter(str.isalpha, word))
-        return [(MARK if i == 0 else "") + letters[i:i + LONGEST] for i in range(0, len(letters), LONGEST)]
+    def marked(self, word: str) -> str:
+        return MARK + (word if word.isalpha() else "".join(filter(str.isalpha, word)))
 
-    def arcs(self, parts: list[str]) -> dict[tuple[int, int], np.ndarray]:
-        """Piece number of every stretch (start, end) of equally long parts."""
-        get, n, out = self.number.get, len(parts[0]), {}
+    def arcs(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
+        """Piece number of every stretch (start, end) of equally long words."""
+        get, n, out = self.number.get, len(words[0]), {}
         for i in range(n):
             for j in range(i + 1, min(n, i + self.widest) + 1):
-                rows = [get(p[i:j], self.none) for p in parts]
+                rows = [get(w[i:j], self.none) for w in words]
                 if j == i + 1:
                     rows = [self.unknown if r == self.none else r for r in rows]
                 rows = np.array(rows)
@@ -78,50 +77,58 @@ class Lattice:
                     out[i, j] = rows
         return out
 
-    def forward(self, arcs: dict, n: int, p: np.ndarray) -> np.ndarray:
-        """(n + 1, words, languages) sums over the segmentations of every prefix."""
+    def sums(self, arcs: dict, n: int, p: np.ndarray, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(n + 1, words, languages) sums over the segmentations of every prefix (or suffix), and the logs they are scaled by.
+
+        The sums within reach of the next ones (the last ``widest``) share one scale; it is drawn into the logs every
+        ``RESCALE`` letters, so a run of any length neither underflows nor is cut.
+        """
         first = next(iter(arcs.values()))
-        a = np.zeros((n + 1, len(first), p.shape[1]))
-        a[0] = 1
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.widest), j):
-                if (i, j) in arcs:
-                    a[j] += a[i] * p[arcs[i, j]]
-        return a
+        a, logs = np.zeros((n + 1, len(first), p.shape[1])), np.zeros((n + 1, len(first), p.shape[1]))
+        order = range(n - 1, -1, -1) if backward else range(1, n + 1)
+        a[n if backward else 0] = 1
+        for done, j in enumerate(order, 1):
+            reach = range(j + 1, min(n, j + self.widest) + 1) if backward else range(max(0, j - self.widest), j)
+            for i in reach:
+                arc = arcs.get((j, i) if backward else (i, j))
+                if arc is not None:
+                    a[j] += a[i] * p[arc]
+            logs[j] = logs[j + 1 if backward else j - 1]
+            if done % RESCALE == 0:
+                window = slice(j, min(n, j + self.widest) + 1) if backward else slice(max(0, j - self.widest), j + 1)
+                scale = a[window].max(0)
+                a[window] /= scale
+                logs[window] = logs[j] + np.log(scale)
+        return a, logs
 
     def by_length(self, words: list[str]):
-        """(length, parts, index of each part's word), parts of one length together."""
-        groups: dict[int, tuple[list, list]] = {}
-        for k, w in enumerate(words):
-            for part in self.parts(w):
-                texts, owners = groups.setdefault(len(part), ([], []))
-                texts.append(part)
-                owners.append(k)
-        for n, (texts, owners) in groups.items():
-            for at in range(0, len(texts), 4096):
-                yield n, texts[at:at + 4096], np.array(owners[at:at + 4096])
+        """(length, marked words, their places), words of one length together."""
+        groups: dict[int, list[int]] = {}
+        marked = [self.marked(w) for w in words]
+        for k, w in enumerate(marked):
+            groups.setdefault(len(w), []).append(k)
+        for n, places in groups.items():
+            step = max(1, 4096 * 24 // n)
+            for at in range(0, len(places), step):
+                some = places[at:at + step]
+                yield n, [marked[k] for k in some], np.array(some)
 
     def log_probability(self, words: list[str], p: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), p.shape[1]))
-        for n, parts, owners in self.by_length(words):
-            a = self.forward(self.arcs(parts), n, p)[n]
-            np.add.at(out, owners, np.log(np.maximum(a, 1e-300)))
+        for n, some, places in self.by_length(words):
+            a, logs = self.sums(self.arcs(some), n, p)
+            out[places] = np.log(np.maximum(a[n], 1e-300)) + logs[n]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, for words x languages counts."""
         total = np.zeros_like(p)
-        for n, parts, owners in self.by_length(words):
-            arcs = self.arcs(parts)
-            a = self.forward(arcs, n, p)
-            b = np.zeros_like(a)
-            b[n] = 1
-            for i in range(n - 1, -1, -1):
-                for j in range(i + 1, min(n, i + self.widest) + 1):
-                    if (i, j) in arcs:
-                        b[i] += p[arcs[i, j]] * b[j]
-            share = counts[owners] / np.maximum(a[n], 1e-300)
+        for n, some, places in self.by_length(words):
+            arcs = self.arcs(some)
+            (a, a_logs), (b, b_logs) = self.sums(arcs, n, p), self.sums(arcs, n, p, backward=True)
+            whole = np.log(np.maximum(a[n], 1e-300)) + a_logs[n]
             for (i, j), rows in arcs.items():
+                share = counts[places] * np.exp(a_logs[i] + b_logs[j] - whole)
                 np.add.at(total, rows, a[i] * p[rows] * b[j] * share)
         return total
 
