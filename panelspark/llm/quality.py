@@ -2,12 +2,14 @@
 
 Every token has a sparse ternary index vector given by its hash. A vocabulary
 token's word vector is the normalised sum of the index vectors of its
-neighbours in the training sample; other tokens use their own index vector.
+neighbours in all training texts; other tokens use their own index vector.
 A document pools its token vectors (count-weighted mean) with a few pooled
 counts. A two-layer numpy network maps the pooled features to a logit, and a
 temperature fitted on held-back training rows calibrates the probability.
 
-The fit uses a bounded, hash-chosen sample of labelled rows (about
+Vocabulary and word vectors come from the whole texts of every document outside
+the held-out fold, labelled or not. Only the network and its temperature are
+fitted on a bounded, hash-chosen sample of labelled rows (about
 ``sample_rows``); every document is scored. The model that is broadcast has a
 fixed size (``VOCABULARY`` and ``BUCKETS`` rows of ``DIMENSIONS``).
 
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .brown import frequent_tokens
 from .common import Scratch, fold, tidy
 
 DIMENSIONS, NONZERO, BUCKETS, VOCABULARY = 64, 8, 1 << 14, 20_000
@@ -41,6 +44,8 @@ FOLDS, HELD_OUT = 4, 2
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 POOLED = 8
 SLICE = 256                        # texts that are Python strings at a time
+TOKENS = 50_000                    # tokens of a text whose windows are summed at a time
+FLUSH_TOKENS, STRIP = 400_000, 2048
 
 
 def tokens_of(text: str) -> list[str]:
@@ -118,43 +123,82 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col:
             .join(F.broadcast(chosen), "_id").select("text", "label", "back"))
 
 
-def _vocabulary(sample: DataFrame) -> dict[str, int]:
-    def count(batches):
-        seen = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(tokens_of(text))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
-                                         ["token", "n"])
+def training_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The whole texts outside the held-out fold, labelled or not."""
+    return docs.where(fold(F.col(id_col), FOLDS) != HELD_OUT).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    top = (sample.select("text").mapInArrow(tidy(count), "token string, n long").where(F.length("token") <= 64)
-           .groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
-           .orderBy(F.desc("n"), "token").limit(VOCABULARY).collect())
-    return {r["token"]: i for i, r in enumerate(top)}
 
+def _vocabulary(texts: DataFrame) -> dict[str, int]:
+    """Numbers of the ``VOCABULARY`` most frequent tokens of all training texts."""
+    def batch_of(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([t.encode("utf-8", "surrogatepass") for t in seen], pa.binary()),
+                                           pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
-def _context_sums(sample: DataFrame, vocabulary: dict, index: np.ndarray) -> np.ndarray:
-    """Sum of the neighbours' index vectors of every vocabulary token."""
-    shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
+    def count(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                for text in batch.column("text").slice(at, SLICE).to_pylist():
+                    seen.update(tokens_of(text))
+                    if len(seen) > FLUSH_TOKENS:
+                        yield batch_of(seen)
+                        seen = Counter()
+        yield batch_of(seen)
+
+    counts = (texts.mapInArrow(tidy(count), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"))
+    scratch = Scratch(texts.sparkSession, "quality-counts")
+    top = frequent_tokens(scratch.write(counts, "counts"), VOCABULARY)
+    scratch.drop("counts")
+    return {t.decode("utf-8", "surrogatepass"): i for i, (t, _) in enumerate(top)}
+
+
+def _context_sums(texts: DataFrame, vocabulary: dict, index: np.ndarray) -> np.ndarray:
+    """Sum of the neighbours' index vectors of every vocabulary token, over all training texts.
+
+    Index vectors are summed as integers, so the sums do not depend on the order of rows. A task adds up one
+    (vocabulary, dimensions) matrix and sends strips of it, which are added by strip.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    signs = np.sign(index).astype(np.int8)
+
+    def windows(found: list[str]) -> np.ndarray:
+        vectors = signs[[bucket(t) for t in found]]
+        around = np.zeros((len(found), DIMENSIONS), np.int16)
+        for step in range(1, CONTEXT + 1):
+            around[:-step] += vectors[step:]
+            around[step:] += vectors[:-step]
+        return around
 
     def add(batches):
-        known, sums = shared.value, np.zeros((VOCABULARY, DIMENSIONS), np.float32)
+        known, sums = shared.value, np.zeros((VOCABULARY, DIMENSIONS), np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = tokens_of(text)
-                vectors = index[[bucket(t) for t in found]] if found else np.zeros((0, DIMENSIONS), np.float32)
-                rows = np.array([known.get(t, -1) for t in found], np.int64)
-                for step in range(1, CONTEXT + 1):
-                    for own, other in ((rows[:-step], vectors[step:]), (rows[step:], vectors[:-step])):
-                        keep = own >= 0
-                        np.add.at(sums, own[keep], other[keep])
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
-
-    parts = sample.select("text").coalesce(FIT_TASKS).mapInArrow(tidy(add), "sums binary").toLocalIterator()
-    total = np.zeros((VOCABULARY, DIMENSIONS), np.float64)
-    for r in parts:
-        total += np.frombuffer(r["sums"], np.float32).reshape(VOCABULARY, DIMENSIONS)
-    return total
+            for at in range(0, batch.num_rows, SLICE):
+                for text in batch.column("text").slice(at, SLICE).to_pylist():
+                    found = tokens_of(text)
+                    for begin in range(0, len(found), TOKENS):
+                        a, b = max(0, begin - CONTEXT), min(len(found), begin + TOKENS)
+                        around = windows(found[a:min(len(found), b + CONTEXT)])[begin - a:b - a]
+                        rows = np.array([known.get(t, -1) for t in found[begin:b]], np.int64)
+                        order = np.argsort(rows, kind="stable")
+                        order = order[np.searchsorted(rows[order], 0):]
+                        if len(order):
+                            first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
+                            sums[rows[order][first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
+        parts = [(at, sums[at:at + STRIP]) for at in range(0, VOCABULARY, STRIP)]
+        parts = [(at, zlib.compress(part.tobytes(), 1)) for at, part in parts if part.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([at for at, _ in parts], pa.int64()),
+                                          pa.array([part for _, part in parts], pa.binary())], ["at", "strip"])
+
+    def merge(key, table):
+        total = sum(np.frombuffer(zlib.decompress(s), np.int64) for s in table.column("strip").to_pylist())
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "strip": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((VOCABULARY, DIMENSIONS))
+    for r in (texts.mapInArrow(tidy(add), "at long, strip binary").groupBy("at").applyInArrow(merge, "at long, strip binary").collect()):
+        part = np.frombuffer(r["strip"], np.int64).reshape(-1, DIMENSIONS)
+        out[r["at"]:r["at"] + len(part)] = part
+    shared.destroy()
+    return out
 
 
 def _train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list:
@@ -184,8 +228,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
     scratch = Scratch(docs.sparkSession, "quality")
     sample = scratch.write(training_rows(docs, labels, sample_rows, id_col, text_col).repartition(3 * FIT_TASKS), "sample")
     index, model = index_vectors(seed), Model()
-    model.vocabulary = _vocabulary(sample)
-    sums = _context_sums(sample, model.vocabulary, index)
+    texts = training_texts(docs, id_col, text_col)
+    model.vocabulary = _vocabulary(texts)
+    sums = _context_sums(texts, model.vocabulary, index)
     size = np.linalg.norm(sums, axis=1, keepdims=True)
     model.vectors = np.vstack([(sums / np.where(size > 0, size, 1)).astype(np.float32), index])
     shared = docs.sparkSession.sparkContext.broadcast(model)
