@@ -12,7 +12,7 @@ blocks; the sparse directory keeps one bounded key per block. The block length
 grows with the archive so that the directory never has more than
 ``MOST_BLOCKS`` keys per index (plus one block per range), which bounds its
 broadcast. A lookup searches the directory by bisection, opens only the blocks
-found, and then cuts the records' byte ranges out of the archives.
+found, and then reads only the records' byte ranges of the archives.
 
 Defined results: null html is an empty payload; a null url has the empty key;
 rows with the smallest id of a payload are responses even if the row is
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ from .common import Scratch, attach, table, tidy, utf8
 
 ARCHIVE_BYTES = 16 << 20
 LINES_PER_BLOCK, MOST_BLOCKS, KEY_CHARS = 3000, 65_536, 200
+GAP, READ_BYTES = 4096, 1 << 20     # ranges that are read together
 EMPTY_MEMBER = zlib.compress(b"", 9, wbits=31)
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 RECORD = ("archive string, record binary")
@@ -245,10 +247,38 @@ def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(wanted, "block").select("lines", "wanted").mapInArrow(tidy(open_blocks), CAPTURE)
 
 
+def _ranged(path: str) -> bool:
+    """Whether tasks can open files of this path's store themselves and read byte ranges."""
+    try:
+        pafs.FileSystem.from_uri(_uri(path))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def _uri(path: str) -> str:
+    """``file:/x``, as Spark names local files, is ``file:///x`` elsewhere."""
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
 def read_ranges(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
-    """Parsed records at the lines' byte ranges (an archive's size bounds its list of ranges)."""
+    """Parsed records at the lines' byte ranges (an archive's size bounds its list of ranges).
+
+    A task opens the archive and reads the wanted ranges only; neighbouring ranges are one read. In a store
+    that only Spark reads, whole archives (``ARCHIVE_BYTES`` each) are read and cut.
+    """
     schema = _schema(PARSED)
 
+    def read(batches):
+        for batch in batches:
+            for file, ranges in zip(batch.column("file").to_pylist(), batch.column("ranges").to_pylist()):
+                store, name = pafs.FileSystem.from_uri(_uri(file))
+                with store.open_input_file(name) as archive:
+                    for first, size, cuts in _joined(sorted((r["offset"], r["length"]) for r in ranges)):
+                        content = archive.read_at(size, first)
+                        rows = [_parse(zlib.decompress(content[at - first:at - first + n], wbits=31)) for at, n in cuts]
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+
     def cut(batches):
         for batch in batches:
             for content, ranges in zip(batch.column("content").to_pylist(), batch.column("ranges").to_pylist()):
@@ -257,9 +287,23 @@ def read_ranges(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     ranges = lines.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
+    if _ranged(path):
+        return ranges.mapInArrow(tidy(read), PARSED)
     return _files(spark, path).join(ranges, "file").select("content", "ranges").mapInArrow(tidy(cut), PARSED)
 
 
+def _joined(ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(begin, bytes, ranges) of the reads: ranges at most ``GAP`` bytes apart, up to ``READ_BYTES`` together."""
+    held: list[tuple[int, int]] = []
+    for at, n in ranges:
+        if held and (at - sum(held[-1]) > GAP or at + n - held[0][0] > READ_BYTES):
+            yield held[0][0], sum(held[-1]) - held[0][0], held
+            held = []
+        held.append((at, n))
+    if held:
+        yield held[0][0], sum(held[-1]) - held[0][0], held
+
+
 def round_trip(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     """Write all pages, index the archives, and read every page back through the index."""
     spark = pages.sparkSession
