@@ -23,7 +23,8 @@ def register(name: str, sql: str | None = None):
 
 @register("op1_repeated_substrings")
 def op1(spark, sf_dir):
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=True)
+    return out.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

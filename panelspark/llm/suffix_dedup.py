@@ -1,26 +1,30 @@
-"""Repeated-substring removal by merging shard Burrows-Wheeler tables.
+"""Repeated-substring removal by suffixes at anchors, refined symbol by symbol.
 
 Every byte covered by a ``LENGTH``-byte string that also starts elsewhere is
 removed. Sorting every suffix of the corpus is avoided in two steps:
 
 * Anchors. Each possible start is represented by the position of the smallest
   64-byte hash among the ``SPAN`` bytes that follow it. Equal strings have
-  equal anchors at equal offsets, so only suffixes at anchors are sorted
+  equal anchors at equal offsets, so only suffixes at anchors are looked at
   (about one in 128), and two equal strings share at least ``NEAR`` bytes to
   the right of their anchors.
 * Meta-symbols. An anchored suffix is compared as four symbols (64-bit hashes
-  of its next 72, 72, 128 and 128 bytes); its Burrows-Wheeler symbol is the
-  hash of the 256 bytes before the anchor.
-
-Each shard (about ``SHARD_BYTES`` of whole documents) sorts its own anchored
-suffixes once and collapses equal ones. Merge tasks, one per range of first
-symbols, then interleave the shards' lists by iterative refinement: round h
-splits the intervals that are still shared by their h-th symbol; the round in
-which two entries part is their common prefix in symbols. Intervals that stay
-shared after two rounds (``NEAR`` bytes) may hold repeats:
-
-* equal over all ``LENGTH`` bytes and with one Burrows-Wheeler symbol: every
-  start between anchor - 256 and anchor is repeated, nothing is left to check;
+  of its next 72, 72, 128 and 128 bytes), and by the hash of the 256 bytes
+  before the anchor.
+
+Each shard (about ``SHARD_BYTES`` of whole documents) groups its own anchored
+suffixes once and collapses equal ones. Merge tasks, one per range of hashed
+first symbols, group the shards' entries in five rounds: round h splits the
+intervals that are still shared by their h-th symbol, so the round in which two
+entries part is their common prefix in symbols. This is a refinement of hash
+groups: no Burrows-Wheeler transform is built, a task sorts the symbols of its
+entries anew in each round, and the shards' own order is not used. (An interleave
+of the shards' transforms refined byte by byte takes as many rounds over the whole
+corpus as the common prefix is long, here 400.) Intervals that stay shared after
+two rounds (``NEAR`` bytes) may hold repeats:
+
+* equal over all ``LENGTH`` bytes and the 256 bytes before: every start between
+  anchor - 256 and anchor is repeated, nothing is left to check;
 * otherwise the interval's starts are compared by the hash of their whole
   ``LENGTH`` bytes, in a second exchange of (hash, shard) lists.
 
