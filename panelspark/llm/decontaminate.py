@@ -225,8 +225,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Verdicts return to the rows by a 64-bit hash of id and text, so null and repeated ids are safe.
     """
-    number = F.xxhash64(F.col(id_col), utf8(F.col(text_col)))
-    numbered = docs.withColumn("_number", number)
-    bad = (contamination(numbered.select("_number", text_col), benchmark, id_col="_number", text_col=text_col, **options)
-           .where("contaminated").select(F.col("doc_id").alias("_number")).distinct())
-    return numbered.join(bad, "_number", "left_anti").select(*docs.columns)
+    number = F.xxhash64(F.col(id_col), utf8(F.col(text_col))).alias("number")
+    bad = (contamination(docs.select(number, F.col(text_col).alias("text")), benchmark, id_col="number", text_col="text", **options)
+           .where("contaminated").select(F.col("doc_id").alias("number")).distinct())
+    return (docs.select(F.struct(*docs.columns).alias("whole"), number).join(bad, "number", "left_anti").select("whole.*"))
