@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import feature_family
+from ..session import small_side
 from .ordering import as_is
 
 
@@ -58,6 +59,44 @@ def shap_dependence(long: DataFrame, top: DataFrame, by=("site",)) -> DataFrame:
     return long.join(top.select(*by, "Feature", "rank"), [*by, "Feature"], "inner")
 
 
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+ACCURACY = 10_000                    # rank error of the quantiles: at most rows / ACCURACY
+DENSITY_BINS = 50
+
+
+def shap_quantiles(long: DataFrame, by=("site",), probs=QUANTILES, accuracy: int = ACCURACY) -> DataFrame:
+    """Summary-plot quantiles of SHAP per feature: (by..., Feature, n, shap_min, q05 ... q95, shap_max).
+
+    The quantile at p is the value of rank ceil(p * n), from a mergeable sketch whose ranks
+    are off by at most n / ``accuracy`` (exact up to ``accuracy`` rows); partial sketches are
+    built where the rows are.
+    """
+    q = F.percentile_approx("shap", list(probs), accuracy)
+    agg = long.groupBy(*by, "Feature").agg(F.count("shap").alias("n"), F.min("shap").alias("shap_min"), q.alias("_q"),
+                                           F.max("shap").alias("shap_max"))
+    return agg.select(*by, "Feature", "n", "shap_min",
+                      *[F.col("_q")[i].alias(f"q{round(p * 100):02d}") for i, p in enumerate(probs)], "shap_max")
+
+
+def shap_density(long: DataFrame, by=("site",), bins: int = DENSITY_BINS) -> DataFrame:
+    """Violin data: equal-width bins of SHAP per feature with counts, density and the mean feature value (its colour).
+
+    Every bin is a row; the density of a feature sums to 1 over bin widths (null for a constant feature's width 0).
+    """
+    keys = [*by, "Feature"]
+    ranges = small_side(long.groupBy(*keys).agg(F.min("shap").alias("_low"), F.max("shap").alias("_high"), F.count("shap").alias("_all")))
+    width = (F.col("_high") - F.col("_low")) / F.lit(float(bins))
+    bin_ = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((F.col("shap") - F.col("_low")) / width), F.lit(bins - 1))).cast("int")
+    filled = (long.where(F.col("shap").isNotNull()).join(ranges, keys).groupBy(*keys, bin_.alias("bin"))
+              .agg(F.count(F.lit(1)).alias("n"), F.avg("value").cast("double").alias("mean_value")))
+    every = ranges.select(*keys, "_low", "_all", width.alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    n = F.coalesce("n", F.lit(0))
+    return every.join(filled, [*keys, "bin"], "left").select(
+        *keys, "bin", n.alias("n"), (F.col("_low") + F.col("bin") * F.col("_w")).alias("bin_lo"),
+        (F.col("_low") + (F.col("bin") + 1) * F.col("_w")).alias("bin_hi"),
+        (n / F.nullif(F.col("_all") * F.col("_w"), F.lit(0.0))).alias("density"), "mean_value")
+
+
 def shap_explain_rows(long: DataFrame, picks: DataFrame, keys=("site", "Date"), order_key=as_is) -> DataFrame:
     """Waterfall data for the picked rows: contributions by |SHAP|, running total from the base."""
     rows = picks.select(*keys, "quantile_slot", "base_value", "Predicted_NEE")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -60,6 +60,12 @@ class SiteRows:
     site_rows: int
 
 
+def row_id() -> Column:
+    """A row's number in all bag draws: 60 bits of md5('site|Date'), the same in every engine."""
+    digest = F.md5(F.concat(F.col("site"), F.lit("|"), F.col("Date").cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def _dictionary(rows: DataFrame, features: list[str]) -> DataFrame:
     """(site, values): per site the sorted distinct values of each feature, packed."""
     cells = rows.select("site", F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("f", "v"))
@@ -93,7 +99,7 @@ def code_matrix(rows: DataFrame, features, label: str) -> CodeMatrix:
     blocks = F.ceil(F.col("site_rows") / BLOCK_ROWS)
     day = F.unix_date("Date")
     placed = (rows.join(stats.select("site", "site_rows"), "site")
-              .select("site", F.pmod(F.xxhash64("Date"), blocks).alias("block"), F.xxhash64("site", "Date").alias("id"),
+              .select("site", F.pmod(F.xxhash64("Date"), blocks).alias("block"), row_id().alias("id"),
                       day.alias("day"), F.col(label).cast("double").alias("y"), F.col("fold").cast("int").alias("fold"),
                       F.array(*[F.col(f).cast("double") for f in features]).alias("x")))
 

@@ -140,35 +140,47 @@ class _Best:
             mine[node] = new[better]
 
 
-def _offer_splits(best: _Best, nodes: np.ndarray, feature: np.ndarray, codes: np.ndarray, row, w, wy, size, total_w, total_wy,
-                  min_leaf: int) -> None:
-    """Score every split of the given nodes (runs of ``size`` elements) by one feature each."""
-    n, bits = len(row), max(1, int(len(row) - 1).bit_length())
-    run = np.repeat(np.arange(len(nodes)), size)
-    value = codes[np.repeat(feature, size), row]
-    key = np.sort((run.astype(np.uint64) << np.uint64(CODE_BITS + bits)) | (value.astype(np.uint64) << np.uint64(bits))
-                  | np.arange(n, dtype=np.uint64))
-    element = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
-    coded = key >> np.uint64(bits)                                     # (run, code)
-    start = np.cumsum(size) - size
-    place = np.arange(n) - np.repeat(start, size)
-    splits = np.flatnonzero(np.append(coded[1:] != coded[:-1], False) & (place >= min_leaf - 1)
-                            & (place < np.repeat(size, size) - min_leaf))
-    if not len(splits):
-        return
-    at = run[splits]
-    sum_w, sum_wy = np.cumsum(w[element]), np.cumsum(wy[element])
-    before_w, before_wy = np.concatenate([[0], sum_w])[start], np.concatenate([[0], sum_wy])[start]
-    left_w, left_wy = sum_w[splits] - before_w[at], sum_wy[splits] - before_wy[at]
-    right_w, right_wy = total_w[at] - left_w, total_wy[at] - left_wy
-    score = left_wy.astype(float) ** 2 / left_w + right_wy.astype(float) ** 2 / right_w
-    heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    top = np.maximum.reduceat(score, heads)
-    is_top = np.flatnonzero(score == np.repeat(top, np.diff(np.append(heads, len(at)))))
-    first = is_top[np.concatenate([[True], at[is_top][1:] != at[is_top][:-1]])]
-    where, low = at[first], np.uint64((1 << CODE_BITS) - 1)
-    best.offer(nodes[where], score[first], feature[where], (coded[splits[first]] & low).astype(np.int64),
-               (coded[splits[first] + 1] & low).astype(np.int64))
+class _Runs:
+    """Elements of some nodes, run by run, with what is the same for every feature."""
+
+    def __init__(self, nodes, row, w, wy, size, total_w, total_wy, min_leaf: int):
+        self.nodes, self.row, self.w, self.wy, self.total_w, self.total_wy = nodes, row, w, wy, total_w, total_wy
+        n = len(row)
+        self.bits = np.uint64(max(1, int(n - 1).bit_length()))
+        self.run = np.repeat(np.arange(len(nodes)), size)
+        place = np.arange(n)
+        self.base = (self.run.astype(np.uint64) << (self.bits + np.uint64(CODE_BITS))) | place.astype(np.uint64)
+        self.start = np.cumsum(size) - size
+        first, last = self.start + (min_leaf - 1), self.start + size - min_leaf
+        self.allowed = (place >= first[self.run]) & (place < last[self.run]) if n else np.zeros(0, bool)
+        self.low = (np.uint64(1) << self.bits) - np.uint64(1)
+
+    def offer_splits(self, best: _Best, feature: np.ndarray, codes: np.ndarray) -> None:
+        """Score every split of the nodes by one feature each."""
+        key = codes[feature[self.run], self.row].astype(np.uint64)
+        key <<= self.bits
+        key |= self.base
+        key.sort()
+        element = (key & self.low).view(np.int64)
+        key >>= self.bits                                              # (run, code)
+        splits = np.flatnonzero((key[1:] != key[:-1]) & self.allowed[:-1])
+        if not len(splits):
+            return
+        at = self.run[splits]
+        sum_w, sum_wy = np.cumsum(self.w[element]), np.cumsum(self.wy[element])
+        # running sums before each run
+        before = self.start - 1
+        before_w, before_wy = np.where(before >= 0, sum_w[before], 0), np.where(before >= 0, sum_wy[before], 0)
+        left_w, left_wy = sum_w[splits] - before_w[at], sum_wy[splits] - before_wy[at]
+        right_w, right_wy = self.total_w[at] - left_w, self.total_wy[at] - left_wy
+        score = left_wy.astype(float) ** 2 / left_w + right_wy.astype(float) ** 2 / right_w
+        heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        top = np.maximum.reduceat(score, heads)
+        is_top = np.flatnonzero(score == np.repeat(top, np.diff(np.append(heads, len(at)))))
+        first = is_top[np.concatenate([[True], at[is_top][1:] != at[is_top][:-1]])]
+        where, low = at[first], np.uint64((1 << CODE_BITS) - 1)
+        best.offer(self.nodes[where], score[first], feature[where], (key[splits[first]] & low).astype(np.int64),
+                   (key[splits[first] + 1] & low).astype(np.int64))
 
 
 def best_splits(codes, row, w, wy, size, total_w, total_wy, order: np.ndarray, mtry: int, min_leaf: int) -> _Best:
@@ -179,9 +191,9 @@ def best_splits(codes, row, w, wy, size, total_w, total_wy, order: np.ndarray, m
         if not len(nodes):
             break
         inside = slice(None) if len(nodes) == len(size) else np.repeat(best.feature < 0, size)
-        part = [x[inside] for x in (row, w, wy)]
+        runs = _Runs(nodes, row[inside], w[inside], wy[inside], size[nodes], total_w[nodes], total_wy[nodes], min_leaf)
         for k in range(at, min(at + mtry, order.shape[1])):
-            _offer_splits(best, nodes, order[nodes, k], codes, *part, size[nodes], total_w[nodes], total_wy[nodes], min_leaf)
+            runs.offer_splits(best, order[nodes, k], codes)
     return best
 
 

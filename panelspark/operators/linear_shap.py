@@ -23,55 +23,58 @@ import numpy as np
 
 from .growth import Tree
 
-CELLS = 4_000_000                    # (node, row) cells that are held at a time
-_NEW, _LEFT, _KEPT = 0, 1, 2         # the row had left the feature's interval before; leaves it here; keeps to it
+CELLS = 400_000                      # (node, row) cells that are held at a time: a few megabytes for each array
+_GONE, _LEAVES, _KEPT = 0, 1, 2      # the row had left the feature's interval before; leaves it here; keeps to it
 
 
 class Levels:
-    """The nodes of several trees, level by level, with what each edge needs."""
+    """The nodes of several trees, level by level (first all left children of a level, then all right ones)."""
 
     def __init__(self, trees: list[Tree], n_features: int):
         offset = np.cumsum([0, *(len(t.left) for t in trees)])
         whole = lambda name: np.concatenate([getattr(t, name) for t in trees])
-        self.value, self.code, cover = whole("value"), whole("code"), whole("cover").astype(float)
-        split_on, left, right = whole("feature"), whole("left"), whole("right")
         shift = np.repeat(offset[:-1], np.diff(offset))
-        n, self.leaf = len(left), left < 0
-        self.feature = np.full(n, -1)                        # of the edge into the node
-        self.parent, self.before, self.is_left = np.full(n, -1), np.full(n, -1), np.zeros(n, bool)
-        self.z, reach = np.ones(n), np.ones(n)
-        self.levels, self.inner, widest = [], [], 0
-        level = offset[:-1]
-        last = np.full((len(level), n_features), -1)         # by feature: the lowest edge on the path
+        split_on, left, right = whole("feature"), whole("left"), whole("right")
+        levels, parents, level, at = [], [], offset[:-1], 0
         while len(level):
-            self.levels.append(level)
+            levels.append(level)
+            inner = np.flatnonzero(left[level] >= 0)
+            parents.append(at + inner)
+            at += len(level)
+            level = np.concatenate([x[level[inner]] + shift[level[inner]] for x in (left, right)])
+        order = np.concatenate(levels)
+        n = len(order)
+        self.ends = np.cumsum([0, *map(len, levels)])
+        self.inner = parents                                 # places of the nodes of each level that have children
+        self.value, self.leaf, cover = whole("value")[order], left[order] < 0, whole("cover")[order].astype(float)
+        split_on, code = split_on[order], whole("code")[order]
+        self.feature, self.code = np.full(n, -1), np.zeros(n, np.int64)        # of the edge into the node
+        self.parent, self.before, self.z, reach = np.zeros(n, np.int64), np.full(n, -1), np.ones(n), np.ones(n)
+        last, widest = np.full((len(trees), n_features), -1), 0               # by feature: the lowest edge on the path
+        for k, inner in enumerate(parents):
             widest = max(widest, int((last >= 0).sum(1).max()))
-            at = np.flatnonzero(~self.leaf[level])
-            inner = level[at]
-            self.inner.append((inner, left[inner] + shift[inner], right[inner] + shift[inner]))
-            child, above = np.concatenate(self.inner[-1][1:]), np.concatenate([inner, inner])
-            last = last[np.concatenate([at, at])]
-            here, f = np.arange(len(child)), split_on[above]
-            self.parent[child], self.feature[child] = above, f
-            self.is_left[child[:len(inner)]] = True
-            self.before[child] = prev = last[here, f]
+            here, lo, hi = inner - self.ends[k], self.ends[k + 1], self.ends[k + 1] + 2 * len(inner)
+            if not len(inner):
+                break
+            above, last, child = np.concatenate([inner, inner]), last[np.concatenate([here, here])], np.arange(lo, hi)
+            f = split_on[above]
+            self.parent[lo:hi], self.feature[lo:hi], self.code[lo:hi] = above, f, code[above]
+            self.before[lo:hi] = prev = last[np.arange(len(f)), f]
             ratio = cover[child] / cover[above]
-            self.z[child] = ratio * np.where(prev >= 0, self.z[prev], 1.0)
-            reach[child] = reach[above] * ratio
-            last[here, f] = child
-            level = child
-        self.split_code = self.code
+            self.z[lo:hi] = ratio * np.where(prev >= 0, self.z[prev], 1.0)
+            reach[lo:hi] = reach[above] * ratio
+            last[np.arange(len(f)), f] = child
         self.base = float((reach * self.value)[self.leaf].sum())
-        self.nodes = -(-widest // 2)
-        edges = np.flatnonzero(self.feature >= 0)
+        self.points = -(-widest // 2)
+        edges = np.arange(len(trees), n)
         self.by_feature = edges[np.argsort(self.feature[edges], kind="stable")]
 
     def tables(self, t: float) -> tuple[np.ndarray, np.ndarray]:
         """Factor that replaces the one before, and share of an edge, by state and node, at the point t."""
         z, prev = self.z, np.where(self.before >= 0, self.z[self.before], 1.0)
         old = t + (1 - t) * prev
-        ratio = np.stack([z / prev, (1 - t) * z / old, (t + (1 - t) * z) / old])
-        share = np.stack([np.zeros(len(z)), -1 / (1 - t) - (1 - prev) / old, (1 - z) / (t + (1 - t) * z) - (1 - prev) / old])
+        ratio = np.concatenate([z / prev, (1 - t) * z / old, (t + (1 - t) * z) / old])
+        share = np.concatenate([np.zeros(len(z)), -1 / (1 - t) - (1 - prev) / old, (1 - z) / (t + (1 - t) * z) - (1 - prev) / old])
         return ratio, share
 
 
@@ -82,39 +85,46 @@ def shap_codes(trees: list[Tree], codes: np.ndarray) -> tuple[np.ndarray, np.nda
     if not trees:
         return phi, pred, 0.0
     lv = Levels(trees, p)
-    step = max(1, CELLS // len(lv.value))
+    points, weights = np.polynomial.legendre.leggauss(max(1, lv.points))
+    tables = [(r, s * w / 2) for w, (r, s) in zip(weights, map(lv.tables, (points + 1) / 2))]
+    step = max(8, CELLS // len(lv.value))
     for at in range(0, n, step):
-        _add_block(lv, codes[:, at:at + step], phi[:, at:at + step], pred[at:at + step])
+        _add_block(lv, tables, codes[:, at:at + step], phi[:, at:at + step], pred[at:at + step])
     return phi, pred, lv.base
 
 
-def _add_block(lv: Levels, codes: np.ndarray, phi: np.ndarray, pred: np.ndarray) -> None:
+def _add_block(lv: Levels, tables: list, codes: np.ndarray, phi: np.ndarray, pred: np.ndarray) -> None:
     n, rows = len(lv.value), codes.shape[1]
-    state = np.full((n, rows), _KEPT, np.int8)
+    state = np.full((n, rows), _KEPT, np.int64)
     reached = np.ones((n, rows), bool)
-    for level in lv.levels[1:]:
-        goes_left = codes[lv.feature[level]] <= lv.split_code[lv.parent[level]][:, None]
-        here = goes_left == lv.is_left[level][:, None]
-        kept_before = (lv.before[level] < 0)[:, None] | (state[lv.before[level]] == _KEPT)
-        state[level] = np.where(kept_before, np.where(here, _KEPT, _LEFT), _NEW)
-        reached[level] = reached[lv.parent[level]] & here
+    spans = list(zip(lv.ends[1:-1], lv.ends[2:]))                 # of the levels below the roots
+    for lo, hi in spans:
+        here = codes[lv.feature[lo:hi]] <= lv.code[lo:hi, None]
+        here[(hi - lo) // 2:] ^= True                         # right children
+        before = lv.before[lo:hi]
+        kept_before = (state[before] == _KEPT) | (before < 0)[:, None]
+        state[lo:hi] = kept_before * (1 + here)               # gone, leaves, kept
+        reached[lo:hi] = reached[lv.parent[lo:hi]] & here
     pred += lv.value[lv.leaf] @ reached[lv.leaf]
     if not len(lv.by_feature):
         return
-    points, weights = np.polynomial.legendre.leggauss(lv.nodes)
-    total = np.zeros((n, rows))
-    column = np.arange(n)[:, None]
-    for t, weight in zip((points + 1) / 2, weights / 2):
-        ratio, share = lv.tables(t)
-        share = share * weight
-        product = np.empty((n, rows))
-        product[lv.levels[0]] = 1.0
-        for level in lv.levels[1:]:
-            product[level] = product[lv.parent[level]] * ratio[state[level], level[:, None]]
+    state *= n
+    state += np.arange(n)[:, None]                            # place in the tables
+    total, product, factor = np.zeros((n, rows)), np.empty((n, rows)), np.empty((n, rows))
+    roots = lv.ends[1]
+    for ratio, share in tables:
+        np.take(ratio, state, out=factor, mode="clip")
+        product[:roots] = 1.0
+        for lo, hi in spans:
+            np.multiply(product[lv.parent[lo:hi]], factor[lo:hi], out=product[lo:hi])
         product *= lv.value[:, None]                          # leaves; the inner nodes are sums
-        for inner, left, right in reversed(lv.inner):
-            product[inner] = product[left] + product[right]
-        total += share[state, column] * product
+        for k in range(len(spans) - 1, -1, -1):
+            lo, hi = spans[k]
+            middle = lo + (hi - lo) // 2
+            product[lv.inner[k]] = product[lo:middle] + product[middle:hi]
+        np.take(share, state, out=factor, mode="clip")
+        factor *= product
+        total += factor
     order = lv.by_feature
     starts = np.flatnonzero(np.concatenate([[True], np.diff(lv.feature[order]) > 0]))
     phi[lv.feature[order][starts]] += np.add.reduceat(total[order], starts, axis=0)

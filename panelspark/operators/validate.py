@@ -1,7 +1,9 @@
 """Validation splits: exact year-stratified hold-out, year folds, row samples.
 
-All rankings here run over groups whose size is bounded by the calendar
-(one row per site and day), or over tiny derived tables (sites x years).
+A stratum is never sorted in one task: the k-th row of a group is found from a
+histogram of its sort key (``BINS`` bins, one aggregate), and only rows of one bin
+are ranked among each other. Other windows run over the histograms or over
+tiny derived tables (sites x years).
 """
 
 from __future__ import annotations
@@ -13,6 +15,16 @@ from .. import config as C
 from ..session import small_side
 
 
+HASH_DIGITS = 3                      # of the hexadecimal hash: 4096 bins of nearly equal size
+BINS = 4096
+
+
+def _before(bins: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of the group in the bins before each one."""
+    w = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return bins.withColumn("_before", F.sum("_in_bin").over(w) - F.col("_in_bin"))
+
+
 def row_hash(seed: int = C.SEED) -> Column:
     """Seeded, engine-independent order of rows: md5('<seed>|site|Date')."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col("site"), F.lit("|"), F.col("Date").cast("string")))
@@ -48,10 +60,13 @@ def split_keys(panel: DataFrame, target: str = C.TARGET, seed: int = C.SEED,
              .select("site", "Year",
                      (F.col("q_floor") + F.when(F.col("rem_rank") <= F.col("deficit"), 1).otherwise(0))
                      .alias("quota")))
-    w_year = Window.partitionBy("site", "Year").orderBy("_h")
-    return (keys.join(alloc, ["site", "Year"])
+    keys = keys.withColumn("_bin", F.substring("_h", 1, HASH_DIGITS))
+    bins = _before(keys.groupBy("site", "Year", "_bin").agg(F.count(F.lit(1)).alias("_in_bin")), ["site", "Year"])
+    left = bins.join(alloc, ["site", "Year"]).select("site", "Year", "_bin", (F.col("quota") - F.col("_before")).alias("_left"))
+    w_bin = Window.partitionBy("site", "Year", "_bin").orderBy("_h")
+    return (keys.withColumn("_place", F.row_number().over(w_bin)).join(left, ["site", "Year", "_bin"])
             .select("site", "Date",
-                    F.when(F.row_number().over(w_year) <= F.col("quota"), F.lit("test"))
+                    F.when(F.col("_place") <= F.col("_left"), F.lit("test"))
                     .otherwise(F.lit("train")).alias("split")))
 
 
@@ -90,15 +105,23 @@ def pick_quantile_rows(df: DataFrame, score: str = "Predicted_NEE") -> DataFrame
     """Rows at sorted positions 0, n div 3, 2n div 3 and n-1 of the score, per site.
 
     One output row per slot (1..4); a row filling several slots (tiny n)
-    appears once per slot.  Meant for the bounded explanation sample (at
-    most ``SHAP_SAMPLE`` rows per site).
+    appears once per slot.  Null scores come first. The score's range per site is
+    cut into equal bins; a position is that of its bin plus the place in it.
     """
-    w = Window.partitionBy("site").orderBy(F.col(score), F.col("Date"))
-    ranked = (df.withColumn("_pos", F.row_number().over(w) - 1)
-              .withColumn("_n", F.count("*").over(Window.partitionBy("site"))))
+    value = F.col(score)
+    known = F.when(~F.isnan(value), value)
+    ranges = small_side(df.groupBy("site").agg(F.min(known).alias("_low"), F.max(known).alias("_high"),
+                                               F.count(F.lit(1)).alias("_n")))
+    share = (value - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    bin_ = (F.when(value.isNull(), -1).when(F.isnan(value), BINS)
+            .otherwise(F.coalesce(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(0))).cast("int"))
+    rows = df.join(ranges, "site").withColumn("_bin", bin_)
+    bins = _before(rows.groupBy("site", "_bin").agg(F.count(F.lit(1)).alias("_in_bin")), ["site"])
+    w = Window.partitionBy("site", "_bin").orderBy(value, F.col("Date"))
+    ranked = (rows.withColumn("_place", F.row_number().over(w) - 1).join(bins.drop("_in_bin"), ["site", "_bin"])
+              .withColumn("_pos", F.col("_before") + F.col("_place")))
     slots = F.expr("array(named_struct('slot', 1, 'p', 0), named_struct('slot', 2, 'p', _n div 3), "
                    "named_struct('slot', 3, 'p', (2 * _n) div 3), named_struct('slot', 4, 'p', _n - 1))")
     hits = F.filter(slots, lambda x: x["p"] == F.col("_pos"))
     return (ranked.withColumn("_hit", F.explode(hits))
-            .withColumn("quantile_slot", F.col("_hit.slot"))
-            .drop("_pos", "_n", "_hit"))
+            .select(*df.columns, F.col("_hit.slot").alias("quantile_slot")))

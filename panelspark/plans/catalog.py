@@ -585,6 +585,30 @@ def q_shap_value_points(spark, sf_dir):
     return finish(_test_long(spark, sf_dir))
 
 
+@register("shap_quantiles", _TEST_LONG + """,
+placed AS (SELECT site, Feature, shap, row_number() OVER (PARTITION BY site, Feature ORDER BY shap) AS place,
+                  count(*) OVER (PARTITION BY site, Feature) AS n FROM slong)
+SELECT site, Feature, any_value(n) AS n, """ + r("min(shap)", "shap_min") + ", " + ", ".join(
+    r(f"max(CASE WHEN place = greatest(1, ({p} * n + 99) // 100) THEN shap END)", f"q{p:02d}") for p in (5, 25, 50, 75, 95))
+    + ", " + r("max(shap)", "shap_max") + " FROM placed GROUP BY site, Feature")
+def q_shap_quantiles(spark, sf_dir):
+    return finish(A.shap_quantiles(_test_long(spark, sf_dir)))
+
+
+@register("shap_density", _TEST_LONG + """,
+rng AS (SELECT site, Feature, min(shap) AS low, (max(shap) - min(shap)) / 50e0 AS w, count(shap) AS total FROM slong GROUP BY site, Feature),
+binned AS (SELECT s.site, s.Feature, s.value, CAST(CASE WHEN w = 0 THEN 0 ELSE least(floor((s.shap - low) / w), 49) END AS INTEGER) AS bin
+  FROM slong s JOIN rng USING (site, Feature)),
+filled AS (SELECT site, Feature, bin, count(*) AS n, avg(CAST(value AS DECIMAL(20, 6))) AS mean_value FROM binned GROUP BY ALL)
+SELECT g.site, g.Feature, CAST(g.bin AS INTEGER) AS bin, coalesce(f.n, 0) AS n, """ + r("g.low + g.bin * g.w", "bin_lo") + ", "
+          + r("g.low + (g.bin + 1) * g.w", "bin_hi") + ", " + r("coalesce(f.n, 0) / nullif(g.total * g.w, 0)", "density") + ", "
+          + r("f.mean_value", "mean_value") + """
+FROM (SELECT *, unnest(range(50)) AS bin FROM rng) g LEFT JOIN filled f ON f.site = g.site AND f.Feature = g.Feature AND f.bin = g.bin""")
+def q_shap_density(spark, sf_dir):
+    # feature values as decimals: their means tie at the last reported digit, and a double's last bit would decide
+    return finish(A.shap_density(_test_long(spark, sf_dir).withColumn("value", F.col("value").cast("decimal(20,6)"))))
+
+
 @register("shap_explain_rows", _SAMPLE_LONG + _PICKS_CTE + """,
 ex AS (
   SELECT l.site, l.Date, l.Feature, l.value, l.shap, p.quantile_slot, p.base_value, p.Predicted_NEE,
@@ -1002,6 +1026,127 @@ def q_shap_export_full_exact(spark, sf_dir):
     return finish(A.shap_export_full(scored, STUMP_FEATURES))
 
 
+# --------------------------------------------------------------------------
+# a small forest in SQL: bags, candidate features, splits, predictions and
+# out-of-bag rows of several trees, recomputed from the raw tables.
+# --------------------------------------------------------------------------
+SMALL_FOREST = C.ForestParams(n_estimators=3, max_depth=2, max_features=0.4, min_samples_leaf=4, min_samples_split=12, max_samples=0.8)
+_GOLDEN = 0x9E3779B97F4A7C15         # the mixer's constants, as in `operators/growth.py`
+_MIXERS = (30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)
+
+
+def _times(x: str, k: int) -> str:
+    return f"CAST((CAST({x} AS UHUGEINT) * CAST('{k}' AS UHUGEINT)) & CAST('18446744073709551615' AS UHUGEINT) AS UBIGINT)"
+
+
+def _plus(x: str, k: int) -> str:
+    return f"CAST((CAST({x} AS UHUGEINT) + CAST('{k % (1 << 64)}' AS UHUGEINT)) & CAST('18446744073709551615' AS UHUGEINT) AS UBIGINT)"
+
+
+def _mix_sql(name: str, source: str, columns: str, x: str) -> str:
+    """CTE ``name``: the columns of the source and ``mixed``, the mixer's value of x."""
+    (s1, k1), (s2, k2) = _MIXERS
+    return (f"{name}_0 AS (SELECT {columns}, {x} AS h FROM {source}), "
+            f"{name}_1 AS (SELECT * EXCLUDE (h), {_times(f'xor(h, h >> {s1})', k1)} AS h FROM {name}_0), "
+            f"{name}_2 AS (SELECT * EXCLUDE (h), {_times(f'xor(h, h >> {s2})', k2)} AS h FROM {name}_1), "
+            f"{name} AS (SELECT * EXCLUDE (h), xor(h, h >> 31) AS mixed FROM {name}_2)")
+
+
+def _small_forest_sql() -> str:
+    from ..operators.forest import subset_size
+    from ..operators.growth import poisson_steps, tree_keys
+    p = SMALL_FOREST
+    keys = [int(k) for k in tree_keys(p.seed, list(range(p.n_estimators)))]
+    mtry, smallest = subset_size(p.max_features, len(S12)), max(p.min_samples_split, 2 * p.min_samples_leaf)
+    parts = [f"""trees AS (SELECT unnest({list(range(p.n_estimators))}) AS tree, CAST(unnest({[str(k) for k in keys]}) AS UBIGINT) AS key)""",
+             f"""numbered AS (SELECT site, Date, split, {C.TARGET} AS y, [{", ".join(S12)}] AS x,
+  CAST('0x' || substr(md5(site || '|' || CAST(Date AS VARCHAR)), 1, 15) AS BIGINT) AS id FROM prep_split)""",
+             _mix_sql("hashed", "numbered, trees", "site, Date, split, y, x, tree, key", "xor(CAST(id AS UBIGINT), key)"),
+             "drawn AS (SELECT * EXCLUDE (mixed), CAST(mixed >> 11 AS DOUBLE) * pow(2e0, -53) AS u FROM hashed)",
+             "placed0 AS (SELECT site, Date, split, y, x, tree, key AS node, "
+             + " + ".join(f"CASE WHEN u >= {float(c)!r}::DOUBLE THEN 1 ELSE 0 END" for c in poisson_steps(p.max_samples)) + " AS draws FROM drawn)"]
+    for k in range(p.max_depth):
+        parts += [
+            f"bag{k} AS (SELECT * FROM placed{k} WHERE split = 'train' AND draws > 0)",
+            f"open{k} AS (SELECT site, tree, node FROM bag{k} GROUP BY ALL HAVING count(*) >= {smallest} AND min(y) < max(y))",
+            f"tried{k} AS (SELECT site, tree, node, unnest({list(range(len(S12)))}) AS f FROM open{k})",
+            _mix_sql(f"hash{k}", f"(SELECT *, {_times('f + 1', _GOLDEN)} AS step FROM tried{k})", "site, tree, node, f",
+                     "CAST((CAST(node AS UHUGEINT) + CAST(step AS UHUGEINT)) & CAST('18446744073709551615' AS UHUGEINT) AS UBIGINT)"),
+            f"turn{k} AS (SELECT site, tree, node, f, (row_number() OVER (PARTITION BY site, tree, node ORDER BY mixed) - 1) // {mtry} AS turn FROM hash{k})",
+            f"""cells{k} AS (SELECT b.site, b.tree, b.node, t.f, t.turn, b.x[t.f + 1] AS v, count(*) AS n, sum(draws) AS w,
+  sum(draws * CAST(y AS DECIMAL(28, 12))) AS wy FROM bag{k} b JOIN turn{k} t USING (site, tree, node) GROUP BY ALL)""",
+            f"""runs{k} AS (SELECT *, sum(n) OVER o AS ln, sum(w) OVER o AS lw, sum(wy) OVER o AS lwy, sum(n) OVER a AS tn, sum(w) OVER a AS tw,
+  sum(wy) OVER a AS twy, lead(v) OVER o AS after FROM cells{k}
+  WINDOW o AS (PARTITION BY site, tree, node, f ORDER BY v), a AS (PARTITION BY site, tree, node, f))""",
+            f"""best{k} AS (SELECT site, tree, node, f, v / 2e0 + after / 2e0 AS threshold FROM runs{k}
+  WHERE ln >= {p.min_samples_leaf} AND tn - ln >= {p.min_samples_leaf}
+  QUALIFY row_number() OVER (PARTITION BY site, tree, node ORDER BY turn, pow(CAST(lwy AS DOUBLE), 2) / lw
+    + pow(CAST(twy - lwy AS DOUBLE), 2) / (tw - lw) DESC, f, v) = 1)""",
+            f"""moved{k} AS (SELECT p.*, CASE WHEN p.x[b.f + 1] <= b.threshold THEN 1 ELSE 2 END AS side
+  FROM placed{k} p JOIN best{k} b USING (site, tree, node))""",
+            _mix_sql(f"child{k}", f"(SELECT *, {_times('node', _GOLDEN)} AS big FROM moved{k})", "* EXCLUDE (big, side)",
+                     "CAST((CAST(big AS UHUGEINT) + CAST(side AS UHUGEINT)) & CAST('18446744073709551615' AS UHUGEINT) AS UBIGINT)"),
+            f"""placed{k + 1} AS (SELECT site, Date, split, y, x, tree, mixed AS node, draws FROM child{k}
+  UNION ALL SELECT p.* FROM placed{k} p ANTI JOIN best{k} USING (site, tree, node))"""]
+    d = p.max_depth
+    parts += [f"""means AS (SELECT site, tree, node, count(*) AS n, sum(draws) AS w, CAST(sum(draws * CAST(y AS DECIMAL(28, 12))) AS DOUBLE) / sum(draws) AS mean
+  FROM placed{d} WHERE split = 'train' AND draws > 0 GROUP BY ALL)""",
+              f"leafed AS (SELECT p.site, p.Date, p.split, p.y, p.tree, p.draws, m.mean FROM placed{d} p JOIN means m USING (site, tree, node))",
+              "splits AS (" + " UNION ALL ".join(f"SELECT {k} AS level, * FROM best{k}" for k in range(d)) + ")"]
+    return _STUMP_SQL.split(",\nvals AS")[0] + ",\n" + ",\n".join(parts)
+
+
+SMALL_FOREST_SQL = _small_forest_sql()
+_names = "[" + ", ".join(repr(f) for f in S12) + "]"
+
+
+def _small_forest(spark, sf_dir):
+    from ..operators import forests as FS
+    _, matrix, sites = _matrix(spark, sf_dir)
+    fits = [FS.Fit(s, tuple(S12), SMALL_FOREST) for s in sites]
+    return matrix, fits, FS.grow_forests(matrix, fits)
+
+
+@register("forest_splits_exact", SMALL_FOREST_SQL + f" SELECT site, CAST(tree AS INTEGER) AS tree, CAST(level AS INTEGER) AS level, {_names}[f + 1] AS Feature, "
+          + r("threshold", "threshold") + " FROM splits")
+def q_forest_splits_exact(spark, sf_dir):
+    """Every split of a bagged forest with sampled candidate features."""
+    from ..operators import forests as FS
+    _, _, forest = _small_forest(spark, sf_dir)
+
+    def tell(batches):
+        import numpy as np
+        import pandas as pd
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                t = FS.tree_of(row)
+                level = np.zeros(len(t.left), int)
+                for k in np.flatnonzero(t.left >= 0):
+                    level[[t.left[k], t.right[k]]] = level[k] + 1
+                    out.append((row["site"], row["tree"], level[k], S12[t.feature[k]], t.threshold[k]))
+            yield pd.DataFrame(out, columns=["site", "tree", "level", "Feature", "threshold"])
+
+    return finish(forest.mapInPandas(tell, "site string, tree int, level int, Feature string, threshold double"))
+
+
+@register("forest_predictions_exact", SMALL_FOREST_SQL + " SELECT site, Date, split, " + r("any_value(y)", "Observed_NEE") + ", "
+          + r("avg(mean)", "Predicted_NEE") + " FROM leafed GROUP BY site, Date, split")
+def q_forest_predictions_exact(spark, sf_dir):
+    from ..operators import forests as FS
+    matrix, _, forest = _small_forest(spark, sf_dir)
+    return finish(FS.predictions(matrix, forest).select("site", "Date", _split(), F.col("y").alias("Observed_NEE"), "Predicted_NEE"))
+
+
+@register("oob_score_exact", SMALL_FOREST_SQL + """,
+unseen AS (SELECT site, Date, any_value(y) AS y, avg(mean) AS p FROM leafed WHERE split = 'train' AND draws = 0 GROUP BY site, Date)
+SELECT site, count(*) AS n_oob_rows, """ + r("1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))", "oob_r2") + " FROM unseen GROUP BY site")
+def q_oob_score_exact(spark, sf_dir):
+    from ..operators import forests as FS
+    matrix, fits, forest = _small_forest(spark, sf_dir)
+    return finish(FS.oob_score(FS.out_of_bag(matrix, forest, fits)).drop("fit"))
+
+
 _FOLDS_SQL = O.with_(O.panel_cte(), O.split_cte(), O.prepared_cte(S12),
                      "prep_split AS (SELECT p.*, s.split FROM prep p JOIN split s USING (site, Date))")
 ELIMINATED = ["DSSM", "NDVI_nonSR_Max", "RG_min", "precipitation_rate", "SWC_10cm", "TS_10cm"]

@@ -76,17 +76,17 @@ def _evaluate(spark, pred: DataFrame, features, model_label: str, extra_metrics:
 
 
 def _attribution(test: DataFrame, features, sample: int | None) -> dict:
-    """SHAP tables of the attributed test rows; the explained rows come from a bounded sample."""
+    """SHAP tables of the attributed test rows (of a seeded sample of ``sample`` rows a site, if set)."""
     rows = test if sample is None else V.sample_test_rows(test, sample)
     long = A.shap_values_long(rows, features)
-    picked = V.sample_test_rows(test)
-    picks = V.pick_quantile_rows(picked, "Predicted_NEE")
     return {
         "shap_feature_importance": A.shap_summary(long),
         "shap_values": A.shap_export_test(test, features),
         "shap_dependence": A.shap_dependence(long, A.top_n_shap(long, C.TOP_N_DEPENDENCE)),
         "shap_value_points": long,
-        "shap_explain_rows": A.shap_explain_rows(A.shap_values_long(picked, features), picks),
+        "shap_quantiles": A.shap_quantiles(long),
+        "shap_density": A.shap_density(long),
+        "shap_explain_rows": A.shap_explain_rows(A.shap_values_long(test, features), V.pick_quantile_rows(test, "Predicted_NEE")),
     }
 
 

@@ -85,6 +85,9 @@ def daily_panel(spark: SparkSession, sf_dir: str, sites=None) -> DataFrame:
         "TA_min", "TA_max", "RG", "RG_min", "RG_max", "VPD_f", "precipitation_rate", "SWC_10cm", "TS_10cm")
 
 
+BLOCK_DAYS = 512                     # days of a site's history that one task sees, besides the halo
+
+
 def _lag_mean(x: str, w: Window) -> Column:
     c = F.col(x)
     return (F.sum(c.cast("decimal(28,12)")).over(w).cast("double")
@@ -95,19 +98,47 @@ def _lag_sum(x: str, w: Window) -> Column:
     return F.sum(F.col(x).cast("decimal(28,12)")).over(w).cast("double")
 
 
+def _time_blocks(daily: DataFrame) -> DataFrame:
+    """Rows with their time block; the last days of a block are repeated, as its halo, in the next one."""
+    halo = F.pmod("_day", F.lit(BLOCK_DAYS)) >= BLOCK_DAYS - max(LAG_DAYS)
+    block = F.floor(F.col("_day") / BLOCK_DAYS).cast("int")
+    places = F.when(halo, F.array(F.struct(block.alias("_block"), F.lit(False).alias("_halo")),
+                                  F.struct((block + 1).alias("_block"), F.lit(True).alias("_halo")))
+                    ).otherwise(F.array(F.struct(block.alias("_block"), F.lit(False).alias("_halo"))))
+    return daily.select("*", F.inline(places))
+
+
+def _last_before(blocks: DataFrame) -> DataFrame:
+    """(site, _block, _last): the last day with a row before each block (one row per site and block)."""
+    days = blocks.where("not _halo").groupBy("site", "_block").agg(F.max("Date").alias("_last"))
+    earlier = days.select("site", F.col("_block").alias("_earlier"), "_last")
+    return (days.select("site", "_block").join(earlier, "site").where("_earlier < _block")
+            .groupBy("site", "_block").agg(F.max("_last").alias("_last")))
+
+
 def driver_panel(spark: SparkSession, sf_dir: str, sites=None) -> DataFrame:
     """Full panel: daily measurements, days since previous record, 16 lags.
 
     Lags are averages (sums for precipitation) over the previous N calendar
-    days, today excluded; NULL when the frame holds no row.
+    days, today excluded; NULL when the frame holds no row. A site's history is
+    cut into blocks of ``BLOCK_DAYS`` days with a halo of the longest lag, so no
+    task needs a whole site.
     """
-    daily = daily_panel(spark, sf_dir, sites).withColumn("_day", F.unix_date("Date"))
-    by_site = Window.partitionBy("site").orderBy("_day")
-    cols = [F.datediff("Date", F.lag("Date").over(by_site)).cast("double").alias("DSSM")]
+    return trailing(daily_panel(spark, sf_dir, sites))
+
+
+def trailing(daily: DataFrame) -> DataFrame:
+    """``driver_panel`` of any daily table with the measurements that are averaged."""
+    blocks = _time_blocks(daily.withColumn("_day", F.unix_date("Date")))
+    by_block = Window.partitionBy("site", "_block").orderBy("_day")
+    cols = [F.lag("Date").over(by_block).alias("_before")]
     for n in LAG_DAYS:
-        w = by_site.rangeBetween(-n, -1)
+        w = by_block.rangeBetween(-n, -1)
         cols += [_lag_mean("TA", w).alias(f"TA_lag{n}d"),
                  _lag_mean("TS_10cm", w).alias(f"TS_lag{n}d"),
                  _lag_mean("SWC_10cm", w).alias(f"SWC_lag{n}d"),
                  _lag_sum("precipitation_rate", w).alias(f"P_lag{n}d")]
-    return daily.select("*", *cols).drop("_day")
+    since = F.datediff("Date", F.coalesce("_before", "_last")).cast("double").alias("DSSM")
+    lags = [f"{x}_lag{n}d" for n in LAG_DAYS for x in ("TA", "TS", "SWC", "P")]
+    return (blocks.select("*", *cols).where("not _halo").join(_last_before(blocks), ["site", "_block"], "left")
+            .select(*daily.columns, since, *lags))

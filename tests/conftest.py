@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,8 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     from panelspark.session import get_session
     s = get_session(app="panelspark-tests", master="local[4]", shuffle_partitions=8,
-                    extra={"spark.driver.memory": "6g"})
+                    extra={"spark.driver.memory": "6g",
+                           "spark.checkpoint.dir": tempfile.mkdtemp(prefix="panelspark-tests-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -160,7 +160,7 @@ def test_forest_table_equals_brute_force(rows, matrix):
         centre = rows.where(F.col("site") == fit.site).agg(F.avg(C.TARGET)).first()[0]
         scale = G.Scale.of(centre, max(stats.max() - centre, centre - stats.min()), len(pdf))
         train = FS.in_training(pdf["fold"].to_numpy(), fit.held_out)
-        ids = np.array([r[0] for r in rows.where(F.col("site") == fit.site).orderBy("Date").select(F.xxhash64("site", "Date")).collect()])
+        ids = np.array([r[0] for r in rows.where(F.col("site") == fit.site).orderBy("Date").select(CO.row_id()).collect()])
         x, q = pdf[FEATS].to_numpy(float).T[:, train], scale.encode(stats.to_numpy()[train])
         spec = fit.spec(FEATS)
         for t, key in enumerate(G.tree_keys(C.SEED, np.arange(2))):
@@ -240,7 +240,7 @@ def test_out_of_bag_rows_are_those_of_the_fit(spark, rows, matrix):
     forest = FS.grow_forests(matrix, fits)
     oob = FS.out_of_bag(matrix, forest, fits)
     pdf = _site(rows, "F")
-    ids = np.array([r[0] for r in rows.where("site = 'F'").orderBy("Date").select(F.xxhash64("site", "Date")).collect()])
+    ids = np.array([r[0] for r in rows.where("site = 'F'").orderBy("Date").select(CO.row_id()).collect()])
     trees = [t for _, t in sorted(_by_tree(forest).items())]
     unseen = G.bag_counts(ids, G.tree_keys(C.SEED, np.arange(4)), 0.8) == 0
     for bag, tree in zip(~unseen[:, pdf["fold"].to_numpy() >= 0], trees):
