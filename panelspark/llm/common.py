@@ -25,6 +25,13 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128-bit key of a row's id and whole text (UTF-8 bytes): rows with equal keys are repeated rows."""
+    name = F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")
+    kind = F.when(doc_id.isNull(), F.lit("n")).otherwise(F.lit("i")).cast("binary")
+    return F.unhex(F.md5(F.concat(kind, name, F.lit(":").cast("binary"), text)))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds`` (a null id counts as empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

@@ -23,7 +23,8 @@ The Jaccard distance is a metric, so with r = 1 - similarity:
    each task, so a group of copies gives a linear number of rows; components
    follow by contraction of the link table (``components``).
 
-Sets are compared by 64-bit hashes of their shingles.
+Sets are compared by 64-bit hashes of their shingles; sets are one point, and rows
+one row, where 128 bits of their digests agree.
 
 Defined results: null and wordless texts have no shingles and are linked with
 nothing; a null id never names a component that has another id (a component
@@ -44,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, tidy, utf8
+from .common import Scratch, attach, row_key, tidy, utf8
 from .components import components, local_forest
 
 WORDS, PERCENT = 5, 75
@@ -55,6 +56,7 @@ LEAF = 1000                        # points of a region that is joined inside on
 BLOCK = 500                        # points of a larger region that one task compares with the round's pivots
 MOST_PIVOTS = 1024                 # pivots of a round, at most an eighth of the region
 KEPT_WORDS = 200_000
+DIGEST = (1 << 64) - 1              # bits of a set's first digest
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,26 +108,46 @@ def is_linked(inter, n, m, percent: int = PERCENT):
     return 100 * inter >= percent * (n + m - inter)
 
 
-def _digest(s: np.ndarray) -> int:
-    return int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), np.int64)[0])
+def _digest(s: np.ndarray, twins=(), mask: int = DIGEST) -> int:
+    """Name of a set: its first 64-bit digest, or the second one where different sets share the first."""
+    data = s.tobytes()
+    first = int(np.array([xxhash.xxh3_64_intdigest(data) & mask], np.uint64).view(np.int64)[0])
+    return int(np.frombuffer(xxhash.xxh3_64_digest(data, seed=1), np.int64)[0]) if first in twins else first
 
 
 def _points(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(row, doc_id, n, point): the set size and set digest of every document."""
+    """(row, doc_id, n, point, check): the set size and both digests of every document's set."""
+    mask = DIGEST
+
     def digest(batches):
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(t.as_py(), hashes, words) for t in batch.column("text")]
+            first = [_digest(s, (), mask) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_digest(s) for s in sets], pa.int64())], ["row", "doc_id", "n", "point"])
+                 pa.array(first, pa.int64()), pa.array([_digest(s, (d,), mask) for s, d in zip(sets, first)], pa.int64())],
+                ["row", "doc_id", "n", "point", "check"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(tidy(digest), "row binary, doc_id long, n long, point long, check long")
+
 
-    return _rows(docs, id_col, text_col).mapInArrow(tidy(digest), "row long, doc_id long, n long, point long")
+def _named_points(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int) -> tuple[DataFrame, frozenset]:
+    """(row, doc_id, n, point), and the first digests that different sets share (a handful in 10^10 documents).
+
+    Sets with such a digest are named by the second one, so that sets are one point only if 128 bits agree.
+    """
+    raw = scratch.write(_points(docs, id_col, text_col, words), "points")
+    shared = (raw.where("n > 0").groupBy("point").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+              .where("low <> high").select("point"))
+    twins = frozenset(r["point"] for r in shared.collect())
+    name = F.col("point") if not twins else F.when(F.col("point").isin(list(twins)), F.col("check")).otherwise(F.col("point"))
+    return raw.select("row", "doc_id", "n", name.alias("point")), twins
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = utf8(F.col(text_col))
-    return docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+    return docs.select(row_key(F.col(id_col), text).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        text.alias("text"))
 
 
@@ -141,13 +163,14 @@ POSTINGS = ("bucket long, shingles binary, owners binary, points binary, many bi
 KEPT_BYTES = 6                     # of a shingle's hash in the isolation test: a clash only keeps a point longer
 
 
-def _prefix_postings(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, buckets: int) -> DataFrame:
+def _prefix_postings(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, buckets: int,
+                     twins: frozenset) -> DataFrame:
     """Packed (shingle, point) postings of the extended prefixes.
 
     A shingle that several points of a flush have is credited to them at once and sent once,
     so a shingle of a third of all documents does not fill one bucket.
     """
-    names = [c.split()[0] for c in POSTINGS.split(", ")]
+    names, mask = [c.split()[0] for c in POSTINGS.split(", ")], DIGEST
 
     def flush(held: dict) -> Iterator[pa.RecordBatch]:
         points = np.repeat(np.array(list(held), np.int64), [len(p) for p in held.values()])
@@ -172,7 +195,7 @@ def _prefix_postings(docs: DataFrame, id_col: str, text_col: str, words: int, pe
         for batch in batches:
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), hashes, words)
-                if len(s) and (point := _digest(s)) not in held:
+                if len(s) and (point := _digest(s, twins, mask)) not in held:
                     held[point] = s[:len(s) - least_common(len(s), percent) + int(extra(len(s)))].copy()
                     size += len(held[point])
                     if size > FLUSH:
@@ -230,14 +253,16 @@ def _credits(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 SETS = "shard long, points binary, sizes binary, shingles binary"
 
 
-def _set_shards(texts: DataFrame, words: int) -> DataFrame:
+def _set_shards(texts: DataFrame, words: int, twins: frozenset) -> DataFrame:
     """Whole sets of the given texts, about ``FLUSH`` shingles a row."""
+    mask = DIGEST
+
     def pack(batches):
         hashes, number, sets, size = WordHashes(), TaskContext.get().partitionId() << 32, [], 0
 
         def row():
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([np.array([_digest(s) for s in sets], np.int64).tobytes()], pa.binary()),
+                [pa.array([number], pa.int64()), pa.array([np.array([_digest(s, twins, mask) for s in sets], np.int64).tobytes()], pa.binary()),
                  pa.array([np.array([len(s) for s in sets], np.int64).tobytes()], pa.binary()),
                  pa.array([np.concatenate(sets).tobytes()], pa.binary())], ["shard", "points", "sizes", "shingles"])
 
@@ -264,7 +289,7 @@ def _packed(rows: DataFrame) -> DataFrame:
                 [batch.column("row"), pa.array([squeeze.compress(t.as_py()) for t in batch.column("text")], pa.binary())],
                 ["row", "packed"])
 
-    return rows.select("row", "text").mapInArrow(tidy(pack), "row long, packed binary")
+    return rows.select("row", "text").mapInArrow(tidy(pack), "row binary, packed binary")
 
 
 def _merge_join(left: DataFrame, right: DataFrame, key) -> DataFrame:
@@ -458,20 +483,20 @@ def _overlap(mark: np.ndarray, number: np.ndarray, starts: np.ndarray, sizes: np
     return np.add.reduceat(mark[number[at]].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[sets])[:-1]]))
 
 
-def _links(docs: DataFrame, points: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int,
+def _links(docs: DataFrame, points: DataFrame, twins: frozenset, scratch: Scratch, id_col: str, text_col: str, words: int,
            percent: int) -> DataFrame:
     """(a, b): links between points that connect every component."""
     spark = docs.sparkSession
     sizes = scratch.write(points.where("n > 0").groupBy("point").agg(F.min("row").alias("row"), F.max("n").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-int(total * (1 - percent / 100 + EXTRA)) // BUCKET))
-    shared = (_prefix_postings(docs, id_col, text_col, words, percent, buckets).groupBy("bucket")
+    shared = (_prefix_postings(docs, id_col, text_col, words, percent, buckets, twins).groupBy("bucket")
               .applyInArrow(_shared_counts(buckets), "part long, points binary, shared binary")
               .groupBy("part").applyInArrow(_add_counts, "point long, shared long"))
     need = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * F.lit(EXTRA)))
     met = scratch.write(sizes.join(shared, "point").where(F.col("shared") >= need).select("row"), "met")
     texts = _merge_join(_packed(_rows(docs, id_col, text_col)), met, "row").dropDuplicates(["row"])
-    shards = scratch.write(_set_shards(texts, words), "shards")
+    shards = scratch.write(_set_shards(texts, words, twins), "shards")
     frequencies = scratch.write(_document_frequencies(shards, buckets), "frequencies")
     sets = scratch.write(_candidates(shards, frequencies, percent), "sets")
     scratch.drop("shards", "frequencies", "met")
@@ -511,8 +536,8 @@ def link_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
               percent: int = PERCENT) -> DataFrame:
     """(row, doc_id, n_shingles, component_id, first): ``first`` marks one document of each component."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    points = scratch.write(_points(docs, id_col, text_col, words), "points")
-    labels = components(_links(docs, points, scratch, id_col, text_col, words, percent), scratch)
+    points, twins = _named_points(docs, scratch, id_col, text_col, words)
+    labels = components(_links(docs, points, twins, scratch, id_col, text_col, words, percent), scratch)
     own = points.where("n > 0").groupBy("point").agg(F.count(F.lit(1)).alias("copies"),
                                                       F.min(_name()).alias("least"))
     named = own.join(labels, "point", "left").withColumn("label", F.coalesce("label", "point"))
@@ -540,5 +565,5 @@ def link_documents(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The first document of each component, with all its columns; wholly repeated rows are kept once."""
     first = link_rows(docs, id_col=id_col, text_col=text_col, **options).where("first").select("row").distinct()
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.xxhash64(F.col(id_col), utf8(F.col(text_col))).alias("row"))
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), row_key(F.col(id_col), utf8(F.col(text_col))).alias("row"))
     return whole.join(first, "row").dropDuplicates(["row"]).select("whole.*")

@@ -44,6 +44,7 @@ from .common import Scratch, attach, tidy
 
 HEADS, BLOCK = 6, 100                  # the head of a conversation has fewer than HEADS turns, of its block's first one
 SKETCH_ROWS, LOAD = 2, 4               # cells of a sketch row for each prefix
+LEAST_WIDTH = 1024
 STRIPS, WIDEST = 64, 1 << 24           # strips of a sketch row at least, cells of a strip at most
 SHARD = 100_000                        # prefixes in a packed row
 ENDS = 1024
@@ -251,7 +252,7 @@ def _used_cells(chains: np.ndarray, width: int, strip: int):
 def possibly_shared(prefixes: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     """(conv, depth, chain, parent, chars, last, shared, under_shared): prefixes with an estimate above one, of their own
     and of their parent's."""
-    width = 1 << max(10, int(total * LOAD - 1).bit_length())
+    width = max(LEAST_WIDTH, 1 << int(total * LOAD).bit_length())
     strip = min(WIDEST, width // STRIPS)
 
     def chains_of(batch):

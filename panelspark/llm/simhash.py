@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, tidy, utf8
+from .common import Scratch, attach, row_key, tidy, utf8
 from .components import components, spanning
 
 WORDS, SEED, MOST_BITS = 3, 42, 2
@@ -80,9 +80,9 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
                                              ["row", "doc_id", "point"])
 
     text = utf8(F.col(text_col))
-    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+    rows = docs.select(row_key(F.col(id_col), text).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        text.alias("text"))
-    return rows.mapInArrow(tidy(compute), "row long, doc_id long, point long")
+    return rows.mapInArrow(tidy(compute), "row binary, doc_id long, point long")
 
 
 def groups_of(mask: int, most: int = MOST_BITS) -> list[int]:
@@ -203,5 +203,5 @@ def link_documents(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The first document of each component, with all its columns; wholly repeated rows are kept once."""
     first = link_rows(docs, id_col=id_col, text_col=text_col, **options).where("first").select("row").distinct()
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.xxhash64(F.col(id_col), utf8(F.col(text_col))).alias("row"))
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), row_key(F.col(id_col), utf8(F.col(text_col))).alias("row"))
     return whole.join(first, "row").dropDuplicates(["row"]).select("whole.*")

@@ -90,6 +90,13 @@ def test_jaccard_chains_and_recursion(spark, monkeypatch):
         assert got == want
 
 
+def test_sets_that_share_a_digest_stay_apart(small, small_rows, monkeypatch):
+    """With a first digest of a few bits nearly all sets share it; the second one tells them apart."""
+    monkeypatch.setattr(jaccard_join, "DIGEST", 15)
+    got = _as_counter(jaccard_join.link_documents(small), ["doc_id", "n_shingles", "component_id"])
+    assert got == _components(small_rows)
+
+
 def test_keep_one_keeps_columns_and_one_of_each_group(edge):
     kept = jaccard_join.keep_one(edge)
     assert kept.columns == edge.columns
