@@ -30,6 +30,7 @@ from .linear_shap import shap_codes
 
 LOCAL_ROWS = 200_000                 # rows that one task holds for a unit
 TREE_ROWS = 150_000                  # trees x rows of a unit
+TOGETHER = 30_000                    # trees x rows that grow together: their arrays stay in a core's cache
 MOST_UNITS = 100_000                 # units whose (small) list is broadcast
 CHUNK_NODES = 10_000                 # nodes of the trees that meet a block of rows at a time
 ALL_ROWS = "all"                     # instead of a held-out fold: fit on test rows, too
@@ -72,10 +73,13 @@ def bags_of(spec: dict, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def unit_trees(spec: dict, rows, first: int, last: int) -> list[Tree]:
     """Trees first .. last - 1 of a fit, on all rows of its site."""
     train = np.flatnonzero(in_training(rows.fold, spec["held_out"]))
-    keys = tree_keys(spec["seed"], np.arange(first, last))
-    q = rows.scale.encode(rows.y[train])
-    return grow(rows.codes[:, train], rows.values, q, bags_of(spec, rows.ids[train], keys), keys, spec["features"], spec["mtry"],
-                spec["depth"], spec["min_leaf"], spec["min_split"], rows.scale)
+    codes, ids, q, out = rows.codes[:, train], rows.ids[train], rows.scale.encode(rows.y[train]), []
+    step = max(1, TOGETHER // max(1, len(train)))
+    for at in range(first, last, step):
+        keys = tree_keys(spec["seed"], np.arange(at, min(at + step, last)))
+        out += grow(codes, rows.values, q, bags_of(spec, ids, keys), keys, spec["features"], spec["mtry"], spec["depth"],
+                    spec["min_leaf"], spec["min_split"], rows.scale)
+    return out
 
 
 def _units(matrix: CodeMatrix, fits: list[Fit]) -> list[tuple]:

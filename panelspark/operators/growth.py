@@ -173,7 +173,12 @@ class _Runs:
         before_w, before_wy = np.where(before >= 0, sum_w[before], 0), np.where(before >= 0, sum_wy[before], 0)
         left_w, left_wy = sum_w[splits] - before_w[at], sum_wy[splits] - before_wy[at]
         right_w, right_wy = self.total_w[at] - left_w, self.total_wy[at] - left_wy
-        score = left_wy.astype(float) ** 2 / left_w + right_wy.astype(float) ** 2 / right_w
+        score, other = left_wy.astype(float), right_wy.astype(float)
+        score *= score
+        score /= left_w
+        other *= other
+        other /= right_w
+        score += other
         heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         top = np.maximum.reduceat(score, heads)
         is_top = np.flatnonzero(score == np.repeat(top, np.diff(np.append(heads, len(at)))))
