@@ -28,7 +28,8 @@ def corr_pairs(df: DataFrame, cols, by=("site",), include_diagonal: bool = True,
                both_orders: bool = True) -> DataFrame:
     """Long Pearson correlations (by..., feature_a, feature_b, idx_a, idx_b, r).
 
-    r is NULL when either column is constant in the group.
+    r is NULL when either column is constant in the group. Eager: one job finds
+    the overall means when this is called.
     """
     cols = list(cols)
     k = len(cols)

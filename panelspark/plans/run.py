@@ -74,17 +74,13 @@ def run_stage2(spark: SparkSession, cfg: C.PanelConfig, pan: DataFrame, out: str
 def run_weekly(spark: SparkSession, cfg: C.PanelConfig, sites, out: str, fmt: str = "csv"):
     """Weekly calendar over every site's stage-2 full predictions (one multi-site plan)."""
     feats = list(cfg.stage2_features)
-    parts = []
-    for site in sites:
-        path = f"{out}/{site}/stage2/full_dataset_predictions_shap_values"
-        reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-        df = reader.csv(path) if fmt == "csv" else reader.parquet(path)
-        parts.append(df.select(F.lit(site).alias("site"), F.col("Date").cast("date").alias("Date"),
-                               *[F.col(c).cast("double").alias(c) for c in
-                                 ["Observed_NEE", "Predicted_NEE"] + [f"SHAP_{f}" for f in feats]]))
-    full = parts[0]
-    for p in parts[1:]:
-        full = full.unionByName(p)
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    path = f"{out}/*/stage2/full_dataset_predictions_shap_values"
+    df = reader.csv(path) if fmt == "csv" else reader.parquet(path)
+    site = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/stage2/", 1))
+    values = ["Observed_NEE", "Predicted_NEE"] + [f"SHAP_{f}" for f in feats]
+    full = df.select(site.alias("site"), F.col("Date").cast("date").alias("Date"),
+                     *[F.col(c).cast("double").alias(c) for c in values]).where(F.col("site").isin(list(sites)))
     for label, n in (("all", None), (f"top{cfg.top_n}", cfg.top_n)):
         t = weekly_tables(full, feats, sites, n)
         require_calendar(t["calendar"])

@@ -75,8 +75,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def small_side(stats: DataFrame, most: int = 100_000) -> DataFrame:
     """A per-group table, marked for broadcast once its row count is known to be small.
 
-    The table is written first (it is counted and joined without being
-    computed twice). Beyond ``most`` rows the hint is left out and the join
+    Eager: the table is computed and checkpointed when this is called (so that it is
+    counted and joined without being computed twice), also where the caller builds a plan. Beyond ``most`` rows the hint is left out and the join
     shuffles as usual.
     """
     kept = cut_lineage(stats)
