@@ -44,7 +44,8 @@ FOLDS, HELD_OUT = 4, 2
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 POOLED = 8
 SLICE = 256                        # texts that are Python strings at a time
-TOKENS = 50_000                    # tokens of a text whose windows are summed at a time
+TOKENS = 8_000                     # tokens whose windows are summed at a time: 16-bit sums of 2 * CONTEXT signs each
+WIDTH = BUCKETS + 1                # index vectors, and an empty one
 FLUSH_TOKENS, STRIP = 400_000, 2048
 
 
@@ -152,6 +153,41 @@ def _vocabulary(texts: DataFrame) -> dict[str, int]:
     return {t.decode("utf-8", "surrogatepass"): i for i, (t, _) in enumerate(top)}
 
 
+class TokenNumbers(dict):
+    """(place in the vocabulary + 1) * WIDTH + bucket of the tokens met."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > FLUSH_TOKENS:
+            self.clear()
+        value = self[token] = (self.known.get(token, -1) + 1) * WIDTH + bucket(token)
+        return value
+
+
+def _add_windows(sums: np.ndarray, numbers: np.ndarray, signs: np.ndarray) -> None:
+    """Add to ``sums`` the neighbours' index vectors of the vocabulary tokens, ``TOKENS`` at a time.
+
+    Texts stand between ``CONTEXT`` tokens of the empty bucket. The sums of ``TOKENS`` tokens fit 16 bits.
+    """
+    for begin in range(0, len(numbers), TOKENS):
+        a, end = max(0, begin - CONTEXT), min(len(numbers), begin + TOKENS)
+        vectors = signs[numbers[a:end + CONTEXT] % WIDTH]
+        around = np.zeros_like(vectors)
+        for step in range(1, CONTEXT + 1):
+            around[:-step] += vectors[step:]
+            around[step:] += vectors[:-step]
+        rows = numbers[begin:end] // WIDTH - 1
+        order = np.argsort(rows)
+        order = order[np.searchsorted(rows, 0, sorter=order):]
+        if len(order):
+            mine = rows[order]
+            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            sums[mine[first]] += np.add.reduceat(around[begin - a:end - a][order], first, axis=0)
+
+
 def _context_sums(texts: DataFrame, vocabulary: dict, index: np.ndarray) -> np.ndarray:
     """Sum of the neighbours' index vectors of every vocabulary token, over all training texts.
 
@@ -159,31 +195,22 @@ def _context_sums(texts: DataFrame, vocabulary: dict, index: np.ndarray) -> np.n
     (vocabulary, dimensions) matrix and sends strips of it, which are added by strip.
     """
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    signs = np.sign(index).astype(np.int8)
-
-    def windows(found: list[str]) -> np.ndarray:
-        vectors = signs[[bucket(t) for t in found]]
-        around = np.zeros((len(found), DIMENSIONS), np.int16)
-        for step in range(1, CONTEXT + 1):
-            around[:-step] += vectors[step:]
-            around[step:] += vectors[:-step]
-        return around
+    signs = np.vstack([np.sign(index), np.zeros((1, DIMENSIONS))]).astype(np.int16)
 
     def add(batches):
-        known, sums = shared.value, np.zeros((VOCABULARY, DIMENSIONS), np.int64)
+        number, sums = TokenNumbers(shared.value).__getitem__, np.zeros((VOCABULARY, DIMENSIONS), np.int64)
+        between, held, size = np.full(CONTEXT, BUCKETS), [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 for text in batch.column("text").slice(at, SLICE).to_pylist():
                     found = tokens_of(text)
-                    for begin in range(0, len(found), TOKENS):
-                        a, b = max(0, begin - CONTEXT), min(len(found), begin + TOKENS)
-                        around = windows(found[a:min(len(found), b + CONTEXT)])[begin - a:b - a]
-                        rows = np.array([known.get(t, -1) for t in found[begin:b]], np.int64)
-                        order = np.argsort(rows, kind="stable")
-                        order = order[np.searchsorted(rows[order], 0):]
-                        if len(order):
-                            first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
-                            sums[rows[order][first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
+                    held += (np.fromiter(map(number, found), np.int64, len(found)), between)
+                    size += len(found)
+                    if size >= TOKENS:
+                        _add_windows(sums, np.concatenate(held), signs)
+                        held, size = [], 0
+        if held:
+            _add_windows(sums, np.concatenate(held), signs)
         parts = [(at, sums[at:at + STRIP]) for at in range(0, VOCABULARY, STRIP)]
         parts = [(at, zlib.compress(part.tobytes(), 1)) for at, part in parts if part.any()]
         yield pa.RecordBatch.from_arrays([pa.array([at for at, _ in parts], pa.int64()),

@@ -500,3 +500,22 @@ def test_frequent_tokens_fill_the_head_among_ties(spark, monkeypatch):
     assert 270 <= len(head) <= 300 and [n for _, n in head[:21]] == [9] * 20 + [5]
     assert 270 <= len(brown.frequent_tokens(counts.where("n = 5"))) <= 300
     assert head == brown.frequent_tokens(counts.repartition(7))
+
+
+def test_word_vectors_sum_all_training_texts(spark, monkeypatch):
+    """The context sums equal a token-by-token count over every text outside the held-out fold, across chunk borders."""
+    monkeypatch.setattr(quality, "TOKENS", 7)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["alpha", "Beta", "GAMMA", "d,", "12", "e"]) for _ in range(rng.randrange(30)))) for i in range(60)]
+    texts = quality.training_texts(spark.createDataFrame(rows + [(99, None)], "doc_id long, text string"), "doc_id", "text")
+    vocabulary, index = quality._vocabulary(texts), quality.index_vectors()
+    kept = [quality.tokens_of(t) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = Counter(t for found in kept for t in found)
+    assert set(vocabulary) == {t for t, n in counts.items() if n > 1}
+    want = np.zeros((quality.VOCABULARY, quality.DIMENSIONS))
+    for found in kept:
+        for i, t in enumerate(found):
+            for j in range(max(0, i - 2), min(len(found), i + 3)):
+                if j != i:
+                    want[vocabulary[t]] += np.sign(index[quality.bucket(found[j])])
+    assert np.array_equal(quality._context_sums(texts.repartition(3), vocabulary, index), want)
