@@ -309,9 +309,11 @@ def contexts(shards: DataFrame, label: np.ndarray, answers: DataFrame | None, bu
             yield _context_batch(rows)
         rows = [(k, BIGRAMS, b"", b"", b"", b"", bigrams[k * CLASSES:(k + 1) * CLASSES].tobytes()) for k in range(CLASSES)]
         if used:
-            strips = _strips(total, WORDS_PER_STRIP)
-            rows += [(-1 - at // WORDS_PER_STRIP, STRIP_OF_CLASSES, b"", b"", b"", b"", strip) for at, strip in
-                     zip(strips.column("at").to_pylist(), strips.column("strip").to_pylist())]
+            flat, step = total.ravel(), WORDS_PER_STRIP * CONTEXTS
+            cell = np.flatnonzero(flat)
+            edges = np.searchsorted(cell, np.arange(0, len(flat) + step, step))
+            rows += [(-1 - k, STRIP_OF_CLASSES, b"", b"", b"", (cell[a:b] - k * step).astype(np.uint32).tobytes(), flat[cell[a:b]].tobytes())
+                     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
         yield _context_batch(rows)
 
     return _with_answers(shards, answers).mapInArrow(tidy(around), CONTEXT_ROWS)
@@ -380,7 +382,10 @@ def assign(rows: DataFrame, label: np.ndarray, between: np.ndarray) -> DataFrame
     """``ANSWERS``: new and old class and training count of every rare token to each shard that has it, new classes of the
     frequent tokens by strip, and the sizes of the classes."""
     def strip(key, table):
-        at, found = (-1 - key) * WORDS_PER_STRIP, sum(np.frombuffer(zlib.decompress(c), np.int64) for c in table.column("counts").to_pylist())
+        at = (-1 - key) * WORDS_PER_STRIP
+        found = np.zeros(min(WORDS_PER_STRIP, len(label) - 1 - SUFFIXES - at) * CONTEXTS, np.int64)
+        for cells, counts in zip(table.column("places").to_pylist(), table.column("counts").to_pylist()):
+            found[np.frombuffer(cells, np.uint32)] += np.frombuffer(counts, np.int32)
         found = found.reshape(-1, CONTEXTS)
         old, used = label[at:at + len(found)], np.flatnonzero(found.any(axis=1))
         new = old.copy()
