@@ -270,12 +270,29 @@ def test_quantised_dictionary(rows, monkeypatch):
         (0, t) for t in range(4)}
 
 
-def test_plan_has_no_rows_or_trees_on_the_driver(spark, matrix):
-    """Trees meet blocks in joins; only the list of units and per-site sizes are driver data."""
-    forest = FS.grow_forests(matrix, [FS.Fit("F", tuple(FEATS), SMALL, None)])
-    for df in (FS.predictions(matrix, forest), FS.attributions(matrix, forest, FEATS)):
-        plan = df._jdf.queryExecution().toString()
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+def test_no_rows_or_trees_on_the_driver(spark, matrix, monkeypatch):
+    """Trees meet blocks in joins: nothing is collected, broadcast or turned into pandas, whatever the forest's size."""
+    from pyspark import SparkContext
+    fits = [FS.Fit("F", tuple(FEATS), SMALL, None)]
+    forest = FS.grow_forests(matrix, fits)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def refused(*args, **options):
+        raise AssertionError("rows or trees on the driver")
+
+    for kind, names in ((type(forest), ("collect", "toPandas", "toArrow", "toLocalIterator", "first", "take")), (SparkContext, ("broadcast",))):
+        for name in names:
+            monkeypatch.setattr(kind, name, refused)
+    try:
+        frames = [FS.predictions(matrix, forest), FS.attributions(matrix, forest, FEATS), FS.out_of_bag(matrix, forest, fits),
+                  FS.importances(forest, matrix)]
+        for df in frames:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "Broadcast" not in plan
+            df.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_specs_follow_the_parameters():
