@@ -185,7 +185,7 @@ def _add_windows(sums: np.ndarray, numbers: np.ndarray, signs: np.ndarray) -> No
         if len(order):
             mine = rows[order]
             first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            sums[mine[first]] += np.add.reduceat(around[begin - a:end - a][order], first, axis=0)
+            sums[mine[first]] += np.add.reduceat(around[begin - a:end - a][order].astype(np.int16), first, axis=0)
 
 
 def _context_sums(texts: DataFrame, vocabulary: dict, index: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ def _context_sums(texts: DataFrame, vocabulary: dict, index: np.ndarray) -> np.n
     (vocabulary, dimensions) matrix and sends strips of it, which are added by strip.
     """
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    signs = np.vstack([np.sign(index), np.zeros((1, DIMENSIONS))]).astype(np.int16)
+    signs = np.vstack([np.sign(index), np.zeros((1, DIMENSIONS))]).astype(np.int8)
 
     def add(batches):
         number, sums = TokenNumbers(shared.value).__getitem__, np.zeros((VOCABULARY, DIMENSIONS), np.int64)
@@ -212,12 +212,12 @@ def _context_sums(texts: DataFrame, vocabulary: dict, index: np.ndarray) -> np.n
         if held:
             _add_windows(sums, np.concatenate(held), signs)
         parts = [(at, sums[at:at + STRIP]) for at in range(0, VOCABULARY, STRIP)]
-        parts = [(at, zlib.compress(part.tobytes(), 1)) for at, part in parts if part.any()]
+        parts = [(at, part.tobytes()) for at, part in parts if part.any()]       # the exchange compresses them
         yield pa.RecordBatch.from_arrays([pa.array([at for at, _ in parts], pa.int64()),
                                           pa.array([part for _, part in parts], pa.binary())], ["at", "strip"])
 
     def merge(key, table):
-        total = sum(np.frombuffer(zlib.decompress(s), np.int64) for s in table.column("strip").to_pylist())
+        total = sum(np.frombuffer(s, np.int64) for s in table.column("strip").to_pylist())
         return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "strip": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros((VOCABULARY, DIMENSIONS))
