@@ -10,7 +10,7 @@ from ..operators.standin import standin_predict
 from ..operators.validate import split_keys, split_stratified
 from pyspark.sql.utils import AnalysisException
 
-from ..session import listing, scratch_path
+from ..session import bounded_tasks, listing, scratch_path
 from ..sources.panel import driver_panel
 
 _MATERIALISED: dict = {}
@@ -37,7 +37,8 @@ def panel(spark: SparkSession, sf_dir: str, sites=None, materialise: bool = True
             path = None
     if path is None:
         path = scratch_path(spark, "panel")
-        lazy.write.mode("overwrite").partitionBy("site").parquet(path)
+        with bounded_tasks(spark, sum(size for files in stamp for _, size, _ in files)):
+            lazy.write.mode("overwrite").partitionBy("site").parquet(path)
         _MATERIALISED[key] = path
         df = spark.read.parquet(path)
     cols = lazy.columns
