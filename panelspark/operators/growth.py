@@ -107,14 +107,26 @@ class Tree:
 
 def predict_codes(tree: Tree, codes: np.ndarray) -> np.ndarray:
     """Node value of each column of ``codes`` (feature x row)."""
-    node, at = np.zeros(codes.shape[1], np.int64), np.arange(codes.shape[1])
-    while len(at):
-        inner = tree.left[node[at]] >= 0
-        at = at[inner]
-        here = node[at]
-        go_left = codes[tree.feature[here], at] <= tree.code[here]
-        node[at] = np.where(go_left, tree.left[here], tree.right[here])
-    return tree.value[node]
+    n, flat = codes.shape[1], np.ascontiguousarray(codes).ravel()
+    inner = tree.left >= 0
+    # leaves point to themselves; where a node's row of codes starts; children as pairs (right, left)
+    begins, limit = np.where(inner, tree.feature, 0) * n, tree.code
+    self_ = np.arange(len(inner))
+    children = np.stack([np.where(inner, tree.right, self_), np.where(inner, tree.left, self_)], 1).ravel()
+    node, row, at = np.zeros(n, np.int64), np.arange(n), None
+    while True:
+        here = node if at is None else node.take(at)
+        live = np.flatnonzero(inner.take(here))
+        if not len(live):
+            return tree.value.take(node)
+        if len(live) < len(here):
+            at, here, row = live if at is None else at.take(live), here.take(live), row.take(live)
+        go_left = flat.take(begins.take(here) + row) <= limit.take(here)
+        moved = children.take(2 * here + go_left)
+        if at is None:
+            node = moved
+        else:
+            node[at] = moved
 
 
 def child_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +157,7 @@ class _Runs:
 
     def __init__(self, nodes, row, w, wy, size, total_w, total_wy, min_leaf: int):
         self.nodes, self.row, self.w, self.wy, self.total_w, self.total_wy = nodes, row, w, wy, total_w, total_wy
+        self.size = size
         n = len(row)
         self.bits = np.uint64(max(1, int(n - 1).bit_length()))
         self.run = np.repeat(np.arange(len(nodes)), size)
@@ -152,12 +165,12 @@ class _Runs:
         self.base = (self.run.astype(np.uint64) << (self.bits + np.uint64(CODE_BITS))) | place.astype(np.uint64)
         self.start = np.cumsum(size) - size
         first, last = self.start + (min_leaf - 1), self.start + size - min_leaf
-        self.allowed = (place >= first[self.run]) & (place < last[self.run]) if n else np.zeros(0, bool)
+        self.allowed = (place >= np.repeat(first, size)) & (place < np.repeat(last, size))
         self.low = (np.uint64(1) << self.bits) - np.uint64(1)
 
-    def offer_splits(self, best: _Best, feature: np.ndarray, codes: np.ndarray) -> None:
-        """Score every split of the nodes by one feature each."""
-        key = codes[feature[self.run], self.row].astype(np.uint64)
+    def offer_splits(self, best: _Best, feature: np.ndarray, flat: np.ndarray, n_rows: int) -> None:
+        """Score every split of the nodes by one feature each (``flat``: the codes, feature by feature)."""
+        key = flat.take(np.repeat(feature * n_rows, self.size) + self.row).astype(np.uint64)
         key <<= self.bits
         key |= self.base
         key.sort()
@@ -166,13 +179,13 @@ class _Runs:
         splits = np.flatnonzero((key[1:] != key[:-1]) & self.allowed[:-1])
         if not len(splits):
             return
-        at = self.run[splits]
-        sum_w, sum_wy = np.cumsum(self.w[element]), np.cumsum(self.wy[element])
+        at = self.run.take(splits)
+        sum_w, sum_wy = np.cumsum(self.w.take(element)), np.cumsum(self.wy.take(element))
         # running sums before each run
         before = self.start - 1
-        before_w, before_wy = np.where(before >= 0, sum_w[before], 0), np.where(before >= 0, sum_wy[before], 0)
-        left_w, left_wy = sum_w[splits] - before_w[at], sum_wy[splits] - before_wy[at]
-        right_w, right_wy = self.total_w[at] - left_w, self.total_wy[at] - left_wy
+        before_w, before_wy = np.where(before >= 0, sum_w.take(before), 0), np.where(before >= 0, sum_wy.take(before), 0)
+        left_w, left_wy = sum_w.take(splits) - before_w.take(at), sum_wy.take(splits) - before_wy.take(at)
+        right_w, right_wy = self.total_w.take(at) - left_w, self.total_wy.take(at) - left_wy
         score, other = left_wy.astype(float), right_wy.astype(float)
         score *= score
         score /= left_w
@@ -191,6 +204,7 @@ class _Runs:
 def best_splits(codes, row, w, wy, size, total_w, total_wy, order: np.ndarray, mtry: int, min_leaf: int) -> _Best:
     """Best split of each run of elements; candidates beyond ``mtry`` only where none of those before splits."""
     best = _Best(len(size))
+    flat, n_rows = np.ascontiguousarray(codes).ravel(), codes.shape[1]
     for at in range(0, order.shape[1], mtry):
         nodes = np.flatnonzero(best.feature < 0)
         if not len(nodes):
@@ -198,20 +212,27 @@ def best_splits(codes, row, w, wy, size, total_w, total_wy, order: np.ndarray, m
         inside = slice(None) if len(nodes) == len(size) else np.repeat(best.feature < 0, size)
         runs = _Runs(nodes, row[inside], w[inside], wy[inside], size[nodes], total_w[nodes], total_wy[nodes], min_leaf)
         for k in range(at, min(at + mtry, order.shape[1])):
-            runs.offer_splits(best, order[nodes, k], codes)
+            runs.offer_splits(best, order[nodes, k], flat, n_rows)
     return best
 
 
-def midpoints(values: list[np.ndarray], feature, code, after) -> tuple[np.ndarray, np.ndarray]:
-    """(threshold, last code that goes left) of splits between two codes of a feature."""
-    threshold, last = np.zeros(len(feature)), np.zeros(len(feature), np.int64)
-    for f in np.unique(feature):
-        mine, v = feature == f, values[f]
-        low, high = v[code[mine]], v[after[mine]]
-        mid = low / 2 + high / 2
-        mid = np.where((mid >= high) | (mid < low), low, mid)
-        threshold[mine], last[mine] = mid, np.searchsorted(v, mid, side="right") - 1
-    return threshold, last
+def midpoints(values: tuple[np.ndarray, np.ndarray], feature, code, after) -> tuple[np.ndarray, np.ndarray]:
+    """(threshold, last code that goes left) of splits between two codes of a feature.
+
+    ``values``: the features' values of each code in a row, and where each feature's begin.
+    """
+    every, starts = values
+    begins = starts.take(feature)
+    low, high = every.take(begins + code), every.take(begins + after)
+    mid = low / 2 + high / 2
+    mid = np.where((mid >= high) | (mid < low), low, mid)
+    # the last code whose value is at most mid lies in [code, after): bisection of all splits at once
+    last, above = code.astype(np.int64), after.astype(np.int64)
+    while (above - last > 1).any():
+        middle = (last + above) // 2
+        up = every.take(begins + middle) <= mid
+        last, above = np.where(up, middle, last), np.where(up, above, middle)
+    return mid, last
 
 
 def grow(codes: np.ndarray, values: list[np.ndarray], q: np.ndarray, bags: np.ndarray, keys: np.ndarray, features,
@@ -222,9 +243,12 @@ def grow(codes: np.ndarray, values: list[np.ndarray], q: np.ndarray, bags: np.nd
     """
     features, limit = np.array(sorted(features), np.int64), UNLIMITED if max_depth is None else int(max_depth)
     smallest = max(int(min_split), 2 * int(min_leaf))
-    tree, row = np.nonzero(bags)
-    w = bags[tree, row]
-    wy, size = w * q[row], np.bincount(tree, minlength=len(bags))
+    codes = np.ascontiguousarray(codes)
+    flat, n_rows = codes.ravel(), codes.shape[1]
+    in_a_row = np.concatenate(values), np.cumsum([0, *map(len, values)])[:-1]
+    drawn = np.flatnonzero(bags)
+    w, (tree, row) = bags.ravel().take(drawn), np.divmod(drawn, max(1, n_rows))
+    wy, size = w * q.take(row), np.bincount(tree, minlength=len(bags))
     owner, node_keys = np.arange(len(bags)), keys.astype(np.uint64)    # nodes of the level: tree and key
     parent, side = np.full(len(bags), -1), np.zeros(len(bags), np.int64)
     made, count = [], 0
@@ -232,7 +256,7 @@ def grow(codes: np.ndarray, values: list[np.ndarray], q: np.ndarray, bags: np.nd
         start = np.cumsum(size) - size
         some, none = np.flatnonzero(size > 0), np.zeros(len(size), np.int64)
         sums = lambda x, f=np.add: none.copy() if not len(some) else _put(none, some, f.reduceat(x, start[some]))
-        total_w, total_wy, targets = sums(w), sums(wy), q[row]
+        total_w, total_wy, targets = sums(w), sums(wy), q.take(row)
         mixed = sums(targets, np.maximum) > sums(targets, np.minimum)
         level = {"tree": owner, "parent": parent, "side": side, "key": node_keys, "cover": total_w, "rows": size,
                  "value": scale.centre + scale.unit * (total_wy / np.maximum(total_w, 1)), "feature": np.full(len(owner), -1, np.int64),
@@ -249,22 +273,19 @@ def grow(codes: np.ndarray, values: list[np.ndarray], q: np.ndarray, bags: np.nd
         split, inside = open_[found], np.repeat(found, size)
         row, w, wy, size = row[inside], w[inside], wy[inside], size[found]
         feature = best.feature[found]
-        threshold, code = midpoints(values, feature, best.code[found], best.after[found])
+        threshold, code = midpoints(in_a_row, feature, best.code[found], best.after[found])
         level["feature"][split], level["code"][split], level["threshold"][split] = feature, code, threshold
         base = total_wy[split].astype(float) ** 2 / total_w[split]
         level["gain"][split] = np.maximum(best.score[found] - base, 0) / total_w[split] * scale.unit ** 2
         # elements move to their child's run: a stable partition of each run
         run = np.repeat(np.arange(len(split)), size)
-        go_left = codes[feature[run], row] <= code[run]
-        begin = np.cumsum(size) - size
-        lefts = np.cumsum(go_left) - go_left
-        before = lefts - lefts[begin][run] if len(run) else lefts
+        go_left = flat.take(np.repeat(feature * n_rows, size) + row) <= np.repeat(code, size)
         n_left = np.bincount(run, go_left, len(split)).astype(np.int64)
-        target = begin[run] + np.where(go_left, before, n_left[run] + np.arange(len(run)) - begin[run] - before)
-        moved = [np.empty_like(x) for x in (row, w, wy)]
-        for new, old in zip(moved, (row, w, wy)):
-            new[target] = old
-        row, w, wy = moved
+        bits = max(1, len(run).bit_length())
+        order = (2 * run + ~go_left) << bits | np.arange(len(run))
+        order.sort()
+        order &= (1 << bits) - 1
+        row, w, wy = row.take(order), w.take(order), wy.take(order)
         size = np.stack([n_left, size - n_left], 1).ravel()
         owner, node_keys = np.repeat(owner[split], 2), np.stack(child_keys(node_keys[split]), 1).ravel()
         parent, side = np.repeat(count + split, 2), np.tile([0, 1], len(split))
