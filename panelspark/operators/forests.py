@@ -30,7 +30,8 @@ from .linear_shap import shap_codes
 
 LOCAL_ROWS = 200_000                 # rows that one task holds for a unit
 TREE_ROWS = 150_000                  # trees x rows of a unit
-TOGETHER = 30_000                    # trees x rows that grow together: their arrays stay in a core's cache
+TOGETHER = 60_000                    # trees x rows that grow together: their arrays stay in a core's cache
+AHEAD_ROWS = 6_000_000               # trees x rows of the fits that a task makes one after the other
 MOST_UNITS = 100_000                 # units whose (small) list is broadcast
 CHUNK_NODES = 10_000                 # nodes of the trees that meet a block of rows at a time
 ALL_ROWS = "all"                     # instead of a held-out fold: fit on test rows, too
@@ -73,7 +74,7 @@ def bags_of(spec: dict, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def unit_trees(spec: dict, rows, first: int, last: int) -> list[Tree]:
     """Trees first .. last - 1 of a fit, on all rows of its site."""
     train = np.flatnonzero(in_training(rows.fold, spec["held_out"]))
-    codes, ids, q, out = rows.codes[:, train], rows.ids[train], rows.scale.encode(rows.y[train]), []
+    codes, ids, q, out = rows.codes.take(train, axis=1), rows.ids[train], rows.scale.encode(rows.y[train]), []
     step = max(1, TOGETHER // max(1, len(train)))
     for at in range(first, last, step):
         keys = tree_keys(spec["seed"], np.arange(at, min(at + step, last)))
@@ -95,8 +96,11 @@ def _units(matrix: CodeMatrix, fits: list[Fit]) -> list[tuple]:
 
 def _dealt(matrix: CodeMatrix, fits: list[Fit]) -> DataFrame:
     """Units with the blocks of their sites, sorted by (unit, block), units spread evenly over the tasks."""
+    return _with_blocks(matrix, _units(matrix, fits))
+
+
+def _with_blocks(matrix: CodeMatrix, units: list[tuple]) -> DataFrame:
     spark = matrix.blocks.sparkSession
-    units = _units(matrix, fits)
     table = spark.createDataFrame(units, "unit long, fit long, site string, spec string, first long, last long")
     n = max(1, min(len(units), 20 * spark.sparkContext.defaultParallelism))
     small = F.broadcast(table) if len(units) <= MOST_UNITS else table
@@ -155,9 +159,10 @@ STATS = "fit long, what string, k long, v double"
 
 def _part_rows(unit: dict, spec: dict, site, trees: list[Tree], n_features: int):
     """Partial sums of a unit: predictions by block, and the trees' importances as the block ``DICTIONARY``."""
-    pred = np.zeros(len(site.y))
+    pred, scored = np.zeros(len(site.y)), np.flatnonzero(site.fold >= 0)      # no score reads the other rows
+    codes = site.codes.take(scored, axis=1)
     for t in trees:
-        pred += predict_codes(t, site.codes)
+        pred[scored] += predict_codes(t, codes)
     importance = sum((t.importances(n_features) for t in trees), np.zeros(n_features))
     held_out = spec["held_out"] if isinstance(spec["held_out"], int) else -1
     out = [(unit["fit"], DICTIONARY, 0.0, held_out, len(trees), importance.tobytes(), b"", b"")]
@@ -170,6 +175,19 @@ def _part_rows(unit: dict, spec: dict, site, trees: list[Tree], n_features: int)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], _PART_NAMES)
 
 
+def _moments(y: np.ndarray, fold: np.ndarray, held_out: int, centre: float, pred: np.ndarray) -> dict[str, list[float]]:
+    """Rows, sum and sum of squares of the targets about the centre, and squared error, of both sides of the fold."""
+    error, y = y - pred, y - centre
+    sides = {"train": in_training(fold, held_out), "test": (fold == held_out) & (fold >= 0)}
+    return {side: [float(v) for v in (mine.sum(), y[mine].sum(), (y[mine] ** 2).sum(), (error[mine] ** 2).sum())]
+            for side, mine in sides.items()}
+
+
+def _r2(rows: float, total: float, squares: float, error: float) -> float | None:
+    spread = squares - total * total / rows if rows else 0.0
+    return 1.0 - error / spread if spread else None
+
+
 def _add_parts(key, table):
     """Sums over the units of a fit: by feature, or the moments of both sides of the fold in one block."""
     total = sum(np.frombuffer(s) for s in table.column("sums").to_pylist())
@@ -178,11 +196,9 @@ def _add_parts(key, table):
         out = [("importance", f, v / trees) for f, v in enumerate(total.tolist())]
     else:
         one = lambda c, t: np.frombuffer(next(v for v in table.column(c).to_pylist() if v), t)
-        y, fold, held_out = one("y", np.float64), one("fold", np.int32), table.column("held_out")[0].as_py()
-        error, y, out = y - total / trees, y - table.column("centre")[0].as_py(), []
-        for side, mine in (("train", in_training(fold, held_out)), ("test", (fold == held_out) & (fold >= 0))):
-            sums = (mine.sum(), y[mine].sum(), (y[mine] ** 2).sum(), (error[mine] ** 2).sum())
-            out += [(side, k, float(v)) for k, v in enumerate(sums)]
+        moments = _moments(one("y", np.float64), one("fold", np.int32), table.column("held_out")[0].as_py(),
+                           table.column("centre")[0].as_py(), total / trees)
+        out = [(side, k, v) for side, sums in moments.items() for k, v in enumerate(sums)]
     what, k, v = zip(*out)
     return pa.table({"fit": pa.array([fit] * len(out), pa.int64()), "what": pa.array(what), "k": pa.array(k, pa.int64()),
                      "v": pa.array(v, pa.float64())})
@@ -211,6 +227,54 @@ def score_fits(matrix: CodeMatrix, fits: list[Fit]) -> DataFrame:
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+AHEAD = "fit long, features array<string>, train_r2 double, test_r2 double, importances array<struct<k:bigint,v:double>>"
+_AHEAD = pa.schema([("fit", pa.int64()), ("features", pa.list_(pa.string())), ("train_r2", pa.float64()), ("test_r2", pa.float64()),
+                    ("importances", pa.list_(pa.struct([("k", pa.int64()), ("v", pa.float64())])))])
+
+
+def _whole_score(fit: Fit, names: list[str], site) -> tuple:
+    """(train R2, test R2, importances by feature number) of a fit whose trees are all grown in this task."""
+    spec, total, importance = fit.spec(names), 0, 0
+    held_out = spec["held_out"] if isinstance(spec["held_out"], int) else -1
+    scored, step = np.flatnonzero(site.fold >= 0), max(1, TREE_ROWS // max(1, len(site.y)))
+    codes = site.codes.take(scored, axis=1)
+    for at in range(0, spec["trees"], step):
+        trees = unit_trees(spec, site, at, min(at + step, spec["trees"]))
+        pred = np.zeros(len(scored))
+        for t in trees:
+            pred += predict_codes(t, codes)
+        total = total + pred
+        importance = importance + sum((t.importances(len(names)) for t in trees), np.zeros(len(names)))
+    sides = _moments(site.y[scored], site.fold[scored], held_out, site.scale.centre, total / spec["trees"])
+    return _r2(*sides["train"]), _r2(*sides["test"]), (importance / spec["trees"]).tolist()
+
+
+def steps_ahead(matrix: CodeMatrix, fits: list[Fit]) -> int:
+    """How many fits a task makes one after the other of each of these, so that its work stays bounded."""
+    return AHEAD_ROWS // max(1, *(matrix.sizes[f.site] * f.params.n_estimators for f in fits))
+
+
+def score_ahead(matrix: CodeMatrix, fits: list[Fit], following, steps: int) -> DataFrame:
+    """Scores of each fit and of up to ``steps`` - 1 fits after it: ``following(fit, importances)`` is the next one, or None.
+
+    One row a fit made: the number of the first one, its features and what ``score_fits`` tells.
+    """
+    names = list(matrix.features)
+    units = [(i, i, f.site, "", 0, f.params.n_estimators) for i, f in enumerate(fits)]
+
+    def work(batches):
+        for unit, rows in by_unit(batches):
+            fit, site, out = fits[unit["fit"]], unpack(rows), []
+            while fit is not None and len(out) < steps:
+                train, test, gains = _whole_score(fit, names, site)
+                out.append({"fit": unit["fit"], "features": list(fit.features), "train_r2": train, "test_r2": test,
+                            "importances": [{"k": k, "v": v} for k, v in enumerate(gains)]})
+                fit = following(fit, {names[k]: v for k, v in enumerate(gains)})
+            yield pa.RecordBatch.from_pylist(out, _AHEAD)
+
+    return _with_blocks(matrix, units).mapInArrow(work, AHEAD)
+
+
 def _placed(table: DataFrame, places: list[int]) -> DataFrame:
     """Numbers of a part of the fits replaced by their places in the whole list."""
     place = F.element_at(F.array(*[F.lit(i) for i in places]), (F.col("fit") + 1).cast("int")).cast("long")

@@ -15,6 +15,7 @@ metadata (importances, one score per fit) reaches the driver.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,9 +141,17 @@ def selection_tables(spark: SparkSession, features, fold_scores: dict, full_orde
             "cv_best": best_score, "selected": [f for f in features if f in selected]}
 
 
+def _next_fit(fit: Fit, importance: dict[str, float]) -> Fit | None:
+    """The fit after the least important feature has gone, as far as the elimination goes on."""
+    drop = least_important(fit.features, [importance.get(f, 0.0) for f in fit.features])
+    left = tuple(f for f in fit.features if f != drop)
+    return replace(fit, features=left) if len(left) > (fit.held_out is None) else None
+
+
 def rfecv_forests(spark: SparkSession, matrix, features: dict[str, list], params: dict[str, ForestParams], ledger) -> dict[str, dict]:
-    """``rfecv_select`` with forests for all sites at once: a step of the elimination is one job over all (site, fold) fits.
+    """``rfecv_select`` with forests for all sites at once: steps of the elimination are jobs over all (site, fold) fits.
 
+    A (site, fold) task makes several steps where its site's rows are few; else a step is one job.
     The driver holds one score and one importance per feature and fit.
     """
     chains = {}
@@ -156,7 +165,7 @@ def rfecv_forests(spark: SparkSession, matrix, features: dict[str, list], params
         live = [c for c, names in chains.items() if len(names) > (c[1] is None)]
         if not live:
             break
-        found = ledger.scores(matrix, [Fit(site, tuple(chains[site, k]), params[site], k) for site, k in live])
+        found = ledger.scores(matrix, [Fit(site, tuple(chains[site, k]), params[site], k) for site, k in live], following=_next_fit)
         for (site, k), score in zip(live, found):
             names = chains[site, k]
             scores[site, k][len(names)] = score.test_r2
